@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontamination, mixing, secrets, sharding, urls
-from .common import read
+from . import decontamination, mixing, secrets, sharding, simhash, topk, urls
+from .common import read, stored
 
 
 def op2_mix_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +22,16 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("text_key")
 
 
+def op1_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = stored(topk.quantised_vectors(read(spark, sf_dir, "embeddings")), "vectors")
+    return topk.top_k(vectors, vectors.where(F.col("vec_id") % 20 == 0))
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = simhash.near_duplicates(read(spark, sf_dir, "documents"))
+    return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op8_shard_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.hilbert_shards(read(spark, sf_dir, "documents"))
 
@@ -29,5 +40,5 @@ def op9_filter_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(read(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op2_mix_curriculum, op3_find_secrets, op5_decontaminate, op8_shard_hilbert, op9_filter_urls)}
-ORACLES = {"op2_mix_curriculum": mixing.ORACLE, "op5_decontaminate": decontamination.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_top_k, op2_mix_curriculum, op3_find_secrets, op5_decontaminate, op6_simhash, op8_shard_hilbert, op9_filter_urls)}
+ORACLES = {"op1_top_k": topk.ORACLE, "op2_mix_curriculum": mixing.ORACLE, "op5_decontaminate": decontamination.ORACLE}
