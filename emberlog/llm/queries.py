@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, mixing, secrets, sharding, simhash, topk, urls
+from . import decontamination, mixing, quality, secrets, sharding, simhash, topk, toxicity, urls
 from .common import read, stored
 
 
@@ -18,6 +18,12 @@ def op3_find_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(read(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.learn(docs, read(spark, sf_dir, "labels")))
+    return scored.withColumn("sentences", F.to_json("sentences"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("text_key")
 
@@ -40,5 +46,13 @@ def op9_filter_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(read(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_top_k, op2_mix_curriculum, op3_find_secrets, op5_decontaminate, op6_simhash, op8_shard_hilbert, op9_filter_urls)}
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return quality.score(docs, quality.learn(docs, read(spark, sf_dir, "labels")))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_top_k, op2_mix_curriculum, op3_find_secrets, op4_toxicity, op5_decontaminate, op6_simhash, op8_shard_hilbert, op9_filter_urls, op10_quality)
+}
 ORACLES = {"op1_top_k": topk.ORACLE, "op2_mix_curriculum": mixing.ORACLE, "op5_decontaminate": decontamination.ORACLE}
