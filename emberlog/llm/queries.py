@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, mixing, quality, secrets, sharding, simhash, topk, toxicity, urls
+from . import decontamination, language_model, mixing, quality, secrets, sharding, simhash, topk, toxicity, urls
 from .common import read, stored
 
 
@@ -38,6 +38,10 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score_texts(read(spark, sf_dir, "documents"))
+
+
 def op8_shard_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.hilbert_shards(read(spark, sf_dir, "documents"))
 
@@ -53,6 +57,6 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_top_k, op2_mix_curriculum, op3_find_secrets, op4_toxicity, op5_decontaminate, op6_simhash, op8_shard_hilbert, op9_filter_urls, op10_quality)
+    for f in (op1_top_k, op2_mix_curriculum, op3_find_secrets, op4_toxicity, op5_decontaminate, op6_simhash, op7_language_model, op8_shard_hilbert, op9_filter_urls, op10_quality)
 }
 ORACLES = {"op1_top_k": topk.ORACLE, "op2_mix_curriculum": mixing.ORACLE, "op5_decontaminate": decontamination.ORACLE}
