@@ -41,46 +41,55 @@ def windows_of(items: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
     return each.select("window_id", "words", F.size("words").alias("n")).distinct(), each.select("window_id", "item_id").distinct()
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, width: int = 10, broadcast_rows: int = 2_000_000) -> DataFrame:
-    """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
+def _text_key() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key")
+
+
+def leaks(docs: DataFrame, items: DataFrame, width: int = 10, broadcast_rows: int = 2_000_000) -> DataFrame:
+    """The documents with a hit: doc_id, text_key, n_hit, n_items, items_sha256.
 
     Words of the documents are walked once, where they are read; only shingles that some window
     holds leave that stage, each with the words around it that a window could span.
     """
     windows, members = windows_of(items, width)
     windows = stored(windows.withColumn("g", F.least("n", F.lit(SHINGLE))), "leak-distinct")
+    by_size = F.lit(None).cast("long")
+    for g in range(1, SHINGLE + 1):
+        by_size = F.when(F.col("g") == g, _shingle(F.col("words"), F.col("offset"), g)).otherwise(by_size)
     inside = stored(
-        windows.select("window_id", "n", "g", F.posexplode(F.sequence(F.lit(0), F.col("n") - F.col("g"))).alias("i", "offset"), "words")
-        .select("window_id", "n", "g", "offset", F.when(F.col("g") == 3, _shingle(F.col("words"), F.col("offset"), 3)).when(F.col("g") == 2, _shingle(F.col("words"), F.col("offset"), 2)).otherwise(_shingle(F.col("words"), F.col("offset"), 1)).alias("shingle")),
+        windows.select("window_id", "n", "g", "words", F.explode(F.sequence(F.lit(0), F.col("n") - F.col("g"))).alias("offset"))
+        .select("window_id", "n", "g", "offset", by_size.alias("shingle")),
         "leak-shingles",
     )
     n_shingles = inside.count()
-    keyed = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), words_of(F.col("text")).alias("w"))
-    # Sizes of 1 and 2 words are walked only if the benchmark has such items.
+    keyed = docs.select("doc_id", _text_key(), words_of(F.col("text")).alias("w"))
+    # Shingles of 1 and 2 words are walked only if the benchmark has items as short.
     sizes = sorted(r.g for r in inside.select("g").distinct().collect())
     hits = None
     for g in sizes:
-        wanted = inside.where(F.col("g") == g).select("shingle").distinct()
-        wanted = small_or_shuffled(wanted, n_shingles, broadcast_rows)
+        wanted = small_or_shuffled(inside.where(F.col("g") == g).select("shingle").distinct(), n_shingles, broadcast_rows)
         reach = width - g
         walked = (
             keyed.where(F.size("w") >= g).select("doc_id", "text_key", "w", F.posexplode("w").alias("at", "word"))
             .where(F.col("at") <= F.size("w") - g)
             .withColumn("shingle", _shingle(F.col("w"), F.col("at"), g))
         )
+        near_at = F.greatest(F.col("at") - reach, F.lit(0))
         found = walked.join(wanted, "shingle", "left_semi").select(
             "doc_id", "text_key", F.lit(g).alias("g"), "shingle", "at", F.size("w").alias("n_words"),
-            F.slice("w", F.greatest(F.col("at") - reach, F.lit(0)) + 1, F.lit(width + reach)).alias("near"),
-            F.greatest(F.col("at") - reach, F.lit(0)).alias("near_at"),
+            F.slice("w", near_at + 1, F.lit(width + reach)).alias("near"), near_at.alias("near_at"),
         )
         hits = found if hits is None else hits.unionByName(found)
     if hits is None:
-        leaks = docs.sparkSession.createDataFrame([], "doc_id long, text_key long, n_hit long, n_items long, items_sha256 string")
-    else:
-        leaks = _verified(stored(hits, "leak-hits"), windows, inside, members, n_shingles, broadcast_rows)
-    counted = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"), F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
-    leaks = leaks.withColumnsRenamed({"doc_id": "_id", "text_key": "_key"})
-    out = counted.join(leaks, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")), "left")
+        return docs.sparkSession.createDataFrame([], "doc_id long, text_key long, n_hit long, n_items long, items_sha256 string")
+    return _verified(stored(hits, "leak-hits"), windows, inside, members, n_shingles, broadcast_rows)
+
+
+def find_leaks(docs: DataFrame, items: DataFrame, width: int = 10, broadcast_rows: int = 2_000_000) -> DataFrame:
+    """One row per document: doc_id, text_key, n_words, n_hit, n_items, items_sha256, contaminated."""
+    found = leaks(docs, items, width, broadcast_rows).withColumnsRenamed({"doc_id": "_id", "text_key": "_key"})
+    counted = docs.select("doc_id", _text_key(), F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
+    out = counted.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")), "left")
     none = F.lit(0).cast("long")
     return out.select(
         "doc_id", "text_key", "n_words",
@@ -90,6 +99,15 @@ def find_leaks(docs: DataFrame, items: DataFrame, width: int = 10, broadcast_row
     )
 
 
+def clean_documents(docs: DataFrame, items: DataFrame, width: int = 10, broadcast_rows: int = 200_000) -> DataFrame:
+    """The documents without a hit; their keys are broadcast only if few documents have one."""
+    keys = stored(leaks(docs, items, width).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")), "leak-keys")
+    keys = small_or_shuffled(keys, keys.count(), broadcast_rows)
+    rows = docs.select(F.struct("*").alias("doc"), "doc_id", _text_key())
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key"))
+    return rows.join(keys, same, "left_anti").select("doc.*")
+
+
 def _verified(hits: DataFrame, windows: DataFrame, inside: DataFrame, members: DataFrame, n: int, most: int) -> DataFrame:
     seen = hits.groupBy("g", "shingle").agg(F.count(F.lit(1)).alias("seen"))
     # The rarest shingle of each window; windows with a shingle that no document has cannot occur.
