@@ -148,8 +148,8 @@ def mixed_documents(docs: DataFrame, weights: Sequence[int] = WEIGHTS, schedules
         F.max("occurrences").alias("occurrences"), *(F.first(c).alias(c) for c in ("source_size", "weight", "due")), F.min("start").alias("start")
     )
     turns = (
-        plan.select("doc_id", "size", "weight", "due", F.explode(F.sequence(F.lit(0), F.col("occurrences") - 1)).alias("epoch"), "start", "source_size")
-        .where(F.col("epoch") < F.col("occurrences"))
+        plan.where("occurrences > 0")
+        .select("doc_id", "size", "weight", "due", F.explode(F.sequence(F.lit(0), F.col("occurrences") - 1)).alias("epoch"), "start", "source_size")
         .withColumn("offset", F.col("start") + F.col("epoch") * F.col("source_size"))
         .select("doc_id", "size", _position(F.col("offset"), weights, schedules).alias("_position"))
         .withColumnRenamed("doc_id", "_id").withColumnRenamed("size", "_size")
