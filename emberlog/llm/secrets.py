@@ -35,25 +35,23 @@ ALLOWED = (
 )
 
 
-def _found(text: Column, pattern: str, groups: int, kind: str, keep) -> Column:
+def _found(text: Column, pattern: str, keep) -> Column:
     """Spans of leftmost non-overlapping matches.
 
-    Each match is taken with the gap before it, so that positions are running sums of lengths.
-    ``keep(match, group)`` says which matches stay; the others still use up their characters.
+    Splitting at the pattern gives the gaps, extracting it the matches; positions are running sums
+    of their lengths. ``keep(match)`` says which matches stay; the others still use up their
+    characters.
     """
-    with_gap = F.lit(f"(?s)(.*?)({pattern})")
-    gaps = F.regexp_extract_all(text, with_gap, F.lit(1))
-    whole = F.regexp_extract_all(text, with_gap, F.lit(2))
-    last = F.regexp_extract_all(text, with_gap, F.lit(2 + groups)) if groups else whole
+    gaps, whole = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,match:string>>").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         begin = acc["at"] + F.char_length(x["gaps"])
         end = begin + F.char_length(x["whole"])
         span = F.struct(begin.alias("start"), end.alias("end"), x["whole"].alias("match"))
-        return F.struct(end.alias("at"), F.when(keep(x["whole"], x["last"]), F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+        return F.struct(end.alias("at"), F.when(keep(x["whole"]), F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
-    zipped = F.arrays_zip(gaps.alias("gaps"), whole.alias("whole"), last.alias("last"))
+    zipped = F.arrays_zip(F.slice(gaps, 1, F.size(whole)).alias("gaps"), whole.alias("whole"))
     return F.aggregate(zipped, start, step, lambda acc: acc["out"])
 
 
@@ -104,14 +102,15 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     none = F.array().cast("array<struct<start:int,end:int,match:string>>")
     gated = lambda found, gate: F.when(text.rlike(gate), found).otherwise(none)
-    any_match = lambda whole, last: F.lit(True)
+    any_match = lambda whole: F.lit(True)
+    long_value = lambda whole: F.char_length(F.regexp_extract(whole, ASSIGN, 2)) >= 12
     d = docs.select(
         "doc_id",
-        gated(_found(text, ASSIGN, 2, "assign", lambda whole, last: F.char_length(last) >= 12), ASSIGN).alias("assign"),
+        gated(_found(text, ASSIGN, long_value), ASSIGN).alias("assign"),
         # A run of 16 hex digits or of AKIA and 14 more holds its whole match, so shorter ones need no visit.
-        gated(_found(text, ACCESS[:-1] + "{14,}", 0, "access", any_match), "AKIA[A-Z0-9]{14}").alias("access"),
-        gated(_found(text, HEX[:-1] + "{16,}", 0, "hex", any_match), "[0-9a-f]{16}").alias("hex"),
-        gated(_found(text, CANDIDATE, 0, "entropy", lambda whole, last: _suspicious(whole)), CANDIDATE).alias("entropy"),
+        gated(_found(text, ACCESS[:-1] + "{14,}", any_match), "AKIA[A-Z0-9]{14}").alias("access"),
+        gated(_found(text, HEX[:-1] + "{16,}", any_match), "[0-9a-f]{16}").alias("hex"),
+        gated(_found(text, CANDIDATE, _suspicious), CANDIDATE).alias("entropy"),
     )
     base = F.concat("assign", "access", "hex")
     clear = F.filter("entropy", lambda e: ~F.exists(base, lambda b: (b["start"] < e["end"]) & (e["start"] < b["end"])))
