@@ -40,18 +40,19 @@ def statistics(events: DataFrame, findings: DataFrame | None = None) -> DataFram
 
 
 def severity_summary(findings: DataFrame, correlations: DataFrame, ioc_matches: DataFrame, cve_matches: DataFrame, top: int = 5) -> DataFrame:
-    """One row: findings by severity, top users and addresses (case-insensitive), counts of the rest."""
-    counts = findings.agg(F.count(F.lit(1)).alias("findings"), *(F.count_if(F.col("severity") == s).alias(s.lower()) for s in SEVERITIES))
-
-    def best(column: str, name: str) -> DataFrame:
-        c = findings.where(F.coalesce(F.trim(column), F.lit("")) != "").groupBy(F.lower(column).alias("k")).agg(F.count(F.lit(1)).alias("n"))
-        top_rows = c.orderBy(F.col("n").desc(), "k").limit(top)
-        return top_rows.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("a"), "k"))), lambda x: x["k"]), ", ").alias(name))
-
-    one = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
-    out = counts
-    for part in (best("user_name", "top_users"), best("source_ip", "top_ips"), one(correlations, "chains"), one(ioc_matches, "ioc_matches"), one(cve_matches, "cve_matches")):
-        out = out.join(part)  # one row each
+    """(section, key, value): findings by severity, the most frequent users and addresses (whatever
+    their case), and how many chains, indicator and CVE matches there are."""
+    rows = lambda section, key, df: df.select(F.lit(section).alias("section"), key.alias("key"), F.col("n").alias("value"))
+    n = F.count(F.lit(1)).alias("n")
+    order = F.array(*map(F.lit, SEVERITIES))
+    counts = findings.agg(*(F.count_if(F.col("severity") == s).alias(s) for s in SEVERITIES))
+    out = counts.select(F.lit("Severity").alias("section"), F.explode(F.arrays_zip(order.alias("key"), F.array(*SEVERITIES).alias("value"))).alias("x")).select("section", "x.key", "x.value")
+    out = out.unionByName(rows("Summary", F.lit("Findings"), findings.agg(n)))
+    for section, column in (("TopUsers", "user_name"), ("TopIps", "source_ip")):
+        best = findings.where(F.coalesce(F.trim(column), F.lit("")) != "").groupBy(F.lower(column).alias("k")).agg(n).orderBy(F.col("n").desc(), "k").limit(top)
+        out = out.unionByName(rows(section, F.col("k"), best))
+    for key, df in (("Chains", correlations), ("IocMatches", ioc_matches), ("CveMatches", cve_matches)):
+        out = out.unionByName(rows("Summary", F.lit(key), df.agg(n)))
     return out
 
 
