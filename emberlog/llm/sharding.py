@@ -148,5 +148,6 @@ def sharded_documents(docs: DataFrame, shards: int = 40, strings: tuple[str, ...
     literal = [F.struct(*(F.lit(v).cast(t).alias(n) for v, (n, t) in zip(c.key, (("curve", "long"), ("u", "long"), ("doc_id", "long"), ("text_crc32", "long"))))) for c in cuts]
     rows = _rows(docs, strings).withColumn("curve", hilbert_index(bins, bits))
     passed = F.size(F.filter(F.array(*literal), lambda c: c <= key)) if literal else F.lit(0)
-    ordered = rows.withColumn("shard", passed).repartitionByRange(shards, "shard", "curve", "u").sortWithinPartitions("shard", "curve", "u", "doc_id")
+    # As many ranges as the session's shuffles have, so a shard may be several files, never a task too large.
+    ordered = rows.withColumn("shard", passed).repartitionByRange("shard", "curve", "u").sortWithinPartitions("shard", "curve", "u", "doc_id")
     return ordered.select("doc.*", "shard")
