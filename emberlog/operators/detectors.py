@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 
 from ..functions.accounts import account_key, in_suspicious_path, ip_key, is_machine_account, is_privileged_group, suspicious_paths
 from ..functions.text import blank, contains_all, contains_any, contains_ci, equals_ci
-from ..schema import RANK, first_prop, is_sysmon, micros, prop
+from ..schema import RANK, first_prop, is_sysmon, micros, once, prop
 from .findings import PRIMARY, make_finding, matches_declared_ids, provider_has
 from .signature_catalog import CATALOGS, Signature
 from .windows import busy_runs, cluster_rows, first_after, greedy_clusters, window_ends
@@ -223,7 +223,7 @@ def process_creation(events: DataFrame, s: Settings = Settings()) -> DataFrame:
         F.when(length >= s.long_command, F.concat(F.lit("command line length "), length.cast("string"))),
         F.when(pair, F.concat(F.lit("unusual parent/child pair "), F.col("parent_process_name"), F.lit(" -> "), F.col("process_name"))),
     ))
-    d = events.where(is_process_start()).withColumn("reasons", reasons).where(F.size("reasons") > 0)
+    d = events.where(is_process_start()).withColumn("reasons", once(reasons)).where(F.size("reasons") > 0)
     rank = F.when(F.size("reasons") > 1, RANK["High"]).otherwise(RANK["Medium"])
     return make_finding(d, "SuspiciousProcessCreation", "Suspicious process creation", rank, F.array_join("reasons", "; "), F.concat(F.lit("image="), path))
 
@@ -247,7 +247,7 @@ def script_reasons(s: Settings = Settings()) -> Column:
 def suspicious_powershell(events: DataFrame, s: Settings = Settings()) -> DataFrame:
     d = events.where(F.col("event_id").isin(4103, 4104, 4688) | ((F.col("event_id") == 1) & is_sysmon()))
     parts = [F.when(~blank(F.col(c)), F.col(c)) for c in ("command_line", "script_block", "parent_command_line", "raw_xml")]
-    d = d.withColumn("blob", F.concat_ws("\n", *parts)).withColumn("reasons", script_reasons(s)).where(F.size("reasons") > 0)
+    d = d.withColumn("blob", once(F.concat_ws("\n", *parts))).withColumn("reasons", once(script_reasons(s))).where(F.size("reasons") > 0)
     rank = F.when(F.size("reasons") >= 2, RANK["High"]).otherwise(RANK["Medium"])
     details = F.concat(F.lit("indicators="), F.array_join("reasons", ","), F.coalesce(F.concat(F.lit("; scriptBlockSha256="), F.when(F.col("script_block_hash") != "", F.col("script_block_hash"))), F.lit("")))
     return make_finding(d, "SuspiciousPowerShell", "Suspicious PowerShell activity", rank, "Script or command line with suspicious marks", details)
@@ -263,7 +263,7 @@ def scheduled_tasks(events: DataFrame, s: Settings = Settings()) -> DataFrame:
     d = events.where(F.col("event_id").isin(4698, 4702, 4699))
     # A missing property is '' and not null, so what would follow it is never reached.
     text = F.coalesce("command_line", prop("TaskContent"))
-    d = d.withColumn("paths", suspicious_paths(text, s.task_paths))
+    d = d.withColumn("paths", once(suspicious_paths(text, s.task_paths)))
     action = F.when(F.col("event_id") == 4698, "created").when(F.col("event_id") == 4702, "updated").otherwise("deleted")
     rank = F.when(F.size("paths") > 0, RANK["High"]).otherwise(RANK["Medium"])
     description = F.concat(F.lit("Task '"), F.coalesce("task_name", F.lit("(unnamed)")), F.lit("' was "), action, F.when(F.size("paths") > 0, F.concat(F.lit("; paths: "), F.array_join("paths", ", "))).otherwise(""))
@@ -364,43 +364,47 @@ def signature_predicate(sig: Signature) -> Column:
     return out
 
 
-def signature_findings(events: DataFrame, rule: str, signatures: tuple[Signature, ...]) -> DataFrame:
-    """One finding for each event and signature: one pass without a shuffle.
+def signature_findings(events: DataFrame, catalogs: dict[str, tuple[Signature, ...]], batch: int = 64) -> DataFrame:
+    """One finding for each event and signature: a pass without a shuffle for each ``batch`` of signatures.
 
-    Events are cut down to the declared ids first, and the text is put together once.
+    Events are cut down to the declared ids first, and the text is put together once. The rule is the
+    signature's catalogue.
     """
-    ids = sorted({i for s in signatures for i in s.event_ids})
-    d = events.where(F.col("event_id").isin(ids)) if all(s.event_ids for s in signatures) else events
-    d = d.withColumn("blob", event_blob())
-    told = F.array(*(F.struct(F.lit(s.id).alias("id"), F.lit(s.title).alias("title"), F.lit(RANK[s.severity]).alias("rank")) for s in signatures))
-    hits = F.array_compact(F.array(*(F.when(signature_predicate(s), F.lit(i)) for i, s in enumerate(signatures))))
-    d = d.withColumn("hits", hits).where(F.size("hits") > 0).withColumn("hit", F.explode("hits")).withColumn("sig", F.get(told, F.col("hit")))
-    details = F.concat(F.lit("signature="), F.col("sig.id"), F.lit("; eventId="), F.col("event_id").cast("string"), F.lit("; process="), F.coalesce("process_name", F.lit("")), F.lit("; commandLine="), F.left(F.coalesce("command_line", F.lit("")), F.lit(500)))
-    return make_finding(d, rule, F.col("sig.title"), F.col("sig.rank"), F.col("sig.title"), details, rule_id=F.col("sig.id"))
+    every = [(rule, s) for rule, signatures in catalogs.items() for s in signatures]
+    out = None
+    for k in range(0, len(every), batch):
+        part = every[k : k + batch]
+        ids = sorted({i for _, s in part for i in s.event_ids})
+        d = events.where(F.col("event_id").isin(ids)) if all(s.event_ids for _, s in part) else events
+        d = d.withColumn("blob", once(event_blob()))
+        told = F.array(*(F.struct(F.lit(s.id).alias("id"), F.lit(s.title).alias("title"), F.lit(RANK[s.severity]).alias("rank"), F.lit(rule).alias("rule")) for rule, s in part))
+        hits = F.array_compact(F.array(*(F.when(signature_predicate(s), F.lit(i)) for i, (_, s) in enumerate(part))))
+        d = d.withColumn("hits", once(hits)).withColumn("hit", F.explode("hits")).withColumn("sig", F.get(told, F.col("hit")))
+        details = F.concat(F.lit("signature="), F.col("sig.id"), F.lit("; eventId="), F.col("event_id").cast("string"), F.lit("; process="), F.coalesce("process_name", F.lit("")), F.lit("; commandLine="), F.left(F.coalesce("command_line", F.lit("")), F.lit(500)))
+        f = make_finding(d, "DefenseEvasion", F.col("sig.title"), F.col("sig.rank"), F.col("sig.title"), details, rule_id=F.col("sig.id"), named=F.col("sig.rule"))
+        out = f if out is None else out.unionByName(f)
+    return out
+
+
+def signatures(events: DataFrame, s: Settings = Settings()) -> DataFrame:
+    return signature_findings(events, s.signatures)
 
 
 def dns_tunnelling(events: DataFrame, s: Settings = Settings()) -> DataFrame:
     query = F.coalesce("query_name", prop("QueryName"))
     labels = F.filter(F.split(F.rtrim(query, F.lit(".")), r"\."), lambda x: x.rlike(r"(?i)^[a-z0-9+/=_-]{45,}$") & (F.size(F.array_distinct(F.filter(F.split(x, ""), lambda ch: ch != ""))) >= 12))
-    d = events.where((F.col("event_id") == 22) & is_sysmon()).withColumn("query", query).where(~blank(F.col("query"))).withColumn("label", F.get(labels, F.lit(0)))
+    d = events.where((F.col("event_id") == 22) & is_sysmon()).withColumn("query", query).where(~blank(F.col("query"))).withColumn("label", once(F.get(labels, F.lit(0))))
     length = F.char_length("query")
     d = d.where((length >= 180) | F.col("label").isNotNull())
     details = F.concat(F.lit("signature=MB-017; query="), F.col("query"), F.lit("; length="), length.cast("string"), F.lit("; encodedLabelLength="), F.coalesce(F.char_length("label"), F.lit(0)).cast("string"))
     return make_finding(d, "MalwareBehavior", "Possible DNS tunneling or encoded exfiltration", F.when(length >= 220, RANK["High"]).otherwise(RANK["Medium"]), details=details)
 
 
-def _catalog(name: str) -> Callable[[DataFrame, Settings], DataFrame]:
-    def run(events: DataFrame, s: Settings = Settings()) -> DataFrame:
-        return signature_findings(events, name, tuple(s.signatures.get(name, ())))
-
-    return run
-
-
 #: Detectors by name; users add their own callables of (events, settings).
 STATELESS: dict[str, Callable[[DataFrame, Settings], DataFrame]] = {
     "process_creation": process_creation, "powershell": suspicious_powershell, "scheduled_task": scheduled_tasks, "service_install": service_installs,
     "log_clearing": log_clearing, "privilege_change": privilege_changes, "directory_attack": directory_attacks, "dns_tunnelling": dns_tunnelling,
-    **{f"signatures_{n}": _catalog(n) for n in CATALOGS},
+    "signatures": signatures,
 }
 GROUPED: dict[str, Callable[[DataFrame, Settings], DataFrame]] = {
     "failed_logon": failed_logons, "successful_logon": successful_logons, "rdp": rdp_activity, "brute_force": brute_force, "password_spray": password_spray,

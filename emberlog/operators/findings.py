@@ -92,12 +92,13 @@ PRIMARY = (
 def make_finding(
     df: DataFrame, rule: str, title: Column | str, severity: Column | int, description: Column | str = "", details: Column | str = "",
     rule_id: Column | str | None = None, related: Column | None = None, count: Column | None = None, group_key: Column | None = None,
-    first_us: Column | None = None, last_us: Column | None = None, category_fits: Column | None = None,
+    first_us: Column | None = None, last_us: Column | None = None, category_fits: Column | None = None, named: Column | None = None,
 ) -> DataFrame:
     """Finding rows from rows that have the primary event's columns.
 
     ``related`` holds at most a few ids; all events of a group are found by ``group_key`` and the
     times (see ``plans.analyze.finding_events``). The primary id comes first if it is absent.
+    ``named`` gives the rule's name by row, for rules that are judged like ``rule``.
     """
     lit = lambda x: F.lit(x) if isinstance(x, str) else x
     asked = F.lit(severity) if isinstance(severity, int) else severity
@@ -106,7 +107,7 @@ def make_finding(
     ids = F.when(F.array_contains(ids, F.col("row_id")), ids).otherwise(F.concat(F.array("row_id"), ids))
     ids = F.filter(F.array_distinct(ids), lambda i: i > 0)
     return df.select(
-        F.lit(rule).alias("rule_name"),
+        (named if named is not None else F.lit(rule)).alias("rule_name"),
         F.coalesce(lit(rule_id) if rule_id is not None else F.lit(rule), F.lit(rule)).alias("rule_id"),
         lit(title).alias("title"), lit(description).alias("description"),
         stands.cast("int").alias("severity_rank"), severity_name(stands).alias("severity"),

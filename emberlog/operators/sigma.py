@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import blank
-from ..schema import RANK, is_sysmon
+from ..schema import RANK, is_sysmon, once
 from .findings import CATEGORY_EVENT_IDS, category_matches, make_finding
 
 # Channels of services, and columns of field names.
@@ -244,10 +244,10 @@ def match_rules(events: DataFrame, rules: Sequence[Rule], aliases: Mapping[str,
         for k in range(0, len(members), batch):
             part = members[k : k + batch]
             needs_blob = any(s.keywords or s.options for i in part for s in rules[i].selections.values())
-            d = some.withColumn("_blob", keyword_blob()) if needs_blob else some
+            d = some.withColumn("_blob", once(keyword_blob())) if needs_blob else some
             blob = F.col("_blob") if needs_blob else None
             hits = F.array_compact(F.array(*(F.when(rule_predicate(rules[i], aliases, blob), F.lit(i)) for i in part)))
-            d = d.withColumn("rule_no", F.explode(hits)).drop("_blob")
+            d = d.withColumn("_hits", once(hits)).withColumn("rule_no", F.explode("_hits")).drop("_blob", "_hits")
             out = d if out is None else out.unionByName(d)
     return out if out is not None else events.withColumn("rule_no", F.lit(0)).limit(0)
 

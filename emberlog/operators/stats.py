@@ -18,14 +18,12 @@ def statistics(events: DataFrame, findings: DataFrame | None = None) -> DataFram
     Ties are broken by key. Unknown users count as ``(unknown)``.
     """
     present = lambda c: F.when(F.coalesce(F.col(c), F.lit("")) != "", F.col(c))
-    pairs = F.array(
-        F.struct(F.lit("EventIdCounts").alias("section"), F.col("event_id").cast("string").alias("key")),
-        F.struct(F.lit("UserCounts"), F.coalesce("user_name", "target_user_name", F.lit("(unknown)"))),
-        F.struct(F.lit("ProcessCounts"), present("process_name")),
-        F.struct(F.lit("SourceIpCounts"), present("source_ip")),
-        F.struct(F.lit("EventsByHour"), F.concat(F.lpad(F.hour("time_created_utc").cast("string"), 2, "0"), F.lit(":00"))),
-        F.struct(F.lit("Summary"), F.lit("TotalEvents")),
-    )
+    keys = {
+        "EventIdCounts": F.col("event_id").cast("string"), "UserCounts": F.coalesce("user_name", "target_user_name", F.lit("(unknown)")),
+        "ProcessCounts": present("process_name"), "SourceIpCounts": present("source_ip"),
+        "EventsByHour": F.concat(F.lpad(F.hour("time_created_utc").cast("string"), 2, "0"), F.lit(":00")), "Summary": F.lit("TotalEvents"),
+    }
+    pairs = F.array(*(F.struct(F.lit(section).alias("section"), key.alias("key")) for section, key in keys.items()))
     counts = events.select(F.explode(pairs).alias("p")).where("p.key is not null").groupBy("p.section", "p.key").agg(F.count(F.lit(1)).alias("value"))
     most = F.lit(None).cast("int")
     for name, k in SECTIONS:

@@ -9,16 +9,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
-def busy_runs(events: DataFrame, keys: Sequence[str], window_us: int, least: int, distinct: str | None = None) -> DataFrame:
+def busy_runs(events: DataFrame, keys: Sequence[str], window_us: int, least: int) -> DataFrame:
     """The events of runs that could hold a window of ``least`` events, with their ``run``.
 
     Time is cut into buckets of the window's length. No window spans an empty bucket, so runs of
     busy buckets are finer groups than keys: they are found on counts of (key, bucket) alone, and
-    runs with too few events (or too few distinct values) never shuffle further. One key with most
+    runs with too few events never shuffle further. One key with most
     of the events is spread over its buckets.
     """
     d = events.withColumn("bucket", F.floor(F.col("us") / window_us).cast("bigint"))
-    counts = d.groupBy(*keys, "bucket").agg(F.count(F.lit(1)).alias("n"), *([F.approx_count_distinct(distinct, 0.02).alias("m")] if distinct else []))
+    counts = d.groupBy(*keys, "bucket").agg(F.count(F.lit(1)).alias("n"))
     by_key = W.partitionBy(*keys).orderBy("bucket")
     gap = F.when(F.col("bucket") - F.lag("bucket").over(by_key) == 1, 0).otherwise(1)
     runs = counts.withColumn("gap", gap).withColumn("run", F.sum("gap").over(by_key.rowsBetween(W.unboundedPreceding, 0)))

@@ -24,8 +24,8 @@ log = logging.getLogger(__name__)
 Detector = Callable[[DataFrame, Settings], DataFrame]
 
 
-def run_detectors(events: DataFrame, settings: Settings = Settings(), detectors: dict[str, Detector] | None = None, rules: Sequence[Rule] = ()) -> DataFrame:
-    """All findings, the most severe first. A detector that cannot be planned is left out and logged."""
+def run_detectors(events: DataFrame, settings: Settings = Settings(), detectors: dict[str, Detector] | None = None, rules: Sequence[Rule] = (), ordered: bool = True) -> DataFrame:
+    """All findings, the most severe first (if ``ordered``). A detector that cannot be planned is left out and logged."""
     parts = []
     for name, detector in (detectors or DETECTORS).items():
         try:
@@ -35,7 +35,7 @@ def run_detectors(events: DataFrame, settings: Settings = Settings(), detectors:
     if rules:
         parts.append(sigma_findings(events, rules))
     found = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    return found.orderBy(F.col("severity_rank").desc(), "time_utc", "event_row_id", "rule_id", "title")
+    return found if not ordered else found.orderBy(F.col("severity_rank").desc(), "time_utc", "event_row_id", "rule_id", "title")
 
 
 def finding_events(events: DataFrame, findings: DataFrame) -> DataFrame:

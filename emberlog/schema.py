@@ -15,7 +15,8 @@ EVENT_DDL = (
     "parent_command_line string, source_port int, destination_port int, query_name string, task_name string, service_name string, "
     "logon_type int, process_path string"
 )
-EVENT_SCHEMA: T.StructType = T.StructType.fromDDL(EVENT_DDL)
+_TYPES = {"string": T.StringType(), "int": T.IntegerType(), "bigint": T.LongType(), "timestamp": T.TimestampType(), "map<string,string>": T.MapType(T.StringType(), T.StringType())}
+EVENT_SCHEMA = T.StructType([T.StructField(*(lambda name, kind: (name, _TYPES[kind]))(*c.split(" "))) for c in EVENT_DDL.split(", ")])
 EVENT_COLUMNS = [f.name for f in EVENT_SCHEMA]
 
 # Severities in order.
@@ -51,3 +52,9 @@ def first_prop(*names: str) -> Column:
 
 def is_sysmon() -> Column:
     return F.coalesce(F.lower("provider_name").contains("sysmon"), F.lit(False))
+
+
+def once(c: Column) -> Column:
+    """The same value, but marked as not deterministic: predicates on it are not pushed below the
+    projection that makes it, which would write the whole expression out in each of them."""
+    return F.when(F.spark_partition_id() >= 0, c)
