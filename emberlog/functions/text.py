@@ -33,17 +33,7 @@ def equals_ci(a: Column, b: str | Column) -> Column:
 
 def contains_any(haystack_lower: Column, tokens) -> Column:
     """Whether an already lower-cased text holds any of the tokens."""
-    out = F.lit(False)
-    for t in tokens:
-        out = out | F.contains(haystack_lower, F.lit(t.lower()))
-    return F.coalesce(out, F.lit(False))
-
-
-def contains_all(haystack_lower: Column, tokens) -> Column:
-    out = F.lit(True)
-    for t in tokens:
-        out = out & F.contains(haystack_lower, F.lit(t.lower()))
-    return F.coalesce(out, F.lit(False))
+    return F.coalesce(F.exists(F.array(*(F.lit(t.lower()) for t in tokens)), lambda t: F.contains(haystack_lower, t)), F.lit(False))
 
 
 def file_name(path: Column) -> Column:

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.accounts import account_key, in_suspicious_path, ip_key, is_machine_account, is_privileged_group, suspicious_paths
-from ..functions.text import blank, contains_all, contains_any, contains_ci, equals_ci
+from ..functions.text import blank, contains_any, contains_ci, equals_ci
 from ..schema import RANK, first_prop, is_sysmon, micros, once, prop
-from .findings import PRIMARY, make_finding, matches_declared_ids, provider_has
+from .findings import PRIMARY, declared_ids_sql, make_finding, provider_has, sql_text
 from .signature_catalog import CATALOGS, Signature
 from .windows import busy_runs, cluster_rows, first_after, greedy_clusters, window_ends
 
@@ -342,26 +342,19 @@ def event_blob() -> Column:
     return F.lower(F.concat_ws("\n", *(F.when(~blank(F.col(c)), F.col(c)) for c in columns), bag))
 
 
-def signature_predicate(sig: Signature) -> Column:
-    """Needs the column ``blob``."""
-    low = F.col("blob")
-    out = matches_declared_ids(sig.event_ids)
+def signature_predicate(sig: Signature) -> str:
+    """The signature as SQL over the event's columns and ``blob``."""
+    holds = lambda t: f"contains(blob, {sql_text(t.lower())})"
+    parts = [declared_ids_sql(sig.event_ids)]
     if sig.provider:
-        out = out & provider_has(sig.provider)
+        parts.append(f"coalesce(contains(lower(provider_name), {sql_text(sig.provider.lower())}), false)")
     if sig.processes:
-        named = F.lit(False)
-        for name in sig.processes:
-            for c in ("process_name", "process_path"):
-                value = F.lower(c)
-                named = named | F.coalesce((value == name) | value.endswith("\\" + name), F.lit(False))
-        out = out & named
+        named = (f"coalesce(lower({c}) = {sql_text(n)} OR endswith(lower({c}), {sql_text(chr(92) + n)}), false)" for n in sig.processes for c in ("process_name", "process_path"))
+        parts.append("(" + " OR ".join(named) + ")")
     if sig.any:
-        out = out & contains_any(low, sig.any)
-    if sig.all:
-        out = out & contains_all(low, sig.all)
-    if sig.exclude:
-        out = out & ~contains_any(low, sig.exclude)
-    return out
+        parts.append("(" + " OR ".join(map(holds, sig.any)) + ")")
+    parts += [*map(holds, sig.all), *(f"NOT {holds(t)}" for t in sig.exclude)]
+    return " AND ".join(parts)
 
 
 def signature_findings(events: DataFrame, catalogs: dict[str, tuple[Signature, ...]], batch: int = 64) -> DataFrame:
@@ -377,8 +370,8 @@ def signature_findings(events: DataFrame, catalogs: dict[str, tuple[Signature, .
         ids = sorted({i for _, s in part for i in s.event_ids})
         d = events.where(F.col("event_id").isin(ids)) if all(s.event_ids for _, s in part) else events
         d = d.withColumn("blob", once(event_blob()))
-        told = F.array(*(F.struct(F.lit(s.id).alias("id"), F.lit(s.title).alias("title"), F.lit(RANK[s.severity]).alias("rank"), F.lit(rule).alias("rule")) for rule, s in part))
-        hits = F.array_compact(F.array(*(F.when(signature_predicate(s), F.lit(i)) for i, (_, s) in enumerate(part))))
+        told = F.expr("array(" + ", ".join(f"named_struct('id', {sql_text(s.id)}, 'title', {sql_text(s.title)}, 'rank', {RANK[s.severity]}, 'rule', {sql_text(rule)})" for rule, s in part) + ")")
+        hits = F.expr("array_compact(array(" + ", ".join(f"CASE WHEN {signature_predicate(s)} THEN {i} END" for i, (_, s) in enumerate(part)) + "))")
         d = d.withColumn("hits", once(hits)).withColumn("hit", F.explode("hits")).withColumn("sig", F.get(told, F.col("hit")))
         details = F.concat(F.lit("signature="), F.col("sig.id"), F.lit("; eventId="), F.col("event_id").cast("string"), F.lit("; process="), F.coalesce("process_name", F.lit("")), F.lit("; commandLine="), F.left(F.coalesce("command_line", F.lit("")), F.lit(500)))
         f = make_finding(d, "DefenseEvasion", F.col("sig.title"), F.col("sig.rank"), F.col("sig.title"), details, rule_id=F.col("sig.id"), named=F.col("sig.rule"))

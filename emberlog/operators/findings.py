@@ -32,20 +32,37 @@ def provider_has(text: str) -> Column:
     return F.coalesce(F.lower("provider_name").contains(text.lower()), F.lit(False))
 
 
-def satisfies_category(ids: tuple[int, ...]) -> Column:
-    eid = F.col("event_id")
+def sql_text(s: str) -> str:
+    """A string literal of Spark SQL."""
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _provider_sql(text: str) -> str:
+    return f"coalesce(contains(lower(provider_name), {sql_text(text.lower())}), false)"
+
+
+def _ids_sql(ids: tuple[int, ...]) -> str:
+    return f"event_id IN ({', '.join(map(str, ids))})"
+
+
+def category_sql(ids: tuple[int, ...]) -> str:
     return (
-        eid.isin(*ids) & (~eid.isin(*SYSMON_EVENT_IDS) | is_sysmon()) & ((eid != 104) | provider_has("eventlog"))
-        & (~eid.isin(4103, 4104) | provider_has("powershell"))
+        f"({_ids_sql(ids)} AND (NOT {_ids_sql(SYSMON_EVENT_IDS)} OR {_provider_sql('sysmon')}) AND (event_id <> 104 OR {_provider_sql('eventlog')}) "
+        f"AND (event_id NOT IN (4103, 4104) OR {_provider_sql('powershell')}))"
     )
 
 
+def satisfies_category(ids: tuple[int, ...]) -> Column:
+    return F.expr(category_sql(ids))
+
+
+# Long case chains are one SQL text each: building them call by call costs more than running them.
+CLASSIFY_SQL = "CASE " + " ".join(f"WHEN {category_sql(ids)} THEN '{name}'" for name, ids in CATEGORY_EVENT_IDS.items()) + " END"
+
+
 def classify_event() -> Column:
     """The first category whose ids and provider fit, else null."""
-    out = F.lit(None).cast("string")
-    for name, ids in reversed(CATEGORY_EVENT_IDS.items()):
-        out = F.when(satisfies_category(ids), F.lit(name)).otherwise(out)
-    return out
+    return F.expr(CLASSIFY_SQL)
 
 
 def category_matches(category: str | None) -> Column:
@@ -54,13 +71,10 @@ def category_matches(category: str | None) -> Column:
     return satisfies_category(ids) if ids else F.lit(True)
 
 
-def matches_declared_ids(ids: tuple[int, ...] | None) -> Column:
+def declared_ids_sql(ids: tuple[int, ...]) -> str:
     if not ids:
-        return F.lit(True)
-    eid = F.col("event_id")
-    return (
-        eid.isin(*ids) & ((eid != 1) | is_sysmon()) & ((eid != 104) | provider_has("eventlog")) & (~eid.isin(4103, 4104) | provider_has("powershell"))
-    )
+        return "true"
+    return f"({_ids_sql(ids)} AND (event_id <> 1 OR {_provider_sql('sysmon')}) AND (event_id <> 104 OR {_provider_sql('eventlog')}) AND (event_id NOT IN (4103, 4104) OR {_provider_sql('powershell')}))"
 
 
 def severity_ceiling() -> Column:
