@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import base64
+import binascii
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -138,11 +142,6 @@ def decode_base64_preview(token: Column) -> Column:
     The built-in decoder fails the job on odd bytes, so an Arrow batch function does it; it is meant
     for the few rows that a detector has flagged.
     """
-    import base64
-    import binascii
-
-    import pandas as pd
-
     def decode(value):
         if value is None or not value.strip():
             return None

@@ -21,7 +21,6 @@ from ..operators import sigma as G
 from ..operators import stats as S
 from ..operators import timeline as TL
 from ..operators.signature_catalog import CATALOGS, Signature
-from ..schema import RANK, SEVERITIES
 from ..sources import sinks as X
 from .adapter import LOG_EVENTS_SQL, log_events
 from .analyze import finding_events, run_detectors
@@ -632,24 +631,17 @@ def _(spark, sf_dir):
     return I.usable_indicators(indicator_list(spark, sf_dir))
 
 
-@query("ioc3_matches", f""", {INDICATORS_SQL}, m AS (SELECT i.type AS ioc_type, i.value AS ioc_value, e.row_id AS event_row_id, CASE i.type
+@query("ioc3_matches", PREFIX + f""", {INDICATORS_SQL}, m AS (SELECT i.type AS ioc_type, i.value AS ioc_value, e.row_id AS event_row_id, CASE i.type
  WHEN 'ip' THEN CASE WHEN source_ip = value THEN 'SourceIpAddress' WHEN destination_ip = value THEN 'DestinationIpAddress' END
  WHEN 'domain' THEN CASE WHEN contains(query_name, lower(value)) THEN 'QueryName' WHEN contains(lower(command_line), lower(value)) THEN 'CommandLine' WHEN contains(lower(script_block), lower(value)) THEN 'ScriptBlock' END
  WHEN 'filename' THEN CASE WHEN contains(process_name, lower(value)) THEN 'ProcessName' WHEN contains(parent_process_name, lower(value)) THEN 'ParentProcessName' WHEN contains(lower(process_path), lower(value)) THEN 'ProcessPath' WHEN contains(lower(command_line), lower(value)) THEN 'CommandLine' WHEN contains(lower(script_block), lower(value)) THEN 'ScriptBlock' END
  WHEN 'url' THEN CASE WHEN contains(command_line, value) OR contains(script_block, value) THEN 'CommandLine/ScriptBlock' END
  WHEN 'user' THEN CASE WHEN contains(user_name, value) OR contains(lower(target_user_name), value) THEN 'User' END END AS matched_field FROM e, ind i)
- SELECT * FROM m WHERE matched_field IS NOT NULL""", bare=False)
-def _(ev):
-    raise NotImplementedError
-
-
-def _ioc3(spark: SparkSession, sf_dir: str) -> DataFrame:
+ SELECT * FROM m WHERE matched_field IS NOT NULL""", bare=True)
+def _(spark, sf_dir):
     return I.match_indicators(log_events(spark, sf_dir), indicator_list(spark, sf_dir)).select("ioc_type", "ioc_value", "event_row_id", "matched_field")
 
 
-QUERIES["ioc3_matches"] = _ioc3
-
-
 @query("ioc4_built_in", " SELECT 'psexec.exe' AS ioc_value, row_id AS event_row_id FROM e WHERE process_name = 'powershell.exe'")
 def _(ev):
     d = ev.withColumn("process_name", F.when(F.col("process_name") == "powershell.exe", "PsExec.exe").otherwise(F.col("process_name"))).withColumns({"process_path": F.lit(None).cast("string"), "command_line": F.lit(None).cast("string"), "script_block": F.lit(None).cast("string")})
@@ -679,14 +671,10 @@ def attack_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     return c.join(n.select("k", "short_name"), "k").select("technique_id", "name", "url", F.array("short_name").alias("tactic_short_names")), n.select("short_name", "name")
 
 
-@query("jn2_enrich_attack", """, f AS (SELECT row_id, CASE WHEN row_id % 3 = 0 THEN 'attack.t' || CAST(row_id % 50 AS VARCHAR) WHEN row_id % 3 = 1 THEN 'attack.t' || CAST(row_id % 50 AS VARCHAR) || '.001' END AS tag, row_id % 50 AS k FROM e WHERE event_id = 7045)
+@query("jn2_enrich_attack", PREFIX + """, f AS (SELECT row_id, CASE WHEN row_id % 3 = 0 THEN 'attack.t' || CAST(row_id % 50 AS VARCHAR) WHEN row_id % 3 = 1 THEN 'attack.t' || CAST(row_id % 50 AS VARCHAR) || '.001' END AS tag, row_id % 50 AS k FROM e WHERE event_id = 7045)
  SELECT row_id AS event_row_id, CASE WHEN tag IS NOT NULL AND c_custkey IS NOT NULL THEN 'Name ' || CAST(k AS VARCHAR) END AS mitre_technique_name, CASE WHEN row_id % 3 = 0 AND c_custkey IS NOT NULL THEN 'Tactic ' || CAST(c_nationkey AS VARCHAR) END AS mitre_tactic_name,
- CASE WHEN row_id % 5 = 0 THEN 'own' WHEN tag IS NOT NULL AND c_custkey IS NOT NULL THEN 'u' || CAST(k AS VARCHAR) END AS mitre_url FROM f LEFT JOIN customer ON c_custkey = k""")
-def _(ev):
-    raise NotImplementedError
-
-
-def _jn2(spark: SparkSession, sf_dir: str) -> DataFrame:
+ CASE WHEN row_id % 5 = 0 THEN 'own' WHEN tag IS NOT NULL AND c_custkey IS NOT NULL THEN 'u' || CAST(k AS VARCHAR) END AS mitre_url FROM f LEFT JOIN customer ON c_custkey = k""", bare=True)
+def _(spark, sf_dir):
     d = D.service_installs(log_events(spark, sf_dir))
     k = (F.col("event_row_id") % 50).cast("string")
     tag = F.when(F.col("event_row_id") % 3 == 0, F.concat(F.lit("attack.t"), k)).when(F.col("event_row_id") % 3 == 1, F.concat(F.lit("attack.t"), k, F.lit(".001")))
@@ -694,9 +682,6 @@ def _jn2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.enrich_attack(d, *attack_tables(spark, sf_dir)).select("event_row_id", "mitre_technique_name", "mitre_tactic_name", "mitre_url")
 
 
-QUERIES["jn2_enrich_attack"] = _jn2
-
-
 @query("jn3_lookup", "SELECT 'T' || CAST(c_custkey AS VARCHAR) AS technique_id FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE lower(n_name) = 'france' UNION ALL SELECT 'T7' FROM customer WHERE c_custkey = 7", bare=True)
 def _(spark, sf_dir):
     t, _tactics = attack_tables(spark, sf_dir)
