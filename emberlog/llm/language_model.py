@@ -2,12 +2,12 @@
 
 Smoothed n-grams become states with failure arcs: a state is a context, an arc carries the
 log-probability of a word after it, and the failure arc carries the context's backoff weight to its
-suffix. One left-to-right traversal of a text carries the state and adds up log-probabilities.
+suffix. A text's score adds up the arcs that a left-to-right traversal takes.
 
-Words are counted exactly over all training rows, whatever their number: texts are encoded in chunks
-with a dictionary each, and only dictionaries meet the counts. Longer n-grams are kept if they
-make up at least ``share`` of the training tokens, so there are at most 1 / share of each length
-and the automaton's broadcast is bounded at every size.
+States and arcs are written tables that grow with the corpus: every n-gram that occurs ``least``
+times in the training rows is kept, at every size. Texts are encoded in chunks with a dictionary
+each; a chunk hands its distinct n-grams to the counts and is given back only what it holds itself.
+An n-gram is counted if its head and tail are kept, which loses none, as both occur as often.
 
 Defined cases: a null text is an empty one and has one token, the end; rows that repeat count and
 score each on its own; without training rows every word is unknown; an empty table gives an empty
@@ -20,20 +20,22 @@ import math
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .common import id_remainder, stored
 
 #: Stands for the end of a text; no word is empty.
 END = b""
 #: A chunk is closed at so many distinct words or text bytes.
-CHUNK_WORDS, CHUNK_BYTES = 300_000, 32_000_000
-#: Partial counts are handed on at so many entries.
-PARTIAL = 500_000
+CHUNK_WORDS, CHUNK_BYTES = 150_000, 8_000_000
+#: Taken off every count of an n-gram of two words or more.
+DISCOUNT = 0.75
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -42,9 +44,13 @@ def tokens(text: str | None) -> list[bytes]:
     return words
 
 
+def _chunk_name() -> int:
+    return uuid.uuid4().int >> 65
+
+
 def _encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows of chunks: documents as local word numbers, and each word with its training count."""
-    chunk, index, counts, size = uuid.uuid4().hex, {}, [], 0
+    chunk, index, counts, size = _chunk_name(), {}, [], 0
 
     def dictionary() -> pd.DataFrame:
         n = len(index)
@@ -69,7 +75,7 @@ def _encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if len(index) >= CHUNK_WORDS or size >= CHUNK_BYTES:
                 yield _documents(chunk, docs)
                 yield dictionary()
-                docs, chunk, index, counts, size = [], uuid.uuid4().hex, {}, [], 0
+                docs, chunk, index, counts, size = [], _chunk_name(), {}, [], 0
         if docs:
             yield _documents(chunk, docs)
     if index:
@@ -81,51 +87,83 @@ def _documents(chunk: str, docs: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame({"chunk": chunk, "doc_id": pd.array(list(ids), dtype="Int64"), "held_out": held, "is_word": False, "data": data, "local": 0, "n": n})
 
 
-ENCODED = "chunk string, doc_id long, held_out boolean, is_word boolean, data binary, local long, n long"
-
-
-def _gram_counter(numbers: dict[bytes, int], length: int, kept: dict[int, None] | None, base: int):
-    """Counts n-grams of ``length`` frequent words whose first and last ``length - 1`` are kept."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[np.ndarray] = []
-        waiting = 0
-        get = numbers.get
-        known = np.array(sorted(kept), dtype=np.int64) if kept is not None else None
-
-        def counted() -> pd.DataFrame:
-            keys, n = np.unique(np.concatenate(held), return_counts=True)
-            return pd.DataFrame({"gram": keys, "n": n})
-
-        for pdf in frames:
-            for text in pdf["text"]:
-                ids = np.array([get(w, 0) for w in tokens(text)], dtype=np.int64)
-                if len(ids) < length:
-                    continue
-                keys, ok = np.zeros(len(ids) - length + 1, dtype=np.int64), np.ones(len(ids) - length + 1, dtype=bool)
-                for k in range(length):
-                    part = ids[k : len(ids) - length + 1 + k]
-                    keys, ok = keys * base + part, ok & (part > 0)
-                if known is not None:
-                    head, tail = keys // base, keys % base ** (length - 1)
-                    ok &= _among(head, known) & _among(tail, known)
-                if ok.any():
-                    held.append(keys[ok])
-                    waiting += int(ok.sum())
-                if waiting > 4 * PARTIAL:
-                    yield counted()
-                    held, waiting = [], 0
-        if held:
-            yield counted()
+ENCODED = "chunk long, doc_id long, held_out boolean, is_word boolean, data binary, local long, n long"
 
-    return run
 
+FACTS = "part long, level int, key long, id long, n long, weight double"
 
-def _among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
-    if not len(ordered):
-        return np.zeros(len(values), dtype=bool)
-    at = np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)
-    return ordered[at] == values
+
+class Chunk:
+    """Texts of a chunk, and which of their n-grams are kept.
+
+    ``at[level]`` has, for each token, the index of the kept n-gram of ``level`` words that ends
+    there, or -1; ``n[level]`` and ``weight[level]`` have counts and log10 backoff weights by that
+    index. The key of an n-gram is the index of its head times ``width`` plus its last word.
+    """
+
+    def __init__(self, texts: pd.DataFrame, facts: pd.DataFrame, levels: int, least: int):
+        parts = [np.frombuffer(zlib.decompress(x), dtype=np.uint32) for x in texts["data"]]
+        self.lengths = np.array([len(x) for x in parts], dtype=np.int64)
+        self.words = np.concatenate(parts).astype(np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.train = np.repeat(~texts["held_out"].to_numpy(dtype=bool), self.lengths)
+        self.inner = np.ones(len(self.words), dtype=bool)
+        self.inner[self.starts] = False  # a token with another before it in its text
+        self.width = int(self.words.max()) + 1
+        level, key, n, ids = (facts[k].to_numpy(dtype=np.int64) for k in ("level", "key", "n", "id"))
+        mine = level == 1
+        self.count, self.id = np.zeros(self.width, dtype=np.int64), np.zeros(self.width, dtype=np.int64)
+        self.count[key[mine]], self.id[key[mine]] = n[mine], ids[mine]
+        self.at = {1: np.where(self.count[self.words] >= least, self.words, -1)}
+        self.n, keys = {1: self.count}, {1: np.arange(self.width)}
+        for k in range(2, levels + 1):
+            mine = np.flatnonzero(level == k)
+            mine = mine[np.argsort(key[mine])]
+            keys[k], self.n[k] = key[mine], n[mine]
+            here, ending = self.candidates(k)
+            self.at[k] = np.full(len(self.words), -1, dtype=np.int64)
+            if len(mine):
+                index = np.minimum(np.searchsorted(keys[k], ending), len(mine) - 1)
+                self.at[k][here] = np.where(keys[k][index] == ending, index, -1)
+        self.weight = {k: np.zeros(len(keys[k])) for k in keys}
+        for k in keys:
+            mine = level == -k
+            self.weight[k][np.searchsorted(keys[k], key[mine])] = facts["weight"].to_numpy(dtype=float)[mine]
+
+    def candidates(self, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where n-grams of ``length`` words end whose head and tail are kept, and their keys."""
+        below = self.at[length - 1]
+        here = np.flatnonzero((below[1:] >= 0) & (below[:-1] >= 0) & self.inner[1:]) + 1
+        return here, below[here - 1] * self.width + self.words[here]
+
+    def lower(self, length: int, ends: np.ndarray, unigram: np.ndarray) -> np.ndarray:
+        """Probability of the n-grams of ``length`` words that end at ``ends``; all are kept."""
+        if length == 1:
+            return unigram[self.words[ends]]
+        return (self.n[length][self.at[length][ends]] - DISCOUNT) / self.n[length - 1][self.at[length - 1][ends - 1]]
+
+    def grams(self, length: int, unigram: np.ndarray) -> pd.DataFrame:
+        """The distinct candidates with their training counts, word ids, head count and tail probability."""
+        here, keys = self.candidates(length)
+        order = np.argsort(keys, kind="stable")
+        here, keys = here[order], keys[order]
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, dtype=np.int64)
+        ends = here[first]
+        n = np.add.reduceat(self.train[here].astype(np.int64), first) if len(first) else first
+        columns = {"key": keys[first], **{f"w{j}": self.id[self.words[ends - length + 1 + j]] for j in range(length)}, "n": n}
+        return pd.DataFrame(columns | {"head_n": self.n[length - 1][self.at[length - 1][ends - 1]], "lower": self.lower(length - 1, ends, unigram)})
+
+    def log_p(self, order: int, log_unigram: np.ndarray) -> np.ndarray:
+        """The log10 probability of each token: its arc, after the failure arcs to where it has one."""
+        out = log_unigram[self.words].copy()
+        for k in range(2, order + 1):
+            head = np.concatenate([[-1], self.at[k - 1][:-1]])
+            head[~self.inner] = -1
+            back = head >= 0
+            out[back] += self.weight[k - 1][head[back]]
+            kept = np.flatnonzero(self.at[k] >= 0)
+            out[kept] = np.log10(self.lower(k, kept, log_unigram))
+        return out
 
 
 class Automaton:
@@ -198,73 +236,89 @@ def traverse(words: list[int], log_unigram: list[float], numbers: list[int], arc
     return total
 
 
-def score_texts(docs: DataFrame, mod: int = 7, fold: int = 2, order: int = 3, share: float = 2e-6) -> DataFrame:
+def score_texts(docs: DataFrame, mod: int = 7, fold: int = 2, order: int = 3, least: int = 2) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Unigrams are absolutely discounted, with the discount from the numbers of words seen once and
     twice; what it frees is the probability of the one unknown word, as in the base. Longer n-grams
-    are discounted likewise and back off.
+    are kept from ``least`` occurrences up, discounted likewise, and back off.
     """
-    spark = docs.sparkSession
     d = docs.select("doc_id", "text", (id_remainder(F.col("doc_id"), mod) == fold).alias("held_out"))
     encoded = stored(d.mapInPandas(_encode, ENCODED), "lm-encoded")
     words = encoded.where("is_word").select("chunk", F.col("data").alias("word"), "local", "n")
-    counts = stored(words.groupBy("word").agg(F.sum("n").alias("c")).where("c > 0"), "lm-counts")
+    counts = stored(words.groupBy("word").agg(F.sum("n").alias("c")).where("c > 0").withColumn("id", F.monotonically_increasing_id()), "lm-counts")
     totals = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"), F.count_if(F.col("c") == 1).alias("one"), F.count_if(F.col("c") == 2).alias("two")).first()
     n, v = totals.n, totals.v
     discount = min(max(totals.one / (totals.one + 2 * totals.two), 0.01), 0.99) if totals.one + totals.two else 0.5
     unknown = discount * v / n if n else 1.0
-    least = max(2, math.ceil(share * n))
-    # At most 1 / share words and n-grams of each length reach the driver and the broadcast.
-    frequent = sorted((bytes(r.word), r.c) for r in counts.where(F.col("c") >= least).collect())
-    number = {w: i + 1 for i, (w, _) in enumerate(frequent)}
-    unigram = {i + 1: (c - discount) / n for i, (_, c) in enumerate(frequent)}
-    grams, contexts = _longer_grams(d.where(~F.col("held_out")), number, {(i + 1,): c for i, (_, c) in enumerate(frequent)}, order, least)
-    machine = Automaton(unigram, grams, contexts) if grams else None
-    starts = {w: machine.start(w) for w in number.values() if machine.start(w)} if machine else {}
-    shared = spark.sparkContext.broadcast((number, machine.arcs if machine else {}, machine.fail if machine else [0], machine.backoff if machine else [0.0], starts))
-    known = words.select("chunk", "local", "word").join(counts, "word", "left").select(F.col("chunk").alias("part"), "local", F.coalesce("c", F.lit(0)).alias("c"), F.when(F.col("c") >= least, F.col("word")).alias("word"))
+    texts = encoded.where(~F.col("is_word")).select("chunk", "doc_id", "held_out", "data")
+    known = stored(words.join(counts, "word").select(F.col("chunk").alias("part"), F.col("local").alias("key"), "id", F.col("c").alias("n")), "lm-known")
+    facts, weights = _longer_grams(texts, known, n, discount, order, least)
     base_total = math.log10(n + v + 1)
 
-    def score(texts: pd.DataFrame, dictionary: pd.DataFrame) -> pd.DataFrame:
-        number, arcs, fail, backoff, starts = shared.value
-        c = np.zeros(len(dictionary), dtype=np.int64)
-        at = dictionary["local"].to_numpy()
-        c[at] = dictionary["c"].to_numpy()
-        numbers = [0] * len(c)
-        for local, word in zip(at.tolist(), dictionary["word"]):
-            if word is not None:
-                numbers[local] = number[bytes(word)]
-        with np.errstate(divide="ignore"):
-            log_p = np.where(c > 0, np.log10(np.maximum(c - discount, 1e-9) / max(n, 1)), math.log10(unknown)).tolist()
+    def score(texts: pd.DataFrame, facts: pd.DataFrame) -> pd.DataFrame:
+        if not len(texts):
+            return pd.DataFrame({"doc_id": pd.array([], dtype="Int64"), "held_out": [], "n_tokens": [], "n_known": [], "train_tokens": [], "base_score": [], "score": []})
+        chunk = Chunk(texts, facts, order, least)
+        c, ids = chunk.count, chunk.words
+        log_unigram = np.where(c > 0, np.log10(np.maximum(c - discount, 1e-9) / max(n, 1)), math.log10(unknown))
         log_base = np.log10(c + 1.0) - base_total
-        rows = []
-        for data in texts["data"]:
-            ids = np.frombuffer(zlib.decompress(data), dtype=np.uint32)
-            rows.append((len(ids), int((c[ids] > 0).sum()), float(log_base[ids].sum()), traverse(ids.tolist(), log_p, numbers, arcs, fail, backoff, starts)))
-        tokens_, known_, base, total = zip(*rows) if rows else ((), (), (), ())
-        return pd.DataFrame({"doc_id": texts["doc_id"].astype("Int64"), "held_out": texts["held_out"], "n_tokens": tokens_, "n_known": known_, "train_tokens": n, "base_score": base, "score": total})
+        added = lambda x: np.add.reduceat(x, chunk.starts)
+        return pd.DataFrame({
+            "doc_id": texts["doc_id"].astype("Int64"), "held_out": texts["held_out"], "n_tokens": chunk.lengths, "n_known": added((c[ids] > 0).astype(np.int64)), "train_tokens": n,
+            "base_score": added(log_base[ids]), "score": added(chunk.log_p(order, log_unigram)),
+        })
 
-    texts = encoded.where(~F.col("is_word")).select("chunk", "doc_id", "held_out", "data")
-    return texts.groupBy("chunk").cogroup(known.groupBy("part")).applyInPandas(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    told = _all([_facts(known, 1), *facts, *weights])
+    return texts.groupBy("chunk").cogroup(told.groupBy("part")).applyInPandas(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+
+
+def _facts(rows: DataFrame, level: int) -> DataFrame:
+    """What chunks are told of n-grams of ``level`` words."""
+    return rows.select("part", F.lit(level).alias("level"), "key", (F.col("id") if level == 1 else F.lit(0).cast("long")).alias("id"), "n", F.lit(0.0).alias("weight"))
+
+
+def _all(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _counter(length: int, total: int, discount: float, least: int):
+    """The n-grams of a chunk that may be kept, with their training counts."""
+
+    def run(key: tuple, texts: pd.DataFrame, facts: pd.DataFrame) -> pd.DataFrame:
+        if not len(texts) or not len(facts):
+            return pd.DataFrame({k: [] for k in ("part", "key", *(f"w{j}" for j in range(length)), "n", "head_n", "lower")})
+        chunk = Chunk(texts, facts, length - 1, least)
+        out = chunk.grams(length, (chunk.count - discount) / max(total, 1))
+        out.insert(0, "part", key[0])
+        return out
+
+    return run
 
 
-def _longer_grams(train: DataFrame, number: dict[bytes, int], singles: dict[tuple[int, ...], int], order: int, least: int) -> tuple[dict, dict]:
-    """(Counts of the kept n-grams of 2..order words, counts of the contexts).
+def _longer_grams(texts: DataFrame, known: DataFrame, total: int, discount: float, order: int, least: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """(Arcs: the kept n-grams of each chunk; states: the backoff weights of each chunk's contexts).
 
-    A length is counted in one pass over the training texts; an n-gram can be frequent only if what
-    it is made of is, so only those are counted. n-grams are numbers in base (words + 1).
+    All occurrences of an n-gram meet in the shuffle as one row a chunk. What is kept is written once
+    a length; sums over a context's arcs take one row for each n-gram.
     """
-    base = len(number) + 1
-    grams: dict[tuple[int, ...], int] = {}
-    contexts, kept = dict(singles), None
+    facts: list[DataFrame] = []
+    weights: list[DataFrame] = []
+    told = known.where(F.col("n") >= least)
+    below = told.select("part", "key", F.col("id").alias("w0"))
     for length in range(2, order + 1):
-        if not number or base**length >= 2**63 or (kept is not None and not kept):
-            break
-        counter = _gram_counter(number, length, kept, base)
-        found = train.select("text").mapInPandas(counter, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-        kept = {r.gram: r.n for r in found.collect()}
-        for key, n in kept.items():
-            g = tuple(key // base ** (length - 1 - k) % base for k in range(length))
-            grams[g] = contexts[g] = n
-    return grams, contexts
+        ids = [f"w{j}" for j in range(length)]
+        schema = "part long, key long, " + "".join(f"{w} long, " for w in ids) + "n long, head_n long, lower double"
+        found = texts.groupBy("chunk").cogroup(_all([_facts(told, 1), *facts]).groupBy("part")).applyInPandas(_counter(length, total, discount, least), schema)
+        same = W.partitionBy(*ids).orderBy("part")
+        every = same.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+        found = found.select("part", "key", *ids, F.sum("n").over(every).alias("n"), "head_n", "lower", (F.row_number().over(same) == 1).alias("once")).where(F.col("n") >= least)
+        kept = stored(found, f"lm-grams-{length}")
+        context = kept.where("once").groupBy(*ids[:-1]).agg(F.sum((F.col("n") - DISCOUNT) / F.col("head_n")).alias("seen"), F.sum("lower").alias("below"))
+        room = lambda c: F.greatest(1 - F.col(c), F.lit(1e-12))
+        context = context.select(*ids[:-1], F.log10(room("seen") / room("below")).alias("weight"))
+        none = F.lit(0).cast("long")
+        weights.append(below.join(context, ids[:-1]).select("part", F.lit(1 - length).alias("level"), "key", none.alias("id"), none.alias("n"), "weight"))
+        facts.append(_facts(kept, length))
+        below = kept.select("part", "key", *ids)
+    return facts, weights

@@ -137,3 +137,45 @@ def test_language_model_of_nothing(spark):
     only_held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 7 == 2][:3]
     got = language_model.score_texts(spark.createDataFrame([(i, "a b", None, None, None, None) for i in only_held], DOCS)).collect()
     assert [(r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in got] == [(3, 0, 0, 0.0, 0.0)] * 3
+
+
+def brute_scores(rows, order=3):
+    """By an automaton over all n-grams that occur twice, whatever the number of tokens."""
+    toks = [(i, [b"_" + x for x in language_model.tokens(t)], zlib.crc32(str(i).encode()) % 7 == 2) for i, t in rows]
+    counts = {}
+    for length in range(1, order + 1):
+        for _, w, held in toks:
+            for at in range(0 if held else len(w) - length + 1):
+                g = tuple(w[at : at + length])
+                counts[g] = counts.get(g, 0) + 1
+    single = {g[0]: c for g, c in counts.items() if len(g) == 1}
+    n, one, two = sum(single.values()), sum(c == 1 for c in single.values()), sum(c == 2 for c in single.values())
+    d = one / (one + 2 * two)
+    kept = {g: c for g, c in counts.items() if c >= 2}
+    a = language_model.Automaton({w: (c - d) / n for w, c in single.items()}, {g: c for g, c in kept.items() if len(g) > 1}, kept)
+    vocabulary = sorted(single | {x: 0 for _, w, _ in toks for x in w})
+    local = {w: i for i, w in enumerate(vocabulary)}
+    log_u = [math.log10((single[w] - d) / n if w in single else d * len(single) / n) for w in vocabulary]
+    starts = {w: a.start(w) for w in single if a.start(w)}
+    return {i: language_model.traverse([local[x] for x in w], log_u, vocabulary, a.arcs, a.fail, a.backoff, starts) for i, w, _ in toks}
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_language_model_equals_brute_force(spark, monkeypatch, order):
+    monkeypatch.setattr(language_model, "CHUNK_BYTES", 2000)
+    rows, _ = corpus(60)
+    rows = [(r[0], r[1]) for r in rows]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0, "x") for i, t in rows], DOCS)
+    want = brute_scores(rows, order)
+    got = language_model.score_texts(docs.repartition(3), order=order).collect()
+    assert {r.doc_id: r.score for r in got} == pytest.approx(want)
+
+
+def test_language_model_keeps_rare_grams_of_large_inputs(spark):
+    train = [i for i in range(100) if zlib.crc32(str(i).encode()) % 7 != 2]
+    held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
+    rows = [(i, "fill " * 40_000) for i in train[:40]]  # 1.6 million tokens
+    rows += [(i, "rare pair here") for i in train[40:42]] + [(train[42], "seen once"), (held, "a rare pair here")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0, "x") for i, t in rows], DOCS)
+    got = {r.doc_id: r.score for r in language_model.score_texts(docs).collect()}
+    assert got == pytest.approx(brute_scores(rows))
