@@ -36,8 +36,8 @@ def _chain(df: DataFrame, scenario: str, title: str, severity: str, time_us: Col
     )
 
 
-def compromised_account(events: DataFrame, window_us: int = 10 * MINUTE, least: int = 5) -> DataFrame:
-    """Failures, then a logon, then special privileges: one chain for each account and address.
+def _compromised(events: DataFrame, window_us: int, least: int) -> tuple[DataFrame, DataFrame]:
+    """(Ranked failures, one chain for each account and address).
 
     For each start of a large enough window the first logon after its last failure is taken; if no
     privileges follow that logon, the next start is tried.
@@ -54,13 +54,26 @@ def compromised_account(events: DataFrame, window_us: int = 10 * MINUTE, least:
     hit2 = first_after(d2, special, "start_row", [("who", "p_user")], F.col("won_us"), F.col("won_us") + window_us, "p_us", "p_row", window_us)
     full = d2.join(hit2, "start_row")
     # Of each account and address the earliest start.
-    first = full.groupBy("key").agg(F.min_by(F.struct("start_row", "run", "rn", "end_rn", "won", "hit"), F.struct("start_us", "rn")).alias("c")).select("key", "c.*")
+    return d, full.groupBy("key").agg(F.min_by(F.struct("start_row", "run", "rn", "end_rn", "won", "hit"), F.struct("start_us", "rn")).alias("c")).select("key", "c.*")
+
+
+def compromised_account(events: DataFrame, window_us: int = 10 * MINUTE, least: int = 5) -> DataFrame:
+    """Failures, then a logon, then special privileges; ``compromised_account_events`` has all failures."""
+    _, first = _compromised(events, window_us, least)
     return _chain(
         first, "FailedLogonsThenPrivilegedSuccess", "Potential compromised privileged account", "Critical", F.col("hit.us"), F.col("won.s_user"), F.col("won.s_host"), F.col("won.s_ip"),
         F.concat(F.lit("failures="), (F.col("end_rn") - F.col("rn") + 1).cast("string"), F.lit("; account="), F.col("key")), F.array(F.col("start_row"), F.col("won.id"), F.col("hit.id")),
     )
 
 
+def compromised_account_events(events: DataFrame, window_us: int = 10 * MINUTE, least: int = 5) -> DataFrame:
+    """(scenario, key, row_id): every failure of each chain's window, the logon and the privileges."""
+    d, first = _compromised(events, window_us, least)
+    fails = cluster_rows(d, first, ["key"]).select("key", "row_id")
+    rest = first.select("key", F.explode(F.array("won.id", "hit.id")).alias("row_id"))
+    return fails.unionByName(rest).select(F.lit("FailedLogonsThenPrivilegedSuccess").alias("scenario"), "key", "row_id")
+
+
 def suspicious_account(events: DataFrame, window_us: int = 10 * MINUTE) -> DataFrame:
     """A new account, put into a group, then used."""
     created = events.where((F.col("event_id") == 4720) & (F.coalesce("target_user_name", F.lit("")) != ""))

@@ -100,6 +100,8 @@ def failed_logons(events: DataFrame, s: Settings = Settings()) -> DataFrame:
     return _group_findings(d, ["account", "ip"], "FailedLogon", F.concat(F.lit("Failed logons for "), F.col("f.who")), RANK["Low"], text, details, max(1, s.failed_logon_threshold))
 
 
+#: Titles that tell the groups of a rule apart.
+SPRAYING, PRE_AUTH_BURST, ROASTING_BURST = "Possible password spraying", "Kerberos pre-authentication failure burst", "Kerberoasting ticket-request burst"
 LOGON_TYPES = {3: "Network", 8: "NetworkCleartext", 9: "NewCredentials", 10: "RemoteInteractive (RDP)", 11: "CachedRemoteInteractive"}
 
 
@@ -164,7 +166,7 @@ def spray_clusters(events: DataFrame, window_us: int, threshold: int) -> DataFra
 def password_spray(events: DataFrame, s: Settings = Settings()) -> DataFrame:
     g = spray_clusters(events, s.burst_window_us, max(3, s.spray_threshold)).select("ip", "n", "n_accounts", "first_us", "last_us", "first_row", "p.*")
     details = F.concat(F.lit("ip="), F.col("ip"), F.lit("; attempts="), F.col("n").cast("string"), F.lit("; distinctAccounts="), F.col("n_accounts").cast("string"))
-    return make_finding(g, "BruteForce", "Possible password spraying", RANK["High"], "Failures for many accounts from one source", details, related=F.array("first_row", "row_id"), count=F.col("n"), group_key=F.col("ip"), first_us=F.col("first_us"), last_us=F.col("last_us"))
+    return make_finding(g, "BruteForce", SPRAYING, RANK["High"], "Failures for many accounts from one source", details, related=F.array("first_row", "row_id"), count=F.col("n"), group_key=F.col("ip"), first_us=F.col("first_us"), last_us=F.col("last_us"))
 
 
 def group_of() -> Column:
@@ -177,9 +179,13 @@ def group_sid() -> Column:
     return F.when(sid != "", sid).otherwise(prop("TargetUserSid"))
 
 
-def new_users(events: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """Created accounts; High if a privileged group takes them in within the window."""
-    created = events.where(F.col("event_id") == 4720).withColumns({"us": micros(), "new_user": F.coalesce("target_user_name", prop("TargetUserName"))})
+def _created(events: DataFrame) -> DataFrame:
+    return events.where(F.col("event_id") == 4720).withColumns({"us": micros(), "new_user": F.coalesce("target_user_name", prop("TargetUserName"))})
+
+
+def new_user_additions(events: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """(row_id, g_row, g_us): each creation and all that put the account into a privileged group within the window."""
+    created = _created(events)
     adds = events.where(F.col("event_id").isin(4728, 4732, 4756)).where(is_privileged_group(prop("TargetUserName"), F.when(blank(prop("TargetSid")), prop("TargetUserSid")).otherwise(prop("TargetSid")), s.groups))
     adds = adds.select(F.col("row_id").alias("g_row"), micros().alias("g_us"), prop("MemberName").alias("g_member"), F.col("raw_xml").alias("g_raw"), F.col("target_user_name").alias("g_target"))
     buckets = F.sequence(F.floor(F.col("us") / s.new_user_window_us).cast("bigint"), F.floor((F.col("us") + s.new_user_window_us) / s.new_user_window_us).cast("bigint"))
@@ -187,8 +193,13 @@ def new_users(events: DataFrame, s: Settings = Settings()) -> DataFrame:
     o = adds.withColumn("bucket", F.floor(F.col("g_us") / s.new_user_window_us).cast("bigint"))
     named = F.coalesce("new_user", F.lit("")) != ""
     member = (named & (contains_ci(F.col("g_member"), F.col("new_user")) | contains_ci(F.col("g_raw"), F.col("new_user")))) | equals_ci(F.col("g_target"), F.col("new_user"))
-    hits = a.join(o, "bucket").where(F.col("g_us").between(F.col("us"), F.col("us") + s.new_user_window_us) & member)
-    hits = hits.groupBy("row_id").agg(F.count(F.lit(1)).alias("hits"), F.min("g_row").alias("hit_row"), F.max("g_us").alias("hit_us"))
+    return a.join(o, "bucket").where(F.col("g_us").between(F.col("us"), F.col("us") + s.new_user_window_us) & member).select("row_id", "g_row", "g_us")
+
+
+def new_users(events: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """Created accounts; High if a privileged group takes them in within the window."""
+    created = _created(events)
+    hits = new_user_additions(events, s).groupBy("row_id").agg(F.count(F.lit(1)).alias("hits"), F.min("g_row").alias("hit_row"), F.max("g_us").alias("hit_us"))
     d = created.join(hits, "row_id", "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
     taken = F.col("hits") > 0
     details = F.concat(F.lit("newUser="), F.coalesce("new_user", F.lit("")), F.lit("; privilegedGroupEvents="), F.col("hits").cast("string"))
@@ -330,9 +341,9 @@ def kerberos_bursts(events: DataFrame, s: Settings = Settings()) -> DataFrame:
     flat = lambda g: g.select("who", "source", "n", "services", "first_us", "last_us", "first_row", "p.*")
     common = dict(related=F.array("first_row", "row_id"), count=F.col("n"), group_key=F.concat_ws("|", "who", "source"), first_us=F.col("first_us"), last_us=F.col("last_us"))
     pre = flat(largest_clusters(events.where(F.col("event_id") == 4771), s.burst_window_us, max(3, s.burst_threshold)))
-    out = make_finding(pre, KERBEROS, "Kerberos pre-authentication failure burst", RANK["High"], details=F.concat(F.lit("signature=AD-003; count="), F.col("n").cast("string")), **common)
+    out = make_finding(pre, KERBEROS, PRE_AUTH_BURST, RANK["High"], details=F.concat(F.lit("signature=AD-003; count="), F.col("n").cast("string")), **common)
     roast = flat(largest_clusters(events.where(is_kerberoast()), s.burst_window_us, 5)).where(F.col("services") >= 3)
-    return out.unionByName(make_finding(roast, KERBEROS, "Kerberoasting ticket-request burst", RANK["High"], details=F.concat(F.lit("signature=AD-004; tickets="), F.col("n").cast("string"), F.lit("; services="), F.col("services").cast("string")), **common))
+    return out.unionByName(make_finding(roast, KERBEROS, ROASTING_BURST, RANK["High"], details=F.concat(F.lit("signature=AD-004; tickets="), F.col("n").cast("string"), F.lit("; services="), F.col("services").cast("string")), **common))
 
 
 def event_blob() -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,7 +24,7 @@ from ..operators import timeline as TL
 from ..operators.signature_catalog import CATALOGS, Signature
 from ..sources import sinks as X
 from .adapter import LOG_EVENTS_SQL, log_events
-from .analyze import finding_events, run_detectors
+from .analyze import finding_events, run_detectors, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -712,6 +713,38 @@ def _(ev):
     return TL.related_row_ids(D.log_clearing(ev).unionByName(D.service_installs(ev)), none, single, single, single)
 
 
+def grouped_findings(ev: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Findings of groups and the events of each."""
+    ev = ev.persist()
+    parts = [f(ev, SETTINGS) for f in (D.failed_logons, D.successful_logons, D.rdp_activity, D.brute_force, D.password_spray, D.kerberos_bursts, D.new_users)]
+    found = written(reduce(DataFrame.unionByName, parts))
+    return found, finding_events(ev, found, SETTINGS)
+
+
+@query("w11_group_events")
+def _(ev):
+    return grouped_findings(ev)[1]
+
+
+@query("jn1b_group_timeline")
+def _(ev):
+    found, members = grouped_findings(ev)
+    return TL.timeline(ev, found, members=members).select("event_row_id", "severity")
+
+
+@query("cor1b_compromised_account_events")
+def _(ev):
+    return C.compromised_account_events(ev, 10 * DAY)
+
+
+@query("set1b_group_related_ids")
+def _(ev):
+    found, members = grouped_findings(ev)
+    single = ev.limit(0).select(F.col("row_id").alias("event_row_id"))
+    every = members.select("row_id").unionByName(C.compromised_account_events(ev, 10 * DAY).select("row_id"))
+    return TL.related_row_ids(found, C.compromised_account(ev, 10 * DAY), single, single, single, every)
+
+
 # Exports.
 
 @query("snk1_export_findings", " SELECT 'Medium' AS Severity, row_id AS EventRow, strftime(time_created_utc, '%Y-%m-%d %H:%M:%S') AS TimeUtc, computer_name AS Host, user_name AS User, log_name AS Channel, process_path AS Image, CAST(row_id AS VARCHAR) AS RelatedEventRowIds, 'yes' AS SeverityMatchesEvent FROM e WHERE event_id = 7045")
