@@ -768,3 +768,16 @@ def _(ev):
 @query("snk4_export_statistics", " SELECT section, key, CAST(value AS VARCHAR) AS value FROM (" + top_sql("Summary", "'TotalEvents'", None) + " UNION ALL " + top_sql("EventIdCounts", "CAST(event_id AS VARCHAR)", 30) + ") UNION ALL SELECT 'Filter', k, CASE k WHEN 'User' THEN 'bob' ELSE '' END FROM (SELECT unnest(['User', 'IpAddress', 'ProcessName', 'Keyword', 'ComputerName', 'LogName', 'FromUtc', 'ToUtc', 'EventIds']) AS k)")
 def _(ev):
     return X.export_statistics(S.statistics(ev).where("section in ('Summary', 'EventIdCounts')"), L.EventFilter(user="bob"))
+
+
+# The same exports over the whole job; tests hold them against brute force.
+
+@query("snk3b_export_all_events")
+def _(ev):
+    return X.export_events(ev).select("EventRowId", "TimeCreatedUtc", "CommandLine", "LogonType", "PropertiesJson")
+
+
+@query("snk4b_export_all_statistics")
+def _(ev):
+    ev = ev.persist()
+    return X.export_statistics(S.statistics(ev, written(run_detectors(ev, SETTINGS, ordered=False))), L.EventFilter(user="bob"))
