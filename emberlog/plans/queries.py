@@ -716,8 +716,9 @@ def _(ev):
 def grouped_findings(ev: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Findings of groups and the events of each."""
     ev = ev.persist()
-    parts = [f(ev, SETTINGS) for f in (D.failed_logons, D.successful_logons, D.rdp_activity, D.brute_force, D.password_spray, D.kerberos_bursts, D.new_users)]
-    found = written(reduce(DataFrame.unionByName, parts))
+    # One plan a detector: planning all at once takes much of the driver's memory.
+    parts = [written(f(ev, SETTINGS)) for f in (D.failed_logons, D.successful_logons, D.rdp_activity, D.brute_force, D.password_spray, D.kerberos_bursts, D.new_users)]
+    found = reduce(DataFrame.unionByName, parts)
     return found, finding_events(ev, found, SETTINGS)
 
 
