@@ -41,6 +41,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, column: str, buckets: int) -> DataFrame:
+    """Writes ``df`` to the shared folder in buckets of ``column``, so that grouping by it shuffles nothing.
+
+    Buckets need a table; it is dropped from the catalog at once, and its files stay.
+    """
+    spark, table = df.sparkSession, f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, column).option("path", f"{shared_dir(spark)}/{table}").saveAsTable(table)
+    out = spark.table(table)
+    out.schema  # noqa: B018  resolves the files before the name goes
+    spark.sql(f"DROP TABLE {table}")
+    return out
+
+
 def small_or_shuffled(df: DataFrame, rows: int, most: int) -> DataFrame:
     """Marks ``df`` for a broadcast if its counted ``rows`` are at most ``most``; else the join shuffles."""
     return F.broadcast(df) if rows <= most else df.hint("merge")

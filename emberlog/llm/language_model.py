@@ -4,14 +4,20 @@ Smoothed n-grams become states with failure arcs: a state is a context, an arc c
 log-probability of a word after it, and the failure arc carries the context's backoff weight to its
 suffix. A text's score adds up the arcs that a left-to-right traversal takes.
 
-States and arcs are written tables that grow with the corpus: every n-gram that occurs ``least``
-times in the training rows is kept, at every size. Texts are encoded in chunks with a dictionary
-each; a chunk hands its distinct n-grams to the counts and is given back only what it holds itself.
-An n-gram is counted if its head and tail are kept, which loses none, as both occur as often.
+The model grows with the corpus: every n-gram that occurs ``least`` times in the training rows is
+kept, at every size. Texts are encoded in chunks, once. For each length a chunk asks for the counts
+of its distinct n-grams whose head and tail are kept, which loses none, as both occur as often. What
+is asked is dealt out by ranges of a hash, so each n-gram is one number a chunk however common it is;
+the answers come back in the order asked, without the n-grams. Backoff weights are asked for likewise.
+The chunks are bucketed, so no round moves them again.
+
+Words and n-grams are known by their hashes, whose width grows with the corpus: one shares its hash
+with another with a probability below one in a million (until 2^44 tokens, where 64 bits are used up).
 
 Defined cases: a null text is an empty one and has one token, the end; rows that repeat count and
-score each on its own; without training rows every word is unknown; an empty table gives an empty
-result; extra columns are not read.
+score each on its own; a text of any length is one document of one chunk; equal counts need no order,
+as nothing is ranked; without training rows every word is unknown; an empty table gives an empty
+result; columns other than doc_id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,19 +29,23 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from .common import id_remainder, stored
+from .common import bucketed, id_remainder, stored
 
 #: Stands for the end of a text; no word is empty.
 END = b""
-#: A chunk is closed at so many distinct words or text bytes.
-CHUNK_WORDS, CHUNK_BYTES = 150_000, 8_000_000
+#: A chunk is closed at so many distinct words or characters of text.
+CHUNK_WORDS, CHUNK_BYTES = 300_000, 16_000_000
+#: So many asked n-grams of the whole corpus meet in one group, about.
+PART_KEYS = 1 << 19
 #: Taken off every count of an n-gram of two words or more.
 DISCOUNT = 0.75
+#: Bits that a hash has over those of the number of tokens.
+SPARE_BITS = 20
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -44,128 +54,308 @@ def tokens(text: str | None) -> list[bytes]:
     return words
 
 
-def _chunk_name() -> int:
-    return uuid.uuid4().int >> 65
+class _Numbers(dict):
+    """Numbers words as they are looked up."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+CHUNKS = "chunk long, doc_id array<long>, held_out array<boolean>, n array<long>, words binary, hashes binary, tokens long"
 
 
-def _encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows of chunks: documents as local word numbers, and each word with its training count."""
-    chunk, index, counts, size = _chunk_name(), {}, [], 0
+def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each chunk: its documents, their tokens as local word numbers, the words' hashes."""
+    numbers, docs, parts, size = _Numbers(), [], [], 0
 
-    def dictionary() -> pd.DataFrame:
-        n = len(index)
-        return pd.DataFrame({"chunk": chunk, "doc_id": pd.array([None] * n, dtype="Int64"), "held_out": False, "is_word": True, "data": list(index), "local": np.arange(n), "n": counts})
+    def chunk() -> pa.RecordBatch:
+        ids, held, n = zip(*docs)
+        hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in numbers), dtype=np.uint64, count=len(numbers))
+        row = [uuid.uuid4().int >> 65, list(ids), list(held), list(n), zlib.compress(pack(np.concatenate(parts)), 1), hashes.tobytes(), sum(n)]
+        kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds)], names=["chunk", "doc_id", "held_out", "n", "words", "hashes", "tokens"])
 
-    for pdf in frames:
-        docs: list[tuple] = []
-        for doc_id, held, text in zip(pdf["doc_id"].astype("Int64"), pdf["held_out"], pdf["text"]):
+    for batch in batches:
+        for doc_id, held, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "held_out", "text"))):
             words = tokens(text)
-            numbers = np.empty(len(words), dtype=np.uint32)
-            for i, w in enumerate(words):
-                at = index.get(w)
-                if at is None:
-                    at = index[w] = len(counts)
-                    counts.append(0)
-                numbers[i] = at
-            if not held:
-                for at in numbers.tolist():
-                    counts[at] += 1
+            parts.append(np.fromiter(map(numbers.__getitem__, words), dtype=np.uint64, count=len(words)))
+            docs.append((doc_id, held, len(words)))
             size += len(text or "")
-            docs.append((doc_id, held, zlib.compress(numbers.tobytes(), 1), len(words)))
-            if len(index) >= CHUNK_WORDS or size >= CHUNK_BYTES:
-                yield _documents(chunk, docs)
-                yield dictionary()
-                docs, chunk, index, counts, size = [], _chunk_name(), {}, [], 0
-        if docs:
-            yield _documents(chunk, docs)
-    if index:
-        yield dictionary()
+            if len(numbers) >= CHUNK_WORDS or size >= CHUNK_BYTES:
+                yield chunk()
+                numbers, docs, parts, size = _Numbers(), [], [], 0
+    if docs:
+        yield chunk()
+
+
+def pack(x: np.ndarray) -> bytes:
+    """Unsigned numbers in as many bytes each as the greatest takes, first all lowest bytes."""
+    width = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([width]) + x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def unpack(data: bytes) -> np.ndarray:
+    width = data[0]
+    out = np.zeros(((len(data) - 1) // width, 8), dtype=np.uint8)
+    out[:, :width] = np.frombuffer(data, dtype=np.uint8, offset=1).reshape(width, -1).T
+    return out.view("<u8").ravel()
 
 
-def _documents(chunk: str, docs: list[tuple]) -> pd.DataFrame:
-    ids, held, data, n = zip(*docs)
-    return pd.DataFrame({"chunk": chunk, "doc_id": pd.array(list(ids), dtype="Int64"), "held_out": held, "is_word": False, "data": data, "local": 0, "n": n})
+def _steps(keys: np.ndarray) -> bytes:
+    """Sorted distinct numbers, by their differences."""
+    return int(keys[0]).to_bytes(8, "little") + pack(np.diff(keys))
 
 
-ENCODED = "chunk long, doc_id long, held_out boolean, is_word boolean, data binary, local long, n long"
+def _unsteps(data: bytes) -> np.ndarray:
+    return np.cumsum(np.concatenate([np.frombuffer(data[:8], dtype="<u8"), unpack(data[8:])]), dtype=np.uint64)
 
 
-FACTS = "part long, level int, key long, id long, n long, weight double"
+def _mixed(head: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Hashes of n-grams from those of their heads and last words (finalised as in MurmurHash3)."""
+    x = head * np.uint64(0x9E3779B97F4A7C15) + word
+    for times in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+        x ^= x >> np.uint64(33)
+        x *= np.uint64(times)
+    return x ^ (x >> np.uint64(33))
+
+
+class Plan:
+    """What all chunks of a corpus agree on."""
+
+    def __init__(self, bits: int, parts: int, order: int, least: int, total: int = 0, types: int = 0, discount: float = 0.5):
+        self.bits, self.parts, self.order, self.least = bits, parts, order, least
+        self.total, self.types, self.discount = total, types, discount
+
+    def part_of(self, keys: np.ndarray) -> np.ndarray:
+        """Ranges of keys, so sorted keys are dealt out in slices."""
+        top = min(self.bits, 32)
+        return ((keys >> np.uint64(self.bits - top)) * np.uint64(self.parts)) >> np.uint64(top)
+
+    def slices(self, keys: np.ndarray) -> list[tuple[int, int, int]]:
+        """(Part, begin, end) of sorted keys."""
+        part = self.part_of(keys)
+        edge = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]])) if len(keys) else np.zeros(1, dtype=np.int64)
+        return [(int(part[a]), int(a), int(b)) for a, b in zip(edge[:-1], edge[1:])]
 
 
 class Chunk:
-    """Texts of a chunk, and which of their n-grams are kept.
+    """Texts of a chunk and what is known of their n-grams.
 
-    ``at[level]`` has, for each token, the index of the kept n-gram of ``level`` words that ends
-    there, or -1; ``n[level]`` and ``weight[level]`` have counts and log10 backoff weights by that
-    index. The key of an n-gram is the index of its head times ``width`` plus its last word.
+    ``keys[k]`` has the sorted hashes of the n-grams of k words that are asked for, ``n[k]`` their
+    training counts, ``at[k]`` for each token the place of the kept one that ends there, or -1, and
+    ``weight[k]`` their log10 backoff weights.
     """
 
-    def __init__(self, texts: pd.DataFrame, facts: pd.DataFrame, levels: int, least: int):
-        parts = [np.frombuffer(zlib.decompress(x), dtype=np.uint32) for x in texts["data"]]
-        self.lengths = np.array([len(x) for x in parts], dtype=np.int64)
-        self.words = np.concatenate(parts).astype(np.int64)
+    def __init__(self, row: dict, plan: Plan, answers: list[dict]):
+        self.plan = plan
+        self.lengths = np.array(row["n"], dtype=np.int64)
+        words = unpack(zlib.decompress(row["words"])).astype(np.int64)
+        hashes = np.frombuffer(row["hashes"], dtype=np.uint64)
         self.starts = np.cumsum(self.lengths) - self.lengths
-        self.train = np.repeat(~texts["held_out"].to_numpy(dtype=bool), self.lengths)
-        self.inner = np.ones(len(self.words), dtype=bool)
+        self.train = np.repeat(~np.array(row["held_out"], dtype=bool), self.lengths)
+        self.inner = np.ones(len(words), dtype=bool)
         self.inner[self.starts] = False  # a token with another before it in its text
-        self.width = int(self.words.max()) + 1
-        level, key, n, ids = (facts[k].to_numpy(dtype=np.int64) for k in ("level", "key", "n", "id"))
-        mine = level == 1
-        self.count, self.id = np.zeros(self.width, dtype=np.int64), np.zeros(self.width, dtype=np.int64)
-        self.count[key[mine]], self.id[key[mine]] = n[mine], ids[mine]
-        self.at = {1: np.where(self.count[self.words] >= least, self.words, -1)}
-        self.n, keys = {1: self.count}, {1: np.arange(self.width)}
-        for k in range(2, levels + 1):
-            mine = np.flatnonzero(level == k)
-            mine = mine[np.argsort(key[mine])]
-            keys[k], self.n[k] = key[mine], n[mine]
-            here, ending = self.candidates(k)
-            self.at[k] = np.full(len(self.words), -1, dtype=np.int64)
-            if len(mine):
-                index = np.minimum(np.searchsorted(keys[k], ending), len(mine) - 1)
-                self.at[k][here] = np.where(keys[k][index] == ending, index, -1)
-        self.weight = {k: np.zeros(len(keys[k])) for k in keys}
-        for k in keys:
-            mine = level == -k
-            self.weight[k][np.searchsorted(keys[k], key[mine])] = facts["weight"].to_numpy(dtype=float)[mine]
-
-    def candidates(self, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """Where n-grams of ``length`` words end whose head and tail are kept, and their keys."""
-        below = self.at[length - 1]
+        self.word = hashes[words]
+        self.shift = np.uint64(64 - plan.bits)
+        self.hash, self.keys, self.n, self.at, self.own, self.weight = {1: self.word}, {}, {}, {}, {}, {}
+        self.keys[1], place = np.unique(hashes >> self.shift, return_inverse=True)
+        self.place = {1: place[words]}
+        self.here = {1: np.arange(len(words))}
+        by: dict[int, list[dict]] = {}
+        for a in answers:
+            by.setdefault(a["kind"], []).append(a)
+        for k in range(1, plan.order + 1):
+            if k > 1:
+                self._candidates(k)
+            if k not in by and len(self.keys[k]):
+                break
+            self._counts(k, by.get(k, []))
+        for k in range(1, plan.order):
+            if k + 1 in self.at:
+                self._weights(k, by.get(-k, []))
+
+    def _candidates(self, k: int) -> None:
+        """N-grams of k words whose head and tail are kept: where they end, their keys and places in them."""
+        below = self.at[k - 1]
         here = np.flatnonzero((below[1:] >= 0) & (below[:-1] >= 0) & self.inner[1:]) + 1
-        return here, below[here - 1] * self.width + self.words[here]
-
-    def lower(self, length: int, ends: np.ndarray, unigram: np.ndarray) -> np.ndarray:
-        """Probability of the n-grams of ``length`` words that end at ``ends``; all are kept."""
-        if length == 1:
-            return unigram[self.words[ends]]
-        return (self.n[length][self.at[length][ends]] - DISCOUNT) / self.n[length - 1][self.at[length - 1][ends - 1]]
-
-    def grams(self, length: int, unigram: np.ndarray) -> pd.DataFrame:
-        """The distinct candidates with their training counts, word ids, head count and tail probability."""
-        here, keys = self.candidates(length)
-        order = np.argsort(keys, kind="stable")
-        here, keys = here[order], keys[order]
-        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, dtype=np.int64)
-        ends = here[first]
-        n = np.add.reduceat(self.train[here].astype(np.int64), first) if len(first) else first
-        columns = {"key": keys[first], **{f"w{j}": self.id[self.words[ends - length + 1 + j]] for j in range(length)}, "n": n}
-        return pd.DataFrame(columns | {"head_n": self.n[length - 1][self.at[length - 1][ends - 1]], "lower": self.lower(length - 1, ends, unigram)})
-
-    def log_p(self, order: int, log_unigram: np.ndarray) -> np.ndarray:
+        self.hash[k] = np.zeros(len(self.word), dtype=np.uint64)
+        self.hash[k][here] = _mixed(self.hash[k - 1][here - 1], self.word[here])
+        self.here[k] = here
+        self.keys[k], self.place[k] = np.unique(self.hash[k][here] >> self.shift, return_inverse=True)
+
+    def _counts(self, k: int, answers: list[dict]) -> None:
+        answers = sorted(answers, key=lambda a: a["part"])
+        sizes = [b - a for _, a, b in self.plan.slices(self.keys[k])]
+        n = [unpack(zlib.decompress(a["n"])) for a in answers]
+        if [len(x) for x in n] != sizes:
+            raise ValueError(f"answers on {k} words do not fit what was asked")
+        self.n[k] = np.concatenate([np.zeros(0, np.uint64), *n]).astype(np.int64)
+        own = [np.unpackbits(np.frombuffer(a["own"], dtype=np.uint8), count=s).astype(bool) for a, s in zip(answers, sizes)]
+        self.own[k] = np.concatenate([np.zeros(0, dtype=bool), *own])
+        self.at[k] = np.full(len(self.word), -1, dtype=np.int64)
+        self.at[k][self.here[k]] = np.where(self.n[k][self.place[k]] >= self.plan.least, self.place[k], -1)
+
+    def unigram(self) -> np.ndarray:
+        """The probability of each word of the chunk; the unknown word's where it has no count."""
+        p, total = self.plan, max(self.plan.total, 1)
+        unknown = p.discount * p.types / p.total if p.total else 1.0
+        return np.where(self.n[1] > 0, (self.n[1] - p.discount) / total, unknown)
+
+    def lower(self, k: int, ends: np.ndarray, unigram: np.ndarray) -> np.ndarray:
+        """Probability of the n-grams of k words that end at ``ends``; all are kept."""
+        if k == 1:
+            return unigram[self.place[1][ends]]
+        return (self.n[k][self.at[k][ends]] - DISCOUNT) / self.n[k - 1][self.at[k - 1][ends - 1]]
+
+    def train_counts(self, k: int) -> np.ndarray:
+        """How often the keys of length k occur in the chunk's training rows."""
+        mine = self.train[self.here[k]]
+        return np.bincount(self.place[k][mine], minlength=len(self.keys[k])).astype(np.uint64)
+
+    def _asked_heads(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(Places in keys[k] of the contexts to ask for, what this chunk adds to their two sums.)
+
+        Each kept n-gram of k + 1 words is added by the one chunk that owns it; a chunk asks for the
+        contexts that it leaves by the failure arc.
+        """
+        at, heads = self.at[k + 1], np.concatenate([[-1], self.at[k][:-1]])
+        heads[~self.inner] = -1
+        asked = np.zeros(len(self.keys[k]), dtype=bool)
+        asked[heads[(heads >= 0) & (at < 0)]] = True
+        _, first = np.unique(self.place[k + 1], return_index=True)
+        ends = self.here[k + 1][first]
+        ends = ends[(at[ends] >= 0) & self.own[k + 1]]
+        head, size = heads[ends], len(self.keys[k])
+        seen = np.bincount(head, weights=self.lower(k + 1, ends, self.unigram()), minlength=size)
+        below = np.bincount(head, weights=self.lower(k, ends, self.unigram()), minlength=size)
+        asked |= seen > 0
+        return np.flatnonzero(asked), seen, below
+
+    def _weights(self, k: int, answers: list[dict]) -> None:
+        if not answers:
+            return
+        places, _, _ = self._asked_heads(k)
+        answers = sorted(answers, key=lambda a: a["part"])
+        weight = [np.frombuffer(zlib.decompress(a["n"]), dtype="<f4") for a in answers]
+        if [len(x) for x in weight] != [b - a for _, a, b in self.plan.slices(self.keys[k][places])]:
+            raise ValueError(f"answers on contexts of {k} words do not fit what was asked")
+        self.weight[k] = np.zeros(len(self.keys[k]))
+        self.weight[k][places] = np.concatenate(weight)
+
+    def log_p(self) -> np.ndarray:
         """The log10 probability of each token: its arc, after the failure arcs to where it has one."""
-        out = log_unigram[self.words].copy()
-        for k in range(2, order + 1):
+        unigram = self.unigram()
+        out = np.log10(unigram)[self.place[1]]
+        for k in range(2, self.plan.order + 1):
             head = np.concatenate([[-1], self.at[k - 1][:-1]])
             head[~self.inner] = -1
             back = head >= 0
-            out[back] += self.weight[k - 1][head[back]]
+            if k - 1 in self.weight:
+                out[back] += self.weight[k - 1][head[back]]
             kept = np.flatnonzero(self.at[k] >= 0)
-            out[kept] = np.log10(self.lower(k, kept, log_unigram))
+            out[kept] = np.log10(self.lower(k, kept, unigram))
         return out
 
 
+ASKED = "chunk long, kind int, part long, keys binary, n binary, seen binary, below binary"
+ANSWERS = "chunk long, kind int, part long, n binary, own binary, total long, types long, once long, twice long"
+
+
+def _table(rows: list[dict], ddl: str) -> pa.Table:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "boolean": pa.bool_(), "double": pa.float64()}
+    fields = [x.split() for x in ddl.split(", ")]
+    return pa.table({name: pa.array([r.get(name) for r in rows], kinds[kind]) for name, kind in fields})
+
+
+def _questions(chunk: int, row: dict, plan: Plan, answers: list[dict], length: int) -> pa.Table:
+    """What a chunk asks in the round of ``length``: counts of n-grams as long, and the weights of
+    the contexts of n-grams that are a word shorter. ``kind`` is the length, below zero for contexts."""
+    c, rows = Chunk(row, plan, answers), []
+    if length <= plan.order:
+        keys, n = c.keys[length], c.train_counts(length)
+        rows += [{"chunk": chunk, "kind": length, "part": p, "keys": _steps(keys[a:b]), "n": pack(n[a:b])} for p, a, b in plan.slices(keys)]
+    if length > 2:
+        places, seen, below = c._asked_heads(length - 2)
+        keys, seen, below = c.keys[length - 2][places], seen[places], below[places]
+        for p, a, b in plan.slices(keys):
+            given = np.flatnonzero(seen[a:b] > 0)
+            rows.append({"chunk": chunk, "kind": 2 - length, "part": p, "keys": _steps(keys[a:b]), "n": _steps(given.astype(np.uint64)) if len(given) else None, "seen": seen[a:b][given].tobytes(), "below": below[a:b][given].tobytes()})
+    return _table(rows, ASKED)
+
+
+def _first_questions(plan: Plan):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                yield from _questions(row["chunk"], row, plan, [], 1).to_batches()
+
+    return run
+
+
+def _next_questions(plan: Plan, length: int):
+    def run(chunks: pa.Table, answers: pa.Table) -> pa.Table:
+        (row,) = chunks.to_pylist()
+        return _questions(row["chunk"], row, plan, answers.to_pylist(), length)
+
+    return run
+
+
+def _answers(least: int):
+    """Sums over all chunks that ask, in the order in which each asks."""
+
+    def run(asked: pa.Table) -> pa.Table:
+        by: dict[int, list[dict]] = {}
+        for r in asked.to_pylist():
+            by.setdefault(r["kind"], []).append(r)
+        out: list[dict] = []
+        for kind, rows in by.items():
+            keys = [_unsteps(r["keys"]) for r in rows]
+            ends = np.cumsum([len(k) for k in keys])
+            distinct, first, place = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+            if kind > 0:
+                n = np.bincount(place, weights=np.concatenate([unpack(r["n"]) for r in rows]).astype(float), minlength=len(distinct)).astype(np.uint64)
+                told = n if kind == 1 else np.where(n >= least, n, 0).astype(np.uint64)
+                own = np.zeros(len(place), dtype=bool)
+                own[first] = True
+                stats = {"total": int(n.sum()), "types": int((n > 0).sum()), "once": int((n == 1).sum()), "twice": int((n == 2).sum())} if kind == 1 else {}
+                for r, a, b in zip(rows, ends - [len(k) for k in keys], ends):
+                    out.append({"chunk": r["chunk"], "kind": kind, "part": r["part"], "n": zlib.compress(pack(told[place[a:b]]), 1), "own": np.packbits(own[a:b]).tobytes()} | stats)
+                    stats = {}
+            else:
+                seen, below = np.zeros(len(distinct)), np.zeros(len(distinct))
+                for r, a in zip(rows, ends - [len(k) for k in keys]):
+                    if r["n"] is not None:
+                        given = place[a + _unsteps(r["n"]).astype(np.int64)]
+                        seen[given] += np.frombuffer(r["seen"])
+                        below[given] += np.frombuffer(r["below"])
+                weight = np.log10(np.maximum(1 - seen, 1e-12) / np.maximum(1 - below, 1e-12)).astype("<f4")
+                for r, a, b in zip(rows, ends - [len(k) for k in keys], ends):
+                    out.append({"chunk": r["chunk"], "kind": kind, "part": r["part"], "n": zlib.compress(weight[place[a:b]].tobytes(), 1)})
+        return _table(out, ANSWERS)
+
+    return run
+
+
+SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
+def _scores(plan: Plan):
+    base_total = math.log10(plan.total + plan.types + 1)
+
+    def run(chunks: pa.Table, answers: pa.Table) -> pa.Table:
+        (row,) = chunks.to_pylist()
+        c = Chunk(row, plan, answers.to_pylist())
+        added = lambda x: np.add.reduceat(x, c.starts)
+        n = c.n[1][c.place[1]]
+        return pa.table({
+            "doc_id": pa.array(row["doc_id"], pa.int64()), "held_out": pa.array(row["held_out"], pa.bool_()), "n_tokens": c.lengths, "n_known": added((n > 0).astype(np.int64)),
+            "train_tokens": np.full(len(c.lengths), plan.total), "base_score": added(np.log10(n + 1.0) - base_total), "score": added(c.log_p()),
+        })
+
+    return run
+
+
 class Automaton:
     """States are numbered contexts; 0 is the empty one.
 
@@ -244,81 +434,24 @@ def score_texts(docs: DataFrame, mod: int = 7, fold: int = 2, order: int = 3, le
     are kept from ``least`` occurrences up, discounted likewise, and back off.
     """
     d = docs.select("doc_id", "text", (id_remainder(F.col("doc_id"), mod) == fold).alias("held_out"))
-    encoded = stored(d.mapInPandas(_encode, ENCODED), "lm-encoded")
-    words = encoded.where("is_word").select("chunk", F.col("data").alias("word"), "local", "n")
-    counts = stored(words.groupBy("word").agg(F.sum("n").alias("c")).where("c > 0").withColumn("id", F.monotonically_increasing_id()), "lm-counts")
-    totals = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"), F.count_if(F.col("c") == 1).alias("one"), F.count_if(F.col("c") == 2).alias("two")).first()
-    n, v = totals.n, totals.v
-    discount = min(max(totals.one / (totals.one + 2 * totals.two), 0.01), 0.99) if totals.one + totals.two else 0.5
-    unknown = discount * v / n if n else 1.0
-    texts = encoded.where(~F.col("is_word")).select("chunk", "doc_id", "held_out", "data")
-    known = stored(words.join(counts, "word").select(F.col("chunk").alias("part"), F.col("local").alias("key"), "id", F.col("c").alias("n")), "lm-known")
-    facts, weights = _longer_grams(texts, known, n, discount, order, least)
-    base_total = math.log10(n + v + 1)
-
-    def score(texts: pd.DataFrame, facts: pd.DataFrame) -> pd.DataFrame:
-        if not len(texts):
-            return pd.DataFrame({"doc_id": pd.array([], dtype="Int64"), "held_out": [], "n_tokens": [], "n_known": [], "train_tokens": [], "base_score": [], "score": []})
-        chunk = Chunk(texts, facts, order, least)
-        c, ids = chunk.count, chunk.words
-        log_unigram = np.where(c > 0, np.log10(np.maximum(c - discount, 1e-9) / max(n, 1)), math.log10(unknown))
-        log_base = np.log10(c + 1.0) - base_total
-        added = lambda x: np.add.reduceat(x, chunk.starts)
-        return pd.DataFrame({
-            "doc_id": texts["doc_id"].astype("Int64"), "held_out": texts["held_out"], "n_tokens": chunk.lengths, "n_known": added((c[ids] > 0).astype(np.int64)), "train_tokens": n,
-            "base_score": added(log_base[ids]), "score": added(chunk.log_p(order, log_unigram)),
-        })
-
-    told = _all([_facts(known, 1), *facts, *weights])
-    return texts.groupBy("chunk").cogroup(told.groupBy("part")).applyInPandas(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-
-
-def _facts(rows: DataFrame, level: int) -> DataFrame:
-    """What chunks are told of n-grams of ``level`` words."""
-    return rows.select("part", F.lit(level).alias("level"), "key", (F.col("id") if level == 1 else F.lit(0).cast("long")).alias("id"), "n", F.lit(0.0).alias("weight"))
+    width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    chunks = bucketed(d.mapInArrow(_encode, CHUNKS), "lm-chunks", "chunk", width)
+    size = chunks.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
+    plan = Plan(min(64, int(size).bit_length() + SPARE_BITS), max(2 * width, -(-order * size // PART_KEYS)), order, least)
+    answers: list[DataFrame] = []
+    for length in range(1, order + 2 if order > 1 else 2):
+        if length == 1:
+            asked = chunks.mapInArrow(_first_questions(plan), ASKED)
+        else:
+            asked = chunks.groupBy("chunk").cogroup(_all(answers).groupBy("chunk")).applyInArrow(_next_questions(plan, length), ASKED)
+        told = stored(asked.groupBy("part").applyInArrow(_answers(least), ANSWERS), f"lm-answers-{length}")
+        if length == 1:
+            t = told.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("total", "types", "once", "twice"))).first()
+            plan.total, plan.types = t.total, t.types
+            plan.discount = min(max(t.once / (t.once + 2 * t.twice), 0.01), 0.99) if t.once + t.twice else 0.5
+        answers.append(told.select("chunk", "kind", "part", "n", "own"))
+    return chunks.groupBy("chunk").cogroup(_all(answers).groupBy("chunk")).applyInArrow(_scores(plan), SCORES)
 
 
 def _all(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
-
-
-def _counter(length: int, total: int, discount: float, least: int):
-    """The n-grams of a chunk that may be kept, with their training counts."""
-
-    def run(key: tuple, texts: pd.DataFrame, facts: pd.DataFrame) -> pd.DataFrame:
-        if not len(texts) or not len(facts):
-            return pd.DataFrame({k: [] for k in ("part", "key", *(f"w{j}" for j in range(length)), "n", "head_n", "lower")})
-        chunk = Chunk(texts, facts, length - 1, least)
-        out = chunk.grams(length, (chunk.count - discount) / max(total, 1))
-        out.insert(0, "part", key[0])
-        return out
-
-    return run
-
-
-def _longer_grams(texts: DataFrame, known: DataFrame, total: int, discount: float, order: int, least: int) -> tuple[list[DataFrame], list[DataFrame]]:
-    """(Arcs: the kept n-grams of each chunk; states: the backoff weights of each chunk's contexts).
-
-    All occurrences of an n-gram meet in the shuffle as one row a chunk. What is kept is written once
-    a length; sums over a context's arcs take one row for each n-gram.
-    """
-    facts: list[DataFrame] = []
-    weights: list[DataFrame] = []
-    told = known.where(F.col("n") >= least)
-    below = told.select("part", "key", F.col("id").alias("w0"))
-    for length in range(2, order + 1):
-        ids = [f"w{j}" for j in range(length)]
-        schema = "part long, key long, " + "".join(f"{w} long, " for w in ids) + "n long, head_n long, lower double"
-        found = texts.groupBy("chunk").cogroup(_all([_facts(told, 1), *facts]).groupBy("part")).applyInPandas(_counter(length, total, discount, least), schema)
-        same = W.partitionBy(*ids).orderBy("part")
-        every = same.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-        found = found.select("part", "key", *ids, F.sum("n").over(every).alias("n"), "head_n", "lower", (F.row_number().over(same) == 1).alias("once")).where(F.col("n") >= least)
-        kept = stored(found, f"lm-grams-{length}")
-        context = kept.where("once").groupBy(*ids[:-1]).agg(F.sum((F.col("n") - DISCOUNT) / F.col("head_n")).alias("seen"), F.sum("lower").alias("below"))
-        room = lambda c: F.greatest(1 - F.col(c), F.lit(1e-12))
-        context = context.select(*ids[:-1], F.log10(room("seen") / room("below")).alias("weight"))
-        none = F.lit(0).cast("long")
-        weights.append(below.join(context, ids[:-1]).select("part", F.lit(1 - length).alias("level"), "key", none.alias("id"), none.alias("n"), "weight"))
-        facts.append(_facts(kept, length))
-        below = kept.select("part", "key", *ids)
-    return facts, weights
