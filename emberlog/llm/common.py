@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,17 +42,25 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, name: str, column: str, buckets: int) -> DataFrame:
-    """Writes ``df`` to the shared folder in buckets of ``column``, so that grouping by it shuffles nothing.
+class Bucketed:
+    """A written table in buckets of ``column``, so that grouping by it shuffles nothing.
 
-    Buckets need a table; it is dropped from the catalog at once, and its files stay.
+    Rows can be added. Buckets need a table in the catalog; ``release`` takes its name off again and
+    leaves the files, for plans that still read them.
     """
-    spark, table = df.sparkSession, f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
-    df.write.bucketBy(buckets, column).option("path", f"{shared_dir(spark)}/{table}").saveAsTable(table)
-    out = spark.table(table)
-    out.schema  # noqa: B018  resolves the files before the name goes
-    spark.sql(f"DROP TABLE {table}")
-    return out
+
+    def __init__(self, spark: SparkSession, name: str, column: str, buckets: int):
+        self.spark, self.column, self.buckets = spark, column, buckets
+        self.table = f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
+
+    def add(self, df: DataFrame, moved: bool = False) -> DataFrame:
+        """The table with the rows of ``df``; ``moved`` if these are to be shuffled to one file a bucket first."""
+        df = df.repartition(self.buckets, self.column) if moved else df
+        df.write.mode("append").bucketBy(self.buckets, self.column).option("path", f"{shared_dir(self.spark)}/{self.table}").saveAsTable(self.table)
+        return self.spark.table(self.table)
+
+    def release(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
 
 
 def small_or_shuffled(df: DataFrame, rows: int, most: int) -> DataFrame:
@@ -59,6 +68,15 @@ def small_or_shuffled(df: DataFrame, rows: int, most: int) -> DataFrame:
     return F.broadcast(df) if rows <= most else df.hint("merge")
 
 
+def mixed(x: np.ndarray) -> np.ndarray:
+    """64-bit numbers well mixed, one to one (the finaliser of MurmurHash3)."""
+    x = x.astype(np.uint64)
+    for times in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+        x ^= x >> np.uint64(33)
+        x *= np.uint64(times)
+    return x ^ (x >> np.uint64(33))
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z and nothing else; texts without other letters take the fast way."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

@@ -9,7 +9,7 @@ kept, at every size. Texts are encoded in chunks, once. For each length a chunk
 of its distinct n-grams whose head and tail are kept, which loses none, as both occur as often. What
 is asked is dealt out by ranges of a hash, so each n-gram is one number a chunk however common it is;
 the answers come back in the order asked, without the n-grams. Backoff weights are asked for likewise.
-The chunks are bucketed, so no round moves them again.
+Chunks and answers are bucketed alike, so each moves once, however many rounds read it.
 
 Words and n-grams are known by their hashes, whose width grows with the corpus: one shares its hash
 with another with a probability below one in a million (until 2^44 tokens, where 64 bits are used up).
@@ -26,7 +26,6 @@ import math
 import uuid
 import zlib
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucketed, id_remainder, stored
+from .common import Bucketed, id_remainder, mixed
 
 #: Stands for the end of a text; no word is empty.
 END = b""
@@ -72,14 +71,18 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def chunk() -> pa.RecordBatch:
         ids, held, n = zip(*docs)
         hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in numbers), dtype=np.uint64, count=len(numbers))
-        row = [uuid.uuid4().int >> 65, list(ids), list(held), list(n), zlib.compress(pack(np.concatenate(parts)), 1), hashes.tobytes(), sum(n)]
+        words = np.concatenate(parts)
+        order = np.argsort(-np.bincount(words, minlength=len(numbers)), kind="stable")  # frequent words get small numbers, which pack well
+        rank = np.empty(len(order), dtype=np.uint64)
+        rank[order] = np.arange(len(order), dtype=np.uint64)
+        row = [uuid.uuid4().int >> 65, list(ids), list(held), list(n), zlib.compress(pack(rank[words]), 1), hashes[order].tobytes(), sum(n)]
         kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds)], names=["chunk", "doc_id", "held_out", "n", "words", "hashes", "tokens"])
 
     for batch in batches:
         for doc_id, held, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "held_out", "text"))):
             words = tokens(text)
-            parts.append(np.fromiter(map(numbers.__getitem__, words), dtype=np.uint64, count=len(words)))
+            parts.append(np.fromiter(map(numbers.__getitem__, words), dtype=np.int64, count=len(words)))
             docs.append((doc_id, held, len(words)))
             size += len(text or "")
             if len(numbers) >= CHUNK_WORDS or size >= CHUNK_BYTES:
@@ -111,15 +114,6 @@ def _unsteps(data: bytes) -> np.ndarray:
     return np.cumsum(np.concatenate([np.frombuffer(data[:8], dtype="<u8"), unpack(data[8:])]), dtype=np.uint64)
 
 
-def _mixed(head: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """Hashes of n-grams from those of their heads and last words (finalised as in MurmurHash3)."""
-    x = head * np.uint64(0x9E3779B97F4A7C15) + word
-    for times in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
-        x ^= x >> np.uint64(33)
-        x *= np.uint64(times)
-    return x ^ (x >> np.uint64(33))
-
-
 class Plan:
     """What all chunks of a corpus agree on."""
 
@@ -180,7 +174,7 @@ class Chunk:
         below = self.at[k - 1]
         here = np.flatnonzero((below[1:] >= 0) & (below[:-1] >= 0) & self.inner[1:]) + 1
         self.hash[k] = np.zeros(len(self.word), dtype=np.uint64)
-        self.hash[k][here] = _mixed(self.hash[k - 1][here - 1], self.word[here])
+        self.hash[k][here] = mixed(self.hash[k - 1][here - 1] * np.uint64(0x9E3779B97F4A7C15) + self.word[here])
         self.here[k] = here
         self.keys[k], self.place[k] = np.unique(self.hash[k][here] >> self.shift, return_inverse=True)
 
@@ -434,24 +428,23 @@ def score_texts(docs: DataFrame, mod: int = 7, fold: int = 2, order: int = 3, le
     are kept from ``least`` occurrences up, discounted likewise, and back off.
     """
     d = docs.select("doc_id", "text", (id_remainder(F.col("doc_id"), mod) == fold).alias("held_out"))
-    width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    chunks = bucketed(d.mapInArrow(_encode, CHUNKS), "lm-chunks", "chunk", width)
-    size = chunks.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
-    plan = Plan(min(64, int(size).bit_length() + SPARE_BITS), max(2 * width, -(-order * size // PART_KEYS)), order, least)
-    answers: list[DataFrame] = []
-    for length in range(1, order + 2 if order > 1 else 2):
-        if length == 1:
-            asked = chunks.mapInArrow(_first_questions(plan), ASKED)
-        else:
-            asked = chunks.groupBy("chunk").cogroup(_all(answers).groupBy("chunk")).applyInArrow(_next_questions(plan, length), ASKED)
-        told = stored(asked.groupBy("part").applyInArrow(_answers(least), ANSWERS), f"lm-answers-{length}")
-        if length == 1:
-            t = told.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("total", "types", "once", "twice"))).first()
-            plan.total, plan.types = t.total, t.types
-            plan.discount = min(max(t.once / (t.once + 2 * t.twice), 0.01), 0.99) if t.once + t.twice else 0.5
-        answers.append(told.select("chunk", "kind", "part", "n", "own"))
-    return chunks.groupBy("chunk").cogroup(_all(answers).groupBy("chunk")).applyInArrow(_scores(plan), SCORES)
-
-
-def _all(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)
+    spark = docs.sparkSession
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    texts, told = Bucketed(spark, "lm-chunks", "chunk", width), Bucketed(spark, "lm-answers", "chunk", width)
+    try:
+        chunks = texts.add(d.mapInArrow(_encode, CHUNKS))
+        size = chunks.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
+        plan = Plan(min(64, int(size).bit_length() + SPARE_BITS), max(2 * width, -(-order * size // PART_KEYS)), order, least)
+        with_answers = None
+        for length in range(1, order + 2 if order > 1 else 2):
+            asked = chunks.mapInArrow(_first_questions(plan), ASKED) if length == 1 else with_answers.applyInArrow(_next_questions(plan, length), ASKED)
+            answers = told.add(asked.groupBy("part").applyInArrow(_answers(least), ANSWERS), moved=True)
+            if length == 1:
+                t = answers.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("total", "types", "once", "twice"))).first()
+                plan.total, plan.types = t.total, t.types
+                plan.discount = min(max(t.once / (t.once + 2 * t.twice), 0.01), 0.99) if t.once + t.twice else 0.5
+            with_answers = chunks.groupBy("chunk").cogroup(answers.select("chunk", "kind", "part", "n", "own").groupBy("chunk"))
+        return with_answers.applyInArrow(_scores(plan), SCORES)
+    finally:
+        texts.release()
+        told.release()
