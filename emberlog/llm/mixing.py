@@ -1,12 +1,15 @@
 """Mixing sources to target weights by a time-varying curriculum.
 
 Each source has a weight schedule over training time. Its integral is the source's cumulative
-token demand; inverting that demand at a document's token offset gives the document's position
-in training, and documents are range-sorted by position.
+token demand; inverting that demand at a document's token offset gives the document's training time,
+and the demand of all sources up to that time its training position in tokens. Documents are
+range-sorted by position.
 
 Defined cases: a null or empty text has size 0, takes 0 words and stands where its offset falls;
 a null source is a source of its own, last in order; documents that are equal in id and size are
-interchangeable; an empty table gives an empty result; extra columns are not read.
+interchangeable; a text of any length is one document, whose words count whole; an empty table gives
+an empty result; columns other than doc_id, source and text are not read (or pass through, in
+``mixed_documents``), whatever their names.
 """
 
 from __future__ import annotations
@@ -78,7 +81,18 @@ def position_of(share: Column, knots: Sequence[tuple[float, float]]) -> Column:
         at = F.lit(t) + F.lit(2.0) * due / (F.lit(m) + root)
         out = at if out is None else F.when(share < F.lit(before_next), at).otherwise(out)
         before_next = before
-    return F.round(out, 9)
+    return out
+
+
+def demand_at(time: Column, knots: Sequence[tuple[float, float]]) -> Column:
+    """The share of all its demand that a schedule has asked for by a time: the inverse of ``position_of``."""
+    out = None
+    for t, _, m, slope, before in reversed(_share(knots)):
+        passed = time - F.lit(t)
+        at = F.lit(before) + passed * (F.lit(m) + F.lit(slope / 2) * passed)
+        out = at if out is None else F.when(time < F.lit(t_next), at).otherwise(out)
+        t_next = t
+    return out
 
 
 def mix(
@@ -88,18 +102,28 @@ def mix(
     most_epochs: int = 3,
     broadcast_rows: int = 100_000,
 ) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, start, taken, occurrences, position.
+    """One row per document: doc_id, size, source_size, target, start, taken, occurrences, time, token, position.
 
     Each source's documents form one stream, in an order fixed by md5 of the id, that repeats up
     to ``most_epochs`` times; the mix takes the first ``target`` words of it. ``start`` is the
-    document's offset in the stream, ``taken`` its words in the mix over all repeats and
-    ``position`` the training time of its first occurrence (null if it has none).
+    document's offset in the stream, ``taken`` its words in the mix over all repeats, ``time`` (0 to 1)
+    the time of its first occurrence by its source's schedule, ``token`` what all sources together have
+    been asked for by then and ``position`` that as a share of the mix (null if it has none).
 
     Offsets are prefix sums in two levels, over the square root of a source's documents as
     buckets, so that a source with a third of all rows is no single task.
     """
+    planned, totals = _planned(docs, weights, most_epochs, broadcast_rows)
+    time = _time(F.col("start"), weights, schedules)
+    token = _token(F.col("time"), totals, weights, schedules)
+    return planned.withColumn("time", time).withColumn("token", token).withColumn("position", F.col("token") / max(sum(totals.values()), 1))
+
+
+def _planned(docs: DataFrame, weights: Sequence[int], most_epochs: int, broadcast_rows: int) -> tuple[DataFrame, dict[int, int]]:
+    """(One row per document, what all sources of each weight are asked for)."""
     sizes = stored(docs.select("doc_id", "source", text_size(F.col("text")).alias("size")), "mix-sizes")
     targets = stored(source_targets(sizes, weights, most_epochs), "mix-targets")
+    totals = {r.weight: r.due for r in targets.groupBy("weight").agg(F.sum(F.round("target").cast("long")).alias("due")).collect()}  # a row a weight
     small = small_or_shuffled(targets.withColumnRenamed("source", "t_source"), targets.count(), broadcast_rows)
     d = (
         sizes.join(small, F.col("source").eqNullSafe(F.col("t_source")))
@@ -118,15 +142,12 @@ def mix(
     zero = F.lit(0).cast("long")
     taken = sum((F.least(F.col("size"), F.greatest(zero, F.col("due") - F.col("start") - e * F.col("source_size"))) for e in range(most_epochs)), zero)
     seen = sum((F.when(F.col("start") + e * F.col("source_size") < F.col("due"), 1).otherwise(0) for e in range(most_epochs)), F.lit(0))
-    return (
-        d.withColumn("taken", taken)
-        .withColumn("occurrences", F.when(F.col("size") == 0, F.least(seen, F.lit(1))).otherwise(seen))
-        .select("doc_id", "size", "source_size", "weight", "target", "due", "start", "taken", "occurrences",
-                _position(F.col("start"), weights, schedules).alias("position"))
-    )
+    d = d.withColumn("taken", taken).withColumn("occurrences", F.when(F.col("size") == 0, F.least(seen, F.lit(1))).otherwise(seen))
+    return d.select("doc_id", "size", "source_size", "weight", "target", "due", "start", "taken", "occurrences"), totals
 
 
-def _position(offset: Column, weights: Sequence[int], schedules: Sequence) -> Column:
+def _time(offset: Column, weights: Sequence[int], schedules: Sequence) -> Column:
+    """The training time at which a source's demand reaches an offset in its stream."""
     out = F.lit(None).cast("double")
     share = offset / F.col("due")
     for weight, knots in zip(weights, schedules):
@@ -134,29 +155,35 @@ def _position(offset: Column, weights: Sequence[int], schedules: Sequence) -> Co
     return out
 
 
+def _token(time: Column, totals: dict[int, int], weights: Sequence[int], schedules: Sequence) -> Column:
+    """The tokens that all sources together are asked for by a time."""
+    return sum((F.lit(float(totals.get(w, 0))) * demand_at(time, knots) for w, knots in zip(weights, schedules)), F.lit(0.0))
+
+
 def in_training_order(mixed: DataFrame) -> DataFrame:
     """Range-sorts the mix; what it does not take stands last."""
     return mixed.orderBy(F.col("position").asc_nulls_last(), "doc_id")
 
 
-def mixed_documents(docs: DataFrame, weights: Sequence[int] = WEIGHTS, schedules: Sequence = SCHEDULES, most_epochs: int = 3) -> DataFrame:
+def mixed_documents(docs: DataFrame, weights: Sequence[int] = WEIGHTS, schedules: Sequence = SCHEDULES, most_epochs: int = 3, broadcast_rows: int = 100_000) -> DataFrame:
     """The documents themselves, each as often as the mix takes it, whole, in training order.
 
     Rows that share an id are told apart by their size; of rows equal in both, one stands for all.
     """
-    plan = mix(docs, weights, schedules, most_epochs).groupBy("doc_id", "size").agg(
+    planned, _ = _planned(docs, weights, most_epochs, broadcast_rows)
+    plan = planned.groupBy("doc_id", "size").agg(
         F.max("occurrences").alias("occurrences"), *(F.first(c).alias(c) for c in ("source_size", "weight", "due")), F.min("start").alias("start")
     )
     turns = (
         plan.where("occurrences > 0")
         .select("doc_id", "size", "weight", "due", F.explode(F.sequence(F.lit(0), F.col("occurrences") - 1)).alias("epoch"), "start", "source_size")
         .withColumn("offset", F.col("start") + F.col("epoch") * F.col("source_size"))
-        .select("doc_id", "size", _position(F.col("offset"), weights, schedules).alias("_position"))
+        .select("doc_id", "size", _time(F.col("offset"), weights, schedules).alias("_time"))  # positions rise with time
         .withColumnRenamed("doc_id", "_id").withColumnRenamed("size", "_size")
     )
     sized = docs.select(F.struct("*").alias("doc"), "doc_id", text_size(F.col("text")).alias("words"))
     joined = sized.join(turns, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("words") == F.col("_size")))
-    return joined.orderBy(F.col("_position").asc_nulls_last(), "doc_id").select("doc.*")
+    return joined.orderBy(F.col("_time").asc_nulls_last(), "doc_id").select("doc.*")
 
 
 ORACLE = r"""
@@ -181,8 +208,19 @@ WITH s AS (
   SELECT s.doc_id, s.size, t.source_size, t.weight, t.target, CAST(round(t.target) AS BIGINT) AS due,
          CAST(coalesce(sum(s.size) OVER (PARTITION BY t.sid ORDER BY s.u, s.doc_id, s.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
   FROM s JOIN t ON s.source IS NOT DISTINCT FROM t.source
+), h AS (
+  SELECT *, CASE WHEN start < due THEN CASE weight WHEN 5 THEN 2.0::DOUBLE * (start / CAST(due AS DOUBLE)) / (1.5::DOUBLE + sqrt(greatest(2.25::DOUBLE + -2.0::DOUBLE * (start / CAST(due AS DOUBLE)), 0.0::DOUBLE)))
+    WHEN 2 THEN start / CAST(due AS DOUBLE)
+    ELSE CASE WHEN start / CAST(due AS DOUBLE) < 0.375::DOUBLE THEN 2.0::DOUBLE * (start / CAST(due AS DOUBLE)) / (0.5::DOUBLE + sqrt(greatest(0.25::DOUBLE + 2.0::DOUBLE * (start / CAST(due AS DOUBLE)), 0.0::DOUBLE)))
+      ELSE 0.5::DOUBLE + 2.0::DOUBLE * (start / CAST(due AS DOUBLE) - 0.375::DOUBLE) / (1.0::DOUBLE + sqrt(greatest(1.0::DOUBLE + 2.0::DOUBLE * (start / CAST(due AS DOUBLE) - 0.375::DOUBLE), 0.0::DOUBLE))) END END END AS time
+  FROM o
+), g AS (
+  SELECT CAST(coalesce(sum(CASE WHEN weight = 5 THEN due END), 0) AS DOUBLE) AS early, CAST(coalesce(sum(CASE WHEN weight = 2 THEN due END), 0) AS DOUBLE) AS even,
+    CAST(coalesce(sum(CASE WHEN weight = 1 THEN due END), 0) AS DOUBLE) AS late FROM (SELECT weight, CAST(round(target) AS BIGINT) AS due FROM t)
 )
 SELECT doc_id, size, source_size, target,
-  CAST(least(size, greatest(0, due - start)) + least(size, greatest(0, due - start - source_size)) + least(size, greatest(0, due - start - 2 * source_size)) AS BIGINT) AS taken
-FROM o
+  CAST(least(size, greatest(0, due - start)) + least(size, greatest(0, due - start - source_size)) + least(size, greatest(0, due - start - 2 * source_size)) AS BIGINT) AS taken,
+  CAST(floor(early * (time * (1.5::DOUBLE - 0.5::DOUBLE * time)) + even * time
+    + late * CASE WHEN time < 0.5::DOUBLE THEN time * (0.5::DOUBLE + 0.5::DOUBLE * time) ELSE 0.375::DOUBLE + (time - 0.5::DOUBLE) * (1.0::DOUBLE + 0.5::DOUBLE * (time - 0.5::DOUBLE)) END) AS BIGINT) AS token
+FROM h, g
 """

@@ -10,8 +10,8 @@ from .common import read, stored
 
 
 def op2_mix_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(read(spark, sf_dir, "documents"))
-    return mixing.in_training_order(mixed).select("doc_id", "size", "source_size", "target", "taken")
+    mixed = mixing.in_training_order(mixing.mix(read(spark, sf_dir, "documents")))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", F.floor("token").alias("token"))
 
 
 def op3_find_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
