@@ -2,13 +2,17 @@
 
 A window (item-sized: ten consecutive words of a benchmark item, or a shorter item whole) occurs in
 a document only if all its shingles do, so it is enough to look for one of them: the prefix of
-length 1 when shingles are ordered by rarity in the documents. The join on that shingle gives
-candidates, position and length bounds drop those that do not fit, and the words themselves are
-compared in the end.
+length 1 when shingles are ordered by rarity in the documents. A first walk over the documents counts
+the shingles of the windows and keeps nothing else; a second one joins the rarest of each window.
+Position and length bounds drop the candidates that do not fit, and the words themselves are compared
+in the end.
 
 Defined cases: a null text has no words; rows that repeat an id and a text get equal results, rows
-that share an id with other texts are kept apart by the hash of the text; an empty benchmark or
-document table gives zero hits or no rows.
+that share an id with other texts are kept apart by the hash of the text; a window that occurs in
+several items counts for each; ties in rarity go to the least hash; texts of any length are walked
+whole, and no word carries its text through a shuffle; an empty benchmark or document table gives zero
+hits or no rows; columns other than doc_id, item_id and text are not read (or pass through, in
+``clean_documents``), whatever their names.
 """
 
 from __future__ import annotations
@@ -45,12 +49,16 @@ def _text_key() -> Column:
     return F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key")
 
 
-def leaks(docs: DataFrame, items: DataFrame, width: int = 10, broadcast_rows: int = 2_000_000) -> DataFrame:
-    """The documents with a hit: doc_id, text_key, n_hit, n_items, items_sha256.
+def _walked(keyed: DataFrame, g: int, keep: list[str]) -> DataFrame:
+    """Each place of the documents at which a shingle of g words begins, and its hash."""
+    return (
+        keyed.where(F.size("w") >= g).select("doc_id", "text_key", "w", F.explode(F.sequence(F.lit(0), F.size("w") - g)).alias("at"))
+        .select(*keep, "at", F.size("w").alias("n_words"), _shingle(F.col("w"), F.col("at"), g).alias("shingle"))
+    )
+
 
-    Words of the documents are walked once, where they are read; only shingles that some window
-    holds leave that stage, each with the words around it that a window could span.
-    """
+def leaks(docs: DataFrame, items: DataFrame, width: int = 10, broadcast_rows: int = 2_000_000) -> DataFrame:
+    """The documents with a hit: doc_id, text_key, n_hit, n_items, items_sha256."""
     windows, members = windows_of(items, width)
     windows = stored(windows.withColumn("g", F.least("n", F.lit(SHINGLE))), "leak-distinct")
     by_size = F.lit(None).cast("long")
@@ -62,27 +70,36 @@ def leaks(docs: DataFrame, items: DataFrame, width: int = 10, broadcast_rows: in
         "leak-shingles",
     )
     n_shingles = inside.count()
-    keyed = docs.select("doc_id", _text_key(), words_of(F.col("text")).alias("w"))
     # Shingles of 1 and 2 words are walked only if the benchmark has items as short.
     sizes = sorted(r.g for r in inside.select("g").distinct().collect())
-    hits = None
+    if not sizes:
+        return docs.sparkSession.createDataFrame([], "doc_id long, text_key long, n_hit long, n_items long, items_sha256 string")
+    keyed = docs.select("doc_id", _text_key(), words_of(F.col("text")).alias("w"))
+    seen = None
     for g in sizes:
         wanted = small_or_shuffled(inside.where(F.col("g") == g).select("shingle").distinct(), n_shingles, broadcast_rows)
-        reach = width - g
-        walked = (
-            keyed.where(F.size("w") >= g).select("doc_id", "text_key", "w", F.posexplode("w").alias("at", "word"))
-            .where(F.col("at") <= F.size("w") - g)
-            .withColumn("shingle", _shingle(F.col("w"), F.col("at"), g))
-        )
-        near_at = F.greatest(F.col("at") - reach, F.lit(0))
-        found = walked.join(wanted, "shingle", "left_semi").select(
-            "doc_id", "text_key", F.lit(g).alias("g"), "shingle", "at", F.size("w").alias("n_words"),
-            F.slice("w", near_at + 1, F.lit(width + reach)).alias("near"), near_at.alias("near_at"),
-        )
-        hits = found if hits is None else hits.unionByName(found)
-    if hits is None:
-        return docs.sparkSession.createDataFrame([], "doc_id long, text_key long, n_hit long, n_items long, items_sha256 string")
-    return _verified(stored(hits, "leak-hits"), windows, inside, members, n_shingles, broadcast_rows)
+        found = _walked(keyed, g, []).join(wanted, "shingle", "left_semi").groupBy("shingle").agg(F.count(F.lit(1)).alias("seen")).withColumn("g", F.lit(g))
+        seen = found if seen is None else seen.unionByName(found)
+    # The rarest shingle of each window; a window with a shingle that no document has cannot occur.
+    rarity = inside.join(stored(seen, "leak-seen"), ["g", "shingle"], "left")
+    rarest = rarity.groupBy("window_id", "n", "g").agg(F.min(F.struct(F.coalesce("seen", F.lit(0)).alias("seen"), "shingle", "offset")).alias("first")).where(F.col("first.seen") > 0)
+    prefix = stored(rarest.select("window_id", "n", "g", F.col("first.shingle").alias("shingle"), F.col("first.offset").alias("offset")).join(windows.select("window_id", "words"), "window_id"), "leak-prefix")
+    n_prefix, occurs = prefix.count(), None
+    for g in sizes:
+        mine = prefix.where(F.col("g") == g).drop("g")
+        begin = F.col("at") - F.col("offset")
+        fits = (begin >= 0) & (begin + F.col("n") <= F.col("n_words"))
+        if n_prefix <= broadcast_rows:
+            found = _walked(keyed, g, ["doc_id", "text_key", "w"]).join(F.broadcast(mine), "shingle").where(fits).where(F.slice("w", begin + 1, F.col("n")) == F.col("words"))
+        else:  # places without their texts are shuffled; the texts meet the places that fit, once each
+            places = _walked(keyed, g, ["doc_id", "text_key"]).join(mine.hint("merge"), "shingle").where(fits).select("doc_id", "text_key", "at", "offset", "n", "window_id", "words").distinct()
+            places = stored(places.withColumnsRenamed({"doc_id": "_id", "text_key": "_key"}), "leak-places")
+            texts = keyed.dropDuplicates(["doc_id", "text_key"])
+            found = texts.join(places.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key"))).where(F.slice("w", begin + 1, F.col("n")) == F.col("words"))
+        found = found.select("doc_id", "text_key", begin.alias("begin"), (begin + F.col("n")).alias("end"), "window_id")
+        occurs = found if occurs is None else occurs.unionByName(found)
+    # Copies of a row have the same occurrences.
+    return _counted(stored(occurs, "leak-occurrences").distinct(), members, broadcast_rows)
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, width: int = 10, broadcast_rows: int = 2_000_000) -> DataFrame:
@@ -108,29 +125,14 @@ def clean_documents(docs: DataFrame, items: DataFrame, width: int = 10, broadcas
     return rows.join(keys, same, "left_anti").select("doc.*")
 
 
-def _verified(hits: DataFrame, windows: DataFrame, inside: DataFrame, members: DataFrame, n: int, most: int) -> DataFrame:
-    seen = hits.groupBy("g", "shingle").agg(F.count(F.lit(1)).alias("seen"))
-    # The rarest shingle of each window; windows with a shingle that no document has cannot occur.
-    rarity = inside.join(seen, ["g", "shingle"], "left")
-    rarest = rarity.groupBy("window_id").agg(
-        F.min(F.struct(F.coalesce("seen", F.lit(0)).alias("seen"), "shingle", "offset")).alias("first"), F.first("n").alias("n"), F.first("g").alias("g")
-    ).where(F.col("first.seen") > 0)
-    prefix = rarest.join(windows.select("window_id", "words"), "window_id").select(
-        "window_id", "n", "g", "words", F.col("first.shingle").alias("shingle"), F.col("first.offset").alias("offset")
-    )
-    prefix = small_or_shuffled(stored(prefix, "leak-prefix"), n, most)
-    begin = F.col("at") - F.col("offset")
-    fits = (begin >= 0) & (begin + F.col("n") <= F.col("n_words"))
-    same = F.slice("near", begin - F.col("near_at") + 1, F.col("n")) == F.col("words")
-    occurs = hits.join(prefix, ["g", "shingle"]).where(fits).where(same).select("doc_id", "text_key", begin.alias("begin"), (begin + F.col("n")).alias("end"), "window_id")
-    # Copies of a row have the same occurrences; the words they cover are a union of intervals.
-    occurs = occurs.distinct()
+def _counted(occurs: DataFrame, members: DataFrame, most: int) -> DataFrame:
+    """Words hit and items found, by document; the words that occurrences cover are a union of intervals."""
     before = F.max("end").over(W.partitionBy("doc_id", "text_key").orderBy("begin", "end").rowsBetween(W.unboundedPreceding, -1))
     covered = F.greatest(F.col("end") - F.greatest("begin", F.coalesce("before", F.lit(0))), F.lit(0))
     per = occurs.withColumn("before", before).groupBy("doc_id", "text_key").agg(F.sum(covered).cast("long").alias("n_hit"), F.collect_set("window_id").alias("ids"))
-    members = small_or_shuffled(members, n, most)
+    members = stored(members, "leak-members")
     items = (
-        per.select("doc_id", "text_key", "n_hit", F.explode("ids").alias("window_id")).join(members, "window_id")
+        per.select("doc_id", "text_key", "n_hit", F.explode("ids").alias("window_id")).join(small_or_shuffled(members, members.count(), most), "window_id")
         .groupBy("doc_id", "text_key").agg(F.first("n_hit").alias("n_hit"), F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
     )
     return items.select("doc_id", "text_key", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
