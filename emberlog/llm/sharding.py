@@ -5,8 +5,10 @@ the order is cut into runs of equal row counts, so that each shard spans a small
 dimension and readers can skip shards by their min and max.
 
 Defined cases: a null text has no bytes; a null dimension falls in bin 0; documents of one cell
-stand in an order fixed by md5 of their ids, so equal ids are interchangeable; an empty table
-gives an empty result; fewer rows than shards leave shards empty.
+stand in an order fixed by md5 of their ids, so rows that are equal in id, text and metadata are
+interchangeable; texts of any length count whole; an empty table gives an empty result; fewer rows than
+shards leave shards empty; columns other than doc_id, text and the dimensions are not read (or pass
+through, in ``sharded_documents``, where a column ``shard`` that is there already is replaced).
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import id_order, stored
+from .common import id_order, small_or_shuffled, stored
 
 
 def curve_tables(dims: int) -> tuple[list[int], list[int]]:
@@ -56,27 +58,32 @@ def hilbert_index(bins: list[Column], bits: int) -> Column:
     return F.aggregate(F.array(*(F.lit(b) for b in reversed(range(bits)))), start, step)["index"]
 
 
-def _code(value: Column, skip: int) -> Column:
-    """Two characters after ``skip`` as a number, in code-point order."""
-    at = lambda k: F.least(F.ascii(F.substring(value, skip + k, 1)), F.lit(65535)).cast("long")
-    return at(1) * 65536 + at(2)
+def value_bins(docs: DataFrame, column: str, bits: int) -> DataFrame:
+    """(Value, bin of 0..2^bits-1) of each distinct value: its rank, scaled to the bins.
 
-
-def quantised(docs: DataFrame, strings: list[str], sizes: list[str], bits: int) -> list[Column]:
-    """Order-keeping bins of 0..2^bits-1: strings by the two characters after the prefix that all
-    share, scaled between least and greatest; sizes by their bit length. Only the least and greatest
-    string of each dimension reach the driver."""
-    ends = docs.agg(*(f(c).alias(f"{f.__name__}_{c}") for c in strings for f in (F.min, F.max))).first()
-    out = []
-    for c in strings:
-        low, high = ends[f"min_{c}"] or "", ends[f"max_{c}"] or ""
-        skip = next((i for i, (a, b) in enumerate(zip(low, high)) if a != b), min(len(low), len(high)))
-        number = lambda s: sum(min(ord(s[skip + k]), 65535) * m if len(s) > skip + k else 0 for k, m in ((0, 65536), (1, 1)))  # noqa: E731, B023
-        least, span = number(low), number(high) - number(low) + 1
-        scaled = F.floor((_code(F.col(c), skip) - least) * (1 << bits) / span)
-        out.append(F.coalesce(F.greatest(F.lit(0), F.least(F.lit((1 << bits) - 1), scaled)), F.lit(0)).cast("int"))
-    out += [F.least(F.coalesce(F.length(F.bin(F.col(c))), F.lit(0)), F.lit((1 << bits) - 1)).cast("int") for c in sizes]
-    return out
+    Values are range-partitioned; a rank is the place in a partition and the rows of those before it,
+    so that odd values weigh no more than others and no task sorts all of them.
+    """
+    values = docs.select(F.col(column).alias("value")).where("value is not null").distinct()
+    width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    values = stored(values.repartitionByRange(width, "value").select("value", F.spark_partition_id().alias("part")), "shard-values")
+    total = values.count()
+    before = F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1))
+    starts = values.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", F.coalesce(before, F.lit(0)).alias("start"))  # a row for each partition
+    rank = F.col("start") + F.row_number().over(W.partitionBy("part").orderBy("value")) - 1
+    scaled = F.floor(rank * (1 << bits) / F.lit(max(total, 1))).cast("int")
+    bins = stored(values.join(F.broadcast(starts), "part").select("value", scaled.alias("bin")), "shard-bins")
+    return small_or_shuffled(bins, total, 100_000)
+
+
+def with_curve(rows: DataFrame, bins: dict[str, DataFrame], bits: int) -> DataFrame:
+    """Adds ``curve``; ``rows`` has the columns of ``bins`` and size, whose bin is its bit length."""
+    cells = []
+    for k, (column, table) in enumerate(bins.items()):
+        rows = rows.join(table.withColumnsRenamed({"value": f"_value{k}", "bin": f"_bin{k}"}), F.col(column) == F.col(f"_value{k}"), "left")
+        cells.append(F.coalesce(f"_bin{k}", F.lit(0)))
+    cells.append(F.least(F.length(F.bin("size")), F.lit((1 << bits) - 1)).cast("int"))
+    return rows.withColumn("curve", hilbert_index(cells, bits)).drop(*(f"{c}{k}" for k in range(len(bins)) for c in ("_value", "_bin")))
 
 
 def _rows(docs: DataFrame, strings: tuple[str, ...]) -> DataFrame:
@@ -86,18 +93,18 @@ def _rows(docs: DataFrame, strings: tuple[str, ...]) -> DataFrame:
     return docs.select(F.struct("*").alias("doc"), "doc_id", *strings, size.alias("size"), crc.alias("text_crc32"), id_order(F.col("doc_id")).alias("u"))
 
 
-def hilbert_ranks(docs: DataFrame, strings: tuple[str, ...] = ("lang", "source"), bits: int = 5) -> tuple[DataFrame, int, list[Column]]:
-    """(One row per document with doc_id, size, text_crc32, u, curve, rank; how many; the bins).
+def hilbert_ranks(docs: DataFrame, strings: tuple[str, ...] = ("lang", "source"), bits: int = 5) -> tuple[DataFrame, int, dict[str, DataFrame]]:
+    """(One row per document with doc_id, size, text_crc32, u, curve, rank; how many; the strings' bins).
 
     Ranks come from counts of the cells (at most 2^(bits * dims) rows, which bounds the broadcast),
     then of slices of each cell by md5 of the id (the square root of its rows), then inside a
     slice, so that no cell, however full, is one task.
     """
-    rows = stored(_rows(docs, strings).select("doc_id", *strings, "size", "text_crc32", "u"), "shard-rows")
-    bins = quantised(rows, list(strings), ["size"], bits)
-    rows = rows.withColumn("curve", hilbert_index(bins, bits))
+    bins = {c: value_bins(docs, c, bits) for c in strings}
+    rows = with_curve(_rows(docs, strings).drop("doc"), bins, bits)
+    rows = stored(rows.select("doc_id", "size", "text_crc32", "u", "curve"), "shard-rows")
     before = lambda w: w.rowsBetween(W.unboundedPreceding, -1)
-    cells = rows.groupBy("curve").agg(F.count(F.lit(1)).alias("n")).withColumn("block", F.shiftright("curve", bits * len(bins) // 2))
+    cells = rows.groupBy("curve").agg(F.count(F.lit(1)).alias("n")).withColumn("block", F.shiftright("curve", bits * (len(bins) + 1) // 2))
     blocks = cells.groupBy("block").agg(F.sum("n").alias("n")).select(
         "block", F.coalesce(F.sum("n").over(before(W.orderBy("block"))), F.lit(0)).alias("block_start")
     )
@@ -133,12 +140,13 @@ def hilbert_shards(docs: DataFrame, shards: int = 40, strings: tuple[str, ...] =
 
 
 def sharded_documents(docs: DataFrame, shards: int = 40, strings: tuple[str, ...] = ("lang", "source"), bits: int = 5) -> DataFrame:
-    """The documents with their shard, range-partitioned by shard and sorted along the curve.
+    """The documents with their ``shard``, range-partitioned by shard and sorted along the curve.
 
     The key of each shard's first row is a cut (one row per shard reaches the driver); a document's
     shard is the number of cuts up to its own key, so texts move once. Rows that are equal in
     id, text and metadata share a shard.
     """
+    docs = docs.drop("shard")
     ranked, total, bins = hilbert_ranks(docs, strings, bits)
     if not total:
         return docs.withColumn("shard", F.lit(0))
@@ -146,7 +154,7 @@ def sharded_documents(docs: DataFrame, shards: int = 40, strings: tuple[str, ...
     firsts = [-(-k * total // shards) for k in range(1, shards)]
     cuts = ranked.where(F.col("rank").isin(firsts)).select(key.alias("key")).distinct().collect()
     literal = [F.struct(*(F.lit(v).cast(t).alias(n) for v, (n, t) in zip(c.key, (("curve", "long"), ("u", "long"), ("doc_id", "long"), ("text_crc32", "long"))))) for c in cuts]
-    rows = _rows(docs, strings).withColumn("curve", hilbert_index(bins, bits))
+    rows = with_curve(_rows(docs, strings), bins, bits)
     passed = F.size(F.filter(F.array(*literal), lambda c: c <= key)) if literal else F.lit(0)
     # As many ranges as the session's shuffles have, so a shard may be several files, never a task too large.
     ordered = rows.withColumn("shard", passed).repartitionByRange("shard", "curve", "u").sortWithinPartitions("shard", "curve", "u", "doc_id")
