@@ -1,11 +1,14 @@
 """URL filters: rules by host and path, and gradient-boosted trees for what no rule covers.
 
-The URLs that a rule covers are the labelled ones (blocked or allowed); the trees learn from
-lexical features and judge the rest.
+The URLs that a rule covers are the labelled ones (blocked or allowed), so the labels come from the
+rules alone; the trees learn from lexical features and judge the rest. A suffix's rate of blocked URLs
+leaves out the row whose feature it is, so that no label tells of itself.
 
 Defined cases: a null URL, or one without ``://``, has an empty host and path, fits no rule and is
-judged like any other; rows that repeat get equal verdicts; without labels of both kinds the one
-kind there is (else ``allow``) is the verdict; an empty table gives an empty result.
+judged like any other; rows that repeat get equal verdicts; rules of equal length that both fit go to
+the later one in the list; URLs of any length are read whole; without labels of both kinds the one
+kind there is (else ``allow``) is the verdict; an empty table gives an empty result; columns other than
+page_id and url are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -99,10 +102,13 @@ def judge_urls(
     prior = total.block / total.told
     stats = d.groupBy("suffix").agg(
         (F.count(F.lit(1)) / total.n).alias("suffix_share"),
-        ((F.count_if(F.col("told") == "block") + 5.0 * prior) / (F.count_if(labelled) + 5.0)).alias("suffix_blocked"),
+        F.count_if(F.col("told") == "block").alias("suffix_block"), F.count_if(labelled).alias("suffix_told"),
     )
     stats = stored(stats, "url-suffixes")
     d = d.join(small_or_shuffled(stats, stats.count(), 100_000), "suffix")
+    # Without the row itself, which must not learn from its own label.
+    rate = (F.col("suffix_block") - (labelled & (F.col("told") == "block")).cast("int") + 5.0 * prior) / (F.col("suffix_told") - labelled.cast("int") + 5.0)
+    d = d.withColumn("suffix_blocked", F.coalesce(rate, (F.col("suffix_block") + 5.0 * prior) / (F.col("suffix_told") + 5.0)))
     drawn = F.pmod(F.xxhash64("host", "path", "page_id"), F.lit(1 << 30)) < math.ceil(min(1.0, 0.9 * sample / total.told) * (1 << 30))
     rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(d)
     train = rows.where(labelled & drawn).withColumn("label", (F.col("told") == "block").cast("double")).orderBy("host", "path", "page_id").limit(sample)
