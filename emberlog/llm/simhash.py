@@ -1,8 +1,10 @@
 """SimHash near-duplicates: fingerprints, and a binary-trie self-join within a Hamming distance.
 
 Defined cases: a null text is an empty one and has fingerprint zero, which links like any other;
-rows with equal fingerprints are one trie leaf, so copies cost nothing; a component is named by
-its least doc_id (null ids count only where there is no other); an empty table gives an empty result.
+rows with equal fingerprints are one trie leaf, so copies cost nothing; a component is named by its
+least doc_id (null ids count only where there is no other); a text of any length is read whole; an
+empty table gives an empty result; columns other than doc_id and text pass through or are not read,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -22,22 +24,27 @@ BITS = 64
 SEED = 42
 
 
-def fingerprint(text: str | None, shingle: int = 3) -> int:
-    """Bit-wise majority over the XXH64 of all shingles of the text."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """XXH64 of every word shingle of the text, repeats included; none where it has no word."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, dtype=np.uint64)
     line = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])
     k = min(shingle, len(words))
+    n = len(words) - k + 1
+    starts = np.concatenate([[0], ends[:-1] + 1])[:n].tolist()
     digest = xxhash.xxh64_intdigest
-    total, n = np.zeros(BITS, dtype=np.int64), len(words) - k + 1
-    starts, ends = starts[:n].tolist(), ends[k - 1 :].tolist()
-    for at in range(0, n, 8192):
-        h = np.fromiter((digest(line[s:e], SEED) for s, e in zip(starts[at : at + 8192], ends[at : at + 8192])), dtype=np.uint64)
-        total += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
-    return int(sum(1 << b for b in np.flatnonzero(2 * total > n).tolist()))
+    return np.fromiter((digest(line[s:e], SEED) for s, e in zip(starts, ends[k - 1 :].tolist())), dtype=np.uint64, count=n)
+
+
+def fingerprint(text: str | None, shingle: int = 3) -> int:
+    """Bit-wise majority over the XXH64 of all shingles of the text."""
+    h = shingle_hashes(text, shingle)
+    total = np.zeros(BITS, dtype=np.int64)
+    for at in range(0, len(h), 8192):
+        total += np.unpackbits(h[at : at + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+    return int(sum(1 << b for b in np.flatnonzero(2 * total > len(h)).tolist()))
 
 
 def text_key() -> Column:
@@ -65,13 +72,14 @@ def _signed(x: int) -> int:
     return x - (1 << BITS) if x >> (BITS - 1) else x
 
 
-def trie_pairs(values: np.ndarray, cells: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of ``values`` (uint64, sorted inside each run of ``cells``) within ``budget`` bits.
+def trie_pairs(values: np.ndarray, cells: np.ndarray, budget: int, low: np.ndarray | None = None, leaf: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of ``values`` (uint64, sorted inside each run of ``cells``) within ``budget`` bits;
+    ``low``, if given, has 64 more bits of each that the trie does not branch on.
 
     All cells are walked at once, one trie level a step. A node is a range of sorted values with a
     common prefix; a pair of nodes carries the bits that their prefixes differ in. Children are
     paired with children, a differing bit uses up the budget, and a pair beyond it is dropped with
-    everything below. Pairs of small nodes are compared value by value.
+    everything below. Nodes with at most ``leaf`` pairs of values are compared value by value.
     """
     edge = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1], [True]]))
     lo, hi = edge[:-1], edge[1:]
@@ -81,13 +89,16 @@ def trie_pairs(values: np.ndarray, cells: np.ndarray, budget: int) -> tuple[np.n
     left, right = [], []
     for bit in range(BITS - 1, -2, -1):
         na, nb = a1 - a0, b1 - b0
-        leaf = (na * nb <= 64) | (bit < 0)
-        if leaf.any():
-            i, j = _across(a0[leaf], na[leaf], b0[leaf], nb[leaf])
-            near = (i < j) & (np.bitwise_count(values[i] ^ values[j]) <= budget)
+        small = (na * nb <= leaf) | (bit < 0)
+        if small.any():
+            i, j = _across(a0[small], na[small], b0[small], nb[small])
+            apart = np.bitwise_count(values[i] ^ values[j])
+            if low is not None:
+                apart = apart + np.bitwise_count(low[i] ^ low[j])
+            near = (i < j) & (apart <= budget)
             left.append(i[near])
             right.append(j[near])
-            a0, a1, b0, b1, spent = (x[~leaf] for x in (a0, a1, b0, b1, spent))
+            a0, a1, b0, b1, spent = (x[~small] for x in (a0, a1, b0, b1, spent))
         if not len(a0):
             break
         ones = np.concatenate([[0], np.cumsum((values >> np.uint64(bit)) & np.uint64(1), dtype=np.int64)])
@@ -109,7 +120,7 @@ def _across(a0: np.ndarray, na: np.ndarray, b0: np.ndarray, nb: np.ndarray) -> t
     return a0[row] + k // nb[row], b0[row] + k % nb[row]
 
 
-def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+def labels_of(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Labels of the components of n nodes: the least index in each."""
     label = np.arange(n)
     while len(i):
@@ -123,25 +134,28 @@ def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return label
 
 
+def whole_cells(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """The rows of frames that are sorted by ``keys``, with no cell cut in two (cells are bounded)."""
+    held: list[pd.DataFrame] = []
+    for pdf in frames:
+        if not len(pdf):
+            continue
+        # The last cell may go on in the next batch; it is held back.
+        last = np.logical_and.reduce([pdf[k].to_numpy() == pdf[k].iloc[-1] for k in keys])
+        if held and not last.all() or held and any(held[-1][k].iloc[-1] != pdf[k].iloc[-1] for k in keys):
+            yield pd.concat([*held, pdf[~last]])
+            held = []
+        elif not last.all():
+            yield pdf[~last]
+        held.append(pdf[last])
+    if held:
+        yield pd.concat(held)
+
+
 def _join_cells(budget: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        for pdf in frames:
-            if not len(pdf):
-                continue
-            # A cell may go on in the next batch; it is held back (cells are bounded).
-            last = (pdf["mask"].to_numpy() == pdf["mask"].iloc[-1]) & (pdf["cell"].to_numpy() == pdf["cell"].iloc[-1])
-            if last.all():
-                same = not held or (held[-1]["mask"].iloc[-1] == pdf["mask"].iloc[-1] and held[-1]["cell"].iloc[-1] == pdf["cell"].iloc[-1])
-                if not same:
-                    yield _links(pd.concat(held), budget)
-                    held = []
-                held.append(pdf)
-                continue
-            yield _links(pd.concat([*held, pdf[~last]]), budget)
-            held = [pdf[last]]
-        if held:
-            yield _links(pd.concat(held), budget)
+        for pdf in whole_cells(frames, ["mask", "cell"]):
+            yield _links(pdf, budget)
 
     return run
 
@@ -154,7 +168,7 @@ def _links(pdf: pd.DataFrame, budget: int) -> pd.DataFrame:
     fp, values, mask, cell = fp[order], values[order], mask[order], cell[order]
     runs = np.concatenate([[0], np.cumsum((mask[1:] != mask[:-1]) | (cell[1:] != cell[:-1]))])
     i, j = trie_pairs(values, runs, budget)
-    label = _forest(len(fp), i, j)
+    label = labels_of(len(fp), i, j)
     child = np.flatnonzero(label != np.arange(len(fp)))
     return pd.DataFrame({"a": fp[child], "b": fp[label[child]]})
 
@@ -218,8 +232,12 @@ def _grouped(prints: DataFrame, budget: int, most: int) -> DataFrame:
 def one_of_each(docs: DataFrame, budget: int = 3, most: int = 2048) -> DataFrame:
     """The documents that stay: of each component the row with the least id, then the least hash of
     its text; of rows equal in both, one."""
-    prints = stored(fingerprints(docs), "simhash")
-    stay = _grouped(prints, budget, most).where(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key")))
+    return keep_first(docs, _grouped(stored(fingerprints(docs), "simhash"), budget, most))
+
+
+def keep_first(docs: DataFrame, grouped: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are the first of their group (``grouped``: doc_id, text_key, first)."""
+    stay = grouped.where(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key")))
     stay = stored(stay.groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("copies")).withColumnsRenamed({"doc_id": "_id", "text_key": "_key"}), "simhash-stay")
     rows = docs.select(F.struct("*").alias("doc"), "doc_id", text_key())
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key"))
