@@ -53,6 +53,23 @@ def test_top_k_edge_cases(spark):
     assert big == [(0, 1, 1, 2**63 - 1)]
 
 
+def test_top_k_rows_that_share_an_id(spark):
+    rows = [(0, [1.0, 0.0]), (0, [2.0, 0.0]), (1, [1.0, 1.0]), (1, [3.0, 0.5]), (2, [2.0, 0.0])]
+    got = run_top(spark, rows, 20)
+    want = []
+    for i, (q, v) in enumerate(rows):
+        if q % 20 == 0:
+            scored = sorted((-sum(int(64 * a) * int(64 * b) for a, b in zip(v, w)), c) for j, (c, w) in enumerate(rows) if j != i)
+            want += [(q, r + 1, c, -s) for r, (s, c) in enumerate(scored)]
+    assert got == sorted(want)
+
+
+def test_top_k_searches_only_blocks_that_can_win(spark, monkeypatch):
+    # Queries whose bound asks for long vectors never meet the blocks of short ones.
+    rows = [(i, [100.0 + i, 1.0]) for i in range(40)] + [(1000 + i, [0.01, 0.02]) for i in range(1, 400) if i % 20]
+    assert run_top(spark, rows, 5, seeds=16, bucket_rows=8, query_rows=4) == brute_top(rows, 5)
+
+
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size string"
 
 
@@ -99,6 +116,42 @@ def test_positions_invert_the_schedule():
         assert before + length * (m + slope * length / 2) == pytest.approx(1)
 
 
+def test_time_inverts_the_integral_of_the_schedule(spark):
+    from pyspark.sql import functions as F
+
+    shares = spark.range(0, 101).select((F.col("id") / 100).alias("share"))
+    for knots in mixing.SCHEDULES:
+        timed = shares.select("share", mixing.position_of(F.col("share"), knots).alias("time"))
+        for r in timed.select("share", "time", mixing.demand_at(F.col("time"), knots).alias("back")).collect():
+            steps = [(r.time * (i + 0.5) / 2000) for i in range(2000)]
+            weight = lambda t: next(a[1] + (t - a[0]) * (b[1] - a[1]) / (b[0] - a[0]) for a, b in zip(knots, knots[1:]) if t <= b[0])  # noqa: E731, B023
+            area = sum((b[0] - a[0]) * (a[1] + b[1]) / 2 for a, b in zip(knots, knots[1:]))
+            assert sum(map(weight, steps)) * r.time / 2000 / area == pytest.approx(r.share, abs=1e-5)
+            assert r.back == pytest.approx(r.share, abs=1e-12)
+
+
+def test_tokens_count_the_demand_of_all_sources(spark):
+    rows = [(i, "w " * (1 + i % 9), "en", "abcde"[i % 5], 0, "x") for i in range(400)]
+    got = [r for r in mixing.mix(spark.createDataFrame(rows, DOCS)).collect() if r.token is not None]
+    due = {w: sum({r.source_size: r.due for r in got if r.weight == w}.values()) for w in (5, 2, 1)}
+    schedules = dict(zip((5, 2, 1), mixing.SCHEDULES))
+    def asked(w, t):
+        knots, n = schedules[w], 400
+        weight = lambda x: next(a[1] + (x - a[0]) * (b[1] - a[1]) / (b[0] - a[0]) for a, b in zip(knots, knots[1:]) if x <= b[0])
+        return due[w] * sum(weight(t * (i + 0.5) / n) for i in range(n)) * t / n
+    for r in got[::7]:
+        assert r.token == pytest.approx(sum(asked(w, r.time) for w in due), rel=1e-4, abs=1e-6)
+        assert r.position == pytest.approx(r.token / sum(due.values()))
+
+
+def test_mix_of_odd_rows(spark):
+    rows = [(1, "word " * 300_000, "en", "a", 0, "x"), (2, None, None, None, None, None), (None, "a b", "en", "a", 0, "x"), (None, "a b", "en", "a", 0, "x")]
+    docs = spark.createDataFrame(rows, DOCS)  # with a column named size
+    got = sorted((str(r.doc_id), r["size"]) for r in mixing.mix(docs).collect())
+    assert got == [("1", 300_000), ("2", 0), ("None", 2), ("None", 2)]
+    assert mixing.mixed_documents(docs).columns == docs.columns
+
+
 def test_positions_follow_the_curriculum(spark):
     rows = [(i, "one two three", "en", s, 0, "x") for s in "abc" for i in range(ord(s) * 1000, ord(s) * 1000 + 200)]
     got = mixing.mix(spark.createDataFrame(rows, DOCS)).where("position is not null").collect()

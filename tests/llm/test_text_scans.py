@@ -54,6 +54,52 @@ def test_window_entropy_equals_brute_force(spark):
         assert abs(r.h - entropy(r.s)) < 1e-5
 
 
+def allowed(s):
+    joined = re.fullmatch(r"/?([A-Za-z]+|[0-9]+)([-_/]+([A-Za-z]+|[0-9]+))+/?", s)
+    plain = not re.search("[0-9]", s) or not re.search("[A-Za-z]", s) or re.fullmatch(r"[0-9A-Fa-f]{8}-([0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}", s)
+    return bool(joined or plain or re.search(r"(?i)example|sample|placeholder|changeme|0123456789|abcdefgh|x{6}", s))
+
+
+def entropy_spans(text):
+    base = [tuple(map(int, name.split(":")[1:])) for _, _, name in spans(text)]
+    out = []
+    for m in re.finditer(r"[A-Za-z0-9+/_-]{20,}", text or ""):
+        need = 3.0 if re.fullmatch("[0-9A-Fa-f]+", m[0]) else 3.5 if re.fullmatch("[0-9a-z]+|[0-9A-Z]+", m[0]) else 3.7
+        if not allowed(m[0]) and round(entropy(m[0]), 6) >= need and not any(a < m.end() and m.start() < b for a, b in base):
+            out.append(f"entropy:{m.start()}:{m.end()}")
+    return out
+
+
+def test_entropy_spans_equal_brute_force(spark, sf_dir):
+    import random
+
+    rnd = random.Random(6)
+    texts = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()] + TEXTS
+    for _ in range(60):
+        alphabet = rnd.choice(["abcdef0123456789", "abcXYZ0189+/_-", "aB3", secrets.ALPHABET])
+        words = ["".join(rnd.choice(alphabet) for _ in range(rnd.randrange(10, 70))) for _ in range(30)]
+        texts.append(rnd.choice([" ", ", é ", "\n", " token="]).join(words + ["ab-12-cd", "a1/b2/" * 6, "words/and-more/12/x" * 2, "-" * 30 + "a1"]))
+    rows = [(i, t, "en", "s", 0, "x") for i, t in enumerate(texts)]
+    got = {r.doc_id: r for r in secrets.find_secrets(spark.createDataFrame(rows, DOCS)).collect()}
+    for i, t in enumerate(texts):
+        want = entropy_spans(t)
+        assert [s for s in got[i].spans.split(",") if s.startswith("entropy")] == want
+        assert got[i].n_entropy == len(want)
+
+
+def test_long_texts_are_scanned_in_time(spark):
+    import random
+    import time
+
+    rnd = random.Random(2)
+    texts = ["".join(rnd.choice(secrets.ALPHABET) for _ in range(300_000)), "ab-12-" * 50_000, "".join(rnd.choice("0123456789abcdef") for _ in range(300_000)), " ".join("".join(rnd.choice(secrets.ALPHABET) for _ in range(30)) for _ in range(10_000)), "/" * 300_000 + "a1"]
+    began = time.time()
+    got = {r.doc_id: r for r in secrets.find_secrets(spark.createDataFrame([(i, t) for i, t in enumerate(texts)] * 2, "doc_id long, text string")).collect()}
+    assert time.time() - began < 120  # the square of their lengths would take hours
+    assert (got[0].n_entropy, got[1].n_entropy, got[2].n_hex, got[4].n_entropy) == (1, 0, 1, 0) and got[3].n_entropy > 9000
+    assert secrets.find_secrets(spark.createDataFrame([], DOCS)).count() == 0
+
+
 def test_secrets_on_driver_documents(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     got = {r.doc_id: r for r in secrets.find_secrets(docs).collect()}
@@ -103,6 +149,17 @@ def test_leaks_equal_brute_force(spark):
     assert decontamination.find_leaks(docs.limit(0), bench).count() == 0
 
 
+def test_leaks_in_long_texts_and_shared_windows(spark):
+    part = " ".join(f"p{i}" for i in range(12))
+    long = " ".join(f"w{i % 5000}" for i in range(60_000)) + " " + part + " end"
+    docs = spark.createDataFrame([(1, long, "en", "s", 0, "x"), (2, part, None, None, None, None)], DOCS)
+    bench = spark.createDataFrame([(i, part, "x", 1) for i in range(50)], "item_id long, text string, window_id string, at int")
+    want = brute_leaks([long, part], [(i, part) for i in range(50)])
+    for most in (0, 1_000_000):
+        got = sorted((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontamination.find_leaks(docs, bench, broadcast_rows=most).collect())
+        assert got == [(1, *want[0]), (2, *want[1])]
+
+
 def hilbert_cells(dims, bits):
     rank, inner = sharding.curve_tables(dims)
     cells = {}
@@ -148,6 +205,36 @@ def test_shards_are_even_runs(spark):
     assert sharding.hilbert_shards(docs.limit(0)).count() == 0 and sharding.sharded_documents(docs.limit(0)).count() == 0
 
 
+def test_curve_of_documents_equals_the_walk(spark):
+    names = ["zz", "src1", "src10", "src2", "Ärger", "a" * 50, "", None]
+    rows = [(i, "x" * (2 ** (i % 14)), ["en", "de", "fr", None][i % 4], names[i % 8], 0, "x") for i in range(200)]
+    bits, cells = 5, {tuple(v): k for k, v in hilbert_cells(3, 5).items()}
+    bin_of = lambda values: {v: (sorted(x for x in values if x is not None).index(v) << bits) // len([x for x in values if x is not None]) if v is not None else 0 for v in values}
+    langs, sources = bin_of({r[2] for r in rows}), bin_of({r[3] for r in rows})
+    for r in sharding.hilbert_shards(spark.createDataFrame(rows, DOCS)).collect():
+        _, text, lang, source, *_ = rows[r.doc_id]
+        assert r.curve == cells[langs[lang], sources[source], min((len(text) + 16).bit_length(), 31)]
+
+
+def test_shards_replace_a_column_of_that_name(spark):
+    rows = [(i, "x" * i, "en", "s", 7, i % 3, 1) for i in range(100)] + [(7, "long " * 200_000, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, shard int, curve long")
+    out = sharding.sharded_documents(docs)
+    assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "curve", "shard"]
+    assert out.count() == len(rows) and {r.shard for r in out.collect()} == set(range(40))
+    assert sharding.sharded_documents(docs.limit(0)).columns == out.columns
+
+
+def test_url_labels_do_not_tell_of_themselves(spark):
+    # One labelled URL a suffix: its own label must not show in its suffix's rate.
+    rows = [(i, f"http://h{i}.s{i}.{'com/en' if i % 2 else 'net/de'}/1", "") for i in range(40)] + [(100 + i, f"http://x.u{i}/zz", "") for i in range(5)]
+    got = {r.page_id: r for r in urls.judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i].verdict == ("block" if i % 2 else "allow") for i in range(40))
+    assert all(got[100 + i].score is not None for i in range(5))
+    long = spark.createDataFrame([(1, "http://a.com/en/" + "9" * 500_000, "", 3), (2, "http://a.net/de/" + "a" * 500_000, "", 4), (3, "http://q/" + "?" * 1000, "", 5)], "page_id long, url string, html string, suffix int")
+    assert {r.page_id: r.rule for r in urls.judge_urls(long).collect()} == {1: "com/en/", 2: "net/de/", 3: None}
+
+
 def test_url_rules(spark):
     cases = [
         ("http://a.Example.COM/en/71?x", "a.example.com", "/en/71", "example.com/en/7", "allow"), ("http://com/en/", "com", "/en/", "com/en/", "block"),
