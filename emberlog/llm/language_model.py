@@ -5,11 +5,11 @@ log-probability of a word after it, and the failure arc carries the context's ba
 suffix. A text's score adds up the arcs that a left-to-right traversal takes.
 
 The model grows with the corpus: every n-gram that occurs ``least`` times in the training rows is
-kept, at every size. Texts are encoded in chunks, once. For each length a chunk asks for the counts
-of its distinct n-grams whose head and tail are kept, which loses none, as both occur as often. What
-is asked is dealt out by ranges of a hash, so each n-gram is one number a chunk however common it is;
-the answers come back in the order asked, without the n-grams. Backoff weights are asked for likewise.
-Chunks and answers are bucketed alike, so each moves once, however many rounds read it.
+kept, at every size. Texts are encoded in chunks, once. A chunk asks for the counts of its distinct
+n-grams, then for the backoff weights of the contexts that it leaves by a failure arc. What is asked
+is dealt out by ranges of a hash, so each n-gram is one number a chunk however common it is; the
+answers come back in the order asked, without the n-grams. Chunks and answers are bucketed alike, so
+each moves once, however many rounds read it.
 
 Words and n-grams are known by their hashes, whose width grows with the corpus: one shares its hash
 with another with a probability below one in a million (until 2^44 tokens, where 64 bits are used up).
@@ -38,7 +38,7 @@ from .common import Bucketed, id_remainder, mixed
 #: Stands for the end of a text; no word is empty.
 END = b""
 #: A chunk is closed at so many distinct words or characters of text.
-CHUNK_WORDS, CHUNK_BYTES = 300_000, 16_000_000
+CHUNK_WORDS, CHUNK_BYTES = 300_000, 12_000_000
 #: So many asked n-grams of the whole corpus meet in one group, about.
 PART_KEYS = 1 << 19
 #: Taken off every count of an n-gram of two words or more.
@@ -75,7 +75,7 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = np.argsort(-np.bincount(words, minlength=len(numbers)), kind="stable")  # frequent words get small numbers, which pack well
         rank = np.empty(len(order), dtype=np.uint64)
         rank[order] = np.arange(len(order), dtype=np.uint64)
-        row = [uuid.uuid4().int >> 65, list(ids), list(held), list(n), zlib.compress(pack(rank[words]), 1), hashes[order].tobytes(), sum(n)]
+        row = [uuid.uuid4().int >> 65, list(ids), list(held), list(n), pack(rank[words], tight=8), hashes[order].tobytes(), sum(n)]
         kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds)], names=["chunk", "doc_id", "held_out", "n", "words", "hashes", "tokens"])
 
@@ -92,16 +92,20 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield chunk()
 
 
-def pack(x: np.ndarray) -> bytes:
-    """Unsigned numbers in as many bytes each as the greatest takes, first all lowest bytes."""
+def pack(x: np.ndarray, tight: int = 2) -> bytes:
+    """Unsigned numbers in as many bytes each as the greatest takes, first all lowest bytes; the
+    ``tight`` highest of them, which vary little, are compressed."""
     width = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
-    return bytes([width]) + x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+    planes = np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
+    plain = max(width - tight, 0)
+    return bytes([width, plain]) + len(x).to_bytes(6, "little") + planes[:plain].tobytes() + zlib.compress(planes[plain:].tobytes(), 1)
 
 
 def unpack(data: bytes) -> np.ndarray:
-    width = data[0]
-    out = np.zeros(((len(data) - 1) // width, 8), dtype=np.uint8)
-    out[:, :width] = np.frombuffer(data, dtype=np.uint8, offset=1).reshape(width, -1).T
+    width, plain, n = data[0], data[1], int.from_bytes(data[2:8], "little")
+    planes = data[8 : 8 + plain * n] + zlib.decompress(data[8 + plain * n :])
+    out = np.zeros((n, 8), dtype=np.uint8)
+    out[:, :width] = np.frombuffer(planes, dtype=np.uint8).reshape(width, n).T
     return out.view("<u8").ravel()
 
 
@@ -144,7 +148,7 @@ class Chunk:
     def __init__(self, row: dict, plan: Plan, answers: list[dict]):
         self.plan = plan
         self.lengths = np.array(row["n"], dtype=np.int64)
-        words = unpack(zlib.decompress(row["words"])).astype(np.int64)
+        words = unpack(row["words"]).astype(np.int32)
         hashes = np.frombuffer(row["hashes"], dtype=np.uint64)
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.train = np.repeat(~np.array(row["held_out"], dtype=bool), self.lengths)
@@ -152,43 +156,40 @@ class Chunk:
         self.inner[self.starts] = False  # a token with another before it in its text
         self.word = hashes[words]
         self.shift = np.uint64(64 - plan.bits)
-        self.hash, self.keys, self.n, self.at, self.own, self.weight = {1: self.word}, {}, {}, {}, {}, {}
+        self.keys, self.n, self.at, self.own, self.weight = {}, {}, {}, {}, {}
         self.keys[1], place = np.unique(hashes >> self.shift, return_inverse=True)
-        self.place = {1: place[words]}
-        self.here = {1: np.arange(len(words))}
+        self.place = {1: place.astype(np.int32)[words]}
+        self.here = {1: np.arange(len(words), dtype=np.int32)}
+        before = np.arange(len(words)) - np.repeat(self.starts, self.lengths)
+        last = self.word
+        for k in range(2, plan.order + 1):
+            self.here[k] = np.flatnonzero(before >= k - 1).astype(np.int32)
+            last = mixed(np.roll(last, 1) * np.uint64(0x9E3779B97F4A7C15) + self.word)
+            self.keys[k], place = np.unique(last[self.here[k]] >> self.shift, return_inverse=True)
+            self.place[k] = place.astype(np.int32)
         by: dict[int, list[dict]] = {}
         for a in answers:
             by.setdefault(a["kind"], []).append(a)
-        for k in range(1, plan.order + 1):
-            if k > 1:
-                self._candidates(k)
-            if k not in by and len(self.keys[k]):
-                break
-            self._counts(k, by.get(k, []))
+        if by:
+            for k in range(1, plan.order + 1):
+                self._counts(k, by.get(k, []))
         for k in range(1, plan.order):
-            if k + 1 in self.at:
-                self._weights(k, by.get(-k, []))
-
-    def _candidates(self, k: int) -> None:
-        """N-grams of k words whose head and tail are kept: where they end, their keys and places in them."""
-        below = self.at[k - 1]
-        here = np.flatnonzero((below[1:] >= 0) & (below[:-1] >= 0) & self.inner[1:]) + 1
-        self.hash[k] = np.zeros(len(self.word), dtype=np.uint64)
-        self.hash[k][here] = mixed(self.hash[k - 1][here - 1] * np.uint64(0x9E3779B97F4A7C15) + self.word[here])
-        self.here[k] = here
-        self.keys[k], self.place[k] = np.unique(self.hash[k][here] >> self.shift, return_inverse=True)
+            self._weights(k, by.get(-k, []))
 
     def _counts(self, k: int, answers: list[dict]) -> None:
         answers = sorted(answers, key=lambda a: a["part"])
         sizes = [b - a for _, a, b in self.plan.slices(self.keys[k])]
-        n = [unpack(zlib.decompress(a["n"])) for a in answers]
+        n = [unpack(a["n"]) for a in answers]
         if [len(x) for x in n] != sizes:
             raise ValueError(f"answers on {k} words do not fit what was asked")
         self.n[k] = np.concatenate([np.zeros(0, np.uint64), *n]).astype(np.int64)
         own = [np.unpackbits(np.frombuffer(a["own"], dtype=np.uint8), count=s).astype(bool) for a, s in zip(answers, sizes)]
         self.own[k] = np.concatenate([np.zeros(0, dtype=bool), *own])
-        self.at[k] = np.full(len(self.word), -1, dtype=np.int64)
-        self.at[k][self.here[k]] = np.where(self.n[k][self.place[k]] >= self.plan.least, self.place[k], -1)
+        self.at[k] = np.full(len(self.word), -1, dtype=np.int32)
+        here, kept = self.here[k], self.n[k][self.place[k]] >= self.plan.least
+        if k > 1:  # head and tail occur as often, unless hashes coincide
+            kept &= (self.at[k - 1][here] >= 0) & (self.at[k - 1][here - 1] >= 0)
+        self.at[k][here] = np.where(kept, self.place[k], -1)
 
     def unigram(self) -> np.ndarray:
         """The probability of each word of the chunk; the unknown word's where it has no count."""
@@ -207,13 +208,13 @@ class Chunk:
         mine = self.train[self.here[k]]
         return np.bincount(self.place[k][mine], minlength=len(self.keys[k])).astype(np.uint64)
 
-    def _asked_heads(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(Places in keys[k] of the contexts to ask for, what this chunk adds to their two sums.)
+    def asked_contexts(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(Places in keys[k] of the contexts to ask for, what this chunk adds to the sums of all.)
 
         Each kept n-gram of k + 1 words is added by the one chunk that owns it; a chunk asks for the
         contexts that it leaves by the failure arc.
         """
-        at, heads = self.at[k + 1], np.concatenate([[-1], self.at[k][:-1]])
+        at, heads = self.at[k + 1], np.roll(self.at[k], 1)
         heads[~self.inner] = -1
         asked = np.zeros(len(self.keys[k]), dtype=bool)
         asked[heads[(heads >= 0) & (at < 0)]] = True
@@ -229,7 +230,7 @@ class Chunk:
     def _weights(self, k: int, answers: list[dict]) -> None:
         if not answers:
             return
-        places, _, _ = self._asked_heads(k)
+        places, _, _ = self.asked_contexts(k)
         answers = sorted(answers, key=lambda a: a["part"])
         weight = [np.frombuffer(zlib.decompress(a["n"]), dtype="<f4") for a in answers]
         if [len(x) for x in weight] != [b - a for _, a, b in self.plan.slices(self.keys[k][places])]:
@@ -242,7 +243,7 @@ class Chunk:
         unigram = self.unigram()
         out = np.log10(unigram)[self.place[1]]
         for k in range(2, self.plan.order + 1):
-            head = np.concatenate([[-1], self.at[k - 1][:-1]])
+            head = np.roll(self.at[k - 1], 1)
             head[~self.inner] = -1
             back = head >= 0
             if k - 1 in self.weight:
@@ -262,35 +263,34 @@ def _table(rows: list[dict], ddl: str) -> pa.Table:
     return pa.table({name: pa.array([r.get(name) for r in rows], kinds[kind]) for name, kind in fields})
 
 
-def _questions(chunk: int, row: dict, plan: Plan, answers: list[dict], length: int) -> pa.Table:
-    """What a chunk asks in the round of ``length``: counts of n-grams as long, and the weights of
-    the contexts of n-grams that are a word shorter. ``kind`` is the length, below zero for contexts."""
-    c, rows = Chunk(row, plan, answers), []
-    if length <= plan.order:
-        keys, n = c.keys[length], c.train_counts(length)
-        rows += [{"chunk": chunk, "kind": length, "part": p, "keys": _steps(keys[a:b]), "n": pack(n[a:b])} for p, a, b in plan.slices(keys)]
-    if length > 2:
-        places, seen, below = c._asked_heads(length - 2)
-        keys, seen, below = c.keys[length - 2][places], seen[places], below[places]
-        for p, a, b in plan.slices(keys):
-            given = np.flatnonzero(seen[a:b] > 0)
-            rows.append({"chunk": chunk, "kind": 2 - length, "part": p, "keys": _steps(keys[a:b]), "n": _steps(given.astype(np.uint64)) if len(given) else None, "seen": seen[a:b][given].tobytes(), "below": below[a:b][given].tobytes()})
-    return _table(rows, ASKED)
-
+def _counts_asked(plan: Plan):
+    """What chunks ask first: how often their n-grams occur. ``kind`` is the length."""
 
-def _first_questions(plan: Plan):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                yield from _questions(row["chunk"], row, plan, [], 1).to_batches()
+                c = Chunk(row, plan, [])
+                for k, keys in c.keys.items():
+                    n = c.train_counts(k)
+                    yield from _table([{"chunk": row["chunk"], "kind": k, "part": p, "keys": _steps(keys[a:b]), "n": pack(n[a:b])} for p, a, b in plan.slices(keys)], ASKED).to_batches()
 
     return run
 
 
-def _next_questions(plan: Plan, length: int):
+def _weights_asked(plan: Plan):
+    """What chunks ask then: the backoff weights of contexts, with what the chunk adds to their sums
+    (``n`` says to which). ``kind`` is the length below zero."""
+
     def run(chunks: pa.Table, answers: pa.Table) -> pa.Table:
-        (row,) = chunks.to_pylist()
-        return _questions(row["chunk"], row, plan, answers.to_pylist(), length)
+        (row,), rows = chunks.to_pylist(), []
+        c = Chunk(row, plan, answers.to_pylist())
+        for k in range(1, plan.order):
+            places, seen, below = c.asked_contexts(k)
+            keys, seen, below = c.keys[k][places], seen[places], below[places]
+            for p, a, b in plan.slices(keys):
+                given = np.flatnonzero(seen[a:b] > 0)
+                rows.append({"chunk": row["chunk"], "kind": -k, "part": p, "keys": _steps(keys[a:b]), "n": _steps(given.astype(np.uint64)) if len(given) else None, "seen": seen[a:b][given].tobytes(), "below": below[a:b][given].tobytes()})
+        return _table(rows, ASKED)
 
     return run
 
@@ -314,7 +314,7 @@ def _answers(least: int):
                 own[first] = True
                 stats = {"total": int(n.sum()), "types": int((n > 0).sum()), "once": int((n == 1).sum()), "twice": int((n == 2).sum())} if kind == 1 else {}
                 for r, a, b in zip(rows, ends - [len(k) for k in keys], ends):
-                    out.append({"chunk": r["chunk"], "kind": kind, "part": r["part"], "n": zlib.compress(pack(told[place[a:b]]), 1), "own": np.packbits(own[a:b]).tobytes()} | stats)
+                    out.append({"chunk": r["chunk"], "kind": kind, "part": r["part"], "n": pack(told[place[a:b]]), "own": np.packbits(own[a:b]).tobytes()} | stats)
                     stats = {}
             else:
                 seen, below = np.zeros(len(distinct)), np.zeros(len(distinct))
@@ -435,16 +435,14 @@ def score_texts(docs: DataFrame, mod: int = 7, fold: int = 2, order: int = 3, le
         chunks = texts.add(d.mapInArrow(_encode, CHUNKS))
         size = chunks.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
         plan = Plan(min(64, int(size).bit_length() + SPARE_BITS), max(2 * width, -(-order * size // PART_KEYS)), order, least)
-        with_answers = None
-        for length in range(1, order + 2 if order > 1 else 2):
-            asked = chunks.mapInArrow(_first_questions(plan), ASKED) if length == 1 else with_answers.applyInArrow(_next_questions(plan, length), ASKED)
-            answers = told.add(asked.groupBy("part").applyInArrow(_answers(least), ANSWERS), moved=True)
-            if length == 1:
-                t = answers.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("total", "types", "once", "twice"))).first()
-                plan.total, plan.types = t.total, t.types
-                plan.discount = min(max(t.once / (t.once + 2 * t.twice), 0.01), 0.99) if t.once + t.twice else 0.5
-            with_answers = chunks.groupBy("chunk").cogroup(answers.select("chunk", "kind", "part", "n", "own").groupBy("chunk"))
-        return with_answers.applyInArrow(_scores(plan), SCORES)
+        answers = told.add(chunks.mapInArrow(_counts_asked(plan), ASKED).groupBy("part").applyInArrow(_answers(least), ANSWERS), moved=True)
+        t = answers.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("total", "types", "once", "twice"))).first()
+        plan.total, plan.types = t.total, t.types
+        plan.discount = min(max(t.once / (t.once + 2 * t.twice), 0.01), 0.99) if t.once + t.twice else 0.5
+        grouped = lambda answers: chunks.groupBy("chunk").cogroup(answers.select("chunk", "kind", "part", "n", "own").groupBy("chunk"))
+        if order > 1:
+            answers = told.add(grouped(answers).applyInArrow(_weights_asked(plan), ASKED).groupBy("part").applyInArrow(_answers(least), ANSWERS), moved=True)
+        return grouped(answers).applyInArrow(_scores(plan), SCORES)
     finally:
         texts.release()
         told.release()
