@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.accounts import account_key, in_suspicious_path, ip_key, is_machine_account, is_privileged_group, suspicious_paths
-from ..functions.text import blank, contains_any, contains_ci, equals_ci
+from ..functions.text import blank, contains_any, contains_ci, decode_base64_preview, equals_ci
 from ..schema import RANK, first_prop, is_sysmon, micros, once, prop
 from .findings import PRIMARY, declared_ids_sql, make_finding, provider_has, sql_text
 from .signature_catalog import CATALOGS, Signature
@@ -33,6 +33,8 @@ INJECTION = (
     "virtualalloc", "virtualallocex", "writeprocessmemory", "createremotethread", "ntunmapviewofsection", "rtlmovememory", "marshal.copy",
     "getdelegateforfunctionpointer", "invoke-reflectivepeinjection", "invoke-shellcode",
 )
+#: Characters that are shown of a decoded command.
+PREVIEW = 200
 ENCODED = r"""(?i)(-enc|-encodedcommand|-ec)(\s+|:)\s*(?:['"])?([A-Za-z0-9+/]{20,}={0,2})"""
 LONG_BASE64 = r"[A-Za-z0-9+/]{80,}={0,2}"
 REPLICATION_GUIDS = ("1131f6aa-9c07-11d1-f79f-00c04fc2dcd2", "1131f6ad-9c07-11d1-f79f-00c04fc2dcd2", "89e95b76-444d-4c62-991a-0facbeda640c")
@@ -261,6 +263,9 @@ def suspicious_powershell(events: DataFrame, s: Settings = Settings()) -> DataFr
     d = d.withColumn("blob", once(F.concat_ws("\n", *parts))).withColumn("reasons", once(script_reasons(s))).where(F.size("reasons") > 0)
     rank = F.when(F.size("reasons") >= 2, RANK["High"]).otherwise(RANK["Medium"])
     details = F.concat(F.lit("indicators="), F.array_join("reasons", ","), F.coalesce(F.concat(F.lit("; scriptBlockSha256="), F.when(F.col("script_block_hash") != "", F.col("script_block_hash"))), F.lit("")))
+    # Only flagged rows come here; their encoded text is decoded to be read, never run.
+    shown = F.left(F.regexp_replace(decode_base64_preview(encoded_token()), r"[\r\n]+", " "), F.lit(PREVIEW))
+    details = F.concat(details, F.coalesce(F.concat(F.lit("; preview="), F.when(shown != "", shown)), F.lit("")))
     return make_finding(d, "SuspiciousPowerShell", "Suspicious PowerShell activity", rank, "Script or command line with suspicious marks", details)
 
 

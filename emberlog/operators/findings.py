@@ -86,13 +86,13 @@ def severity_ceiling() -> Column:
     return out.otherwise(RANK["High"])
 
 
-def validated_severity(requested: Column, rule: str, category_fits: Column | None = None) -> Column:
+def validated_severity(requested: Column, rule: str | Column, category_fits: Column | None = None) -> Column:
     """The severity that stands: up to Medium as asked; Medium if the category or event is too weak;
     as asked for rules that judge content or behaviour; else at most the event's ceiling."""
     weak = (F.col("event_id") == 1) & ~is_sysmon()
     if category_fits is not None:
         weak = weak | ~category_fits
-    strong = F.lit(rule in CONTENT_DRIVEN or rule in BEHAVIORAL)
+    strong = (F.lit(rule) if isinstance(rule, str) else rule).isin(*CONTENT_DRIVEN, *BEHAVIORAL)
     return F.when(requested <= RANK["Medium"], requested).when(weak, F.lit(RANK["Medium"])).when(strong, requested).otherwise(F.least(requested, severity_ceiling()))
 
 
@@ -112,11 +112,11 @@ def make_finding(
 
     ``related`` holds at most a few ids; all events of a group are found by ``group_key`` and the
     times (see ``plans.analyze.finding_events``). The primary id comes first if it is absent.
-    ``named`` gives the rule's name by row, for rules that are judged like ``rule``.
+    ``named`` gives the rule's name by row, and severities are validated by it.
     """
     lit = lambda x: F.lit(x) if isinstance(x, str) else x
     asked = F.lit(severity) if isinstance(severity, int) else severity
-    stands = validated_severity(asked, rule, category_fits)
+    stands = validated_severity(asked, named if named is not None else rule, category_fits)
     ids = related if related is not None else F.array("row_id")
     ids = F.when(F.array_contains(ids, F.col("row_id")), ids).otherwise(F.concat(F.array("row_id"), ids))
     ids = F.filter(F.array_distinct(ids), lambda i: i > 0)
@@ -163,9 +163,13 @@ def finding_context() -> Column:
 
 
 def hydrate(findings: DataFrame, events: DataFrame) -> DataFrame:
-    """Adds the context of each finding's event; blank columns of the finding are filled from it."""
-    side = events.select(F.col("row_id").alias("_row"), finding_context().alias("context"))
+    """Adds the context of each finding's event; blank columns of the finding are filled from it.
+
+    Only events that findings refer to are shuffled, and their context is made after the join.
+    """
     first = F.coalesce(F.when(F.col("event_row_id") > 0, F.col("event_row_id")), F.get("related_event_row_ids", F.lit(0)))
+    ids = findings.select(first.alias("_row")).where("_row is not null").distinct()
+    side = events.join(ids, F.col("row_id") == F.col("_row"), "left_semi").select(F.col("row_id").alias("_row"), finding_context().alias("context"))
     d = findings.join(side, first == F.col("_row"), "left").drop("_row")
     fill = lambda c, f: F.when(~blank(F.col(c)), F.col(c)).otherwise(F.col(f"context.{f}"))
     filled = {"computer_name": fill("computer_name", "host"), "user_name": fill("user_name", "user"), "source_ip": fill("source_ip", "source_ip"), "process_name": fill("process_name", "process_name")}

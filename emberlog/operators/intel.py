@@ -178,10 +178,11 @@ def match_cves(events: DataFrame, cves: DataFrame) -> DataFrame:
 
 def enrich_attack(findings: DataFrame, techniques: DataFrame, tactics: DataFrame) -> DataFrame:
     """Adds technique name, tactic names and address to rows with mitre_technique, mitre_tactic and
-    mitre_url; a sub-technique that is unknown takes name and address of its parent."""
-    names = tactics.select(normalize_tactic(F.col("short_name")).alias("_short"), F.col("name").alias("_tactic")).dropDuplicates(["_short"])
-    t = techniques.select(normalize_technique_id(F.col("technique_id")).alias("_tid"), F.col("name").alias("_name"), F.col("url").alias("_url"), "tactic_short_names")
-    t = t.dropDuplicates(["_tid"])
+    mitre_url; a sub-technique that is unknown takes name and address of its parent. Of rows that share
+    an id the least by name stays, so that runs agree (``merge.first_per_key`` keeps a given order)."""
+    names = tactics.groupBy(normalize_tactic(F.col("short_name")).alias("_short")).agg(F.min("name").alias("_tactic"))
+    t = techniques.groupBy(normalize_technique_id(F.col("technique_id")).alias("_tid")).agg(F.min(F.struct("name", "url", "tactic_short_names")).alias("x"))
+    t = t.select("_tid", F.col("x.name").alias("_name"), F.col("x.url").alias("_url"), "x.tactic_short_names")
     listed = t.select("_tid", F.posexplode_outer("tactic_short_names").alias("_pos", "_s")).withColumn("_short", normalize_tactic(F.col("_s"))).join(names, "_short", "left")
     listed = listed.groupBy("_tid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_tactic"))), lambda x: x["_tactic"]), ", ").alias("_tactics"))
     full = t.drop("tactic_short_names").join(listed, "_tid", "left")

@@ -25,11 +25,13 @@ def statistics(events: DataFrame, findings: DataFrame | None = None) -> DataFram
     }
     pairs = F.array(*(F.struct(F.lit(section).alias("section"), key.alias("key")) for section, key in keys.items()))
     counts = events.select(F.explode(pairs).alias("p")).where("p.key is not null").groupBy("p.section", "p.key").agg(F.count(F.lit(1)).alias("value"))
-    most = F.lit(None).cast("int")
-    for name, k in SECTIONS:
-        most = F.when(F.col("section") == name, F.lit(k).cast("int")).otherwise(most)
+    # A group limit for each section: the rows that reach its one task are its limit a partition.
+    limits = {**{name: k for name, k in SECTIONS}, "Summary": None}
     rank = F.row_number().over(W.partitionBy("section").orderBy(F.col("value").desc(), "key"))
-    out = counts.withColumn("_rank", rank).where(most.isNull() | (F.col("_rank") <= most)).drop("_rank")
+    out = counts.where(F.col("section").isin(*(name for name, k in limits.items() if k is None)))
+    for k in sorted({k for k in limits.values() if k is not None}):
+        part = counts.where(F.col("section").isin(*(name for name, n in limits.items() if n == k)))
+        out = out.unionByName(part.withColumn("_rank", rank).where(F.col("_rank") <= k).drop("_rank"))
     if findings is not None:
         by = findings.groupBy(F.lit("FindingsBySeverity").alias("section"), F.col("severity").alias("key")).agg(F.count(F.lit(1)).alias("value"))
         total = findings.agg(F.lit("Summary").alias("section"), F.lit("TotalFindings").alias("key"), F.count(F.lit(1)).alias("value"))

@@ -21,6 +21,7 @@ from ..operators.sigma import Rule, sigma_findings
 from ..operators.stats import severity_summary
 from ..operators.timeline import related_row_ids, timeline
 from ..schema import micros
+from ..storage import stored
 
 log = logging.getLogger(__name__)
 
@@ -41,11 +42,6 @@ def run_detectors(events: DataFrame, settings: Settings = Settings(), detectors:
     return found if not ordered else found.orderBy(F.col("severity_rank").desc(), "time_utc", "event_row_id", "rule_id", "title")
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` with its plan cut: written to the checkpoint folder, or kept by the executors if there is none."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
-
-
 def finding_events(events: DataFrame, findings: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """(rule_name, title, group_key, first_us, severity_rank, row_id): every event of the grouped findings.
 
@@ -88,13 +84,13 @@ def analyze(
     events: DataFrame, iocs: DataFrame, cves: DataFrame, techniques: DataFrame | None = None, tactics: DataFrame | None = None, rules: Sequence[Rule] = (),
     settings: Settings = Settings(), window_us: int = 10 * MINUTE,
 ) -> dict[str, DataFrame]:
-    """All tables of an investigation. Events are persisted and findings written once, as several parts read them."""
-    events = events.persist()
+    """All tables of an investigation. Findings are written once, as several parts read them; the caller may
+    persist ``events``, which every part reads."""
     findings = hydrate(run_detectors(events, settings, rules=rules), events)
     if techniques is not None and tactics is not None and "mitre_technique" in findings.columns:
         findings = enrich_attack(findings, techniques, tactics)
     chains, ioc, cve = all_chains(events, window_us), match_indicators(events, iocs), match_cves(events, cves)
-    findings = written(findings)
+    findings = stored(findings, "findings")
     members = finding_events(events, findings, settings)
     every = members.select("row_id").unionByName(compromised_account_events(events, window_us).select("row_id"))
     return {

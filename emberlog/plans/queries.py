@@ -23,8 +23,9 @@ from ..operators import stats as S
 from ..operators import timeline as TL
 from ..operators.signature_catalog import CATALOGS, Signature
 from ..sources import sinks as X
+from ..storage import stored
 from .adapter import LOG_EVENTS_SQL, log_events
-from .analyze import finding_events, run_detectors, written
+from .analyze import finding_events, run_detectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -458,7 +459,7 @@ def _(ev):
 
 @query("d22_all_detectors")
 def _(ev):
-    return run_detectors(ev.persist(), SETTINGS, ordered=False).select("rule_name", "rule_id", "title", "severity", "event_row_id", "n_related")
+    return run_detectors(stored(ev, "events"), SETTINGS, ordered=False).select("rule_name", "rule_id", "title", "severity", "event_row_id", "n_related")
 
 
 @query("w10_finding_events", f", f AS ({FAILED_SQL}) SELECT account || '|' || ip AS group_key, row_id FROM e JOIN f USING (account, ip) WHERE event_id = 4625")
@@ -610,7 +611,7 @@ def _(ev):
 
 @query("cor7_all_chains")
 def _(ev):
-    return chain(C.all_chains(ev, 2 * HOUR))
+    return chain(C.all_chains(stored(ev, "events"), 2 * HOUR))
 
 
 # Indicators, vulnerabilities, techniques. Lists come from the driver's tables.
@@ -715,9 +716,9 @@ def _(ev):
 
 def grouped_findings(ev: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Findings of groups and the events of each."""
-    ev = ev.persist()
+    ev = stored(ev, "events")
     # One plan a detector: planning all at once takes much of the driver's memory.
-    parts = [written(f(ev, SETTINGS)) for f in (D.failed_logons, D.successful_logons, D.rdp_activity, D.brute_force, D.password_spray, D.kerberos_bursts, D.new_users)]
+    parts = [stored(f(ev, SETTINGS), "group-findings") for f in (D.failed_logons, D.successful_logons, D.rdp_activity, D.brute_force, D.password_spray, D.kerberos_bursts, D.new_users)]
     found = reduce(DataFrame.unionByName, parts)
     return found, finding_events(ev, found, SETTINGS)
 
@@ -780,5 +781,4 @@ def _(ev):
 
 @query("snk4b_export_all_statistics")
 def _(ev):
-    ev = ev.persist()
-    return X.export_statistics(S.statistics(ev, written(run_detectors(ev, SETTINGS, ordered=False))), L.EventFilter(user="bob"))
+    return X.export_statistics(S.statistics(ev, stored(run_detectors(ev, SETTINGS, ordered=False), "findings")), L.EventFilter(user="bob"))

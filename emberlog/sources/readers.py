@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,8 +24,11 @@ def read_event_xml(spark: SparkSession, path: str, f: EventFilter = EventFilter(
 
 
 def write_events(events: DataFrame, path: str, mode: str = "append") -> None:
-    """Parquet by day; with ``overwrite`` only the days that occur are replaced."""
-    writer = events.repartition("event_date").sortWithinPartitions("event_date", "time_created_utc").write.mode(mode).partitionBy("event_date")
+    """Parquet by day; with ``overwrite`` only the days that occur are replaced.
+
+    Ranges of day and time: a large day is several tasks and files, a file holds few days.
+    """
+    writer = events.repartitionByRange("event_date", "time_created_utc").sortWithinPartitions("event_date", "time_created_utc").write.mode(mode).partitionBy("event_date")
     (writer.option("partitionOverwriteMode", "dynamic") if mode == "overwrite" else writer).parquet(path)
 
 
@@ -186,10 +188,8 @@ def parse_rules(text: str, source: str = "", strict: bool = True) -> list[Rule]:
     return rules
 
 
-def load_rules(paths: Sequence[str], strict: bool = True) -> list[Rule]:
-    """Rules of files, or of all YAML files below folders, on the driver's disk."""
-    out = []
-    for p in map(Path, paths):
-        for f in sorted([*p.rglob("*.yml"), *p.rglob("*.yaml")]) if p.is_dir() else [p]:
-            out += parse_rules(f.read_text(encoding="utf-8"), f.name, strict)
-    return out
+def load_rules(spark: SparkSession, paths: Sequence[str], strict: bool = True) -> list[Rule]:
+    """Rules of YAML files or folders of them, by Spark's readers. Rules are settings: their texts come
+    to the driver, where queries are made from them."""
+    texts = spark.read.text(list(paths), wholetext=True, recursiveFileLookup=True).select(F.input_file_name().alias("name"), "value").orderBy("name")
+    return [r for t in texts.collect() for r in parse_rules(t.value, t.name.rsplit("/", 1)[-1], strict)]
