@@ -107,12 +107,13 @@ def make_finding(
     df: DataFrame, rule: str, title: Column | str, severity: Column | int, description: Column | str = "", details: Column | str = "",
     rule_id: Column | str | None = None, related: Column | None = None, count: Column | None = None, group_key: Column | None = None,
     first_us: Column | None = None, last_us: Column | None = None, category_fits: Column | None = None, named: Column | None = None,
+    extra: dict[str, Column] | None = None,
 ) -> DataFrame:
     """Finding rows from rows that have the primary event's columns.
 
     ``related`` holds at most a few ids; all events of a group are found by ``group_key`` and the
     times (see ``plans.analyze.finding_events``). The primary id comes first if it is absent.
-    ``named`` gives the rule's name by row, and severities are validated by it.
+    ``named`` gives the rule's name by row, and severities are validated by it; ``extra`` adds columns.
     """
     lit = lambda x: F.lit(x) if isinstance(x, str) else x
     asked = F.lit(severity) if isinstance(severity, int) else severity
@@ -133,6 +134,7 @@ def make_finding(
         (count if count is not None else F.lit(1)).cast("bigint").alias("n_related"),
         (group_key if group_key is not None else F.lit(None)).cast("string").alias("group_key"),
         (first_us if first_us is not None else micros()).alias("first_us"), (last_us if last_us is not None else micros()).alias("last_us"),
+        *(c.alias(n) for n, c in (extra or {}).items()),
     )
 
 

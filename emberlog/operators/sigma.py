@@ -229,15 +229,24 @@ def attack_tags(tags: Sequence[str]) -> tuple[str | None, str | None, list[str]]
     return next((t for t in own if not is_technique.match(t)), None), next((t for t in own if is_technique.match(t)), None), own
 
 
-def match_rules(events: DataFrame, rules: Sequence[Rule], aliases: Mapping[str, str] | None = None, batch: int = 100) -> DataFrame:
-    """Events with the rules that they match: the event's columns, ``rule_no``.
+def match_rules(events: DataFrame, rules: Sequence[Rule], aliases: Mapping[str, str] | None = None, batch: int = 100, detailed: bool = False) -> DataFrame:
+    """Events with the rules that they match: the event's columns, ``rule_no`` and, if ``detailed``,
+    ``fits`` (whether the category does) and ``detail`` (see ``match_detail``).
 
     Rules are grouped by their event ids, so each group first cuts the events down; a group is cut
-    into batches, so that no expression grows too large. Nothing is shuffled.
+    into batches, so that no expression grows too large. A batch is one scan, whatever its rules, and
+    details are worked out in it, for what matches alone. Nothing is shuffled.
     """
     groups: dict[tuple[int, ...], list[int]] = {}
     for i, r in enumerate(rules):
         groups.setdefault(r.event_ids, []).append(i)
+
+    def hit(i: int, blob: Column | None) -> Column:
+        told = [F.lit(i).alias("rule_no")]
+        if detailed:
+            told += [F.coalesce(category_matches(rules[i].category or rules[i].service), F.lit(False)).alias("fits"), match_detail(rules[i], aliases, blob).alias("detail")]
+        return F.when(rule_predicate(rules[i], aliases, blob), F.struct(*told))
+
     out = None
     for ids, members in sorted(groups.items()):
         some = events.where(F.col("event_id").isin(*ids)) if ids else events
@@ -246,8 +255,8 @@ def match_rules(events: DataFrame, rules: Sequence[Rule], aliases: Mapping[str,
             needs_blob = any(s.keywords or s.options for i in part for s in rules[i].selections.values())
             d = some.withColumn("_blob", once(keyword_blob())) if needs_blob else some
             blob = F.col("_blob") if needs_blob else None
-            hits = F.array_compact(F.array(*(F.when(rule_predicate(rules[i], aliases, blob), F.lit(i)) for i in part)))
-            d = d.withColumn("_hits", once(hits)).withColumn("rule_no", F.explode("_hits")).drop("_blob", "_hits")
+            d = d.withColumn("_hits", once(F.array_compact(F.array(*(hit(i, blob) for i in part))))).withColumn("_hit", F.explode("_hits"))
+            d = d.select("*", "_hit.*").drop("_blob", "_hits", "_hit")
             out = d if out is None else out.unionByName(d)
     return out if out is not None else events.withColumn("rule_no", F.lit(0)).limit(0)
 
@@ -255,11 +264,11 @@ def match_rules(events: DataFrame, rules: Sequence[Rule], aliases: Mapping[str,
 DESCRIBE = {"contains": "contains", "startswith": "startswith", "endswith": "endswith", "re": "matches", "equals": "equals"}
 
 
-def match_detail(rule: Rule, aliases: Mapping[str, str] | None = None) -> Column:
+def match_detail(rule: Rule, aliases: Mapping[str, str] | None = None, blob: Column | None = None) -> Column:
     """struct(selections, fields, values, reason) of an event that matches the rule."""
     names, fields, values, parts = [], [], [], []
     for name, s in rule.selections.items():
-        hit = selection_predicate(s, aliases)
+        hit = selection_predicate(s, aliases, blob)
         names.append(F.when(hit, F.lit(name)))
         for f in s.fields:
             actual = field_value(f.field, aliases)
@@ -275,19 +284,32 @@ def match_detail(rule: Rule, aliases: Mapping[str, str] | None = None) -> Column
     return F.struct(chosen.alias("selections"), pack(fields).alias("fields"), pack(values).alias("values"), reason.alias("reason"))
 
 
-def sigma_findings(events: DataFrame, rules: Sequence[Rule], aliases: Mapping[str, str] | None = None) -> DataFrame:
-    """Findings with the rule's severity, tags and what matched; the detail is worked out on matches only."""
-    d = match_rules(events, rules, aliases)
-    out = None
+def sigma_findings(events: DataFrame, rules: Sequence[Rule], aliases: Mapping[str, str] | None = None, batch: int = 25) -> DataFrame:
+    """Findings with the rule's severity, tags and what matched.
+
+    Events are scanned once for each batch of rules; what is the same for all matches of a rule comes
+    from a table of the rules, which is broadcast (rules are settings that the driver holds).
+    """
+    if not rules:
+        return make_finding(events.limit(0), "SigmaRules", "", 0)
+    d = match_rules(events, rules, aliases, batch, detailed=True)
+    kinds = {"r_no": "int", "r_id": "string", "r_title": "string", "r_rank": "int", "r_text": "string", "r_head": "string", "r_status": "string", "r_condition": "string", "r_tactic": "string", "r_technique": "string", "r_tags": "array<string>"}
+    told = []
     for i, r in enumerate(rules):
         tactic, technique, tags = attack_tags(r.tags)
-        mine = d.where(F.col("rule_no") == i).withColumn("detail", match_detail(r, aliases))
-        description = r.description if (r.description or "").strip() else f"Sigma rule matched ({r.id or r.source})."
-        details = F.concat(F.lit(f"sigmaId={r.id or ''}; status={r.status or ''}; tags={', '.join(r.tags[:8])}; reason="), F.col("detail.reason"))
-        f = make_finding(mine, "SigmaRules", f"[Sigma] {r.title}", RANK[r.severity], description, details, rule_id=r.id or r.source, category_fits=category_matches(r.category or r.service))
-        f = f.withColumns({"mitre_tactic": F.lit(tactic).cast("string"), "mitre_technique": F.lit(technique).cast("string"), "mitre_tags": F.array(*map(F.lit, tags)).cast("array<string>"), "mitre_url": F.lit(None).cast("string")})
-        out = f if out is None else out.unionByName(f)
-    return out
+        text = r.description if (r.description or "").strip() else f"Sigma rule matched ({r.id or r.source})."
+        head = f"sigmaId={r.id or ''}; status={r.status or ''}; tags={', '.join(r.tags[:8])}; reason="
+        told.append((i, r.id or r.source, f"[Sigma] {r.title}", RANK[r.severity], text, head, r.status, r.condition, tactic, technique, tags))
+    table = events.sparkSession.createDataFrame(told, ", ".join(f"{n} {t}" for n, t in kinds.items()))
+    d = d.join(F.broadcast(table), F.col("rule_no") == F.col("r_no"))
+    c = F.col
+    return make_finding(
+        d, "SigmaRules", c("r_title"), c("r_rank"), c("r_text"), F.concat("r_head", "detail.reason"), rule_id=c("r_id"), category_fits=c("fits"),
+        extra={
+            "mitre_tactic": c("r_tactic"), "mitre_technique": c("r_technique"), "mitre_tags": c("r_tags"), "mitre_url": F.lit(None).cast("string"), "sigma_id": c("r_id"), "sigma_status": c("r_status"),
+            "matched_selection": F.array_join("detail.selections", ","), "matched_fields": c("detail.fields"), "matched_values": c("detail.values"), "condition": c("r_condition"), "reason": c("detail.reason"),
+        },
+    )
 
 
 def rule_table(spark, rules: Sequence[Rule]) -> DataFrame:

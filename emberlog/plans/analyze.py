@@ -15,7 +15,7 @@ from ..operators.detectors import (
     DETECTORS, KERBEROS, LOGON_TYPES, MINUTE, PRE_AUTH_BURST, ROASTING_BURST, SPRAYING, Settings, has_user, is_failure, is_kerberoast, new_user_additions, ticket_account,
     ticket_source,
 )
-from ..operators.findings import hydrate
+from ..operators.findings import hydrate, make_finding
 from ..operators.intel import enrich_attack, match_cves, match_indicators
 from ..operators.sigma import Rule, sigma_findings
 from ..operators.stats import severity_summary
@@ -28,16 +28,26 @@ log = logging.getLogger(__name__)
 Detector = Callable[[DataFrame, Settings], DataFrame]
 
 
-def run_detectors(events: DataFrame, settings: Settings = Settings(), detectors: dict[str, Detector] | None = None, rules: Sequence[Rule] = (), ordered: bool = True) -> DataFrame:
-    """All findings, the most severe first (if ``ordered``). A detector that cannot be planned is left out and logged."""
+def run_detectors(
+    events: DataFrame, settings: Settings = Settings(), detectors: dict[str, Detector] | None = None, rules: Sequence[Rule] = (), ordered: bool = True, isolated: bool = True,
+) -> DataFrame:
+    """All findings, the most severe first (if ``ordered``).
+
+    ``isolated`` runs each detector as a job of its own and writes its findings, so one that fails,
+    when it is planned or when it runs, is logged and left out. Otherwise all are one plan.
+    """
+    todo = dict(detectors or DETECTORS)
+    if rules:
+        todo["rules"] = lambda ev, _: sigma_findings(ev, rules)
     parts = []
-    for name, detector in (detectors or DETECTORS).items():
+    for name, detector in todo.items():
         try:
-            parts.append(detector(events, settings))
+            found = detector(events, settings)
+            parts.append(stored(found, f"findings-{name}") if isolated else found)
         except Exception:
             log.exception("detector %s failed", name)
-    if rules:
-        parts.append(sigma_findings(events, rules))
+    if not parts:
+        return make_finding(events.limit(0), "None", "", 0)
     found = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     return found if not ordered else found.orderBy(F.col("severity_rank").desc(), "time_utc", "event_row_id", "rule_id", "title")
 

@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 from ..operators import detectors as D
 from ..operators import stats as S
 from ..operators import timeline as TL
+from ..operators.findings import hydrate
+from ..operators.sigma import sigma_findings
 from ..operators.signature_catalog import CATALOGS, Signature
 from ..sources import sinks as X
 from ..storage import stored
 from .analyze import finding_events
-from .queries import DAY, FAILURE_SQL, HOUR, ORACLES, PREFIX, SETTINGS, greedy_sql, largest_sql, query, shown, signature_sql, top_sql
+from .queries import DAY, FAILURE_SQL, HOUR, ORACLES, PREFIX, RULES_SQL, SETTINGS, greedy_sql, largest_sql, query, rules, shown, signature_sql, top_sql
 
 # All detectors.
 
@@ -98,3 +100,22 @@ ORACLES["snk3b_export_all_events"] = PREFIX + f" SELECT row_id AS EventRowId, st
 def _(ev):
     return X.export_statistics(S.statistics(ev))
 
+
+# Rules with all that matched, and what of it is exported.
+
+RULE_MATCH_SQL = (
+    " SELECT 'r1' AS rule_id, row_id AS event_row_id, 'selection and not filter' AS condition, 'selection' AS selections, 'Image' AS fields, process_path AS vals FROM e WHERE " + RULES_SQL[0]
+    + " UNION ALL SELECT 'r3', row_id, 'words', 'words', '', '' FROM e WHERE " + RULES_SQL[2]
+)
+
+
+@query("sig9b_rule_matches", RULE_MATCH_SQL)
+def _(ev):
+    f = sigma_findings(ev, rules()).where("rule_id in ('r1', 'r3')")
+    return f.select("rule_id", "event_row_id", "condition", F.col("matched_selection").alias("selections"), F.array_join("matched_fields", ",").alias("fields"), F.array_join("matched_values", ",").alias("vals"))
+
+
+@query("snk1b_export_rule_findings", f" SELECT rule_id AS RuleId, CAST(event_row_id AS VARCHAR) AS RelatedEventRowIds, condition AS Condition, selections AS MatchedSelection, fields AS MatchedFields, vals AS MatchedValues, rule_id AS SigmaId, CASE rule_id WHEN 'r1' THEN 'attack.discovery' ELSE '' END AS MitreTactic FROM ({RULE_MATCH_SQL})")
+def _(ev):
+    f = sigma_findings(ev, rules()).where("rule_id in ('r1', 'r3')")
+    return X.export_findings(hydrate(f, ev)).select("RuleId", "RelatedEventRowIds", "Condition", "MatchedSelection", "MatchedFields", "MatchedValues", "SigmaId", "MitreTactic")

@@ -158,6 +158,17 @@ def _selection(value, strict: bool) -> Selection:
     return Selection()
 
 
+def _sound(s: Selection) -> bool:
+    """Whether the patterns of a selection can be compiled, so that a broken one costs its rule and not the job."""
+    try:
+        for f in s.fields:
+            for v in f.values if f.modifier == "re" else ():
+                re.compile(v)
+    except re.error:
+        return False
+    return all(map(_sound, s.options))
+
+
 def parse_rules(text: str, source: str = "", strict: bool = True) -> list[Rule]:
     """Rules of a YAML text with any number of documents; broken ones are skipped.
 
@@ -177,7 +188,7 @@ def parse_rules(text: str, source: str = "", strict: bool = True) -> list[Rule]:
             condition = next((str(v) for n, v in detection.items() if str(n).lower() == "condition"), "")
         except (yaml.YAMLError, KeyError, TypeError, AttributeError):
             continue
-        if not title or not chosen or not condition.strip():
+        if not title or not chosen or not condition.strip() or not all(map(_sound, chosen.values())):
             continue
         level = str(raw.get("level") or "medium").strip().lower()
         get = lambda k: None if source_of.get(k) is None else str(source_of[k])  # noqa: E731, B023
