@@ -38,7 +38,7 @@ from .common import Bucketed, id_remainder, mixed
 #: Stands for the end of a text; no word is empty.
 END = b""
 #: A chunk is closed at so many distinct words or characters of text.
-CHUNK_WORDS, CHUNK_BYTES = 300_000, 12_000_000
+CHUNK_WORDS, CHUNK_BYTES = 200_000, 8_000_000
 #: So many asked n-grams of the whole corpus meet in one group, about.
 PART_KEYS = 1 << 19
 #: Taken off every count of an n-gram of two words or more.
