@@ -46,7 +46,7 @@ def _compromised(events: DataFrame, window_us: int, least: int) -> tuple[DataFra
     d = window_ends(busy_runs(fails, ["key"], window_us, least), ["key"], window_us)
     starts = d.where(F.col("end_rn") - F.col("rn") + 1 >= least)
     last = d.select("key", "run", F.col("rn").alias("end_rn"), F.col("us").alias("last_us"))
-    starts = starts.join(last, ["key", "run", "end_rn"]).select(F.col("row_id").alias("start_row"), "key", "run", "rn", "end_rn", F.col("us").alias("start_us"), "last_us")
+    starts = starts.join(last, ["key", "run", "end_rn"]).select(F.col("row_id").alias("start_row"), "key", "run", "bucket", "rn", "end_rn", F.col("us").alias("start_us"), "last_us")
     wins = _side(events.where(F.col("event_id") == 4624), "s", key=account_ip(), user=F.coalesce("target_user_name", "user_name"), host=F.col("computer_name"), ip=F.col("source_ip"))
     hit = first_after(starts, wins, "start_row", [("key", "s_key")], F.col("last_us"), F.col("last_us") + window_us, "s_us", "s_row", window_us, keep=["s_user", "s_host", "s_ip"])
     d2 = starts.join(hit, "start_row").withColumn("who", F.lower("hit.s_user")).withColumn("won_us", F.col("hit.us")).withColumnRenamed("hit", "won")
@@ -54,7 +54,7 @@ def _compromised(events: DataFrame, window_us: int, least: int) -> tuple[DataFra
     hit2 = first_after(d2, special, "start_row", [("who", "p_user")], F.col("won_us"), F.col("won_us") + window_us, "p_us", "p_row", window_us)
     full = d2.join(hit2, "start_row")
     # Of each account and address the earliest start.
-    return d, full.groupBy("key").agg(F.min_by(F.struct("start_row", "run", "rn", "end_rn", "won", "hit"), F.struct("start_us", "rn")).alias("c")).select("key", "c.*")
+    return d, full.groupBy("key").agg(F.min_by(F.struct("start_row", "run", "bucket", "rn", "end_rn", "won", "hit"), F.struct("start_us", "rn")).alias("c")).select("key", "c.*")
 
 
 def compromised_account(events: DataFrame, window_us: int = 10 * MINUTE, least: int = 5) -> DataFrame:
@@ -80,7 +80,7 @@ def suspicious_account(events: DataFrame, window_us: int = 10 * MINUTE) -> DataF
     c = _side(created, "c", name=F.col("target_user_name"), host=F.col("computer_name"), creator=F.col("user_name"))
     g = _side(events.where(F.col("event_id").isin(4728, 4732)), "g", target=F.col("target_user_name"), raw=F.col("raw_xml"), member=prop("MemberName"))
     names = contains_ci(F.col("g_target"), F.col("c_name")) | contains_ci(F.col("g_raw"), F.col("c_name")) | contains_ci(F.col("g_member"), F.col("c_name"))
-    added = first_after(c, g, "c_row", [], F.col("c_us"), F.col("c_us") + window_us, "g_us", "g_row", window_us, names)
+    added = first_after(c, g, "c_row", [], F.col("c_us"), F.col("c_us") + window_us, "g_us", "g_row", window_us, names, by=["g_target", "g_raw", "g_member"])
     d = c.join(added, "c_row").withColumnRenamed("hit", "added").withColumn("a_us", F.col("added.us")).withColumn("c_low", F.lower("c_name"))
     logons = _side(events.where(F.col("event_id") == 4624), "l", name=F.lower("target_user_name"))
     used = first_after(d, logons, "c_row", [("c_low", "l_name")], F.col("a_us"), F.col("a_us") + window_us, "l_us", "l_row", window_us)
@@ -106,7 +106,7 @@ def _held_in(text: Column) -> Column:
 def task_persistence(events: DataFrame, window_us: int = 10 * MINUTE) -> DataFrame:
     t = _side(events.where(F.col("event_id") == 4698), "t", text=F.coalesce("command_line", "raw_xml", F.lit("")), name=F.col("task_name"), user=F.col("user_name"), host=F.col("computer_name"))
     fits = _held_in(F.col("t_text")) | ((F.coalesce("t_name", F.lit("")) != "") & contains_ci(F.col("p_command"), F.col("t_name")))
-    hit = first_after(t, _processes(events), "t_row", [], F.col("t_us"), F.col("t_us") + window_us, "p_us", "p_row", window_us, fits, keep=["p_name", "p_path"])
+    hit = first_after(t, _processes(events), "t_row", [], F.col("t_us"), F.col("t_us") + window_us, "p_us", "p_row", window_us, fits, keep=["p_name", "p_path"], by=["p_path", "p_name", "p_command"])
     d = t.join(hit, "t_row")
     details = F.concat(F.lit("task="), F.coalesce("t_name", F.lit("")), F.lit("; process="), F.coalesce("hit.p_name", F.lit("")))
     return _chain(d, "ScheduledTaskThenProcess", "Potential persistence mechanism", "High", F.col("hit.us"), F.col("t_user"), F.col("t_host"), None, details, F.array(F.col("t_row"), F.col("hit.id")))

@@ -7,7 +7,6 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..functions.accounts import account_key, in_suspicious_path, ip_key, is_machine_account, is_privileged_group, suspicious_paths
 from ..functions.text import blank, contains_any, contains_ci, decode_base64_preview, equals_ci
@@ -131,7 +130,7 @@ def burst_clusters(events: DataFrame, window_us: int, threshold: int) -> DataFra
     keys = ["account", "ip"]
     d = _named(events.where(is_failure() & has_user())).select(*keys, "us", *PRIMARY)
     d = window_ends(busy_runs(d, keys, window_us, threshold), keys, window_us)
-    clusters = greedy_clusters(d.where(F.col("end_rn") - F.col("rn") + 1 >= threshold).select(*keys, "run", "rn", "end_rn"), keys)
+    clusters = greedy_clusters(d.where(F.col("end_rn") - F.col("rn") + 1 >= threshold).select(*keys, "run", "bucket", "rn", "end_rn"), keys)
     g = cluster_rows(d, clusters, keys).groupBy(*keys, "run", "start_rn").agg(
         F.count(F.lit(1)).alias("n"), F.min("us").alias("first_us"), F.max("us").alias("last_us"), _last().alias("p"), F.min_by("row_id", F.struct("us", "row_id")).alias("first_row")
     ).withColumn("cluster", F.concat_ws("|", *keys, F.col("first_us").cast("string"), F.col("first_row").cast("string")))
@@ -156,10 +155,9 @@ def spray_clusters(events: DataFrame, window_us: int, threshold: int) -> DataFra
     """Greedy windows of one address with failures for many accounts."""
     d = _named(events.where(is_failure() & has_user())).where(~F.col("ip").isin("", "-"))
     d = d.select("ip", "account", "us", *PRIMARY).withColumn("named", F.when(F.regexp_replace("account", r"^\\+|\\+$", "") != "", F.col("account")))
-    d = window_ends(busy_runs(d, ["ip"], window_us, threshold), ["ip"], window_us)
-    seen = F.size(F.collect_set("named").over(W.partitionBy("ip", "run").orderBy("us").rangeBetween(0, window_us)))
-    d = d.withColumn("accounts", seen)
-    clusters = greedy_clusters(d.where(F.col("accounts") >= threshold).select("ip", "run", "rn", "end_rn"), ["ip"])
+    d = window_ends(busy_runs(d, ["ip"], window_us, threshold), ["ip"], window_us, {"seen": F.collect_set("named")})
+    clusters = greedy_clusters(d.where(F.size("seen") >= threshold).select("ip", "run", "bucket", "rn", "end_rn"), ["ip"])
+    d = d.drop("seen")
     return cluster_rows(d, clusters, ["ip"]).groupBy("ip", "run", "start_rn").agg(
         F.count(F.lit(1)).alias("n"), F.count_distinct("named").alias("n_accounts"), F.min("us").alias("first_us"), F.max("us").alias("last_us"), _last().alias("p"), F.min_by("row_id", F.struct("us", "row_id")).alias("first_row")
     )
@@ -195,7 +193,13 @@ def new_user_additions(events: DataFrame, s: Settings = Settings()) -> DataFrame
     o = adds.withColumn("bucket", F.floor(F.col("g_us") / s.new_user_window_us).cast("bigint"))
     named = F.coalesce("new_user", F.lit("")) != ""
     member = (named & (contains_ci(F.col("g_member"), F.col("new_user")) | contains_ci(F.col("g_raw"), F.col("new_user")))) | equals_ci(F.col("g_target"), F.col("new_user"))
-    return a.join(o, "bucket").where(F.col("g_us").between(F.col("us"), F.col("us") + s.new_user_window_us) & member).select("row_id", "g_row", "g_us")
+    # Accounts are held against the distinct names of a bucket; events are joined to those that fit.
+    names = ("g_member", "g_raw", "g_target")
+    fits = a.join(o.select("bucket", *names).distinct(), "bucket").where(member).withColumnsRenamed({"bucket": "of_bucket"} | {c: f"of_{c}" for c in names})
+    same = F.col("of_bucket") == F.col("bucket")
+    for c in names:
+        same = same & F.col(f"of_{c}").eqNullSafe(F.col(c))
+    return fits.join(o, same).where(F.col("g_us").between(F.col("us"), F.col("us") + s.new_user_window_us)).select("row_id", "g_row", "g_us")
 
 
 def new_users(events: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -334,8 +338,8 @@ def largest_clusters(events: DataFrame, window_us: int, least: int) -> DataFrame
     d = events.withColumns({"who": F.lower(ticket_account()), "source": F.lower(ticket_source()), "us": micros(), "service": F.lower(prop("ServiceName"))})
     d = window_ends(busy_runs(d.select(*keys, "us", "service", *PRIMARY), keys, window_us, least), keys, window_us)
     size = F.col("end_rn") - F.col("rn") + 1
-    best = d.withColumn("size", size).where(F.col("size") >= least).groupBy(*keys).agg(F.min(F.struct((-F.col("size")).alias("a"), "us", "row_id", "run", "rn", "end_rn")).alias("b"))
-    chosen = best.select(*keys, F.col("b.run").alias("run"), F.col("b.rn").alias("rn"), F.col("b.end_rn").alias("end_rn"))
+    best = d.withColumn("size", size).where(F.col("size") >= least).groupBy(*keys).agg(F.min(F.struct((-F.col("size")).alias("a"), "us", "row_id", "run", "bucket", "rn", "end_rn")).alias("b"))
+    chosen = best.select(*keys, F.col("b.run").alias("run"), F.col("b.bucket").alias("bucket"), F.col("b.rn").alias("rn"), F.col("b.end_rn").alias("end_rn"))
     return cluster_rows(d, chosen, keys).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.count_distinct(F.when(F.col("service") != "", F.col("service"))).alias("services"), F.min("us").alias("first_us"), F.max("us").alias("last_us"),
         _last().alias("p"), F.min_by("row_id", F.struct("us", "row_id")).alias("first_row"),

@@ -6,15 +6,15 @@ Rules are settings and live on the driver; events are data. A rule becomes one b
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import blank
-from ..schema import RANK, is_sysmon, once
-from .findings import CATEGORY_EVENT_IDS, category_matches, make_finding
+from ..functions.text import WHITE
+from ..schema import RANK, once
+from .findings import CATEGORY_EVENT_IDS, category_sql, make_finding, sql_text
 
 # Channels of services, and columns of field names.
 SERVICE_LOGS = {
@@ -76,22 +76,29 @@ def select_rules(rules: Sequence[Rule], experimental: bool = False, deprecated:
     return [r for r in rules if (r.status or "").lower() not in barred and not tags & {t.lower() for t in r.tags} and (not (r.product or "").strip() or r.product.lower() == "windows")]
 
 
-def logsource_predicate(rule: Rule) -> Column:
+# Predicates are SQL texts: building thousands of them call by call costs more than running them.
+
+def _blank_sql(c: str) -> str:
+    return f"coalesce(btrim({c}, {sql_text(WHITE)}) = '', true)"
+
+
+def logsource_sql(rule: Rule) -> str:
     """Product, known service (by channel or provider) and category; what is unknown fits."""
     if (rule.product or "").strip() and rule.product.lower() != "windows":
-        return F.lit(False)
-    out = F.lit(True)
+        return "false"
+    out = []
     service = (rule.service or "").strip().lower()
     if service in SERVICE_LOGS:
-        hit = is_sysmon() if service == "sysmon" else F.lit(False)
-        for name in SERVICE_LOGS[service]:
-            for c in ("log_name", "provider_name"):
-                hit = hit | F.coalesce(F.contains(F.lower(c), F.lit(name.lower())), F.lit(False))
-        out = out & hit
-    return out & category_matches(rule.category)
+        names = [n.lower() for n in SERVICE_LOGS[service]]
+        hits = [f"coalesce(contains(lower({c}), {sql_text(n)}), false)" for n in names for c in ("log_name", "provider_name")]
+        if service == "sysmon":
+            hits.append("coalesce(contains(lower(provider_name), 'sysmon'), false)")
+        out.append("(" + " OR ".join(hits) + ")")
+    ids = CATEGORY_EVENT_IDS.get((rule.category or "").lower())
+    return " AND ".join([*out, category_sql(ids)] if ids else out) or "true"
 
 
-def field_value(name: str, aliases: Mapping[str, str] | None = None) -> Column:
+def field_sql(name: str, aliases: Mapping[str, str] | None = None) -> str:
     """A field by name: an alias's target, the property bag, the typed column; blank ones are skipped.
 
     A dotted name is also looked for by its last part.
@@ -100,107 +107,92 @@ def field_value(name: str, aliases: Mapping[str, str] | None = None) -> Column:
     names = [n for n in (target.lower() if target else None, low, low.rsplit(".", 1)[-1]) if n]
     options = []
     for n in dict.fromkeys(names):
-        options.append(F.try_element_at("properties", F.lit(n)))
+        options.append(f"try_element_at(properties, {sql_text(n)})")
         if n in FIELD_COLUMNS:
-            options.append(F.col(FIELD_COLUMNS[n]).cast("string"))
+            options.append(f"CAST({FIELD_COLUMNS[n]} AS STRING)")
         elif n == "image":
-            options.append(F.coalesce("process_path", "process_name"))
+            options.append("coalesce(process_path, process_name)")
         elif n == "subjectusername":
             pass  # a missing property is '' and hides what would follow it
-    return F.coalesce(*(F.when(~blank(o), o) for o in options), F.lit(None).cast("string"))
+    return "coalesce(" + ", ".join(f"CASE WHEN NOT {_blank_sql(o)} THEN {o} END" for o in options) + ")"
 
 
-def compare(actual: Column, expected: str, modifier: str) -> Column:
+def compare_sql(actual: str, expected: str, modifier: str) -> str:
     """Case-insensitive; a value with ``*`` is an anchored pattern whatever the modifier."""
     if "*" in expected:
-        return actual.rlike("(?id)^" + ".*".join(map(re.escape, expected.split("*"))) + "$")
-    low, value = F.lower(actual), F.lit(expected.lower())
-    if modifier == "contains":
-        return F.contains(low, value)
-    if modifier == "startswith":
-        return F.startswith(low, value)
-    if modifier == "endswith":
-        return F.endswith(low, value)
+        return f"rlike({actual}, {sql_text('(?id)^' + '.*'.join(map(re.escape, expected.split('*'))) + '$')})"
     if modifier == "re":
-        return actual.rlike("(?id)" + expected)
-    return low == value
+        return f"rlike({actual}, {sql_text('(?id)' + expected)})"
+    value = sql_text(expected.lower())
+    return f"{modifier}(lower({actual}), {value})" if modifier in ("contains", "startswith", "endswith") else f"lower({actual}) = {value}"
+
 
+def keyword_blob_sql() -> str:
+    columns = dict.fromkeys([*FIELD_COLUMNS.values(), "raw_xml", "process_path"])
+    return "lower(concat_ws('\n', " + ", ".join(f"CAST({c} AS STRING)" for c in columns) + ", array_join(map_values(properties), '\n')))"
 
-def keyword_blob() -> Column:
-    columns = [*dict.fromkeys(FIELD_COLUMNS.values()), "raw_xml", "process_path"]
-    return F.lower(F.concat_ws("\n", *(F.col(c).cast("string") for c in dict.fromkeys(columns)), F.array_join(F.map_values("properties"), "\n")))
 
+class Texts:
+    """How a predicate writes a field's value and the text that keywords look into."""
 
-def selection_predicate(s: Selection, aliases: Mapping[str, str] | None = None, blob: Column | None = None) -> Column:
+    def __init__(self, aliases: Mapping[str, str] | None = None, named: Mapping[str, str] | None = None, blob: str | None = None):
+        self.aliases, self.named, self.blob = aliases, named or {}, blob or keyword_blob_sql()
+
+    def field(self, name: str) -> str:
+        return self.named.get(name.lower()) or field_sql(name, self.aliases)
+
+
+def selection_sql(s: Selection, t: Texts) -> str:
     """A keyword list needs one keyword; a field list needs every field, with any of its values."""
     if s.options:
-        out = F.lit(False)
-        for o in s.options:
-            out = out | selection_predicate(o, aliases, blob)
-        return out
+        return "(" + " OR ".join(selection_sql(o, t) for o in s.options) + ")"
     if s.keywords:
-        text = blob if blob is not None else keyword_blob()
-        out = F.lit(False)
-        for k in s.keywords:
-            if k.strip():
-                out = out | F.contains(text, F.lit(k.lower()))
-        return F.coalesce(out, F.lit(False))
-    if not s.fields:
-        return F.lit(False)
-    out = F.lit(True)
+        hits = [f"contains({t.blob}, {sql_text(k.lower())})" for k in s.keywords if k.strip()]
+        return f"coalesce({' OR '.join(hits)}, false)" if hits else "false"
+    out = []
     for f in s.fields:
-        value = field_value(f.field, aliases)
-        hits = [compare(value, v, f.modifier) for v in f.values]
-        joined = F.lit(bool(f.every and hits))
-        for h in hits:
-            joined = (joined & h) if f.every else (joined | h)
-        out = out & F.coalesce(joined, F.lit(False))
-    return F.coalesce(out, F.lit(False))
+        hits = [compare_sql(t.field(f.field), v, f.modifier) for v in f.values]
+        out.append(f"coalesce({(' AND ' if f.every else ' OR ').join(hits)}, false)" if hits else "false")
+    return "(" + " AND ".join(out) + ")" if out else "false"
 
 
 _TOKEN = re.compile(r"\(|\)|[^\s()|]+")
 
 
-def condition_predicate(condition: str, selections: Mapping[str, Column]) -> Column:
+def condition_sql(condition: str, selections: Mapping[str, str]) -> str:
     """and, or, not, parentheses, ``N of name*`` and ``all of name*``.
 
     Unknown names and ``them`` are false; what follows a pipe is not looked at.
     """
-    text = condition.split("|")[0]
     names = {n.lower(): c for n, c in selections.items()}
-    words = _TOKEN.findall(text)
+    words = _TOKEN.findall(condition.split("|")[0])
     at = 0
 
-    def group(pattern: str) -> list[Column]:
+    def group(pattern: str) -> list[str]:
         if "*" not in pattern:
             return [names[pattern.lower()]] if pattern.lower() in names else []
         fits = re.compile("^" + ".*".join(map(re.escape, pattern.split("*"))) + "$", re.I)
         return [c for n, c in selections.items() if fits.match(n)]
 
-    def either() -> Column:
+    def joined(word: str, next_one: Callable[[], str]) -> str:
         nonlocal at
-        out = both()
-        while at < len(words) and words[at].lower() == "or":
+        parts = [next_one()]
+        while at < len(words) and words[at].lower() == word:
             at += 1
-            out = out | both()
-        return out
+            parts.append(next_one())
+        return parts[0] if len(parts) == 1 else "(" + f" {word.upper()} ".join(parts) + ")"
 
-    def both() -> Column:
-        nonlocal at
-        out = one()
-        while at < len(words) and words[at].lower() == "and":
-            at += 1
-            out = out & one()
-        return out
+    def either() -> str:
+        return joined("or", lambda: joined("and", one))
 
-    def one() -> Column:
+    def one() -> str:
         nonlocal at
         if at >= len(words):
-            return F.lit(False)
+            return "false"
         word = words[at].lower()
         at += 1
         if word == "not":
-            return ~one()
+            return f"(NOT {one()})"
         if word == "(":
             out = either()
             if at < len(words) and words[at] == ")":
@@ -209,17 +201,21 @@ def condition_predicate(condition: str, selections: Mapping[str, Column]) -> Col
         if (word == "all" or word.isdigit()) and at + 1 < len(words) and words[at].lower() == "of":
             members = group(words[at + 1])
             at += 2
-            need = len(members) if word == "all" else int(word)
-            hits = sum((m.cast("int") for m in members), F.lit(0))
-            return (hits >= need) if members or word != "all" else F.lit(False)
-        return names.get(word, F.lit(word == "true"))
+            if word == "all" and not members:
+                return "false"
+            hits = " + ".join(f"CAST({m} AS INT)" for m in members) or "0"
+            return f"(({hits}) >= {len(members) if word == 'all' else int(word)})"
+        return names.get(word, "true" if word == "true" else "false")
+
+    return either() if words else "false"
 
-    return either() if words else F.lit(False)
 
+def rule_sql(rule: Rule, t: Texts) -> str:
+    return f"({logsource_sql(rule)} AND {condition_sql(rule.condition, {n: selection_sql(s, t) for n, s in rule.selections.items()})})"
 
-def rule_predicate(rule: Rule, aliases: Mapping[str, str] | None = None, blob: Column | None = None) -> Column:
-    chosen = {n: selection_predicate(s, aliases, blob) for n, s in rule.selections.items()}
-    return logsource_predicate(rule) & condition_predicate(rule.condition, chosen)
+
+def rule_predicate(rule: Rule, aliases: Mapping[str, str] | None = None) -> Column:
+    return F.expr(rule_sql(rule, Texts(aliases)))
 
 
 def attack_tags(tags: Sequence[str]) -> tuple[str | None, str | None, list[str]]:
@@ -229,34 +225,43 @@ def attack_tags(tags: Sequence[str]) -> tuple[str | None, str | None, list[str]]
     return next((t for t in own if not is_technique.match(t)), None), next((t for t in own if is_technique.match(t)), None), own
 
 
+def _fields_of(s: Selection) -> set[str]:
+    return {f.field.lower() for f in s.fields}.union(*map(_fields_of, s.options))
+
+
 def match_rules(events: DataFrame, rules: Sequence[Rule], aliases: Mapping[str, str] | None = None, batch: int = 100, detailed: bool = False) -> DataFrame:
     """Events with the rules that they match: the event's columns, ``rule_no`` and, if ``detailed``,
     ``fits`` (whether the category does) and ``detail`` (see ``match_detail``).
 
     Rules are grouped by their event ids, so each group first cuts the events down; a group is cut
-    into batches, so that no expression grows too large. A batch is one scan, whatever its rules, and
-    details are worked out in it, for what matches alone. Nothing is shuffled.
+    into batches, so that no expression grows too large. A batch is one scan, whatever its rules: each
+    field that they ask for is worked out once, details for what matches alone. Nothing is shuffled.
     """
     groups: dict[tuple[int, ...], list[int]] = {}
     for i, r in enumerate(rules):
         groups.setdefault(r.event_ids, []).append(i)
 
-    def hit(i: int, blob: Column | None) -> Column:
-        told = [F.lit(i).alias("rule_no")]
+    def hit(i: int, t: Texts) -> str:
+        r, told = rules[i], f"'rule_no', {i}"
         if detailed:
-            told += [F.coalesce(category_matches(rules[i].category or rules[i].service), F.lit(False)).alias("fits"), match_detail(rules[i], aliases, blob).alias("detail")]
-        return F.when(rule_predicate(rules[i], aliases, blob), F.struct(*told))
+            ids = CATEGORY_EVENT_IDS.get((r.category or r.service or "").lower())
+            told += f", 'fits', coalesce({category_sql(ids) if ids else 'true'}, false), 'detail', {detail_sql(r, t)}"
+        return f"CASE WHEN {rule_sql(r, t)} THEN named_struct({told}) END"
 
     out = None
     for ids, members in sorted(groups.items()):
         some = events.where(F.col("event_id").isin(*ids)) if ids else events
         for k in range(0, len(members), batch):
             part = members[k : k + batch]
-            needs_blob = any(s.keywords or s.options for i in part for s in rules[i].selections.values())
-            d = some.withColumn("_blob", once(keyword_blob())) if needs_blob else some
-            blob = F.col("_blob") if needs_blob else None
-            d = d.withColumn("_hits", once(F.array_compact(F.array(*(hit(i, blob) for i in part))))).withColumn("_hit", F.explode("_hits"))
-            d = d.select("*", "_hit.*").drop("_blob", "_hits", "_hit")
+            selections = [s for i in part for s in rules[i].selections.values()]
+            named = {n: f"_f{j}" for j, n in enumerate(sorted(set().union(*map(_fields_of, selections))))}
+            made = {c: once(F.expr(field_sql(n, aliases))) for n, c in named.items()}
+            if any(s.keywords or s.options for s in selections):
+                made["_blob"] = once(F.expr(keyword_blob_sql()))
+            t = Texts(aliases, named, "_blob")
+            hits = F.expr("array_compact(array(" + ", ".join(hit(i, t) for i in part) + "))")
+            d = some.withColumns(made).withColumn("_hits", once(hits)).withColumn("_hit", F.explode("_hits"))
+            d = d.select("*", "_hit.*").drop("_hits", "_hit", *made)
             out = d if out is None else out.unionByName(d)
     return out if out is not None else events.withColumn("rule_no", F.lit(0)).limit(0)
 
@@ -264,24 +269,28 @@ def match_rules(events: DataFrame, rules: Sequence[Rule], aliases: Mapping[str,
 DESCRIBE = {"contains": "contains", "startswith": "startswith", "endswith": "endswith", "re": "matches", "equals": "equals"}
 
 
-def match_detail(rule: Rule, aliases: Mapping[str, str] | None = None, blob: Column | None = None) -> Column:
-    """struct(selections, fields, values, reason) of an event that matches the rule."""
+def detail_sql(rule: Rule, t: Texts) -> str:
     names, fields, values, parts = [], [], [], []
     for name, s in rule.selections.items():
-        hit = selection_predicate(s, aliases, blob)
-        names.append(F.when(hit, F.lit(name)))
+        hit = selection_sql(s, t)
+        names.append(f"CASE WHEN {hit} THEN {sql_text(name)} END")
         for f in s.fields:
-            actual = field_value(f.field, aliases)
-            expected = F.array_compact(F.array(*(F.when(F.coalesce(compare(actual, v, f.modifier), F.lit(False)), F.lit(v)) for v in f.values)))
-            ok = hit & (F.size(expected) > 0)
-            fields.append(F.when(ok, F.lit(f.field)))
-            values.append(F.when(ok, actual))
-            parts.append(F.when(ok, F.concat(F.lit(f"{f.field} {DESCRIBE[f.modifier]} \""), F.get(expected, F.lit(0)), F.lit('" (actual="'), actual, F.lit('")'))))
-    pack = lambda xs: F.array_compact(F.array(*xs)) if xs else F.array().cast("array<string>")
-    chosen = pack(names)
-    head = F.concat(F.lit(f'condition="{rule.condition}"'), F.when(F.size(chosen) > 0, F.concat(F.lit("; matchedSelection="), F.array_join(chosen, ","))).otherwise(""))
-    reason = F.concat_ws("; ", head, pack(parts))
-    return F.struct(chosen.alias("selections"), pack(fields).alias("fields"), pack(values).alias("values"), reason.alias("reason"))
+            actual = t.field(f.field)
+            expected = "coalesce(" + "".join(f"CASE WHEN {compare_sql(actual, v, f.modifier)} THEN {sql_text(v)} END, " for v in f.values) + "CAST(NULL AS STRING))"
+            ok = f"{hit} AND {expected} IS NOT NULL"
+            fields.append(f"CASE WHEN {ok} THEN {sql_text(f.field)} END")
+            values.append(f"CASE WHEN {ok} THEN {actual} END")
+            head = sql_text(f'{f.field} {DESCRIBE[f.modifier]} "')
+            parts.append(f"CASE WHEN {ok} THEN concat({head}, {expected}, '\" (actual=\"', {actual}, '\")') END")
+    pack = lambda xs: "array_compact(array(" + ", ".join(xs) + "))" if xs else "CAST(array() AS ARRAY<STRING>)"
+    chosen, condition = pack(names), sql_text(f'condition="{rule.condition}"')
+    head = f"concat({condition}, CASE WHEN size({chosen}) > 0 THEN concat('; matchedSelection=', array_join({chosen}, ',')) ELSE '' END)"
+    return f"named_struct('selections', {chosen}, 'fields', {pack(fields)}, 'values', {pack(values)}, 'reason', concat_ws('; ', {head}, {pack(parts)}))"
+
+
+def match_detail(rule: Rule, aliases: Mapping[str, str] | None = None) -> Column:
+    """struct(selections, fields, values, reason) of an event that matches the rule."""
+    return F.expr(detail_sql(rule, Texts(aliases)))
 
 
 def sigma_findings(events: DataFrame, rules: Sequence[Rule], aliases: Mapping[str, str] | None = None, batch: int = 25) -> DataFrame:

@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..storage import stored
+
 
 def busy_runs(events: DataFrame, keys: Sequence[str], window_us: int, least: int) -> DataFrame:
-    """The events of runs that could hold a window of ``least`` events, with their ``run``.
+    """The events of runs that could hold a window of ``least`` events, with ``run``, ``bucket`` and
+    ``offset`` (the events of the run before the bucket).
 
-    Time is cut into buckets of the window's length. No window spans an empty bucket, so runs of
-    busy buckets are finer groups than keys: they are found on counts of (key, bucket) alone, and
-    runs with too few events never shuffle further. One key with most
-    of the events is spread over its buckets.
+    Time is cut into buckets of the window's length. No window spans an empty bucket, so runs of busy
+    buckets are found, and numbered, on counts of (key, bucket) alone; runs with too few events never
+    shuffle further. Events stay grouped by bucket, so one key with most of them, even without a quiet
+    moment, is spread over its buckets.
     """
     d = events.withColumn("bucket", F.floor(F.col("us") / window_us).cast("bigint"))
     counts = d.groupBy(*keys, "bucket").agg(F.count(F.lit(1)).alias("n"))
@@ -23,54 +26,109 @@ def busy_runs(events: DataFrame, keys: Sequence[str], window_us: int, least: int
     gap = F.when(F.col("bucket") - F.lag("bucket").over(by_key) == 1, 0).otherwise(1)
     runs = counts.withColumn("gap", gap).withColumn("run", F.sum("gap").over(by_key.rowsBetween(W.unboundedPreceding, 0)))
     whole = W.partitionBy(*keys, "run")
-    runs = runs.withColumn("total", F.sum("n").over(whole)).where(F.col("total") >= least).select(*keys, "bucket", "run")
-    return d.join(runs, [*keys, "bucket"])
+    runs = runs.withColumn("total", F.sum("n").over(whole)).withColumn("offset", F.coalesce(F.sum("n").over(whole.orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    return d.join(runs.where(F.col("total") >= least).select(*keys, "bucket", "run", "offset"), [*keys, "bucket"])
+
 
+def window_ends(events: DataFrame, keys: Sequence[str], window_us: int, more: Mapping[str, Column] | None = None) -> DataFrame:
+    """Adds rn (rank in the run by time), end_rn (rank of the last event within the window) and, under
+    their names, other aggregates over the window.
 
-def window_ends(events: DataFrame, keys: Sequence[str], window_us: int) -> DataFrame:
-    """Adds rn (rank in the run by time) and end_rn (rank of the last event within the window)."""
-    w = W.partitionBy(*keys, "run")
-    rn = F.row_number().over(w.orderBy("us", "row_id"))
-    d = events.withColumn("rn", rn)
-    return d.withColumn("end_rn", F.max("rn").over(w.orderBy("us").rangeBetween(0, window_us)))
+    A window ends in its own bucket or the next, so each bucket is joined by the events of the next one,
+    and no group is larger than that.
+    """
+    d = events.withColumn("_group", F.explode(F.array("bucket", F.col("bucket") - 1))).repartition(*keys, "_group")
+    place = F.row_number().over(W.partitionBy(*keys, "_group", "bucket").orderBy("us", "row_id"))
+    d = d.withColumn("rn", (F.col("offset") + place).cast("int"))
+    ahead = W.partitionBy(*keys, "_group").orderBy("us").rangeBetween(0, window_us)
+    d = d.withColumns({"end_rn": F.max("rn").over(ahead)} | {n: c.over(ahead) for n, c in (more or {}).items()})
+    return d.where(F.col("_group") == F.col("bucket")).drop("_group")
 
 
-def greedy_clusters(candidates: DataFrame, keys: Sequence[str]) -> DataFrame:
+def greedy_clusters(candidates: DataFrame, keys: Sequence[str], most: int = 100_000) -> DataFrame:
     """Non-overlapping windows in order of time: after one is taken, those that start inside it go.
 
-    ``candidates`` (rn, end_rn) are only the windows that are large enough. They are cut where one
-    starts after all before it have ended, and each part is folded on its own.
+    ``candidates`` (keys, run, bucket, rn, end_rn) are only the windows that are large enough. They are
+    cut where one starts after all before it have ended; ends rise with starts, so that needs the one
+    before alone, which is in the bucket or the last one of the bucket before. A part with up to ``most``
+    candidates is folded; in a larger one each is linked to the first that starts after its end, and the
+    chain from the part's start is marked in rounds that double the length of the links.
     """
-    w = W.partitionBy(*keys, "run").orderBy("rn")
-    reach = F.max("end_rn").over(w.rowsBetween(W.unboundedPreceding, -1))
-    d = candidates.withColumn("part_start", F.when(reach.isNull() | (F.col("rn") > reach), 1).otherwise(0))
-    d = d.withColumn("part", F.sum("part_start").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    starts = F.array_sort(F.collect_list(F.struct(F.col("rn"), F.col("end_rn"))))
-    none = F.struct(F.lit(0).cast("int").alias("next"), F.array().cast("array<struct<rn:int,end_rn:int>>").alias("out"))
+    group = [*keys, "run"]
+    inside = W.partitionBy(*group, "bucket").orderBy("rn")
+    c = candidates.select(*group, "bucket", "rn", "end_rn").withColumn("_before", F.lag("end_rn").over(inside))
+    ends = candidates.groupBy(*group, "bucket").agg(F.max("end_rn").alias("_end"), F.min("rn").alias("_first"))
+    by_bucket = W.partitionBy(*group).orderBy("bucket")
+    ends = ends.withColumn("_last", F.max("_end").over(by_bucket.rowsBetween(W.unboundedPreceding, -1)))
+    c = c.join(ends.select(*group, "bucket", "_last"), [*group, "bucket"]).withColumn("_before", F.coalesce("_before", "_last"))
+    c = c.withColumn("_starts", (F.col("_before").isNull() | (F.col("rn") > F.col("_before"))).cast("int"))
+    base = c.groupBy(*group, "bucket").agg(F.sum("_starts").alias("_n")).withColumn("_base", F.coalesce(F.sum("_n").over(by_bucket.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    c = c.join(base.select(*group, "bucket", "_base"), [*group, "bucket"])
+    c = c.withColumn("part", F.col("_base") + F.sum("_starts").over(inside.rowsBetween(W.unboundedPreceding, 0))).select(*group, "part", "bucket", "rn", "end_rn", "_starts")
+    c = stored(c, "window-parts")
+    sizes = c.groupBy(*group, "part").agg(F.count(F.lit(1)).alias("_size"))
+    large = sizes.where(F.col("_size") > most).drop("_size")
+    if not large.limit(1).count():
+        return _folded(c, group)
+    return _folded(c.join(large, [*group, "part"], "left_anti"), group).unionByName(_doubled(c.join(large, [*group, "part"]), group))
+
+
+def _folded(c: DataFrame, group: list[str]) -> DataFrame:
+    starts = F.array_sort(F.collect_list(F.struct("rn", "end_rn", "bucket")))
+    none = F.struct(F.lit(0).cast("int").alias("next"), F.array().cast("array<struct<rn:int,end_rn:int,bucket:bigint>>").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         taken = F.struct((x["end_rn"] + 1).cast("int").alias("next"), F.concat(acc["out"], F.array(x)).alias("out"))
         return F.when(x["rn"] >= acc["next"], taken).otherwise(acc)
 
-    folded = d.groupBy(*keys, "run", "part").agg(starts.alias("s")).select(*keys, "run", F.explode(F.aggregate("s", none, step, lambda a: a["out"])).alias("c"))
-    return folded.select(*keys, "run", F.col("c.rn").alias("rn"), F.col("c.end_rn").alias("end_rn"))
+    folded = c.groupBy(*group, "part").agg(starts.alias("s")).select(*group, F.explode(F.aggregate("s", none, step, lambda a: a["out"])).alias("c"))
+    return folded.select(*group, F.col("c.rn").alias("rn"), F.col("c.end_rn").alias("end_rn"), F.col("c.bucket").alias("bucket"))
+
+
+def _doubled(c: DataFrame, group: list[str]) -> DataFrame:
+    """The chain of each part from its first window on."""
+    # The first start after an end: among the bucket's and the next one's own, else the first of a later bucket.
+    own = c.select(*group, "bucket", "rn", "end_rn", F.lit(True).alias("_own"))
+    near = c.select(*group, F.explode(F.array("bucket", F.col("bucket") - 1)).alias("bucket"), F.col("rn").alias("_at"), F.lit(None).cast("int").alias("_id"))
+    asks = own.select(*group, "bucket", F.col("end_rn").alias("_at"), F.col("rn").alias("_id"))
+    after = W.partitionBy(*group, "bucket").orderBy(F.col("_at"), F.col("_id").isNotNull()).rowsBetween(1, W.unboundedFollowing)
+    found = near.unionByName(asks).withColumn("_next", F.min(F.when(F.col("_id").isNull(), F.col("_at"))).over(after)).where("_id is not null")
+    firsts = c.groupBy(*group, "bucket").agg(F.min("rn").alias("_first"))
+    beyond = firsts.select(*group, "bucket", F.min("_first").over(W.partitionBy(*group).orderBy("bucket").rangeBetween(2, W.unboundedFollowing)).alias("_far"))
+    link = found.join(beyond, [*group, "bucket"]).select(*group, F.col("_id").alias("rn"), F.coalesce("_next", "_far").alias("next"))
+    link = stored(link.where("next is not null"), "window-links")
+    marked = stored(c.where("_starts = 1").select(*group, "rn"), "window-marks")
+    n = marked.count()
+    while True:
+        reached = marked.join(link, [*group, "rn"]).select(*group, F.col("next").alias("rn"))
+        marked = stored(marked.unionByName(reached).distinct(), "window-marks")
+        now = marked.count()
+        if now == n:
+            break
+        n = now
+        onward = link.select(*group, F.col("rn").alias("next"), F.col("next").alias("_onward"))
+        link = stored(link.join(onward, [*group, "next"], "left").select(*group, "rn", F.coalesce("_onward", "next").alias("next")), "window-links")
+    return c.join(marked, [*group, "rn"], "left_semi").select(*group, "rn", "end_rn", "bucket")
 
 
 def cluster_rows(events: DataFrame, clusters: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The events of each cluster, with its first rank as ``start_rn``."""
-    c = clusters.select(*keys, "run", F.col("rn").alias("start_rn"), "end_rn")
-    return events.drop("end_rn").join(c, [*keys, "run"]).where(F.col("rn").between(F.col("start_rn"), F.col("end_rn")))
+    """The events of each cluster, with its first rank as ``start_rn``. A cluster begins in its
+    ``bucket`` and ends there or in the next, so events meet the clusters of their buckets alone."""
+    c = clusters.select(*keys, "run", F.explode(F.array("bucket", F.col("bucket") + 1)).alias("bucket"), F.col("rn").alias("start_rn"), "end_rn")
+    return events.drop("end_rn").join(c, [*keys, "run", "bucket"]).where(F.col("rn").between(F.col("start_rn"), F.col("end_rn")))
 
 
 def first_after(
     anchors: DataFrame, others: DataFrame, anchor_id: str, on: Sequence[tuple[str, str]], low: Column, high: Column, time: str, tie: str,
-    bucket_us: int, residual: Column | None = None, keep: Sequence[str] = (),
+    bucket_us: int, residual: Column | None = None, keep: Sequence[str] = (), by: Sequence[str] = (),
 ) -> DataFrame:
     """For each anchor the first of the others in [low, high], by time and then ``tie``, as ``hit``.
 
     Column names of both sides must differ. Anchors are repeated for each time bucket that their
     interval meets and joined by equality on the keys and the bucket, so a pair meets once; the
-    first is a minimum, which is aggregated before the shuffle.
+    first is a minimum, which is aggregated before the shuffle. Where the residual looks at the columns
+    ``by`` of the others alone, it is tried on their distinct values in a bucket, and only what fits is
+    joined, by equality: a text is held against names, not against all events that have them.
     """
     buckets = F.sequence(F.floor(low / bucket_us).cast("bigint"), F.floor(high / bucket_us).cast("bigint"))
     a = anchors.withColumn("_low", low).withColumn("_high", high).withColumn("_bucket", F.explode(buckets))
@@ -78,8 +136,13 @@ def first_after(
     match = F.col("_bucket") == F.col("_bucket2")
     for x, y in on:
         match = match & (F.col(x) == F.col(y))
-    pairs = a.join(o, match).where(F.col(time).between(F.col("_low"), F.col("_high")))
-    if residual is not None:
-        pairs = pairs.where(F.coalesce(residual, F.lit(False)))
+    held = F.lit(True) if residual is None else F.coalesce(residual, F.lit(False))
+    if by:
+        kinds = a.join(o.select("_bucket2", *by).distinct(), match).where(held).drop("_bucket")
+        a = kinds.withColumnsRenamed({c: f"_of_{c}" for c in ("_bucket2", *by)})
+        match, held = F.col("_of__bucket2") == F.col("_bucket2"), F.lit(True)
+        for c in by:
+            match = match & F.col(f"_of_{c}").eqNullSafe(F.col(c))
+    pairs = a.join(o, match).where(F.col(time).between(F.col("_low"), F.col("_high")) & held)
     hit = F.struct(F.col(time).alias("us"), F.col(tie).alias("id"), *(F.col(k) for k in keep))
     return pairs.groupBy(anchor_id).agg(F.min(hit).alias("hit"))

@@ -39,9 +39,9 @@ def test_rule_parsing():
 
 def test_conditions(spark):
     d = spark.createDataFrame([(True, False, True)], "a boolean, b boolean, ab boolean")
-    names = {c: F.col(c) for c in d.columns}
+    names = {c: c for c in d.columns}
     cases = {"a and not b": True, "b or (a and ab)": True, "2 of a*": True, "all of a*": True, "3 of a*": False, "1 of them": False, "not (a or b)": False, "a | count() > 5": True, "": False, "nobody": False}
-    got = d.select(*(sigma.condition_predicate(c, names).alias(str(i)) for i, c in enumerate(cases))).first()
+    got = d.select(*(F.expr(sigma.condition_sql(c, names)).alias(str(i)) for i, c in enumerate(cases))).first()
     assert list(got) == list(cases.values())
 
 
