@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import blank, contains_ci, equals_ci
 from ..schema import RANK, is_sysmon, micros, prop, severity_name
+from ..storage import stored
 from .detectors import MINUTE, is_process_start
 from .windows import busy_runs, cluster_rows, first_after, window_ends
 
@@ -43,7 +44,7 @@ def _compromised(events: DataFrame, window_us: int, least: int) -> tuple[DataFra
     privileges follow that logon, the next start is tried.
     """
     fails = events.where(F.col("event_id") == 4625).select(account_ip().alias("key"), micros().alias("us"), "row_id")
-    d = window_ends(busy_runs(fails, ["key"], window_us, least), ["key"], window_us)
+    d = stored(window_ends(busy_runs(fails, ["key"], window_us, least), ["key"], window_us), "window-events")
     starts = d.where(F.col("end_rn") - F.col("rn") + 1 >= least)
     last = d.select("key", "run", F.col("rn").alias("end_rn"), F.col("us").alias("last_us"))
     starts = starts.join(last, ["key", "run", "end_rn"]).select(F.col("row_id").alias("start_row"), "key", "run", "bucket", "rn", "end_rn", F.col("us").alias("start_us"), "last_us")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.accounts import account_key, in_suspicious_path, ip_key, is_machine_account, is_privileged_group, suspicious_paths
 from ..functions.text import blank, contains_any, contains_ci, decode_base64_preview, equals_ci
 from ..schema import RANK, first_prop, is_sysmon, micros, once, prop
+from ..storage import stored
 from .findings import PRIMARY, declared_ids_sql, make_finding, provider_has, sql_text
 from .signature_catalog import CATALOGS, Signature
 from .windows import busy_runs, cluster_rows, first_after, greedy_clusters, window_ends
@@ -129,7 +130,7 @@ def burst_clusters(events: DataFrame, window_us: int, threshold: int) -> DataFra
     (first 4624 of the same account and address within the window after it, or null)."""
     keys = ["account", "ip"]
     d = _named(events.where(is_failure() & has_user())).select(*keys, "us", *PRIMARY)
-    d = window_ends(busy_runs(d, keys, window_us, threshold), keys, window_us)
+    d = stored(window_ends(busy_runs(d, keys, window_us, threshold), keys, window_us), "window-events")
     clusters = greedy_clusters(d.where(F.col("end_rn") - F.col("rn") + 1 >= threshold).select(*keys, "run", "bucket", "rn", "end_rn"), keys)
     g = cluster_rows(d, clusters, keys).groupBy(*keys, "run", "start_rn").agg(
         F.count(F.lit(1)).alias("n"), F.min("us").alias("first_us"), F.max("us").alias("last_us"), _last().alias("p"), F.min_by("row_id", F.struct("us", "row_id")).alias("first_row")
@@ -155,8 +156,9 @@ def spray_clusters(events: DataFrame, window_us: int, threshold: int) -> DataFra
     """Greedy windows of one address with failures for many accounts."""
     d = _named(events.where(is_failure() & has_user())).where(~F.col("ip").isin("", "-"))
     d = d.select("ip", "account", "us", *PRIMARY).withColumn("named", F.when(F.regexp_replace("account", r"^\\+|\\+$", "") != "", F.col("account")))
-    d = window_ends(busy_runs(d, ["ip"], window_us, threshold), ["ip"], window_us, {"seen": F.collect_set("named")})
-    clusters = greedy_clusters(d.where(F.size("seen") >= threshold).select("ip", "run", "bucket", "rn", "end_rn"), ["ip"])
+    d = window_ends(busy_runs(d, ["ip"], window_us, threshold), ["ip"], window_us, {"seen": lambda w: F.size(F.collect_set("named").over(w))})
+    d = stored(d, "window-events")
+    clusters = greedy_clusters(d.where(F.col("seen") >= threshold).select("ip", "run", "bucket", "rn", "end_rn"), ["ip"])
     d = d.drop("seen")
     return cluster_rows(d, clusters, ["ip"]).groupBy("ip", "run", "start_rn").agg(
         F.count(F.lit(1)).alias("n"), F.count_distinct("named").alias("n_accounts"), F.min("us").alias("first_us"), F.max("us").alias("last_us"), _last().alias("p"), F.min_by("row_id", F.struct("us", "row_id")).alias("first_row")
@@ -336,7 +338,7 @@ def largest_clusters(events: DataFrame, window_us: int, least: int) -> DataFrame
     """The largest window of each (who, source), the earliest of equal ones: n, services and ends."""
     keys = ["who", "source"]
     d = events.withColumns({"who": F.lower(ticket_account()), "source": F.lower(ticket_source()), "us": micros(), "service": F.lower(prop("ServiceName"))})
-    d = window_ends(busy_runs(d.select(*keys, "us", "service", *PRIMARY), keys, window_us, least), keys, window_us)
+    d = stored(window_ends(busy_runs(d.select(*keys, "us", "service", *PRIMARY), keys, window_us, least), keys, window_us), "window-events")
     size = F.col("end_rn") - F.col("rn") + 1
     best = d.withColumn("size", size).where(F.col("size") >= least).groupBy(*keys).agg(F.min(F.struct((-F.col("size")).alias("a"), "us", "row_id", "run", "bucket", "rn", "end_rn")).alias("b"))
     chosen = best.select(*keys, F.col("b.run").alias("run"), F.col("b.bucket").alias("bucket"), F.col("b.rn").alias("rn"), F.col("b.end_rn").alias("end_rn"))

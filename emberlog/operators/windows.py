@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.window import WindowSpec
 
 from ..storage import stored
 
@@ -30,9 +31,9 @@ def busy_runs(events: DataFrame, keys: Sequence[str], window_us: int, least: int
     return d.join(runs.where(F.col("total") >= least).select(*keys, "bucket", "run", "offset"), [*keys, "bucket"])
 
 
-def window_ends(events: DataFrame, keys: Sequence[str], window_us: int, more: Mapping[str, Column] | None = None) -> DataFrame:
+def window_ends(events: DataFrame, keys: Sequence[str], window_us: int, more: Mapping[str, Callable[[WindowSpec], Column]] | None = None) -> DataFrame:
     """Adds rn (rank in the run by time), end_rn (rank of the last event within the window) and, under
-    their names, other aggregates over the window.
+    their names, what ``more`` makes of the window.
 
     A window ends in its own bucket or the next, so each bucket is joined by the events of the next one,
     and no group is larger than that.
@@ -41,7 +42,7 @@ def window_ends(events: DataFrame, keys: Sequence[str], window_us: int, more: Ma
     place = F.row_number().over(W.partitionBy(*keys, "_group", "bucket").orderBy("us", "row_id"))
     d = d.withColumn("rn", (F.col("offset") + place).cast("int"))
     ahead = W.partitionBy(*keys, "_group").orderBy("us").rangeBetween(0, window_us)
-    d = d.withColumns({"end_rn": F.max("rn").over(ahead)} | {n: c.over(ahead) for n, c in (more or {}).items()})
+    d = d.withColumns({"end_rn": F.max("rn").over(ahead)} | {n: c(ahead) for n, c in (more or {}).items()})
     return d.where(F.col("_group") == F.col("bucket")).drop("_group")
 
 
