@@ -8,9 +8,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import shared_dir, stored
+from ..storage import new_path, shared_dir, stored
 
-__all__ = ["Bucketed", "ascii_lower", "id_order", "id_remainder", "mixed", "read", "shared_dir", "small_or_shuffled", "stored"]
+__all__ = ["Bucketed", "ascii_lower", "id_order", "id_remainder", "mixed", "new_path", "read", "shared_dir", "small_or_shuffled", "stored"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"

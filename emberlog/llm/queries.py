@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_model, mixing, quality, secrets, sharding, simhash, spelling, topk, toxicity, urls
+from . import decontamination, language_model, mixing, quality, secrets, sharding, simhash, spelling, topk, toxicity, urls, warc
 from .common import read, stored
 
 
@@ -59,8 +59,12 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(spelling.word_counts(read(spark, sf_dir, "documents"), typo_mod=97))
 
 
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(read(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_top_k, op2_mix_curriculum, op3_find_secrets, op4_toxicity, op5_decontaminate, op6_simhash, op7_language_model, op8_shard_hilbert, op9_filter_urls, op10_quality, op11_spelling_variants)
+    for f in (op1_top_k, op2_mix_curriculum, op3_find_secrets, op4_toxicity, op5_decontaminate, op6_simhash, op7_language_model, op8_shard_hilbert, op9_filter_urls, op10_quality, op11_spelling_variants, op12_warc)
 }
-ORACLES = {"op1_top_k": topk.ORACLE, "op2_mix_curriculum": mixing.ORACLE, "op5_decontaminate": decontamination.ORACLE, "op11_spelling_variants": spelling.ORACLE}
+ORACLES = {"op1_top_k": topk.ORACLE, "op2_mix_curriculum": mixing.ORACLE, "op5_decontaminate": decontamination.ORACLE, "op11_spelling_variants": spelling.ORACLE, "op12_warc": warc.ORACLE}
