@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_model, mixing, quality, secrets, sharding, simhash, spelling, topk, toxicity, urls, warc
+from . import codes, decontamination, language_model, mixing, quality, secrets, sharding, simhash, spelling, topk, toxicity, urls, warc
 from .common import read, stored
 
 
@@ -63,8 +63,12 @@ def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(read(spark, sf_dir, "pages"))
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.encode(stored(codes.quantised(read(spark, sf_dir, "embeddings")), "code-vectors"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_top_k, op2_mix_curriculum, op3_find_secrets, op4_toxicity, op5_decontaminate, op6_simhash, op7_language_model, op8_shard_hilbert, op9_filter_urls, op10_quality, op11_spelling_variants, op12_warc)
+    for f in (op1_top_k, op2_mix_curriculum, op3_find_secrets, op4_toxicity, op5_decontaminate, op6_simhash, op7_language_model, op8_shard_hilbert, op9_filter_urls, op10_quality, op11_spelling_variants, op12_warc, op13_vector_codes)
 }
-ORACLES = {"op1_top_k": topk.ORACLE, "op2_mix_curriculum": mixing.ORACLE, "op5_decontaminate": decontamination.ORACLE, "op11_spelling_variants": spelling.ORACLE, "op12_warc": warc.ORACLE}
+ORACLES = {"op1_top_k": topk.ORACLE, "op2_mix_curriculum": mixing.ORACLE, "op5_decontaminate": decontamination.ORACLE, "op11_spelling_variants": spelling.ORACLE, "op12_warc": warc.ORACLE, "op13_vector_codes": codes.ORACLE}
