@@ -1,7 +1,7 @@
 """Chains of events: an anchor and the first fitting successors within a window.
 
-Windows are joined by time bucket and key; the first successor is a minimum that is aggregated
-before the shuffle. Where a key may be missing on either side, that branch is a join of its own.
+Anchors and successors are sorted together by key and time bucket, so pairs are never joined. Texts are held
+against names by an index of their grams; events then meet by the name that was found.
 """
 
 from __future__ import annotations
@@ -9,9 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import blank, contains_ci, equals_ci
+from ..functions.text import blank, contains_ci
 from ..schema import RANK, is_sysmon, micros, prop, severity_name
 from ..storage import stored
+from .containment import containing
 from .detectors import MINUTE, is_process_start
 from .windows import busy_runs, cluster_rows, first_after, window_ends
 
@@ -80,9 +81,11 @@ def suspicious_account(events: DataFrame, window_us: int = 10 * MINUTE) -> DataF
     created = events.where((F.col("event_id") == 4720) & (F.coalesce("target_user_name", F.lit("")) != ""))
     c = _side(created, "c", name=F.col("target_user_name"), host=F.col("computer_name"), creator=F.col("user_name"))
     g = _side(events.where(F.col("event_id").isin(4728, 4732)), "g", target=F.col("target_user_name"), raw=F.col("raw_xml"), member=prop("MemberName"))
-    names = contains_ci(F.col("g_target"), F.col("c_name")) | contains_ci(F.col("g_raw"), F.col("c_name")) | contains_ci(F.col("g_member"), F.col("c_name"))
-    added = first_after(c, g, "c_row", [], F.col("c_us"), F.col("c_us") + window_us, "g_us", "g_row", window_us, names, by=["g_target", "g_raw", "g_member"])
-    d = c.join(added, "c_row").withColumnRenamed("hit", "added").withColumn("a_us", F.col("added.us")).withColumn("c_low", F.lower("c_name"))
+    c = c.withColumn("c_low", F.lower("c_name"))
+    g = stored(g.withColumn("g_text", F.concat_ws("\0", "g_target", "g_raw", "g_member")), "chain-groups")
+    named = containing(g, "g_row", "g_text", c.select(F.col("c_low").alias("pattern"))).withColumnsRenamed({"g_row": "of_row", "pattern": "g_name"})
+    added = first_after(c, g.join(named, F.col("g_row") == F.col("of_row")), "c_row", [("c_low", "g_name")], F.col("c_us"), F.col("c_us") + window_us, "g_us", "g_row", window_us)
+    d = c.join(added, "c_row").withColumnRenamed("hit", "added").withColumn("a_us", F.col("added.us"))
     logons = _side(events.where(F.col("event_id") == 4624), "l", name=F.lower("target_user_name"))
     used = first_after(d, logons, "c_row", [("c_low", "l_name")], F.col("a_us"), F.col("a_us") + window_us, "l_us", "l_row", window_us)
     d = d.join(used, "c_row")
@@ -99,30 +102,33 @@ def _processes(events: DataFrame) -> DataFrame:
     )
 
 
-def _held_in(text: Column) -> Column:
-    """Whether the text holds the process's path or name."""
-    return ((F.coalesce("p_path", F.lit("")) != "") & contains_ci(text, F.col("p_path"))) | ((F.coalesce("p_name", F.lit("")) != "") & contains_ci(text, F.col("p_name")))
+def _held(anchors: DataFrame, anchor_id: str, text: str, processes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(Anchors once for each process path or name that their text contains, processes by path and by name), both with ``held``."""
+    names = F.array_distinct(F.array(F.lower(F.coalesce("p_path", F.lit(""))), F.lower(F.coalesce("p_name", F.lit("")))))
+    by_name = processes.withColumn("p_held", F.explode(names)).where("p_held <> ''")
+    pairs = containing(anchors, anchor_id, text, by_name.select(F.col("p_held").alias("pattern"))).withColumnsRenamed({anchor_id: "of_row", "pattern": "held"})
+    return anchors.join(pairs, F.col(anchor_id) == F.col("of_row")), by_name
 
 
 def task_persistence(events: DataFrame, window_us: int = 10 * MINUTE) -> DataFrame:
+    """A task, then a process that its text names by path or file name, or whose command names the task."""
     t = _side(events.where(F.col("event_id") == 4698), "t", text=F.coalesce("command_line", "raw_xml", F.lit("")), name=F.col("task_name"), user=F.col("user_name"), host=F.col("computer_name"))
-    fits = _held_in(F.col("t_text")) | ((F.coalesce("t_name", F.lit("")) != "") & contains_ci(F.col("p_command"), F.col("t_name")))
-    hit = first_after(t, _processes(events), "t_row", [], F.col("t_us"), F.col("t_us") + window_us, "p_us", "p_row", window_us, fits, keep=["p_name", "p_path"], by=["p_path", "p_name", "p_command"])
+    t = stored(t.withColumn("t_low", F.lower("t_name")), "chain-tasks")
+    args = (F.col("t_us"), F.col("t_us") + window_us, "p_us", "p_row", window_us, ["p_name", "p_path"])
+    processes = _processes(events)
+    asks, by_name = _held(t, "t_row", "t_text", processes)
+    by_text = first_after(asks, by_name, "t_row", [("held", "p_held")], *args)
+    # Commands are looked through only where a task lies within the window before them.
+    near = t.select(F.explode(F.array(*(F.floor(F.col("t_us") / window_us) + k for k in (0, 1)))).alias("slot")).distinct()
+    late = stored(processes.withColumn("slot", F.floor(F.col("p_us") / window_us)).join(near, "slot", "left_semi"), "chain-commands")
+    told = containing(late, "p_row", "p_command", t.select(F.col("t_low").alias("pattern"))).withColumnsRenamed({"p_row": "of_row", "pattern": "p_task"})
+    by_command = first_after(t, late.join(told, F.col("p_row") == F.col("of_row")), "t_row", [("t_low", "p_task")], *args)
+    hit = by_text.unionByName(by_command).groupBy("t_row").agg(F.min("hit").alias("hit"))
     d = t.join(hit, "t_row")
     details = F.concat(F.lit("task="), F.coalesce("t_name", F.lit("")), F.lit("; process="), F.coalesce("hit.p_name", F.lit("")))
     return _chain(d, "ScheduledTaskThenProcess", "Potential persistence mechanism", "High", F.col("hit.us"), F.col("t_user"), F.col("t_host"), None, details, F.array(F.col("t_row"), F.col("hit.id")))
 
 
-def _on_host(anchors: DataFrame, others: DataFrame, anchor_id: str, a_host: str, o_host: str, low: Column, high: Column, time: str, tie: str, window_us: int, residual: Column | None, keep=()) -> DataFrame:
-    """The first successor on the same host; a missing host on either side fits every host."""
-    known = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
-    args = (low, high, time, tie, window_us, residual, keep)
-    same = first_after(anchors.where(known(a_host)), others.where(known(o_host)), anchor_id, [(a_host, o_host)], *args)
-    any_anchor = first_after(anchors.where(~known(a_host)), others, anchor_id, [], *args)
-    any_other = first_after(anchors.where(known(a_host)), others.where(~known(o_host)), anchor_id, [], *args)
-    return same.unionByName(any_anchor).unionByName(any_other).groupBy(anchor_id).agg(F.min("hit").alias("hit"))
-
-
 def script_to_network(events: DataFrame, window_us: int = 10 * MINUTE) -> DataFrame:
     """A script block, then a shell process on the host, then a connection of that process."""
     s = _side(events.where(F.col("event_id") == 4104), "s", host=F.lower("computer_name"), user=F.col("user_name"))
@@ -130,16 +136,14 @@ def script_to_network(events: DataFrame, window_us: int = 10 * MINUTE) -> DataFr
     extra = dict(host=F.lower("computer_name"), shown=F.col("computer_name"), user=F.col("user_name"), guid=F.lower("process_guid"), pid=F.col("process_id"), name=F.lower("process_name"))
     p = _side(events.where((F.col("event_id") == 1) & is_sysmon() & shell), "p", **extra)
     keep = [f"p_{k}" for k in extra]
-    hit = _on_host(s, p, "s_row", "s_host", "p_host", F.col("s_us") - MINUTE, F.col("s_us") + window_us, "p_us", "p_row", window_us, None, keep)
+    hit = first_after(s, p, "s_row", [], F.col("s_us") - MINUTE, F.col("s_us") + window_us, "p_us", "p_row", window_us, keep, [("s_host", "p_host")])
     d = s.join(hit, "s_row").select("s_row", "s_user", F.col("hit.us").alias("q_us"), F.col("hit.id").alias("q_row"), *(F.col(f"hit.{k}").alias("q" + k[1:]) for k in keep))
     n = _side(events.where((F.col("event_id") == 3) & is_sysmon()), "n", host=F.lower("computer_name"), guid=F.lower("process_guid"), pid=F.col("process_id"), name=F.lower("process_name"), to=F.col("destination_ip"), ip=F.col("source_ip"), port=F.col("destination_port"))
     low, high, more = F.col("q_us"), F.col("q_us") + window_us, ["n_to", "n_ip", "n_port"]
     known = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) != ""
-    # The same process by guid, or by number, or by name: three joins on equality.
-    by_guid = first_after(d.where(known("q_guid")), n.where(known("n_guid")), "s_row", [("q_guid", "n_guid")], low, high, "n_us", "n_row", window_us, None, more)
-    host_fits = ~known("q_host") | ~known("n_host") | (F.col("q_host") == F.col("n_host"))
-    by_pid = first_after(d.where(known("q_pid")), n, "s_row", [("q_pid", "n_pid")], low, high, "n_us", "n_row", window_us, host_fits, more)
-    by_name = first_after(d.where(known("q_name")), n, "s_row", [("q_name", "n_name")], low, high, "n_us", "n_row", window_us, host_fits, more)
+    # The same process by guid, or by number, or by name on the host.
+    by_guid = first_after(d.where(known("q_guid")), n.where(known("n_guid")), "s_row", [("q_guid", "n_guid")], low, high, "n_us", "n_row", window_us, more)
+    by_pid, by_name = (first_after(d.where(known(f"q_{k}")), n, "s_row", [(f"q_{k}", f"n_{k}")], low, high, "n_us", "n_row", window_us, more, [("q_host", "n_host")]) for k in ("pid", "name"))
     hit2 = by_guid.unionByName(by_pid).unionByName(by_name).groupBy("s_row").agg(F.min("hit").alias("hit"))
     d = d.join(hit2, "s_row")
     details = F.concat(F.lit("pid="), F.coalesce(F.col("q_pid").cast("string"), F.lit("")), F.lit("; dest="), F.coalesce("hit.n_to", F.lit("")))
@@ -153,8 +157,9 @@ def remote_logon_to_process(events: DataFrame, window_us: int = 10 * MINUTE) ->
     far = (F.col("event_id") == 4624) & F.col("logon_type").isin(3, 8, 9, 10) & ~blank(F.col("source_ip")) & (F.col("source_ip") != "-")
     a = _side(events.where(far), "a", host=F.lower("computer_name"), shown=F.col("computer_name"), user=F.coalesce("target_user_name", "user_name"), ip=F.col("source_ip"), type=F.col("logon_type"))
     p = _processes(events).where(F.lower("p_name").isin(*REMOTE_PROGRAMS))
-    accounts = blank(F.col("p_user")) | blank(F.col("a_user")) | equals_ci(F.col("a_user"), F.col("p_user"))
-    hit = _on_host(a, p, "a_row", "a_host", "p_host", F.col("a_us"), F.col("a_us") + window_us, "p_us", "p_row", window_us, accounts, ["p_name", "p_command"])
+    account = lambda c: F.when(~blank(F.col(c)), F.lower(c))
+    a, p = a.withColumn("a_low", account("a_user")), p.withColumn("p_low", account("p_user"))
+    hit = first_after(a, p, "a_row", [], F.col("a_us"), F.col("a_us") + window_us, "p_us", "p_row", window_us, ["p_name", "p_command"], [("a_host", "p_host"), ("a_low", "p_low")])
     d = a.join(hit, "a_row")
     details = F.concat(F.lit("logonType="), F.col("a_type").cast("string"), F.lit("; process="), F.col("hit.p_name"))
     return _chain(d, "RemoteLogonThenSuspiciousProcess", "Remote authentication followed by suspicious process execution", "High", F.col("hit.us"), F.col("a_user"), F.col("a_shown"), F.col("a_ip"), details, F.array(F.col("a_row"), F.col("hit.id")))
@@ -162,8 +167,10 @@ def remote_logon_to_process(events: DataFrame, window_us: int = 10 * MINUTE) ->
 
 def service_to_process(events: DataFrame, window_us: int = 10 * MINUTE) -> DataFrame:
     v = _side(events.where(F.col("event_id").isin(4697, 7045)), "v", image=F.coalesce("process_path", "command_line", F.lit("")), host=F.lower("computer_name"), shown=F.col("computer_name"), user=F.col("user_name"), name=F.col("service_name"))
-    held = ((~blank(F.col("p_path"))) & contains_ci(F.col("v_image"), F.col("p_path"))) | ((~blank(F.col("p_name"))) & contains_ci(F.col("v_image"), F.col("p_name")))
-    hit = _on_host(v, _processes(events), "v_row", "v_host", "p_host", F.col("v_us"), F.col("v_us") + window_us, "p_us", "p_row", window_us, held, ["p_name"])
+    v = stored(v, "chain-services")
+    asks, by_name = _held(v, "v_row", "v_image", _processes(events))
+    by_name = by_name.where(~blank(F.col("p_held")))
+    hit = first_after(asks, by_name, "v_row", [("held", "p_held")], F.col("v_us"), F.col("v_us") + window_us, "p_us", "p_row", window_us, ["p_name"], [("v_host", "p_host")])
     d = v.join(hit, "v_row")
     details = F.concat(F.lit("service="), F.coalesce("v_name", F.lit("")), F.lit("; image="), F.col("v_image"), F.lit("; process="), F.coalesce("hit.p_name", F.lit("")))
     return _chain(d, "ServiceInstalledThenProcess", "New service followed by matching process execution", "High", F.col("hit.us"), F.col("v_user"), F.col("v_shown"), None, details, F.array(F.col("v_row"), F.col("hit.id")))

@@ -14,7 +14,8 @@ from ..schema import RANK, first_prop, is_sysmon, micros, once, prop
 from ..storage import stored
 from .findings import PRIMARY, declared_ids_sql, make_finding, provider_has, sql_text
 from .signature_catalog import CATALOGS, Signature
-from .windows import busy_runs, cluster_rows, first_after, greedy_clusters, window_ends
+from .containment import containing
+from .windows import busy_runs, cluster_rows, distinct_ahead, first_after, greedy_clusters, window_ends
 
 MINUTE = 60_000_000
 
@@ -156,8 +157,8 @@ def spray_clusters(events: DataFrame, window_us: int, threshold: int) -> DataFra
     """Greedy windows of one address with failures for many accounts."""
     d = _named(events.where(is_failure() & has_user())).where(~F.col("ip").isin("", "-"))
     d = d.select("ip", "account", "us", *PRIMARY).withColumn("named", F.when(F.regexp_replace("account", r"^\\+|\\+$", "") != "", F.col("account")))
-    d = window_ends(busy_runs(d, ["ip"], window_us, threshold), ["ip"], window_us, {"seen": lambda w: F.size(F.collect_set("named").over(w))})
-    d = stored(d, "window-events")
+    d = stored(window_ends(busy_runs(d, ["ip"], window_us, threshold), ["ip"], window_us), "window-events")
+    d = stored(distinct_ahead(d, ["ip"], window_us, "named", "seen"), "window-values")
     clusters = greedy_clusters(d.where(F.col("seen") >= threshold).select("ip", "run", "bucket", "rn", "end_rn"), ["ip"])
     d = d.drop("seen")
     return cluster_rows(d, clusters, ["ip"]).groupBy("ip", "run", "start_rn").agg(
@@ -190,18 +191,16 @@ def new_user_additions(events: DataFrame, s: Settings = Settings()) -> DataFrame
     created = _created(events)
     adds = events.where(F.col("event_id").isin(4728, 4732, 4756)).where(is_privileged_group(prop("TargetUserName"), F.when(blank(prop("TargetSid")), prop("TargetUserSid")).otherwise(prop("TargetSid")), s.groups))
     adds = adds.select(F.col("row_id").alias("g_row"), micros().alias("g_us"), prop("MemberName").alias("g_member"), F.col("raw_xml").alias("g_raw"), F.col("target_user_name").alias("g_target"))
-    buckets = F.sequence(F.floor(F.col("us") / s.new_user_window_us).cast("bigint"), F.floor((F.col("us") + s.new_user_window_us) / s.new_user_window_us).cast("bigint"))
-    a = created.select("row_id", "us", "new_user", F.explode(buckets).alias("bucket"))
-    o = adds.withColumn("bucket", F.floor(F.col("g_us") / s.new_user_window_us).cast("bigint"))
-    named = F.coalesce("new_user", F.lit("")) != ""
-    member = (named & (contains_ci(F.col("g_member"), F.col("new_user")) | contains_ci(F.col("g_raw"), F.col("new_user")))) | equals_ci(F.col("g_target"), F.col("new_user"))
-    # Accounts are held against the distinct names of a bucket; events are joined to those that fit.
-    names = ("g_member", "g_raw", "g_target")
-    fits = a.join(o.select("bucket", *names).distinct(), "bucket").where(member).withColumnsRenamed({"bucket": "of_bucket"} | {c: f"of_{c}" for c in names})
-    same = F.col("of_bucket") == F.col("bucket")
-    for c in names:
-        same = same & F.col(f"of_{c}").eqNullSafe(F.col(c))
-    return fits.join(o, same).where(F.col("g_us").between(F.col("us"), F.col("us") + s.new_user_window_us)).select("row_id", "g_row", "g_us")
+    adds = stored(adds.withColumn("g_text", F.concat_ws("\0", "g_member", "g_raw")), "group-additions")
+    created = created.select("row_id", "us", F.lower(F.coalesce("new_user", F.lit(""))).alias("name"), F.col("new_user").isNull().alias("nameless"))
+    # Names are looked up in the texts of additions, and meet creations by equality.
+    told = containing(adds, "g_row", "g_text", created.select(F.col("name").alias("pattern"))).withColumnsRenamed({"g_row": "of_row", "pattern": "name"})
+    same = adds.where("g_target is not null").select(F.col("g_row").alias("of_row"), F.lower("g_target").alias("name"))
+    fits = adds.select("g_row", "g_us").join(told.unionByName(same).distinct(), F.col("g_row") == F.col("of_row"))
+    slot = lambda c: F.floor(F.col(c) / s.new_user_window_us).cast("bigint")
+    a = created.where("not nameless").withColumn("slot", F.explode(F.array(slot("us"), slot("us") + 1)))
+    pairs = a.join(fits.withColumn("slot", slot("g_us")), ["name", "slot"])
+    return pairs.where(F.col("g_us").between(F.col("us"), F.col("us") + s.new_user_window_us)).select("row_id", "g_row", "g_us")
 
 
 def new_users(events: DataFrame, s: Settings = Settings()) -> DataFrame:

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
-from pyspark.sql.window import WindowSpec
 
 from ..storage import stored
 
@@ -31,22 +30,49 @@ def busy_runs(events: DataFrame, keys: Sequence[str], window_us: int, least: int
     return d.join(runs.where(F.col("total") >= least).select(*keys, "bucket", "run", "offset"), [*keys, "bucket"])
 
 
-def window_ends(events: DataFrame, keys: Sequence[str], window_us: int, more: Mapping[str, Callable[[WindowSpec], Column]] | None = None) -> DataFrame:
-    """Adds rn (rank in the run by time), end_rn (rank of the last event within the window) and, under
-    their names, what ``more`` makes of the window.
+def window_ends(events: DataFrame, keys: Sequence[str], window_us: int) -> DataFrame:
+    """Adds rn (rank in the run by time) and end_rn (rank of the last event within the window).
 
     A window ends in its own bucket or the next, so each bucket is joined by the events of the next one,
-    and no group is larger than that.
+    and no group is larger than that. Each event asks once, at the time its window ends, for the last rank
+    before; asks are sorted among the events and a running maximum answers them, so the work grows with
+    the events of a bucket and not with the pairs of its events.
     """
-    d = events.withColumn("_group", F.explode(F.array("bucket", F.col("bucket") - 1))).repartition(*keys, "_group")
-    place = F.row_number().over(W.partitionBy(*keys, "_group", "bucket").orderBy("us", "row_id"))
+    item = lambda group, ask, at: F.struct(group.alias("_group"), F.lit(ask).alias("_ask"), at.alias("_at"))
+    items = F.array(item(F.col("bucket"), False, F.col("us")), item(F.col("bucket") - 1, False, F.col("us")), item(F.col("bucket"), True, F.col("us") + window_us))
+    d = events.withColumn("_item", F.explode(items)).select("*", "_item.*").drop("_item").repartition(*keys, "_group")
+    place = F.row_number().over(W.partitionBy(*keys, "_group", "bucket", "_ask").orderBy("us", "row_id"))
     d = d.withColumn("rn", (F.col("offset") + place).cast("int"))
-    ahead = W.partitionBy(*keys, "_group").orderBy("us").rangeBetween(0, window_us)
-    d = d.withColumns({"end_rn": F.max("rn").over(ahead)} | {n: c(ahead) for n, c in (more or {}).items()})
-    return d.where(F.col("_group") == F.col("bucket")).drop("_group")
+    so_far = W.partitionBy(*keys, "_group").orderBy("_at", "_ask").rowsBetween(W.unboundedPreceding, W.currentRow)
+    d = d.withColumn("end_rn", F.max(F.when(~F.col("_ask"), F.col("rn"))).over(so_far))
+    return d.where("_ask").drop("_group", "_ask", "_at")
 
 
-def greedy_clusters(candidates: DataFrame, keys: Sequence[str], most: int = 100_000) -> DataFrame:
+def distinct_ahead(events: DataFrame, keys: Sequence[str], window_us: int, value: str, name: str) -> DataFrame:
+    """Adds ``name``: how many values the window from each event on has (null is none).
+
+    An event adds its value to the windows that start after the value's event before and reach the
+    event: an interval of starts, and those of one value are disjoint. So the number of values of a window
+    is the number of intervals that its start lies in, a running sum of ends and beginnings. An interval
+    meets two buckets at most, as does the event before that matters, so no group is larger than that.
+    ``events`` have keys, bucket, us and row_id.
+    """
+    d = events.select(*keys, "bucket", "us", F.col(value).alias("_value")).where("_value is not null")
+    d = d.withColumn("_group", F.explode(F.array("bucket", F.col("bucket") + 1)))
+    before = F.lag("us").over(W.partitionBy(*keys, "_value", "_group").orderBy("us"))
+    d = d.withColumn("_low", F.greatest(before + 1, F.col("us") - window_us)).where(F.col("_group") == F.col("bucket")).where("_low <= us")
+    point = lambda bucket, at, step: F.struct(bucket.alias("bucket"), at.alias("us"), F.lit(step).alias("_step"))
+    first = F.floor(F.col("_low") / window_us).cast("bigint")
+    points = [point(F.col("bucket"), F.greatest("_low", F.col("bucket") * window_us), 1), point(F.col("bucket"), F.col("us") + 1, -1)]
+    early = F.when(first < F.col("bucket"), F.array(point(first, F.col("_low"), 1))).otherwise(F.array().cast("array<struct<bucket:bigint,us:bigint,_step:int>>"))
+    steps = d.select(*keys, F.explode(F.concat(F.array(*points), early)).alias("_p")).select(*keys, "_p.*")
+    steps = steps.groupBy(*keys, "bucket", "us").agg(F.sum("_step").alias("_step"))
+    sides = events.withColumn("_step", F.lit(None).cast("bigint")).unionByName(steps, allowMissingColumns=True)
+    so_far = W.partitionBy(*keys, "bucket").orderBy("us", F.col("_step").isNull()).rowsBetween(W.unboundedPreceding, W.currentRow)
+    return sides.withColumn(name, F.coalesce(F.sum("_step").over(so_far), F.lit(0)).cast("int")).where("_step is null").drop("_step")
+
+
+def greedy_clusters(candidates: DataFrame, keys: Sequence[str], most: int = 10_000) -> DataFrame:
     """Non-overlapping windows in order of time: after one is taken, those that start inside it go.
 
     ``candidates`` (keys, run, bucket, rn, end_rn) are only the windows that are large enough. They are
@@ -92,10 +118,11 @@ def _doubled(c: DataFrame, group: list[str]) -> DataFrame:
     own = c.select(*group, "bucket", "rn", "end_rn", F.lit(True).alias("_own"))
     near = c.select(*group, F.explode(F.array("bucket", F.col("bucket") - 1)).alias("bucket"), F.col("rn").alias("_at"), F.lit(None).cast("int").alias("_id"))
     asks = own.select(*group, "bucket", F.col("end_rn").alias("_at"), F.col("rn").alias("_id"))
-    after = W.partitionBy(*group, "bucket").orderBy(F.col("_at"), F.col("_id").isNotNull()).rowsBetween(1, W.unboundedFollowing)
+    # Latest first, so that all that follows in time precedes in the frame, which grows and is never summed up anew.
+    after = W.partitionBy(*group, "bucket").orderBy(F.col("_at").desc(), F.col("_id").isNull()).rowsBetween(W.unboundedPreceding, -1)
     found = near.unionByName(asks).withColumn("_next", F.min(F.when(F.col("_id").isNull(), F.col("_at"))).over(after)).where("_id is not null")
     firsts = c.groupBy(*group, "bucket").agg(F.min("rn").alias("_first"))
-    beyond = firsts.select(*group, "bucket", F.min("_first").over(W.partitionBy(*group).orderBy("bucket").rangeBetween(2, W.unboundedFollowing)).alias("_far"))
+    beyond = firsts.select(*group, "bucket", F.min("_first").over(W.partitionBy(*group).orderBy(F.col("bucket").desc()).rangeBetween(W.unboundedPreceding, -2)).alias("_far"))
     link = found.join(beyond, [*group, "bucket"]).select(*group, F.col("_id").alias("rn"), F.coalesce("_next", "_far").alias("next"))
     link = stored(link.where("next is not null"), "window-links")
     marked = stored(c.where("_starts = 1").select(*group, "rn"), "window-marks")
@@ -119,31 +146,52 @@ def cluster_rows(events: DataFrame, clusters: DataFrame, keys: Sequence[str]) ->
     return events.drop("end_rn").join(c, [*keys, "run", "bucket"]).where(F.col("rn").between(F.col("start_rn"), F.col("end_rn")))
 
 
+#: Parts of the others of a bucket that are searched apart where a key may be missing.
+ANY_PARTS = 32
+
+
 def first_after(
     anchors: DataFrame, others: DataFrame, anchor_id: str, on: Sequence[tuple[str, str]], low: Column, high: Column, time: str, tie: str,
-    bucket_us: int, residual: Column | None = None, keep: Sequence[str] = (), by: Sequence[str] = (),
+    bucket_us: int, keep: Sequence[str] = (), loose: Sequence[tuple[str, str]] = (),
 ) -> DataFrame:
     """For each anchor the first of the others in [low, high], by time and then ``tie``, as ``hit``.
 
-    Column names of both sides must differ. Anchors are repeated for each time bucket that their
-    interval meets and joined by equality on the keys and the bucket, so a pair meets once; the
-    first is a minimum, which is aggregated before the shuffle. Where the residual looks at the columns
-    ``by`` of the others alone, it is tried on their distinct values in a bucket, and only what fits is
-    joined, by equality: a text is held against names, not against all events that have them.
+    Pairs are never joined. An anchor asks, in each time bucket that its interval meets, for what comes
+    next; asks and others are sorted together by keys and bucket, latest first, and the last other seen is
+    the answer. The work grows with anchors plus others, however many there are of one key in one bucket.
+
+    Values of ``on`` must be equal (null equals nothing). Those of ``loose`` must be equal where both
+    are there; a missing one fits all. So others stand under their own value and under any, and
+    anchors ask for their own value and for others without; those without a value ask for any. What stands
+    under any is kept only for buckets that are asked so, and there in parts that are searched apart.
     """
-    buckets = F.sequence(F.floor(low / bucket_us).cast("bigint"), F.floor(high / bucket_us).cast("bigint"))
-    a = anchors.withColumn("_low", low).withColumn("_high", high).withColumn("_bucket", F.explode(buckets))
-    o = others.withColumn("_bucket2", F.floor(F.col(time) / bucket_us).cast("bigint"))
-    match = F.col("_bucket") == F.col("_bucket2")
-    for x, y in on:
-        match = match & (F.col(x) == F.col(y))
-    held = F.lit(True) if residual is None else F.coalesce(residual, F.lit(False))
-    if by:
-        kinds = a.join(o.select("_bucket2", *by).distinct(), match).where(held).drop("_bucket")
-        a = kinds.withColumnsRenamed({c: f"_of_{c}" for c in ("_bucket2", *by)})
-        match, held = F.col("_of__bucket2") == F.col("_bucket2"), F.lit(True)
-        for c in by:
-            match = match & F.col(f"_of_{c}").eqNullSafe(F.col(c))
-    pairs = a.join(o, match).where(F.col(time).between(F.col("_low"), F.col("_high")) & held)
+    any_value = F.lit("*")
+    own = lambda c: F.concat(F.lit("="), F.col(c).cast("string"))
+    there = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) != ""
+    keys, tags = [f"_k{i}" for i in range(len(on))], [f"_t{i}" for i in range(len(loose))]
+    wide = F.lit(False)
+    for t in tags:
+        wide = wide | (F.col(t) == any_value)
+    group = [*keys, *tags, "_part", "_bucket"]
     hit = F.struct(F.col(time).alias("us"), F.col(tie).alias("id"), *(F.col(k) for k in keep))
-    return pairs.groupBy(anchor_id).agg(F.min(hit).alias("hit"))
+
+    buckets = F.sequence(F.floor(F.col("_low") / bucket_us).cast("bigint"), F.floor(F.col("_high") / bucket_us).cast("bigint"))
+    a = anchors.select(F.col(anchor_id), *(F.col(x).alias(k) for k, (x, _) in zip(keys, on)), *(x for x, _ in loose), low.alias("_low"), high.alias("_high")).where("_low <= _high")
+    for t, (x, _) in zip(tags, loose):
+        a = a.withColumn(t, F.explode(F.when(there(x), F.array(own(x), F.lit(""))).otherwise(F.array(any_value))))
+    a = a.withColumn("_part", F.explode(F.when(wide, F.sequence(F.lit(0), F.lit(ANY_PARTS - 1))).otherwise(F.array(F.lit(0))))).withColumn("_bucket", F.explode(buckets))
+    o = others.select(*(F.col(y).alias(k) for k, (_, y) in zip(keys, on)), *(y for _, y in loose), F.col(time).alias("_at"), F.col(tie).alias("_tie"), hit.alias("hit"))
+    o = o.where("_at is not null").withColumn("_bucket", F.floor(F.col("_at") / bucket_us).cast("bigint"))
+    for t, (_, y) in zip(tags, loose):
+        o = o.withColumn(t, F.explode(F.array(F.when(there(y), own(y)).otherwise(F.lit("")), any_value)))
+    if loose:
+        asked = a.where(wide).select("_bucket").distinct()
+        o = o.where(~wide).unionByName(o.where(wide).join(asked, "_bucket", "left_semi"))
+    o = o.withColumn("_part", F.when(wide, F.pmod(F.xxhash64("_tie"), F.lit(ANY_PARTS)).cast("int")).otherwise(0))
+    asks = a.select(*group, F.greatest("_low", F.col("_bucket") * bucket_us).alias("_at"), F.struct(F.col(anchor_id).alias("id"), F.col("_high").alias("high")).alias("_ask"))
+    both = o.select(*group, "_at", "_tie", "hit").unionByName(asks, allowMissingColumns=True)
+    for k in keys:
+        both = both.where(F.col(k).isNotNull())
+    latest = W.partitionBy(*group).orderBy(F.col("_at").desc(), F.col("_ask").isNotNull(), F.col("_tie").desc()).rowsBetween(W.unboundedPreceding, W.currentRow)
+    found = both.withColumn("hit", F.last("hit", ignorenulls=True).over(latest)).where(F.col("_ask").isNotNull() & (F.col("hit.us") <= F.col("_ask.high")))
+    return found.groupBy(F.col("_ask.id").alias(anchor_id)).agg(F.min("hit").alias("hit"))

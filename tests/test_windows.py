@@ -1,10 +1,11 @@
 """Time windows of busy keys against brute force."""
 
 import random
+import time
 
 from pyspark.sql import functions as F
 
-from emberlog.operators.windows import busy_runs, cluster_rows, greedy_clusters, window_ends
+from emberlog.operators.windows import busy_runs, cluster_rows, distinct_ahead, greedy_clusters, window_ends
 
 WINDOW, LEAST = 1000, 4
 
@@ -58,3 +59,22 @@ def test_windows_of_nothing(spark):
     d = spark.createDataFrame([], "key string, us long, row_id long")
     d = window_ends(busy_runs(d, ["key"], WINDOW, LEAST), ["key"], WINDOW)
     assert d.count() == 0 and greedy_clusters(d, ["key"]).count() == 0
+
+
+def test_distinct_values_ahead_equal_brute_force(spark):
+    rnd = random.Random(6)
+    events = [(k, us, row, rnd.choice([None, "a", "b", "c", f"v{row % 11}"])) for k, us, row in rows()]
+    d = spark.createDataFrame(events, "key string, us long, row_id long, name string").withColumn("bucket", F.floor(F.col("us") / WINDOW))
+    got = {r.row_id: r.seen for r in distinct_ahead(d, ["key"], WINDOW, "name", "seen").collect()}
+    assert got == {row: len({n for k, t, _, n in events if k == key and us <= t <= us + WINDOW and n is not None}) for key, us, row, _ in events}
+
+
+def test_one_address_with_all_failures_in_one_bucket_takes_seconds(spark):
+    """A spray of 100 000 failures for 50 000 accounts within a window: linear, where pairs would be 10^10."""
+    d = spark.range(100_000).select(F.lit("hot").alias("key"), (F.col("id") % 900).alias("us"), F.col("id").alias("row_id"), (F.col("id") % 50_000).cast("string").alias("name"))
+    began = time.monotonic()
+    d = window_ends(busy_runs(d, ["key"], WINDOW, LEAST), ["key"], WINDOW)
+    d = distinct_ahead(d, ["key"], WINDOW, "name", "seen")
+    c = greedy_clusters(d.where(F.col("seen") >= LEAST), ["key"])
+    assert [tuple(r) for r in c.select("rn", "end_rn").collect()] == [(1, 100_000)]
+    assert time.monotonic() - began < 60
