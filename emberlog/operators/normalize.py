@@ -1,4 +1,4 @@
-"""Normalisation of raw records to event rows: one projection, no shuffle."""
+"""Normalisation of raw records to event rows: one walk and one projection, no shuffle."""
 
 from __future__ import annotations
 
@@ -7,18 +7,13 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.event_xml import DDL, parse_batches
 from ..functions.text import WHITE, clean_text, file_name, parse_int, parse_utc, sha256_hex, split_domain_user
-from ..schema import EVENT_SCHEMA, is_sysmon
+from ..schema import EVENT_SCHEMA, is_sysmon, once
 
 # Level codes.
 LEVELS = {"0": "LogAlways", "1": "Critical", "2": "Error", "3": "Warning", "4": "Information", "5": "Verbose"}
 
-EVENT_XML = (
-    "System struct<Provider:struct<_Name:string>, EventID:struct<_VALUE:string,_Qualifiers:string>, Level:string, "
-    "TimeCreated:struct<_SystemTime:string>, EventRecordID:string, Channel:string, Computer:string, Security:struct<_UserID:string>>, "
-    "EventData struct<Data:array<struct<_VALUE:string,_Name:string>>>, UserData string, _corrupt string"
-)
-
 
 def level_name(code: Column) -> Column:
     t = F.trim(code)
@@ -42,53 +37,35 @@ def _missing_from(main: Column, extra: Column) -> Column:
 def parse_event_xml(raw: DataFrame, column: str = "raw_xml") -> DataFrame:
     """Event rows from XML texts; broken documents give no row.
 
-    Named data first; unnamed ones are Data0, Data1 and so on, counted over all unnamed; empty
-    values are dropped; leaves of the user part only add what is missing.
+    Elements and their nesting are open, which no fixed row type holds, so a tree walk of each text
+    (``functions.event_xml``) runs over Arrow batches; what fields mean is column code.
     """
-    parsed = F.from_xml(F.col(column), EVENT_XML, {"columnNameOfCorruptRecord": "_corrupt", "mode": "PERMISSIVE", "ignoreNamespace": "true"})
-    d = raw.select(F.col(column).alias("raw_xml"), parsed.alias("x")).where(F.col("x").isNotNull() & F.col("x._corrupt").isNull())
-    data = F.coalesce(F.col("x.EventData.Data"), F.array().cast("array<struct<_VALUE:string,_Name:string>>"))
-    unnamed = F.filter(F.transform(data, lambda p, i: F.when(F.coalesce(F.trim(p["_Name"]), F.lit("")) == "", i)), lambda i: i.isNotNull())
-    d = d.withColumn("data", data).withColumn("unnamed", unnamed)
-    pairs = F.transform(
-        "data",
-        lambda p, i: F.struct(
-            F.lower(F.when(F.coalesce(F.trim(p["_Name"]), F.lit("")) == "", F.concat(F.lit("Data"), (F.array_position("unnamed", i) - 1).cast("string"))).otherwise(p["_Name"])).alias("k"),
-            p["_VALUE"].alias("v"),
-        ),
-    )
-    # Leaves of the user part: an element without children, by its local name.
-    user = F.coalesce(F.regexp_extract("raw_xml", r"(?s)<UserData[^>]*>(.*)</UserData>", 1), F.lit(""))
-    leaf = r"<(?:[\w.-]+:)?([\w.-]+)(?:\s[^<>]*)?>([^<>]+)</"
-    leaves = F.arrays_zip(F.regexp_extract_all(user, F.lit(leaf), F.lit(1)).alias("k"), F.regexp_extract_all(user, F.lit(leaf), F.lit(2)).alias("v"))
-    leaves = F.transform(leaves, lambda p: F.struct(F.lower(p["k"]).alias("k"), _unescape(p["v"]).alias("v")))
-    full = lambda a: F.filter(a, lambda p: F.coalesce(p["v"], F.lit("")) != "")
+    d = raw.select(F.col(column).cast("string")).mapInArrow(parse_batches, DDL)
     extra = lambda name, c: F.when(c.isNotNull() & (c != ""), F.create_map(F.lit(name), c)).otherwise(F.create_map().cast("map<string,string>"))
-    d = d.withColumn("main", _missing_from(_as_map(full(pairs)), _as_map(full(leaves))))
-    own = F.map_concat(extra("securityuserid", clean_text(F.col("x.System.Security._UserID"))), extra("eventidqualifiers", F.col("x.System.EventID._Qualifiers")))
-    d = d.withColumn("properties", _missing_from(own, F.col("main")))
+    own = F.map_concat(extra("securityuserid", clean_text(F.col("user_id"))), extra("eventidqualifiers", F.col("qualifiers")))
     return d.select(
-        "raw_xml", "properties",
-        clean_text(F.col("x.System.Channel")).alias("log_name"),
-        clean_text(F.col("x.System.Provider._Name")).alias("provider_name"),
-        F.coalesce(parse_int(F.col("x.System.EventID._VALUE")), F.lit(0)).alias("event_id"),
-        F.trim(F.col("x.System.EventRecordID")).try_cast("bigint").alias("event_record_id"),
-        F.coalesce(parse_utc(F.col("x.System.TimeCreated._SystemTime")), F.to_timestamp(F.lit("0001-01-01"))).alias("time_created_utc"),
-        level_name(F.col("x.System.Level")).alias("level"),
-        clean_text(F.col("x.System.Computer")).alias("computer_name"),
+        "raw_xml", _missing_from(own, F.col("main")).alias("properties"), clean_text(F.col("channel")).alias("log_name"), clean_text(F.col("provider")).alias("provider_name"),
+        F.coalesce(parse_int(F.col("event_id")), F.lit(0)).alias("event_id"), F.trim("record_id").try_cast("bigint").alias("event_record_id"),
+        F.coalesce(parse_utc(F.col("time")), F.to_timestamp(F.lit("0001-01-01"))).alias("time_created_utc"), level_name(F.col("level")).alias("level"), clean_text(F.col("computer")).alias("computer_name"),
     )
 
 
-def _unescape(c: Column) -> Column:
-    for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
-        c = F.replace(c, F.lit(a), F.lit(b))
-    return c
+class _Wanted:
+    """The first of some properties that says something; ``aliases`` adds names to try after each.
+
+    Properties are cleaned once: each is a place in one array, and asking for it again costs nothing.
+    """
+
+    def __init__(self, aliases: Mapping[str, Sequence[str]] | None):
+        self.aliases, self.places = aliases or {}, {}
 
+    def __call__(self, *names: str) -> Column:
+        every = [n.lower() for name in names for n in (name, *self.aliases.get(name, ()))]
+        return F.coalesce(*(F.get("_wanted", F.lit(self.places.setdefault(n, len(self.places)))) for n in every), F.lit(None).cast("string"))
 
-def first_of(names: Sequence[str], aliases: Mapping[str, Sequence[str]] | None = None) -> Column:
-    """The first of some properties that says something; ``aliases`` adds names to try after each."""
-    every = [n for name in names for n in (name, *(aliases or {}).get(name, ()))]
-    return F.coalesce(*(clean_text(F.try_element_at("properties", F.lit(n.lower()))) for n in every), F.lit(None).cast("string"))
+    def column(self) -> Column:
+        names = F.array(*(F.lit(n) for n in self.places))
+        return once(F.transform(names, lambda n: clean_text(F.try_element_at("properties", n))))
 
 
 def context_info(text: Column) -> Column:
@@ -101,7 +78,7 @@ def context_info(text: Column) -> Column:
 
 def map_fields(events: DataFrame, aliases: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
     """Fills the typed columns from the property map, by provider family and event id."""
-    p = lambda *names: first_of(names, aliases)
+    p = _Wanted(aliases)
     eid = F.col("event_id")
     sysmon = is_sysmon()
     shell = ~sysmon & F.coalesce(F.lower("provider_name").contains("powershell"), F.lit(False))
@@ -174,7 +151,7 @@ def map_fields(events: DataFrame, aliases: Mapping[str, Sequence[str]] | None =
     types = {f.name: f.dataType for f in EVENT_SCHEMA}
     made = {k: v.cast(types[k]).alias(k) for k, v in made.items()}
     kept = [c for c in d.columns if c not in made and not c.startswith("_")]
-    return d.select(*kept, *made.values())
+    return d.withColumn("_wanted", p.column()).select(*kept, *made.values())
 
 
 def record_id_from_xml(raw_xml: Column) -> Column:

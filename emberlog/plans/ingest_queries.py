@@ -84,6 +84,25 @@ def _(ev):
                     p("data2").alias("data2"), p("reason").alias("reason"), p("securityuserid").alias("sid"), p("eventidqualifiers").alias("qualifiers"), p("membername").alias("member"))
 
 
+def odd_xml(ev: DataFrame) -> DataFrame:
+    """Events whose data are nested, prefixed, in character data sections, by reference, unnamed or not Data at all."""
+    n = F.col("row_id").cast("string")
+    parts = [
+        F.lit('<e:Event xmlns:e="x"><e:System><e:EventID>'), F.col("event_id").cast("string"), F.lit("</e:EventID><e:EventRecordID>"), n, F.lit("</e:EventRecordID></e:System>"),
+        F.lit('<e:EventData><Data Name="A">first</Data><Data> </Data><Data Name=" ">'), n, F.lit("</Data><Param1>p"), n, F.lit('</Param1><Binary>AAEC</Binary><Data Name="a">'), F.col("computer_name"), F.lit("</Data></e:EventData>"),
+        F.lit('<UserData><U k="v"><B x="1"><![CDATA[a<b '), n, F.lit("]]></B><N><M>deep &#65;&#x42;</M><M>late</M></N><Param1>no</Param1></U></UserData></e:Event>"),
+    ]
+    return ev.select(F.concat(*parts).alias("raw_xml"))
+
+
+@query("nrm1b_odd_shapes", """ SELECT row_id AS event_record_id, event_id, computer_name AS a, CAST(row_id AS VARCHAR) AS data1, 'p' || row_id AS param1, 'a<b ' || row_id AS b, 'late' AS m, 'deep AB' AS n_m,
+ CAST(6 AS BIGINT) AS properties FROM e""")
+def _(ev):
+    d = R.parse_event_xml(odd_xml(ev))
+    p = lambda k: F.try_element_at("properties", F.lit(k))
+    return d.select("event_record_id", "event_id", p("a").alias("a"), p("data1").alias("data1"), p("param1").alias("param1"), p("b").alias("b"), p("m").alias("m"), p("n.m").alias("n_m"), F.size("properties").cast("long").alias("properties"))
+
+
 #: What the field mapping makes of each event.
 MAPPED_SQL = """event_record_id, event_id, CASE WHEN event_id IN (4624, 4625, 4648, 4776, 4771, 4769) THEN target_user_name ELSE user_name END AS user_name,
  CASE WHEN event_id NOT IN (104, 4698, 7045, 4769, 4771) THEN 'LAB' END AS domain, CASE WHEN event_id = 1102 THEN 'never' ELSE target_user_name END AS target_user_name, CASE WHEN event_id = 4104 THEN 'powershell.exe' WHEN event_id = 7045 THEN substr(process_path, 21 - CASE WHEN contains(process_path, 'Temp') THEN 12 ELSE 0 END) ELSE process_name END AS process_name,
