@@ -115,12 +115,12 @@ def task_persistence(events: DataFrame, window_us: int = 10 * MINUTE) -> DataFra
     t = _side(events.where(F.col("event_id") == 4698), "t", text=F.coalesce("command_line", "raw_xml", F.lit("")), name=F.col("task_name"), user=F.col("user_name"), host=F.col("computer_name"))
     t = stored(t.withColumn("t_low", F.lower("t_name")), "chain-tasks")
     args = (F.col("t_us"), F.col("t_us") + window_us, "p_us", "p_row", window_us, ["p_name", "p_path"])
-    processes = _processes(events)
+    processes = stored(_processes(events), "chain-processes")
     asks, by_name = _held(t, "t_row", "t_text", processes)
     by_text = first_after(asks, by_name, "t_row", [("held", "p_held")], *args)
     # Commands are looked through only where a task lies within the window before them.
     near = t.select(F.explode(F.array(*(F.floor(F.col("t_us") / window_us) + k for k in (0, 1)))).alias("slot")).distinct()
-    late = stored(processes.withColumn("slot", F.floor(F.col("p_us") / window_us)).join(near, "slot", "left_semi"), "chain-commands")
+    late = stored(processes.withColumn("slot", F.floor(F.col("p_us") / window_us)).join(near, "slot", "left_semi").drop("slot"), "chain-commands")
     told = containing(late, "p_row", "p_command", t.select(F.col("t_low").alias("pattern"))).withColumnsRenamed({"p_row": "of_row", "pattern": "p_task"})
     by_command = first_after(t, late.join(told, F.col("p_row") == F.col("of_row")), "t_row", [("t_low", "p_task")], *args)
     hit = by_text.unionByName(by_command).groupBy("t_row").agg(F.min("hit").alias("hit"))
@@ -168,7 +168,7 @@ def remote_logon_to_process(events: DataFrame, window_us: int = 10 * MINUTE) ->
 def service_to_process(events: DataFrame, window_us: int = 10 * MINUTE) -> DataFrame:
     v = _side(events.where(F.col("event_id").isin(4697, 7045)), "v", image=F.coalesce("process_path", "command_line", F.lit("")), host=F.lower("computer_name"), shown=F.col("computer_name"), user=F.col("user_name"), name=F.col("service_name"))
     v = stored(v, "chain-services")
-    asks, by_name = _held(v, "v_row", "v_image", _processes(events))
+    asks, by_name = _held(v, "v_row", "v_image", stored(_processes(events), "chain-processes"))
     by_name = by_name.where(~blank(F.col("p_held")))
     hit = first_after(asks, by_name, "v_row", [("held", "p_held")], F.col("v_us"), F.col("v_us") + window_us, "p_us", "p_row", window_us, ["p_name"], [("v_host", "p_host")])
     d = v.join(hit, "v_row")

@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.text import WHITE, normalize_tactic, normalize_technique_id
+from .containment import containing
 
 # Types that are taken, what they stand for, and the tools that are always looked for.
 SUPPORTED_TYPES = ("ip", "ipv4", "ipv6", "domain", "hash", "sha256", "sha1", "md5", "filename", "file", "url", "user")
@@ -88,50 +85,11 @@ FIELDS = {
 }
 
 
-def contains_scan(events: DataFrame, patterns: DataFrame, columns: list[str], most_broadcast: int = 200_000) -> DataFrame:
-    """(row_id, column, value): which lower-cased patterns each text column holds.
-
-    Up to ``most_broadcast`` patterns are broadcast and one automaton walks each text once. More
-    than that are cut into blocks of as many, and every block walks the events: a join on parts of
-    the text would shuffle far more.
-    """
-    spark = events.sparkSession
-    texts = events.select("row_id", *columns)
-    n = patterns.count()
-    parts = [patterns] if n <= most_broadcast else patterns.randomSplit([1.0] * -(-n // most_broadcast), seed=7)
-    out = []
-    for part in parts:
-        words = sorted({r.value for r in part.select(F.lower("value").alias("value")).collect()})  # at most about most_broadcast
-        shared = spark.sparkContext.broadcast(words)
-
-        def scan(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            finder = _finder(shared.value)
-            for pdf in frames:
-                rows = [(i, c, w) for c in columns for i, t in zip(pdf["row_id"], pdf[c]) if t for w in finder(t.lower())]
-                yield pd.DataFrame(rows, columns=["row_id", "column", "value"])
-
-        out.append(texts.mapInPandas(scan, "row_id long, column string, value string"))
-    return reduce(DataFrame.unionByName, out)
-
-
-def _finder(words: list[str]):
-    """A function from a text to the set of words that it holds."""
-    if not words:
-        return lambda text: ()
-    try:
-        import ahocorasick
-    except ImportError:
-        import re
-
-        # Lookahead, so that words that overlap are all found; longer ones hold the shorter ones.
-        pattern = re.compile("(?=(" + "|".join(map(re.escape, sorted(words, key=len, reverse=True))) + "))")
-        within = {w: [x for x in words if x in w] for w in words}
-        return lambda text: {x for m in pattern.finditer(text) for x in within[m[1]]}
-    automaton = ahocorasick.Automaton()
-    for w in words:
-        automaton.add_word(w, w)
-    automaton.make_automaton()
-    return lambda text: {w for _, w in automaton.iter(text)}
+def contains_scan(events: DataFrame, patterns: DataFrame, columns: list[str]) -> DataFrame:
+    """(row_id, column, value): which lower-cased patterns each text column holds, by an index of their grams."""
+    texts = events.select("row_id", F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).alias("text")) for c in columns))).alias("t"))
+    texts = texts.select(F.struct("row_id", "t.column").alias("of"), F.col("t.text").alias("text")).where("text is not null")
+    return containing(texts, "of", "text", patterns.select(F.col("value").alias("pattern"))).select("of.*", F.col("pattern").alias("value"))
 
 
 def match_indicators(events: DataFrame, iocs: DataFrame) -> DataFrame:

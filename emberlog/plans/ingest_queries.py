@@ -307,7 +307,7 @@ def _(ev):
     for _ in range(2):  # the second run sees poorer copies of the same events, which change nothing
         J.collect_incrementally(R.with_identity(J.stream_events(spark, source)), target, f"{target}_at").awaitTermination()
         as_events(ev.where("row_id % 9 = 0")).withColumn("command_line", F.lit(None).cast("string")).write.mode("append").parquet(source)
-    return spark.read.parquet(target).select("row_id", "event_key", "user_name", "command_line")
+    return J.collected(spark, target).select("row_id", "event_key", "user_name", "command_line")
 
 
 @query("str2_stateless_findings", " SELECT 'LogClearing' AS rule_id, CASE WHEN event_id = 1102 THEN 'Critical' ELSE 'High' END AS severity, row_id AS event_row_id FROM e WHERE event_id IN (104, 1102) UNION ALL SELECT 'ServiceInstallation', 'Medium', row_id FROM e WHERE event_id = 7045")

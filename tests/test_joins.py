@@ -75,7 +75,7 @@ def test_containment_equals_brute_force(spark, monkeypatch, most):
 
 def test_patterns_stand_under_their_rarest_stretch(spark):
     """Folders that all share are not what is looked up."""
-    p = spark.createDataFrame([(f"c:\\windows\\system32\\drivers\\{n}",) for n in ("alphabeta.exe", "gammadelta.exe", "omegasigma.exe")], "pattern string")
+    p = spark.createDataFrame([(f"c:\\windows\\{n}",) for n in ("alphabeta.exe", "gammadelta.exe", "omegasigma.exe")], "pattern string")
     grams = containment.pattern_grams(p)
     assert grams.groupBy("pattern").count().agg(F.min("count")).first()[0] == 8
-    assert not [r.gram for r in grams.collect() if r.gram in "c:\\windows\\system32\\drivers"]
+    assert not [r.gram for r in grams.collect() if r.gram in "c:\\windows\\"]

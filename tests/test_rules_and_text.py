@@ -59,9 +59,11 @@ def test_date_expressions():
     assert filters.build_filter(ids="1, x;4688").event_ids == (1, 4688)
 
 
-def test_finder_finds_overlaps():
-    find = intel._finder(["abc", "bcd", "b"])
-    assert set(find("xabcdx")) == {"abc", "bcd", "b"} and not set(find("zz")) and not set(intel._finder([])("abc"))
+def test_indicators_that_overlap_are_all_found(spark):
+    events = spark.createDataFrame([(1, "xaBcdx", None), (2, None, "zz"), (3, "b", "ABC")], "row_id long, command_line string, raw_xml string")
+    patterns = spark.createDataFrame([(v,) for v in ("abc", "bcd", "B", "")], "value string")
+    got = intel.contains_scan(events, patterns, ["command_line", "raw_xml"]).collect()
+    assert sorted(map(tuple, got)) == sorted([(1, "command_line", "abc"), (1, "command_line", "b"), (1, "command_line", "bcd"), (3, "command_line", "b"), (3, "raw_xml", "abc"), (3, "raw_xml", "b")])
 
 
 def test_stateless_stream_equals_batch(spark, sf_dir, tmp_path):

@@ -1,7 +1,9 @@
 """Readers, normalisation, merging and streams on small fixtures."""
 
+import datetime
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from emberlog.operators import merge, normalize
@@ -71,5 +73,55 @@ def test_stream_equals_batch(spark, tmp_path):
         q = jobs.collect_incrementally(normalize.with_identity(jobs.stream_events(spark, source)), table, str(tmp_path / "cp"))
         q.awaitTermination(60)
         events.where("event_id = 4625").withColumn("user_name", F.lit("again")).write.mode("append").parquet(source)
-    got = spark.read.parquet(table)
+    got = jobs.collected(spark, table)
     assert got.count() == 2 and {r.user_name for r in got.collect()} == {"labuser", "bob"}
+
+
+def test_a_job_that_dies_between_its_writes_loses_nothing(spark, tmp_path, monkeypatch):
+    events = as_events(normalize.normalize_xml(spark.createDataFrame([(FAILED,), (START,)], "raw_xml string")))
+    more = events.withColumn("user_name", F.lit("richer")).withColumn("script_block", F.lit("x"))
+
+    def run(name, dies=()):
+        source, table, at = (str(tmp_path / name / part) for part in ("in", "table", "cp"))
+        for n, part in enumerate((events, more)):
+            part.write.mode("append").parquet(source)
+            for how in ("commit", "write"):
+                if (n, how) in dies:
+                    with monkeypatch.context() as m:
+                        real = getattr(jobs.EventTable, how)
+
+                        def fail(self, *args, how=how, real=real):
+                            if how == "write":
+                                real(self, *args)  # all is written, and the job dies before it says so
+                            raise OSError("lost")
+
+                        m.setattr(jobs.EventTable, how, fail)
+                        with pytest.raises(Exception, match="lost"):
+                            jobs.collect_incrementally(normalize.with_identity(jobs.stream_events(spark, source)), table, at).awaitTermination(120)
+            jobs.collect_incrementally(normalize.with_identity(jobs.stream_events(spark, source)), table, at).awaitTermination(120)
+        return sorted(str(r.asDict()) for r in jobs.collected(spark, table).collect())
+
+    clean = run("clean")
+    assert len(clean) == 2 and run("killed", {(0, "commit"), (1, "write"), (1, "commit")}) == clean
+
+
+def test_a_table_that_cannot_be_read_is_no_empty_table(spark, tmp_path):
+    table = jobs.EventTable(spark, str(tmp_path / "t"))
+    assert table.days() is None and jobs.collected(spark, str(tmp_path / "t")) is None
+    day = datetime.date(2024, 1, 2)
+    table.commit([day], "q", 0, "batch=gone")
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
+        table.days([day])
+    assert table.has("q", 0) and not table.has("q", 1) and not table.has("other", 0)
+
+
+def test_another_stream_into_the_table_and_events_without_a_day(spark, tmp_path):
+    events = as_events(normalize.normalize_xml(spark.createDataFrame([(FAILED,)], "raw_xml string")))
+    table = str(tmp_path / "t")
+    for n, user in enumerate(("a", "b")):
+        rows = normalize.with_identity(events.withColumn("user_name", F.lit(user)).withColumn("computer_name", F.lit(f"h{n}")))
+        rows.write.parquet(str(tmp_path / f"in{n}"))
+        keyed = spark.readStream.schema(rows.schema).parquet(str(tmp_path / f"in{n}")).withColumn("event_date", F.lit(None).cast("date"))
+        for _ in range(2):  # both begin with batch 0
+            jobs.collect_incrementally(keyed, table, str(tmp_path / f"cp{n}")).awaitTermination(120)
+    assert sorted(r.user_name for r in jobs.collected(spark, table).collect()) == ["a", "b"]
