@@ -54,8 +54,8 @@ class EventTable:
         if entries is None:
             return None
         if among is not None:
-            asked = F.coalesce(F.col("event_date").isin([d for d in among if d is not None]), F.lit(None in among))
-            entries = entries.where(asked)
+            day = F.col("event_date")
+            entries = entries.where(F.when(day.isNull(), F.lit(None in among)).otherwise(day.isin([d for d in among if d is not None])))
         last = entries.groupBy("event_date").agg(F.max_by("folder", "place").alias("folder")).collect()  # a row for each day
         paths = [f"{self.path}/{r.folder}/event_date={r.event_date or '__HIVE_DEFAULT_PARTITION__'}" for r in last]
         return self.spark.read.option("basePath", self.path).parquet(*paths).drop("batch") if paths else None
