@@ -179,3 +179,26 @@ def test_language_model_keeps_rare_grams_of_large_inputs(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", 0, "x") for i, t in rows], DOCS)
     got = {r.doc_id: r.score for r in language_model.score_texts(docs).collect()}
     assert got == pytest.approx(brute_scores(rows))
+
+
+def plain_toxicity(text, weights):
+    """The score by its formula: 1 - the product of what each sentence leaves."""
+    import re
+
+    left = 1.0
+    for sentence in [p for p in re.split(r"(?<=[.!?])\s+|\n+", text or "") if p] or [""]:
+        words = set(re.findall(r"[^\W_]+", sentence.lower()))
+        known = {f for w in words for f in [w, *(w[:k] + "*" for k in (4, 5, 6, 7, 8) if len(w) >= k)]}
+        left *= 1 / (1 + np.exp(weights[""] + sum(weights.get(f, 0.0) for f in known)))
+    return 1 - left
+
+
+def test_toxicity_scores_equal_the_formula(spark):
+    rnd = random.Random(8)
+    weights = {"": -4.0, "badword": 5.0, "badw*": 0.5, "awful": 2.0, "awfu*": -0.25, "i̇stanbul": 1.0, "fine": -1.0}
+    words = ["you", "BADWORD", "badwords", "İstanbul", "Awful", "fine", "ÉTÉ", "ẞ", "x_badword"]
+    texts = ["", None, "you BADWORD.", "you BADWORD. İstanbul", "İ " * 5000 + "badword"] + [" ".join(rnd.choice(words) + rnd.choice(["", ".", "!\n", "?"]) for _ in range(30)) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.score for r in toxicity.score(docs, weights).collect()}
+    assert all(abs(got[i] - plain_toxicity(t, weights)) < 1e-9 for i, t in enumerate(texts))
+    assert got[3] >= got[2] > 0.5
