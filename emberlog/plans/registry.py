@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import ingest_queries, whole_queries
+from . import export_queries, ingest_queries, whole_queries
 from .queries import ORACLES, QUERIES
 
 #: Where queries are defined, besides ``queries``.
-MODULES = (ingest_queries, whole_queries)
+MODULES = (export_queries, ingest_queries, whole_queries)
 __all__ = ["MODULES", "ORACLES", "QUERIES"]
