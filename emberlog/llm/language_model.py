@@ -2,7 +2,8 @@
 
 Smoothed n-grams become states with failure arcs: a state is a context, an arc carries the
 log-probability of a word after it, and the failure arc carries the context's backoff weight to its
-suffix. A text's score adds up the arcs that a left-to-right traversal takes.
+suffix. A text's score adds up the arcs that a left-to-right traversal takes. Each chunk of texts has
+the part of the automaton that its own n-grams reach, and walks all its texts side by side.
 
 The model grows with the corpus: every n-gram that occurs ``least`` times in the training rows is
 kept, at every size. Texts are encoded in chunks, once. A chunk asks for the counts of its distinct
@@ -11,8 +12,10 @@ is dealt out by ranges of a hash, so each n-gram is one number a chunk however c
 answers come back in the order asked, without the n-grams. Chunks and answers are bucketed alike, so
 each moves once, however many rounds read it.
 
-Words and n-grams are known by their hashes, whose width grows with the corpus: one shares its hash
-with another with a probability below one in a million (until 2^44 tokens, where 64 bits are used up).
+Words are counted by 96 bits of a digest: any two of 10^12 distinct ones share it with a probability
+below one in 100 000. Longer n-grams are known by hashes whose width grows with the corpus: one shares
+its hash with another with a probability below one in a million (until 2^44 tokens, where 64 bits are
+used up), which can touch a score and no count of words.
 
 Defined cases: a null text is an empty one and has one token, the end; rows that repeat count and
 score each on its own; a text of any length is one document of one chunk; equal counts need no order,
@@ -41,6 +44,8 @@ END = b""
 CHUNK_WORDS, CHUNK_BYTES = 200_000, 8_000_000
 #: So many asked n-grams of the whole corpus meet in one group, about.
 PART_KEYS = 1 << 19
+#: A text is walked in pieces of so many tokens, side by side.
+PIECE = 256
 #: Taken off every count of an n-gram of two words or more.
 DISCOUNT = 0.75
 #: Bits that a hash has over those of the number of tokens.
@@ -61,7 +66,7 @@ class _Numbers(dict):
         return n
 
 
-CHUNKS = "chunk long, doc_id array<long>, held_out array<boolean>, n array<long>, words binary, hashes binary, tokens long"
+CHUNKS = "chunk long, doc_id array<long>, held_out array<boolean>, n array<long>, words binary, hashes binary, checks binary, tokens long"
 
 
 def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,14 +75,14 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def chunk() -> pa.RecordBatch:
         ids, held, n = zip(*docs)
-        hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in numbers), dtype=np.uint64, count=len(numbers))
+        digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(w) for w in numbers), dtype="<u8").reshape(-1, 2)
         words = np.concatenate(parts)
         order = np.argsort(-np.bincount(words, minlength=len(numbers)), kind="stable")  # frequent words get small numbers, which pack well
         rank = np.empty(len(order), dtype=np.uint64)
         rank[order] = np.arange(len(order), dtype=np.uint64)
-        row = [uuid.uuid4().int >> 65, list(ids), list(held), list(n), pack(rank[words], tight=8), hashes[order].tobytes(), sum(n)]
-        kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds)], names=["chunk", "doc_id", "held_out", "n", "words", "hashes", "tokens"])
+        row = [uuid.uuid4().int >> 65, list(ids), list(held), list(n), pack(rank[words], tight=8), digests[order, 0].tobytes(), digests[order, 1].astype("<u4").tobytes(), sum(n)]
+        kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds)], names=["chunk", "doc_id", "held_out", "n", "words", "hashes", "checks", "tokens"])
 
     for batch in batches:
         for doc_id, held, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "held_out", "text"))):
@@ -110,10 +115,20 @@ def unpack(data: bytes) -> np.ndarray:
 
 
 def _steps(keys: np.ndarray) -> bytes:
-    """Sorted distinct numbers, by their differences."""
+    """Sorted numbers, by their differences."""
     return int(keys[0]).to_bytes(8, "little") + pack(np.diff(keys))
 
 
+def _distinct(keys: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(First place of each distinct pair, by key and check; which one each place has.)"""
+    order = np.lexsort((checks, keys))
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (keys[order[1:]] != keys[order[:-1]]) | (checks[order[1:]] != checks[order[:-1]])
+    place = np.empty(len(order), dtype=np.int64)
+    place[order] = np.cumsum(new) - 1
+    return order[new], place
+
+
 def _unsteps(data: bytes) -> np.ndarray:
     return np.cumsum(np.concatenate([np.frombuffer(data[:8], dtype="<u8"), unpack(data[8:])]), dtype=np.uint64)
 
@@ -125,18 +140,72 @@ class Plan:
         self.bits, self.parts, self.order, self.least = bits, parts, order, least
         self.total, self.types, self.discount = total, types, discount
 
-    def part_of(self, keys: np.ndarray) -> np.ndarray:
+    def part_of(self, keys: np.ndarray, bits: int) -> np.ndarray:
         """Ranges of keys, so sorted keys are dealt out in slices."""
-        top = min(self.bits, 32)
-        return ((keys >> np.uint64(self.bits - top)) * np.uint64(self.parts)) >> np.uint64(top)
+        top = min(bits, 32)
+        return ((keys >> np.uint64(bits - top)) * np.uint64(self.parts)) >> np.uint64(top)
 
-    def slices(self, keys: np.ndarray) -> list[tuple[int, int, int]]:
-        """(Part, begin, end) of sorted keys."""
-        part = self.part_of(keys)
+    def slices(self, k: int, keys: np.ndarray) -> list[tuple[int, int, int]]:
+        """(Part, begin, end) of sorted keys of k words; those of single words have all 64 bits."""
+        part = self.part_of(keys, 64 if k == 1 else self.bits)
         edge = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]])) if len(keys) else np.zeros(1, dtype=np.int64)
         return [(int(part[a]), int(a), int(b)) for a, b in zip(edge[:-1], edge[1:])]
 
 
+class Automaton:
+    """A weighted backoff automaton. State 0 is the empty context and has an arc for every word.
+
+    ``arc`` has the sorted numbers state * words + word; ``log_p`` and ``to`` are what an arc adds and
+    the state that it leads to, the longest suffix that is a context. A state without an arc for a word
+    is left by its failure arc, which adds ``backoff`` and leads to the context less its first word.
+    """
+
+    def __init__(self, words: int, state: np.ndarray, word: np.ndarray, log_p: np.ndarray, to: np.ndarray, fail: np.ndarray, backoff: np.ndarray):
+        arc = state.astype(np.int64) * words + word
+        order = np.argsort(arc)
+        self.words, self.fail, self.backoff = words, fail, backoff
+        self.arc, self.log_p, self.to = arc[order], log_p[order], to[order].astype(np.int64)
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(What reading a word adds, the next state) of walks that stand in ``state``."""
+        added, state = np.zeros(len(state)), state.copy()
+        on = np.arange(len(state))
+        while len(on):
+            at, wanted = word[on].astype(np.int64), state[on] * self.words + word[on]
+            deep = np.flatnonzero(state[on])  # the empty context's arcs come first, one for each word
+            at[deep] = np.minimum(np.searchsorted(self.arc, wanted[deep]), len(self.arc) - 1)
+            found = self.arc[at] == wanted
+            added[on[found]] += self.log_p[at[found]]
+            state[on[found]] = self.to[at[found]]
+            on = on[~found]
+            added[on] += self.backoff[state[on]]
+            state[on] = self.fail[state[on]]
+        return added, state
+
+    def walk(self, word: np.ndarray, begin: np.ndarray, length: np.ndarray, memory: int) -> np.ndarray:
+        """What each token adds, by one left-to-right traversal of all texts side by side.
+
+        A state remembers at most ``memory`` words. So a text is walked in pieces: one that begins
+        inside it first reads so many words before, and stands where a walk of the whole text would.
+        """
+        pieces = -(-length // PIECE)
+        text = np.repeat(np.arange(len(length)), pieces)
+        nth = np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        first = begin[text] + nth * PIECE
+        end = np.minimum(first + PIECE, (begin + length)[text])
+        at = np.maximum(np.where(nth > 0, first - memory, first), begin[text])
+        longest = np.argsort(at - end, kind="stable")
+        first, at, size = first[longest], at[longest], (at - end)[longest]
+        state, out = np.zeros(len(at), dtype=np.int64), np.zeros(len(word))
+        for t in range(-int(size.min(initial=0))):
+            on = np.searchsorted(size, -t)
+            here = at[:on] + t
+            added, state[:on] = self.step(state[:on], word[here])
+            own = here >= first[:on]
+            out[here[own]] = added[own]
+        return out
+
+
 class Chunk:
     """Texts of a chunk and what is known of their n-grams.
 
@@ -157,7 +226,9 @@ class Chunk:
         self.word = hashes[words]
         self.shift = np.uint64(64 - plan.bits)
         self.keys, self.n, self.at, self.own, self.weight = {}, {}, {}, {}, {}
-        self.keys[1], place = np.unique(hashes >> self.shift, return_inverse=True)
+        checks = np.frombuffer(row["checks"], dtype="<u4")
+        first, place = _distinct(hashes, checks)
+        self.keys[1], self.checks = hashes[first], checks[first]
         self.place = {1: place.astype(np.int32)[words]}
         self.here = {1: np.arange(len(words), dtype=np.int32)}
         before = np.arange(len(words)) - np.repeat(self.starts, self.lengths)
@@ -178,7 +249,7 @@ class Chunk:
 
     def _counts(self, k: int, answers: list[dict]) -> None:
         answers = sorted(answers, key=lambda a: a["part"])
-        sizes = [b - a for _, a, b in self.plan.slices(self.keys[k])]
+        sizes = [b - a for _, a, b in self.plan.slices(k, self.keys[k])]
         n = [unpack(a["n"]) for a in answers]
         if [len(x) for x in n] != sizes:
             raise ValueError(f"answers on {k} words do not fit what was asked")
@@ -233,27 +304,37 @@ class Chunk:
         places, _, _ = self.asked_contexts(k)
         answers = sorted(answers, key=lambda a: a["part"])
         weight = [np.frombuffer(zlib.decompress(a["n"]), dtype="<f4") for a in answers]
-        if [len(x) for x in weight] != [b - a for _, a, b in self.plan.slices(self.keys[k][places])]:
+        if [len(x) for x in weight] != [b - a for _, a, b in self.plan.slices(k, self.keys[k][places])]:
             raise ValueError(f"answers on contexts of {k} words do not fit what was asked")
         self.weight[k] = np.zeros(len(self.keys[k]))
         self.weight[k][places] = np.concatenate(weight)
 
-    def log_p(self) -> np.ndarray:
-        """The log10 probability of each token: its arc, after the failure arcs to where it has one."""
-        unigram = self.unigram()
-        out = np.log10(unigram)[self.place[1]]
+    def automaton(self) -> Automaton:
+        """The kept n-grams as states, arcs and failure arcs. The state of a context of k words is its
+        place in keys[k], after those of shorter ones."""
+        top = self.plan.order - 1
+        base = np.cumsum([1, *(len(self.keys[k]) for k in range(1, top + 1))])
+        state = lambda k, ends: base[k - 1] + self.at[k][ends]
+        fail, backoff = np.zeros(base[-1], dtype=np.int64), np.zeros(base[-1])
+        unigram, words = self.unigram(), np.arange(len(self.keys[1]))
+        arcs = [(np.zeros_like(words), words, np.log10(unigram), np.where(self.n[1] >= self.plan.least, 1 + words, 0) if top else np.zeros_like(words))]
         for k in range(2, self.plan.order + 1):
-            head = np.roll(self.at[k - 1], 1)
-            head[~self.inner] = -1
-            back = head >= 0
-            if k - 1 in self.weight:
-                out[back] += self.weight[k - 1][head[back]]
-            kept = np.flatnonzero(self.at[k] >= 0)
-            out[kept] = np.log10(self.lower(k, kept, unigram))
-        return out
+            ends = np.zeros(len(self.keys[k]), dtype=np.int64)
+            ends[self.place[k]] = self.here[k]  # one place of each
+            ends = ends[self.at[k][ends] >= 0]
+            arcs.append((state(k - 1, ends - 1), self.place[1][ends], np.log10(self.lower(k, ends, unigram)), state(min(k, top), ends)))
+            if k <= top:
+                fail[state(k, ends)] = state(k - 1, ends)
+        for k, weight in self.weight.items():
+            backoff[base[k - 1] : base[k]] = weight
+        return Automaton(len(words), *map(np.concatenate, zip(*arcs)), fail, backoff)
+
+    def log_p(self) -> np.ndarray:
+        """The log10 probability of each token."""
+        return self.automaton().walk(self.place[1], self.starts, self.lengths, self.plan.order - 1)
 
 
-ASKED = "chunk long, kind int, part long, keys binary, n binary, seen binary, below binary"
+ASKED = "chunk long, kind int, part long, keys binary, n binary, checks binary, seen binary, below binary"
 ANSWERS = "chunk long, kind int, part long, n binary, own binary, total long, types long, once long, twice long"
 
 
@@ -272,7 +353,7 @@ def _counts_asked(plan: Plan):
                 c = Chunk(row, plan, [])
                 for k, keys in c.keys.items():
                     n = c.train_counts(k)
-                    yield from _table([{"chunk": row["chunk"], "kind": k, "part": p, "keys": _steps(keys[a:b]), "n": pack(n[a:b])} for p, a, b in plan.slices(keys)], ASKED).to_batches()
+                    yield from _table([{"chunk": row["chunk"], "kind": k, "part": p, "keys": _steps(keys[a:b]), "n": pack(n[a:b]), "checks": c.checks[a:b].tobytes() if k == 1 else None} for p, a, b in plan.slices(k, keys)], ASKED).to_batches()
 
     return run
 
@@ -287,7 +368,7 @@ def _weights_asked(plan: Plan):
         for k in range(1, plan.order):
             places, seen, below = c.asked_contexts(k)
             keys, seen, below = c.keys[k][places], seen[places], below[places]
-            for p, a, b in plan.slices(keys):
+            for p, a, b in plan.slices(k, keys):
                 given = np.flatnonzero(seen[a:b] > 0)
                 rows.append({"chunk": row["chunk"], "kind": -k, "part": p, "keys": _steps(keys[a:b]), "n": _steps(given.astype(np.uint64)) if len(given) else None, "seen": seen[a:b][given].tobytes(), "below": below[a:b][given].tobytes()})
         return _table(rows, ASKED)
@@ -306,9 +387,13 @@ def _answers(least: int):
         for kind, rows in by.items():
             keys = [_unsteps(r["keys"]) for r in rows]
             ends = np.cumsum([len(k) for k in keys])
-            distinct, first, place = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+            if kind == 1:
+                first, place = _distinct(np.concatenate(keys), np.concatenate([np.frombuffer(r["checks"], dtype="<u4") for r in rows]))
+            else:
+                _, first, place = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+            size = len(first)
             if kind > 0:
-                n = np.bincount(place, weights=np.concatenate([unpack(r["n"]) for r in rows]).astype(float), minlength=len(distinct)).astype(np.uint64)
+                n = np.bincount(place, weights=np.concatenate([unpack(r["n"]) for r in rows]).astype(float), minlength=size).astype(np.uint64)
                 told = n if kind == 1 else np.where(n >= least, n, 0).astype(np.uint64)
                 own = np.zeros(len(place), dtype=bool)
                 own[first] = True
@@ -317,7 +402,7 @@ def _answers(least: int):
                     out.append({"chunk": r["chunk"], "kind": kind, "part": r["part"], "n": pack(told[place[a:b]]), "own": np.packbits(own[a:b]).tobytes()} | stats)
                     stats = {}
             else:
-                seen, below = np.zeros(len(distinct)), np.zeros(len(distinct))
+                seen, below = np.zeros(size), np.zeros(size)
                 for r, a in zip(rows, ends - [len(k) for k in keys]):
                     if r["n"] is not None:
                         given = place[a + _unsteps(r["n"]).astype(np.int64)]
@@ -350,76 +435,6 @@ def _scores(plan: Plan):
     return run
 
 
-class Automaton:
-    """States are numbered contexts; 0 is the empty one.
-
-    ``arcs[(state, word)]`` is (log-probability, next state); ``fail[state]`` is the suffix
-    context and ``backoff[state]`` its weight. Words outside every kept n-gram are word 0.
-    """
-
-    def __init__(self, unigram: dict[int, float], grams: dict[tuple[int, ...], int], contexts: dict[tuple[int, ...], int], discount: float = 0.75):
-        follow: dict[tuple[int, ...], list[tuple[int, int]]] = {}
-        for g, n in grams.items():
-            follow.setdefault(g[:-1], []).append((g[-1], n))
-        self.state = {(): 0}
-        for c in sorted(follow, key=lambda c: (len(c), c)):
-            self.state.setdefault(c, len(self.state))
-        self.arcs: dict[tuple[int, int], tuple[float, int]] = {}
-        self.fail, self.backoff = [0] * len(self.state), [0.0] * len(self.state)
-        p: dict[tuple[int, ...], float] = {}
-
-        def lower(context: tuple[int, ...], word: int) -> float:
-            """Probability of ``word`` after ``context`` by the states built so far."""
-            weight = 1.0
-            while context:
-                if context + (word,) in p:
-                    return weight * p[context + (word,)]
-                if context in self.state:
-                    weight *= 10 ** self.backoff[self.state[context]]
-                context = context[1:]
-            return weight * unigram[word]
-
-        for c in sorted(follow, key=lambda c: (len(c), c)):
-            s = self.state[c]
-            self.fail[s] = self._longest(c[1:])
-            seen, below, total = 0.0, 0.0, contexts[c]
-            for word, n in follow[c]:
-                p[c + (word,)] = (n - discount) / total
-                seen += p[c + (word,)]
-                below += lower(c[1:], word)
-            self.backoff[s] = math.log10(max(1 - seen, 1e-12) / max(1 - below, 1e-12))
-        for g in grams:
-            self.arcs[self.state[g[:-1]], g[-1]] = (math.log10(p[g]), self._longest(g))
-
-    def _longest(self, words: tuple[int, ...]) -> int:
-        """The state of the longest suffix that is a context."""
-        while words not in self.state:
-            words = words[1:]
-        return self.state[words]
-
-    def start(self, word: int) -> int:
-        return self.state.get((word,), 0)
-
-
-def traverse(words: list[int], log_unigram: list[float], numbers: list[int], arcs: dict, fail: list[int], backoff: list[float], starts: dict[int, int]) -> float:
-    """The log10 probability of a token sequence; ``numbers`` and ``log_unigram`` are by local word."""
-    total, state = 0.0, 0
-    for w in words:
-        word = numbers[w]
-        while state:
-            arc = arcs.get((state, word)) if word else None
-            if arc is not None:
-                total += arc[0]
-                state = arc[1]
-                break
-            total += backoff[state]
-            state = fail[state]
-        else:
-            total += log_unigram[w]
-            state = starts.get(word, 0) if word else 0
-    return total
-
-
 def score_texts(docs: DataFrame, mod: int = 7, fold: int = 2, order: int = 3, least: int = 2) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 

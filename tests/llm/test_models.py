@@ -117,15 +117,87 @@ def test_language_model_base_equals_brute_force(spark):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+class PlainAutomaton:
+    """The automaton in dictionaries, state by state, to hold the library's against.
+
+    States are numbered contexts; 0 is the empty one.
+
+    ``arcs[(state, word)]`` is (log-probability, next state); ``fail[state]`` is the suffix
+    context and ``backoff[state]`` its weight. Words outside every kept n-gram are word 0.
+    """
+
+    def __init__(self, unigram: dict[int, float], grams: dict[tuple[int, ...], int], contexts: dict[tuple[int, ...], int], discount: float = 0.75):
+        follow: dict[tuple[int, ...], list[tuple[int, int]]] = {}
+        for g, n in grams.items():
+            follow.setdefault(g[:-1], []).append((g[-1], n))
+        self.state = {(): 0}
+        for c in sorted(follow, key=lambda c: (len(c), c)):
+            self.state.setdefault(c, len(self.state))
+        self.arcs: dict[tuple[int, int], tuple[float, int]] = {}
+        self.fail, self.backoff = [0] * len(self.state), [0.0] * len(self.state)
+        p: dict[tuple[int, ...], float] = {}
+
+        def lower(context: tuple[int, ...], word: int) -> float:
+            """Probability of ``word`` after ``context`` by the states built so far."""
+            weight = 1.0
+            while context:
+                if context + (word,) in p:
+                    return weight * p[context + (word,)]
+                if context in self.state:
+                    weight *= 10 ** self.backoff[self.state[context]]
+                context = context[1:]
+            return weight * unigram[word]
+
+        for c in sorted(follow, key=lambda c: (len(c), c)):
+            s = self.state[c]
+            self.fail[s] = self._longest(c[1:])
+            seen, below, total = 0.0, 0.0, contexts[c]
+            for word, n in follow[c]:
+                p[c + (word,)] = (n - discount) / total
+                seen += p[c + (word,)]
+                below += lower(c[1:], word)
+            self.backoff[s] = math.log10(max(1 - seen, 1e-12) / max(1 - below, 1e-12))
+        for g in grams:
+            self.arcs[self.state[g[:-1]], g[-1]] = (math.log10(p[g]), self._longest(g))
+
+    def _longest(self, words: tuple[int, ...]) -> int:
+        """The state of the longest suffix that is a context."""
+        while words not in self.state:
+            words = words[1:]
+        return self.state[words]
+
+    def start(self, word: int) -> int:
+        return self.state.get((word,), 0)
+
+
+def traverse(words: list[int], log_unigram: list[float], numbers: list[int], arcs: dict, fail: list[int], backoff: list[float], starts: dict[int, int]) -> float:
+    """The log10 probability of a token sequence; ``numbers`` and ``log_unigram`` are by local word."""
+    total, state = 0.0, 0
+    for w in words:
+        word = numbers[w]
+        while state:
+            arc = arcs.get((state, word)) if word else None
+            if arc is not None:
+                total += arc[0]
+                state = arc[1]
+                break
+            total += backoff[state]
+            state = fail[state]
+        else:
+            total += log_unigram[w]
+            state = starts.get(word, 0) if word else 0
+    return total
+
+
 def test_automaton_is_a_distribution():
     unigram = {1: 0.3, 2: 0.25, 3: 0.2, 4: 0.15}  # the rest is the unknown word
     grams = {(1, 2): 30, (1, 3): 10, (2, 3): 20, (1, 2, 3): 12, (1, 2, 1): 6, (2, 3, 4): 5}
     contexts = {(1,): 80, (2,): 60, (3,): 50, (4,): 40} | grams
-    a = language_model.Automaton(unigram, grams, contexts)
+    a = PlainAutomaton(unigram, grams, contexts)
     numbers = [0, 1, 2, 3, 4]
     log_u = [math.log10(0.1), *(math.log10(unigram[w]) for w in (1, 2, 3, 4))]
     starts = {w: a.start(w) for w in (1, 2, 3, 4)}
-    score = lambda seq: language_model.traverse(seq, log_u, numbers, a.arcs, a.fail, a.backoff, starts)
+    score = lambda seq: traverse(seq, log_u, numbers, a.arcs, a.fail, a.backoff, starts)
     for context in ([], [1], [2], [3], [4], [1, 2], [2, 3], [3, 1, 2], [0], [0, 1]):
         assert sum(10 ** (score([*context, w]) - score(context)) for w in range(5)) == pytest.approx(1)
     assert 10 ** (score([1, 2, 3]) - score([1, 2])) == pytest.approx((12 - 0.75) / 30)
@@ -152,12 +224,12 @@ def brute_scores(rows, order=3):
     n, one, two = sum(single.values()), sum(c == 1 for c in single.values()), sum(c == 2 for c in single.values())
     d = one / (one + 2 * two)
     kept = {g: c for g, c in counts.items() if c >= 2}
-    a = language_model.Automaton({w: (c - d) / n for w, c in single.items()}, {g: c for g, c in kept.items() if len(g) > 1}, kept)
+    a = PlainAutomaton({w: (c - d) / n for w, c in single.items()}, {g: c for g, c in kept.items() if len(g) > 1}, kept)
     vocabulary = sorted(single | {x: 0 for _, w, _ in toks for x in w})
     local = {w: i for i, w in enumerate(vocabulary)}
     log_u = [math.log10((single[w] - d) / n if w in single else d * len(single) / n) for w in vocabulary]
     starts = {w: a.start(w) for w in single if a.start(w)}
-    return {i: language_model.traverse([local[x] for x in w], log_u, vocabulary, a.arcs, a.fail, a.backoff, starts) for i, w, _ in toks}
+    return {i: traverse([local[x] for x in w], log_u, vocabulary, a.arcs, a.fail, a.backoff, starts) for i, w, _ in toks}
 
 
 @pytest.mark.parametrize("order", [2, 3, 4])
@@ -171,6 +243,26 @@ def test_language_model_equals_brute_force(spark, monkeypatch, order):
     assert {r.doc_id: r.score for r in got} == pytest.approx(want)
 
 
+@pytest.mark.parametrize("piece", [1, 2, 3, 256])
+def test_walk_takes_arcs_and_failure_arcs(monkeypatch, piece):
+    """Contexts 1 = (a), 2 = (b), 3 = (a b); a word c that follows (a b) only."""
+    monkeypatch.setattr(language_model, "PIECE", piece)
+    log = lambda *x: np.array(x)
+    a, b, c = 0, 1, 2
+    m = language_model.Automaton(3, np.array([0, 0, 0, 1, 3]), np.array([a, b, c, b, c]), log(-1.0, -2.0, -3.0, -0.5, -0.25), np.array([1, 2, 0, 3, 0]), fail=np.array([0, 0, 0, 2]), backoff=log(0.0, -0.1, -0.2, -0.4))
+    words = np.array([a, b, c, a, b, b, c, c])
+    want = [-1.0, -0.5, -0.25, -1.0, -0.5, -0.4 - 0.2 - 2.0, -0.2 - 3.0, -3.0]
+    assert m.walk(words, np.array([0]), np.array([8]), 2) == pytest.approx(want)
+    apart = m.walk(words, np.array([0, 5]), np.array([5, 3]), 2)  # the second text begins in the empty context
+    assert apart == pytest.approx([*want[:5], -2.0, *want[6:]])
+
+
+def test_words_of_one_hash_are_told_apart():
+    keys, checks = np.array([7, 5, 7, 7], dtype=np.uint64), np.array([1, 9, 2, 1], dtype="<u4")
+    first, place = language_model._distinct(keys, checks)
+    assert place.tolist() == [1, 0, 2, 1] and first.tolist() == [1, 0, 2]
+
+
 def test_language_model_keeps_rare_grams_of_large_inputs(spark):
     train = [i for i in range(100) if zlib.crc32(str(i).encode()) % 7 != 2]
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
