@@ -12,8 +12,8 @@ is dealt out by ranges of a hash, so each n-gram is one number a chunk however c
 answers come back in the order asked, without the n-grams. Chunks and answers are bucketed alike, so
 each moves once, however many rounds read it.
 
-Words are counted by 96 bits of a digest: any two of 10^12 distinct ones share it with a probability
-below one in 100 000. Longer n-grams are known by hashes whose width grows with the corpus: one shares
+Words are counted by 80 bits of a digest: any two of 10^9 distinct ones share them with a probability
+below one in a million, of 10^10 one in 20 000. Longer n-grams are known by hashes whose width grows with the corpus: one shares
 its hash with another with a probability below one in a million (until 2^44 tokens, where 64 bits are
 used up), which can touch a score and no count of words.
 
@@ -46,8 +46,9 @@ CHUNK_WORDS, CHUNK_BYTES = 200_000, 8_000_000
 PART_KEYS = 1 << 19
 #: A text is walked in pieces of so many tokens, side by side.
 PIECE = 256
-#: Taken off every count of an n-gram of two words or more.
-DISCOUNT = 0.75
+#: Taken off every count of an n-gram of two words or more, in quarters: sums of these are whole.
+QUARTERS = 3
+DISCOUNT = QUARTERS / 4
 #: Bits that a hash has over those of the number of tokens.
 SPARE_BITS = 20
 
@@ -80,7 +81,7 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = np.argsort(-np.bincount(words, minlength=len(numbers)), kind="stable")  # frequent words get small numbers, which pack well
         rank = np.empty(len(order), dtype=np.uint64)
         rank[order] = np.arange(len(order), dtype=np.uint64)
-        row = [uuid.uuid4().int >> 65, list(ids), list(held), list(n), pack(rank[words], tight=8), digests[order, 0].tobytes(), digests[order, 1].astype("<u4").tobytes(), sum(n)]
+        row = [uuid.uuid4().int >> 65, list(ids), list(held), list(n), pack(rank[words], tight=8), digests[order, 0].tobytes(), digests[order, 1].astype("<u2").tobytes(), sum(n)]
         kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary(), pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds)], names=["chunk", "doc_id", "held_out", "n", "words", "hashes", "checks", "tokens"])
 
@@ -121,9 +122,12 @@ def _steps(keys: np.ndarray) -> bytes:
 
 def _distinct(keys: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(First place of each distinct pair, by key and check; which one each place has.)"""
-    order = np.lexsort((checks, keys))
+    order = np.argsort(keys, kind="stable")
+    other = lambda x: x[order[1:]] != x[order[:-1]]
+    if (other(checks) & ~other(keys)).any():
+        order = np.lexsort((checks, keys))
     new = np.ones(len(order), dtype=bool)
-    new[1:] = (keys[order[1:]] != keys[order[:-1]]) | (checks[order[1:]] != checks[order[:-1]])
+    new[1:] = other(keys) | other(checks)
     place = np.empty(len(order), dtype=np.int64)
     place[order] = np.cumsum(new) - 1
     return order[new], place
@@ -210,8 +214,9 @@ class Chunk:
     """Texts of a chunk and what is known of their n-grams.
 
     ``keys[k]`` has the sorted hashes of the n-grams of k words that are asked for, ``n[k]`` their
-    training counts, ``at[k]`` for each token the place of the kept one that ends there, or -1, and
-    ``weight[k]`` their log10 backoff weights.
+    training counts, ``at[k]`` for each token the place of the kept one that ends there, or -1,
+    ``kept[k]`` one token that each kept one ends at, ``own[k]`` whether this chunk is to add it to sums,
+    and ``weight[k]`` their log10 backoff weights.
     """
 
     def __init__(self, row: dict, plan: Plan, answers: list[dict]):
@@ -225,8 +230,8 @@ class Chunk:
         self.inner[self.starts] = False  # a token with another before it in its text
         self.word = hashes[words]
         self.shift = np.uint64(64 - plan.bits)
-        self.keys, self.n, self.at, self.own, self.weight = {}, {}, {}, {}, {}
-        checks = np.frombuffer(row["checks"], dtype="<u4")
+        self.keys, self.n, self.at, self.kept, self.own, self.weight = {}, {}, {}, {}, {}, {}
+        checks = np.frombuffer(row["checks"], dtype="<u2")
         first, place = _distinct(hashes, checks)
         self.keys[1], self.checks = hashes[first], checks[first]
         self.place = {1: place.astype(np.int32)[words]}
@@ -254,13 +259,19 @@ class Chunk:
         if [len(x) for x in n] != sizes:
             raise ValueError(f"answers on {k} words do not fit what was asked")
         self.n[k] = np.concatenate([np.zeros(0, np.uint64), *n]).astype(np.int64)
-        own = [np.unpackbits(np.frombuffer(a["own"], dtype=np.uint8), count=s).astype(bool) for a, s in zip(answers, sizes)]
-        self.own[k] = np.concatenate([np.zeros(0, dtype=bool), *own])
+        often = self.n[k] >= self.plan.least
+        if k > 1:
+            own = [np.unpackbits(np.frombuffer(a["own"], dtype=np.uint8), count=int((x >= self.plan.least).sum())) for a, x in zip(answers, n)]
+            self.own[k] = np.zeros(len(often), dtype=bool)
+            self.own[k][often] = np.concatenate([np.zeros(0, np.uint8), *own])
         self.at[k] = np.full(len(self.word), -1, dtype=np.int32)
-        here, kept = self.here[k], self.n[k][self.place[k]] >= self.plan.least
+        here, kept = self.here[k], often[self.place[k]]
         if k > 1:  # head and tail occur as often, unless hashes coincide
             kept &= (self.at[k - 1][here] >= 0) & (self.at[k - 1][here - 1] >= 0)
         self.at[k][here] = np.where(kept, self.place[k], -1)
+        ends = np.zeros(len(often), dtype=np.int64)
+        ends[self.place[k]] = here
+        self.kept[k] = ends[self.at[k][ends] >= 0]
 
     def unigram(self) -> np.ndarray:
         """The probability of each word of the chunk; the unknown word's where it has no count."""
@@ -279,36 +290,43 @@ class Chunk:
         mine = self.train[self.here[k]]
         return np.bincount(self.place[k][mine], minlength=len(self.keys[k])).astype(np.uint64)
 
-    def asked_contexts(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(Places in keys[k] of the contexts to ask for, what this chunk adds to the sums of all.)
-
-        Each kept n-gram of k + 1 words is added by the one chunk that owns it; a chunk asks for the
-        contexts that it leaves by the failure arc.
-        """
-        at, heads = self.at[k + 1], np.roll(self.at[k], 1)
-        heads[~self.inner] = -1
-        asked = np.zeros(len(self.keys[k]), dtype=bool)
-        asked[heads[(heads >= 0) & (at < 0)]] = True
-        _, first = np.unique(self.place[k + 1], return_index=True)
-        ends = self.here[k + 1][first]
-        ends = ends[(at[ends] >= 0) & self.own[k + 1]]
-        head, size = heads[ends], len(self.keys[k])
-        seen = np.bincount(head, weights=self.lower(k + 1, ends, self.unigram()), minlength=size)
-        below = np.bincount(head, weights=self.lower(k, ends, self.unigram()), minlength=size)
-        asked |= seen > 0
-        return np.flatnonzero(asked), seen, below
+    def owned(self, k: int) -> np.ndarray:
+        """One token that each kept n-gram of k words ends at which this chunk adds to its context's sums."""
+        ends = self.kept[k]
+        return ends[self.own[k][self.at[k][ends]]]
+
+    def asked_contexts(self, k: int) -> np.ndarray:
+        """Places in keys[k] of the contexts to ask for: those that the chunk leaves by the failure arc,
+        and those to whose sums it adds."""
+        left = np.flatnonzero(self.inner & (self.at[k + 1] < 0)) - 1
+        asked = np.zeros(len(self.keys[k]) + 1, dtype=bool)
+        asked[self.at[k][left]] = True  # the last one stands for none
+        asked[self.at[k][self.owned(k + 1) - 1]] = True
+        return np.flatnonzero(asked[:-1])
+
+    def added_to_contexts(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """What the chunk adds, for each of keys[k], to the discounted counts of what follows (in
+        quarters), and to the probability that the shorter context gives it."""
+        ends, unigram = self.owned(k + 1), self.unigram()
+        head, size = self.at[k][ends - 1], len(self.keys[k])
+        seen = np.bincount(head, weights=4 * self.n[k + 1][self.at[k + 1][ends]] - QUARTERS, minlength=size)
+        return seen.astype(np.uint64), np.bincount(head, weights=self.lower(k, ends, unigram), minlength=size)
 
     def _weights(self, k: int, answers: list[dict]) -> None:
         if not answers:
             return
-        places, _, _ = self.asked_contexts(k)
+        places = self.asked_contexts(k)
         answers = sorted(answers, key=lambda a: a["part"])
         weight = [np.frombuffer(zlib.decompress(a["n"]), dtype="<f4") for a in answers]
-        if [len(x) for x in weight] != [b - a for _, a, b in self.plan.slices(k, self.keys[k][places])]:
+        if [len(x) for x in weight] != [b - a for _, a, b in self.plan.slices(-k, self.context_keys(k)[places])]:
             raise ValueError(f"answers on contexts of {k} words do not fit what was asked")
         self.weight[k] = np.zeros(len(self.keys[k]))
         self.weight[k][places] = np.concatenate(weight)
 
+    def context_keys(self, k: int) -> np.ndarray:
+        """As contexts words need no more bits than n-grams."""
+        return self.keys[k] >> self.shift if k == 1 else self.keys[k]
+
     def automaton(self) -> Automaton:
         """The kept n-grams as states, arcs and failure arcs. The state of a context of k words is its
         place in keys[k], after those of shorter ones."""
@@ -319,9 +337,7 @@ class Chunk:
         unigram, words = self.unigram(), np.arange(len(self.keys[1]))
         arcs = [(np.zeros_like(words), words, np.log10(unigram), np.where(self.n[1] >= self.plan.least, 1 + words, 0) if top else np.zeros_like(words))]
         for k in range(2, self.plan.order + 1):
-            ends = np.zeros(len(self.keys[k]), dtype=np.int64)
-            ends[self.place[k]] = self.here[k]  # one place of each
-            ends = ends[self.at[k][ends] >= 0]
+            ends = self.kept[k]
             arcs.append((state(k - 1, ends - 1), self.place[1][ends], np.log10(self.lower(k, ends, unigram)), state(min(k, top), ends)))
             if k <= top:
                 fail[state(k, ends)] = state(k - 1, ends)
@@ -334,7 +350,7 @@ class Chunk:
         return self.automaton().walk(self.place[1], self.starts, self.lengths, self.plan.order - 1)
 
 
-ASKED = "chunk long, kind int, part long, keys binary, n binary, checks binary, seen binary, below binary"
+ASKED = "chunk long, kind int, part long, keys binary, n binary, checks binary, whole binary, seen binary, below binary"
 ANSWERS = "chunk long, kind int, part long, n binary, own binary, total long, types long, once long, twice long"
 
 
@@ -360,17 +376,18 @@ def _counts_asked(plan: Plan):
 
 def _weights_asked(plan: Plan):
     """What chunks ask then: the backoff weights of contexts, with what the chunk adds to their sums
-    (``n`` says to which). ``kind`` is the length below zero."""
+    (``n`` says to which, ``whole`` how often these occur). ``kind`` is the length below zero."""
 
     def run(chunks: pa.Table, answers: pa.Table) -> pa.Table:
         (row,), rows = chunks.to_pylist(), []
         c = Chunk(row, plan, answers.to_pylist())
         for k in range(1, plan.order):
-            places, seen, below = c.asked_contexts(k)
-            keys, seen, below = c.keys[k][places], seen[places], below[places]
-            for p, a, b in plan.slices(k, keys):
-                given = np.flatnonzero(seen[a:b] > 0)
-                rows.append({"chunk": row["chunk"], "kind": -k, "part": p, "keys": _steps(keys[a:b]), "n": _steps(given.astype(np.uint64)) if len(given) else None, "seen": seen[a:b][given].tobytes(), "below": below[a:b][given].tobytes()})
+            places, (seen, below) = c.asked_contexts(k), c.added_to_contexts(k)
+            keys, n, seen, below = c.context_keys(k)[places], c.n[k][places].astype(np.uint64), seen[places], below[places].astype("<f4")
+            for p, a, b in plan.slices(-k, keys):
+                given = np.flatnonzero(seen[a:b])
+                sums = {"n": _steps(given.astype(np.uint64)), "whole": pack(n[a:b][given]), "seen": pack(seen[a:b][given]), "below": below[a:b][given].tobytes()} if len(given) else {}
+                rows.append({"chunk": row["chunk"], "kind": -k, "part": p, "keys": _steps(keys[a:b])} | sums)
         return _table(rows, ASKED)
 
     return run
@@ -388,7 +405,7 @@ def _answers(least: int):
             keys = [_unsteps(r["keys"]) for r in rows]
             ends = np.cumsum([len(k) for k in keys])
             if kind == 1:
-                first, place = _distinct(np.concatenate(keys), np.concatenate([np.frombuffer(r["checks"], dtype="<u4") for r in rows]))
+                first, place = _distinct(np.concatenate(keys), np.concatenate([np.frombuffer(r["checks"], dtype="<u2") for r in rows]))
             else:
                 _, first, place = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
             size = len(first)
@@ -397,18 +414,20 @@ def _answers(least: int):
                 told = n if kind == 1 else np.where(n >= least, n, 0).astype(np.uint64)
                 own = np.zeros(len(place), dtype=bool)
                 own[first] = True
+                kept = told[place] >= least
                 stats = {"total": int(n.sum()), "types": int((n > 0).sum()), "once": int((n == 1).sum()), "twice": int((n == 2).sum())} if kind == 1 else {}
                 for r, a, b in zip(rows, ends - [len(k) for k in keys], ends):
-                    out.append({"chunk": r["chunk"], "kind": kind, "part": r["part"], "n": pack(told[place[a:b]]), "own": np.packbits(own[a:b]).tobytes()} | stats)
+                    out.append({"chunk": r["chunk"], "kind": kind, "part": r["part"], "n": pack(told[place[a:b]]), "own": np.packbits(own[a:b][kept[a:b]]).tobytes() if kind > 1 else None} | stats)
                     stats = {}
             else:
-                seen, below = np.zeros(size), np.zeros(size)
+                seen, below, whole = np.zeros(size), np.zeros(size), np.full(size, 0.25)
                 for r, a in zip(rows, ends - [len(k) for k in keys]):
                     if r["n"] is not None:
                         given = place[a + _unsteps(r["n"]).astype(np.int64)]
-                        seen[given] += np.frombuffer(r["seen"])
-                        below[given] += np.frombuffer(r["below"])
-                weight = np.log10(np.maximum(1 - seen, 1e-12) / np.maximum(1 - below, 1e-12)).astype("<f4")
+                        seen[given] += unpack(r["seen"])
+                        below[given] += np.frombuffer(r["below"], dtype="<f4")
+                        whole[given] = unpack(r["whole"])
+                weight = np.log10(np.maximum((4 * whole - seen) / (4 * whole), 1e-12) / np.maximum(1 - below, 1e-12)).astype("<f4")
                 for r, a, b in zip(rows, ends - [len(k) for k in keys], ends):
                     out.append({"chunk": r["chunk"], "kind": kind, "part": r["part"], "n": zlib.compress(weight[place[a:b]].tobytes(), 1)})
         return _table(out, ANSWERS)

@@ -258,7 +258,7 @@ def test_walk_takes_arcs_and_failure_arcs(monkeypatch, piece):
 
 
 def test_words_of_one_hash_are_told_apart():
-    keys, checks = np.array([7, 5, 7, 7], dtype=np.uint64), np.array([1, 9, 2, 1], dtype="<u4")
+    keys, checks = np.array([7, 5, 7, 7], dtype=np.uint64), np.array([1, 9, 2, 1], dtype="<u2")
     first, place = language_model._distinct(keys, checks)
     assert place.tolist() == [1, 0, 2, 1] and first.tolist() == [1, 0, 2]
 
