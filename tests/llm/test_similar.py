@@ -101,3 +101,41 @@ def test_recall_on_driver_documents(spark, sf_dir):
     at = {i: n for n, i in enumerate(ids)}
     assert all(root[at[i]] == root[at[f]] for i, f in got.items())
     assert sum(got[ids[a]] == got[ids[b]] for a, b in want) >= 0.9 * len(want)
+
+
+def test_no_link_depends_on_fingerprints(spark):
+    rnd = random.Random(5)
+    texts = []
+    for i in range(30):  # one pair each at the threshold or just above, and one just below
+        base = [f"p{i}w{k}" for k in range(60 + 7 * i)]
+        cut = (len(base) - 4) // 9
+        texts += [" ".join(base), " ".join(base[:-cut] + [f"q{rnd.randrange(10**9)}" for _ in range(cut)]), " ".join(base[: -cut - 3] + [f"r{rnd.randrange(10**9)}" for _ in range(cut + 3)])]
+    line = [f"c{k}" for k in range(40)]  # a line that many have
+    texts += [" ".join(line + [f"m{i}x{k}" for k in range(12)]) for i in range(60)] + [" ".join(line + ["end"]), " ".join(["start", *line])]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0, "x") for i, t in enumerate(texts)], DOCS)
+    root = groups(len(texts), brute_links(texts))
+    assert len(set(root)) < len(texts) - 30
+    for recall in (0.01, 0.95):
+        got = {r.doc_id: r.first.doc_id for r in similar.near_copies(docs, recall=recall).collect()}
+        assert all((root[a] == root[b]) == (got[a] == got[b]) for a in range(len(texts)) for b in range(a))
+
+
+@pytest.mark.parametrize("most", [8, 4096])
+def test_missed_candidates_hold_every_link(spark, most):
+    rnd = random.Random(9)
+    base = [f"c{rnd.randrange(900)}" for _ in range(120)]
+    texts = sorted({edited(rnd, base, 2 + i % 5) for i in range(80)} | {edited(rnd, [f"d{k}" for k in range(90)], 1 + i % 3) for i in range(30)})
+    docs = spark.createDataFrame([(i, t, "en", "s", 0, "x") for i, t in enumerate(texts)], DOCS)
+    for often in (similar.often_seen(docs, 5, part=1), similar.often_seen(docs, 5, part=1, least=10**9)):
+        prints = similar.units(docs, 5, 0.8, often)
+        unit = {r.doc_id: r.unit for r in prints.collect()}
+        alone = prints.selectExpr("unit", "unit AS root", "n", "first_ones")
+        found = {(r.a, r.b) for r in similar.missed_candidates(alone, 0.8, most).collect()}
+        want = {(min(unit[a], unit[b]), max(unit[a], unit[b])) for a, b in brute_links(texts)}
+        assert want and want <= found
+        likely = {(r.a, r.b) for r in similar.not_apart(similar.missed_candidates(alone, 0.8, most), prints.select("unit", "n", "counts")).collect()}
+        assert want <= likely <= found
+        # Of units that have a group already only pairs across groups are asked for.
+        parts = alone.selectExpr("unit", "CAST(pmod(unit, 2) AS long) AS root", "n", "first_ones")
+        crossing = {(r.a, r.b) for r in similar.missed_candidates(parts, 0.8, most).collect()}
+        assert crossing == {(a, b) for a, b in found if a % 2 != b % 2}
