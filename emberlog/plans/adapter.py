@@ -65,9 +65,15 @@ FROM p
 PROPERTIES = ("targetusername", "membername", "status", "ticketencryptiontype", "servicename")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Narrow rows over all cores: one well-packed file is few tasks, which all that follows would inherit."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def log_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The canonical event table; ``p_`` columns become the property map."""
     # The other braces of the text are none of the formatter's business.
-    d = spark.sql(LOG_EVENTS_SQL, events=spark.read.parquet(f"{sf_dir}/events.parquet"))
+    d = spark.sql(LOG_EVENTS_SQL, events=spread(spark.read.parquet(f"{sf_dir}/events.parquet")))
     pairs = F.filter(F.array(*(F.struct(F.lit(p).alias("k"), F.col(f"p_{p}").alias("v")) for p in PROPERTIES)), lambda x: x["v"].isNotNull())
     return as_events(d.withColumn("properties", F.map_from_entries(pairs)))

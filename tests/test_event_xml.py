@@ -47,3 +47,20 @@ def test_rows_keep_what_the_parts_say(spark):
     assert rows[1].properties == {"securityuserid": "S-1", "eventidqualifiers": "7", "newprocessname": "C:\\a\\b.exe"}
     mapped = map_fields(d.where("event_id = 4688"), {"CommandLine": ("NewProcessName",)}).first()
     assert (mapped.process_name, mapped.process_path, mapped.command_line) == ("b.exe", "C:\\a\\b.exe", "C:\\a\\b.exe")
+
+
+def test_plain_documents_take_the_builtin_builder(monkeypatch):
+    from emberlog.functions import event_xml as E
+
+    plain = "<Event xmlns='x'><System><EventID Qualifiers='7'>5</EventID><Level> </Level></System><EventData><Data Name='A'>b</Data><Data/><Data> c </Data></EventData></Event>"
+    want = (None, None, "5", "7", None, None, "", None, None, [("a", "b"), ("data1", " c ")])
+    assert E._parts(plain) == want
+    typed = "<!DOCTYPE Event [<!ENTITY e 'x'>]>" + plain
+    assert E.event_parts(typed) is None
+    assert E._parts(plain.replace(">b<", "><![CDATA[<!DOCTYPE x>]]><")) == (*want[:-1], [("a", "<!DOCTYPE x>"), ("data1", " c ")])
+
+    def slow(*_):
+        raise AssertionError("a builder of its own")
+
+    monkeypatch.setattr(E, "_Builder", slow)
+    assert E._parts(plain) == want
