@@ -781,4 +781,5 @@ def _(ev):
 
 @query("snk4b_export_all_statistics")
 def _(ev):
-    return X.export_statistics(S.statistics(ev, stored(run_detectors(ev, SETTINGS, ordered=False), "findings")), L.EventFilter(user="bob"))
+    ev = stored(ev, "events")  # every detector reads it
+    return X.export_statistics(S.statistics(ev, run_detectors(ev, SETTINGS, ordered=False)), L.EventFilter(user="bob"))

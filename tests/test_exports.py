@@ -4,7 +4,8 @@ import json
 from collections import Counter
 
 from emberlog.plans import queries as Q
-from emberlog.plans.adapter import PROPERTIES, log_events
+from emberlog.operators.detectors import log_clearing
+from emberlog.plans.adapter import PROPERTIES, log_events, spread
 
 
 def test_all_events_are_exported(spark, sf_dir):
@@ -29,3 +30,21 @@ def test_all_sections_are_exported(spark, sf_dir):
     got = Q.QUERIES["snk4b_export_all_statistics"](spark, sf_dir).collect()
     assert sorted((r.section, r.key, r.value) for r in got if r.section != "Filter") == sorted((s, k, str(n)) for s, rows in want.items() for k, n in rows)
     assert sum(r.section == "Filter" for r in got) == 9
+
+
+def test_detectors_read_events_that_are_written_once(spark, sf_dir, monkeypatch):
+    seen, real = [], Q.run_detectors
+
+    def one(ev, settings, **more):
+        seen.append(ev.inputFiles())
+        return real(ev, settings, detectors={"log_clearing": log_clearing}, **more)
+
+    monkeypatch.setattr(Q, "run_detectors", one)
+    Q.QUERIES["snk4b_export_all_statistics"](spark, sf_dir)
+    assert seen[0] and not any("events.parquet" in f for f in seen[0])
+
+
+def test_events_of_one_file_are_spread_over_the_cores(spark, sf_dir):
+    cores = spark.sparkContext.defaultParallelism
+    assert spread(spark.range(100).coalesce(1)).rdd.getNumPartitions() == cores
+    assert log_events(spark, sf_dir).rdd.getNumPartitions() >= cores
