@@ -32,29 +32,32 @@ PRIVILEGED_GROUPS = (
 PROFILE_PATHS = ("\\Temp\\", "\\AppData\\Local\\Temp\\", "\\AppData\\", "\\Downloads\\", "\\Загрузки\\", "\\Documents\\", "\\Документы\\", "\\Desktop\\", "\\Рабочий стол\\")
 
 
+def _listed(text: Column, whole: Sequence[str], beginnings: Sequence[str], end: str | None = None) -> Column:
+    """Whether a lower-case text is one of a list or begins with one of another; it is worked out once for all tests."""
+
+    def test(t: Column) -> Column:
+        out = t.isin(*(x.lower() for x in whole))
+        for p in beginnings:
+            out = out | t.startswith(p.lower())
+        return out if end is None else out | t.endswith(end)
+
+    return F.coalesce(F.exists(F.array(text), test), F.lit(False))
+
+
 def is_service_sid(sid: Column) -> Column:
-    s = F.lower(F.trim(sid))
-    out = s.isin(*(x.lower() for x in SERVICE_SIDS))
-    for p in SERVICE_SID_PREFIXES:
-        out = out | s.startswith(p.lower())
-    return F.coalesce(out, F.lit(False))
+    return _listed(F.lower(F.trim(sid)), SERVICE_SIDS, SERVICE_SID_PREFIXES)
 
 
 def is_service_name(user: Column) -> Column:
-    name = F.lower(sam_account_name(user))
-    out = name.endswith("$") | name.isin(*(x.lower() for x in SERVICE_NAMES))
-    for p in SERVICE_NAME_PREFIXES:
-        out = out | name.startswith(p.lower())
-    return F.coalesce(~blank(user) & out, F.lit(False))
+    return ~blank(user) & _listed(F.lower(sam_account_name(user)), SERVICE_NAMES, SERVICE_NAME_PREFIXES, "$")
 
 
 def is_machine_account() -> Column:
     """By the target's security id if it has a real one, else by subject and names."""
     target = F.trim(prop("TargetUserSid"))
     real = (target != "") & (F.lower(target) != "s-1-0-0")
-    by_target = is_service_sid(target) | is_service_name(F.col("target_user_name"))
-    other = is_service_sid(prop("SubjectUserSid")) | is_service_name(F.col("target_user_name")) | is_service_name(F.col("user_name"))
-    return F.when(real, by_target).otherwise(other)
+    other = is_service_sid(prop("SubjectUserSid")) | is_service_name(F.col("user_name"))
+    return is_service_name(F.col("target_user_name")) | F.when(real, is_service_sid(target)).otherwise(other)
 
 
 def is_privileged_sid(sid: Column) -> Column:

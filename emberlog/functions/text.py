@@ -101,7 +101,7 @@ def hash_value(hashes: Column, algorithm: str) -> Column:
 def sam_account_name(c: Column) -> Column:
     """What follows the last backslash, unless nothing does."""
     t = F.trim(c)
-    name = F.regexp_extract(t, r"([^\\]*)$", 1)
+    name = F.substring_index(t, "\\", -1)
     return F.when(name != "", name).otherwise(t)
 
 

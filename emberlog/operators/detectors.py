@@ -6,6 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.accounts import account_key, in_suspicious_path, ip_key, is_machine_account, is_privileged_group, suspicious_paths
@@ -85,6 +86,14 @@ def _last(columns=PRIMARY) -> Column:
     return F.max_by(F.struct(*columns), F.struct("us", "row_id"))
 
 
+def _with_primary(groups: DataFrame, events: DataFrame, row: str) -> DataFrame:
+    """Groups with the PRIMARY columns of the event that ``row`` names. Only those events are shuffled."""
+    g = stored(groups, "window-groups")
+    ids = g.select(F.col(row).alias("_row")).distinct()
+    side = events.select(*PRIMARY).join(ids, F.col("row_id") == F.col("_row"), "left_semi").dropDuplicates(["row_id"])
+    return g.join(side, F.col(row) == F.col("row_id")).drop(row)
+
+
 def _group_findings(d: DataFrame, keys: list[str], rule: str, title: Column, severity, description, details, least: int = 1, more: dict | None = None) -> DataFrame:
     """One finding for each group: everything is an aggregate, so hot groups are reduced before the shuffle."""
     g = d.groupBy(*keys).agg(
@@ -127,24 +136,25 @@ def rdp_activity(events: DataFrame, s: Settings = Settings()) -> DataFrame:
 
 
 def burst_clusters(events: DataFrame, window_us: int, threshold: int) -> DataFrame:
-    """Greedy bursts of failures: account, ip, n, first_us, last_us, primary (last failure), success
+    """Greedy bursts of failures: account, ip, n, first_us, last_us, first_row, last_row (last failure), won_row
     (first 4624 of the same account and address within the window after it, or null)."""
     keys = ["account", "ip"]
-    d = _named(events.where(is_failure() & has_user())).select(*keys, "us", *PRIMARY)
+    d = _named(events.where(is_failure() & has_user())).select(*keys, "us", "row_id")
     d = stored(window_ends(busy_runs(d, keys, window_us, threshold), keys, window_us), "window-events")
     clusters = greedy_clusters(d.where(F.col("end_rn") - F.col("rn") + 1 >= threshold).select(*keys, "run", "bucket", "rn", "end_rn"), keys)
     g = cluster_rows(d, clusters, keys).groupBy(*keys, "run", "start_rn").agg(
-        F.count(F.lit(1)).alias("n"), F.min("us").alias("first_us"), F.max("us").alias("last_us"), _last().alias("p"), F.min_by("row_id", F.struct("us", "row_id")).alias("first_row")
-    ).withColumn("cluster", F.concat_ws("|", *keys, F.col("first_us").cast("string"), F.col("first_row").cast("string")))
-    wins = _named(events.where(F.col("event_id") == 4624)).select(F.col("account").alias("s_account"), F.col("ip").alias("s_ip"), F.col("us").alias("s_us"), F.col("row_id").alias("s_row"), F.struct(*PRIMARY).alias("s_event"))
-    hit = first_after(g, wins, "cluster", [("account", "s_account"), ("ip", "s_ip")], F.col("last_us"), F.col("last_us") + window_us, "s_us", "s_row", window_us, keep=["s_event"])
-    return g.join(hit, "cluster", "left").select(*keys, "n", "first_us", "last_us", "first_row", "p", F.col("hit.s_event").alias("success"))
+        F.count(F.lit(1)).alias("n"), F.min("us").alias("first_us"), F.max("us").alias("last_us"), F.max_by("row_id", "rn").alias("last_row"), F.min_by("row_id", "rn").alias("first_row")
+    )
+    g = stored(g, "window-groups").withColumn("cluster", F.concat_ws("|", *keys, F.col("first_us").cast("string"), F.col("first_row").cast("string")))
+    wins = _named(events.where(F.col("event_id") == 4624)).select(F.col("account").alias("s_account"), F.col("ip").alias("s_ip"), F.col("us").alias("s_us"), F.col("row_id").alias("s_row"))
+    hit = first_after(g, wins, "cluster", [("account", "s_account"), ("ip", "s_ip")], F.col("last_us"), F.col("last_us") + window_us, "s_us", "s_row", window_us)
+    return g.join(hit, "cluster", "left").select(*keys, "n", "first_us", "last_us", "first_row", "last_row", F.col("hit.id").alias("won_row"))
 
 
 def brute_force(events: DataFrame, s: Settings = Settings()) -> DataFrame:
     g = burst_clusters(events, s.burst_window_us, max(2, s.burst_threshold))
-    won = F.col("success").isNotNull()
-    g = g.withColumn("primary", F.coalesce("success", "p")).withColumn("won", won).select("account", "ip", "n", "first_us", "last_us", "first_row", F.col("p.row_id").alias("last_row"), "won", "primary.*")
+    g = g.withColumns({"won": F.col("won_row").isNotNull(), "p_row": F.coalesce("won_row", "last_row")}).drop("won_row")
+    g = _with_primary(g, events.where(is_failure() | (F.col("event_id") == 4624)), "p_row")
     details = F.concat(F.lit("account="), F.col("account"), F.lit("; ip="), F.col("ip"), F.lit("; failures="), F.col("n").cast("string"))
     title = F.when(F.col("won"), "Possible successful brute force authentication").otherwise("Possible brute force authentication")
     return make_finding(
@@ -156,18 +166,18 @@ def brute_force(events: DataFrame, s: Settings = Settings()) -> DataFrame:
 def spray_clusters(events: DataFrame, window_us: int, threshold: int) -> DataFrame:
     """Greedy windows of one address with failures for many accounts."""
     d = _named(events.where(is_failure() & has_user())).where(~F.col("ip").isin("", "-"))
-    d = d.select("ip", "account", "us", *PRIMARY).withColumn("named", F.when(F.regexp_replace("account", r"^\\+|\\+$", "") != "", F.col("account")))
+    d = d.select("ip", "account", "us", "row_id").withColumn("named", F.when(F.regexp_replace("account", r"^\\+|\\+$", "") != "", F.col("account"))).drop("account")
     d = stored(window_ends(busy_runs(d, ["ip"], window_us, threshold), ["ip"], window_us), "window-events")
     d = stored(distinct_ahead(d, ["ip"], window_us, "named", "seen"), "window-values")
     clusters = greedy_clusters(d.where(F.col("seen") >= threshold).select("ip", "run", "bucket", "rn", "end_rn"), ["ip"])
     d = d.drop("seen")
     return cluster_rows(d, clusters, ["ip"]).groupBy("ip", "run", "start_rn").agg(
-        F.count(F.lit(1)).alias("n"), F.count_distinct("named").alias("n_accounts"), F.min("us").alias("first_us"), F.max("us").alias("last_us"), _last().alias("p"), F.min_by("row_id", F.struct("us", "row_id")).alias("first_row")
+        F.count(F.lit(1)).alias("n"), F.count_distinct("named").alias("n_accounts"), F.min("us").alias("first_us"), F.max("us").alias("last_us"), F.max_by("row_id", "rn").alias("p_row"), F.min_by("row_id", "rn").alias("first_row")
     )
 
 
 def password_spray(events: DataFrame, s: Settings = Settings()) -> DataFrame:
-    g = spray_clusters(events, s.burst_window_us, max(3, s.spray_threshold)).select("ip", "n", "n_accounts", "first_us", "last_us", "first_row", "p.*")
+    g = _with_primary(spray_clusters(events, s.burst_window_us, max(3, s.spray_threshold)).drop("run", "start_rn"), events.where(is_failure()), "p_row")
     details = F.concat(F.lit("ip="), F.col("ip"), F.lit("; attempts="), F.col("n").cast("string"), F.lit("; distinctAccounts="), F.col("n_accounts").cast("string"))
     return make_finding(g, "BruteForce", SPRAYING, RANK["High"], "Failures for many accounts from one source", details, related=F.array("first_row", "row_id"), count=F.col("n"), group_key=F.col("ip"), first_us=F.col("first_us"), last_us=F.col("last_us"))
 
@@ -186,8 +196,8 @@ def _created(events: DataFrame) -> DataFrame:
     return events.where(F.col("event_id") == 4720).withColumns({"us": micros(), "new_user": F.coalesce("target_user_name", prop("TargetUserName"))})
 
 
-def new_user_additions(events: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """(row_id, g_row, g_us): each creation and all that put the account into a privileged group within the window."""
+def _named_and_added(events: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
+    """Creations (row_id, us, name) and additions to privileged groups (g_row, g_us, name), one row for each name that they fit."""
     created = _created(events)
     adds = events.where(F.col("event_id").isin(4728, 4732, 4756)).where(is_privileged_group(prop("TargetUserName"), F.when(blank(prop("TargetSid")), prop("TargetUserSid")).otherwise(prop("TargetSid")), s.groups))
     adds = adds.select(F.col("row_id").alias("g_row"), micros().alias("g_us"), prop("MemberName").alias("g_member"), F.col("raw_xml").alias("g_raw"), F.col("target_user_name").alias("g_target"))
@@ -197,17 +207,48 @@ def new_user_additions(events: DataFrame, s: Settings = Settings()) -> DataFrame
     told = containing(adds, "g_row", "g_text", created.select(F.col("name").alias("pattern"))).withColumnsRenamed({"g_row": "of_row", "pattern": "name"})
     same = adds.where("g_target is not null").select(F.col("g_row").alias("of_row"), F.lower("g_target").alias("name"))
     fits = adds.select("g_row", "g_us").join(told.unionByName(same).distinct(), F.col("g_row") == F.col("of_row"))
-    slot = lambda c: F.floor(F.col(c) / s.new_user_window_us).cast("bigint")
-    a = created.where("not nameless").withColumn("slot", F.explode(F.array(slot("us"), slot("us") + 1)))
-    pairs = a.join(fits.withColumn("slot", slot("g_us")), ["name", "slot"])
-    return pairs.where(F.col("g_us").between(F.col("us"), F.col("us") + s.new_user_window_us)).select("row_id", "g_row", "g_us")
+    return created.where("not nameless and us is not null").drop("nameless"), fits.where("g_us is not null").drop("of_row")
+
+
+def _slot(c: str, s: Settings) -> Column:
+    return F.floor(F.col(c) / s.new_user_window_us).cast("bigint")
+
+
+def new_user_additions(events: DataFrame, s: Settings = Settings(), of: DataFrame | None = None) -> DataFrame:
+    """(row_id, g_row, g_us): each creation and all that put the account into a privileged group within the window.
+
+    ``of`` (row_id and more columns) limits creations and adds its columns before pairs are made, so pairs,
+    which may be far more than events, are never shuffled.
+    """
+    created, fits = _named_and_added(events, s)
+    if of is not None:
+        created = created.join(of, "row_id")
+    a = created.withColumn("slot", F.explode(F.array(_slot("us", s), _slot("us", s) + 1)))
+    pairs = a.join(fits.withColumn("slot", _slot("g_us", s)), ["name", "slot"])
+    return pairs.where(F.col("g_us").between(F.col("us"), F.col("us") + s.new_user_window_us)).drop("name", "slot", "us")
+
+
+def new_user_hits(events: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """(row_id, hits, hit_row, hit_us): number, least id and last time of the additions of each creation that has any.
+
+    Pairs are never joined. A window holds the rest of its own slot of time and the beginning of the next, so
+    a creation asks twice; asks and additions are sorted together, the own slot's from its end, and
+    running aggregates answer. The work grows with creations plus additions.
+    """
+    created, fits = _named_and_added(events, s)
+    item = lambda slot, late, at: F.struct(slot.alias("slot"), F.lit(late).alias("late"), at.alias("at"))
+    both = lambda d, *items: d.withColumn("_item", F.explode(F.array(*items))).select("*", "_item.*").drop("_item")
+    asks = both(created, item(_slot("us", s), True, -F.col("us")), item(_slot("us", s) + 1, False, F.col("us") + s.new_user_window_us)).drop("us")
+    adds = both(fits, item(_slot("g_us", s), True, -F.col("g_us")), item(_slot("g_us", s), False, F.col("g_us")))
+    so_far = W.partitionBy("name", "slot", "late").orderBy("at", F.col("row_id").isNotNull()).rowsBetween(W.unboundedPreceding, W.currentRow)
+    d = asks.unionByName(adds, allowMissingColumns=True).select("row_id", F.count("g_row").over(so_far).alias("n"), F.min("g_row").over(so_far).alias("least"), F.max("g_us").over(so_far).alias("last"))
+    return d.where("row_id is not null and n > 0").groupBy("row_id").agg(F.sum("n").alias("hits"), F.min("least").alias("hit_row"), F.max("last").alias("hit_us"))
 
 
 def new_users(events: DataFrame, s: Settings = Settings()) -> DataFrame:
     """Created accounts; High if a privileged group takes them in within the window."""
     created = _created(events)
-    hits = new_user_additions(events, s).groupBy("row_id").agg(F.count(F.lit(1)).alias("hits"), F.min("g_row").alias("hit_row"), F.max("g_us").alias("hit_us"))
-    d = created.join(hits, "row_id", "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
+    d = created.join(new_user_hits(events, s), "row_id", "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
     taken = F.col("hits") > 0
     details = F.concat(F.lit("newUser="), F.coalesce("new_user", F.lit("")), F.lit("; privilegedGroupEvents="), F.col("hits").cast("string"))
     return make_finding(
@@ -337,22 +378,22 @@ def largest_clusters(events: DataFrame, window_us: int, least: int) -> DataFrame
     """The largest window of each (who, source), the earliest of equal ones: n, services and ends."""
     keys = ["who", "source"]
     d = events.withColumns({"who": F.lower(ticket_account()), "source": F.lower(ticket_source()), "us": micros(), "service": F.lower(prop("ServiceName"))})
-    d = stored(window_ends(busy_runs(d.select(*keys, "us", "service", *PRIMARY), keys, window_us, least), keys, window_us), "window-events")
+    d = stored(window_ends(busy_runs(d.select(*keys, "us", "service", "row_id"), keys, window_us, least), keys, window_us), "window-events")
     size = F.col("end_rn") - F.col("rn") + 1
     best = d.withColumn("size", size).where(F.col("size") >= least).groupBy(*keys).agg(F.min(F.struct((-F.col("size")).alias("a"), "us", "row_id", "run", "bucket", "rn", "end_rn")).alias("b"))
     chosen = best.select(*keys, F.col("b.run").alias("run"), F.col("b.bucket").alias("bucket"), F.col("b.rn").alias("rn"), F.col("b.end_rn").alias("end_rn"))
-    return cluster_rows(d, chosen, keys).groupBy(*keys).agg(
+    g = cluster_rows(d, chosen, keys).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.count_distinct(F.when(F.col("service") != "", F.col("service"))).alias("services"), F.min("us").alias("first_us"), F.max("us").alias("last_us"),
-        _last().alias("p"), F.min_by("row_id", F.struct("us", "row_id")).alias("first_row"),
+        F.max_by("row_id", "rn").alias("p_row"), F.min_by("row_id", "rn").alias("first_row"),
     )
+    return _with_primary(g, events, "p_row")
 
 
 def kerberos_bursts(events: DataFrame, s: Settings = Settings()) -> DataFrame:
-    flat = lambda g: g.select("who", "source", "n", "services", "first_us", "last_us", "first_row", "p.*")
     common = dict(related=F.array("first_row", "row_id"), count=F.col("n"), group_key=F.concat_ws("|", "who", "source"), first_us=F.col("first_us"), last_us=F.col("last_us"))
-    pre = flat(largest_clusters(events.where(F.col("event_id") == 4771), s.burst_window_us, max(3, s.burst_threshold)))
+    pre = largest_clusters(events.where(F.col("event_id") == 4771), s.burst_window_us, max(3, s.burst_threshold))
     out = make_finding(pre, KERBEROS, PRE_AUTH_BURST, RANK["High"], details=F.concat(F.lit("signature=AD-003; count="), F.col("n").cast("string")), **common)
-    roast = flat(largest_clusters(events.where(is_kerberoast()), s.burst_window_us, 5)).where(F.col("services") >= 3)
+    roast = largest_clusters(events.where(is_kerberoast()), s.burst_window_us, 5).where(F.col("services") >= 3)
     return out.unionByName(make_finding(roast, KERBEROS, ROASTING_BURST, RANK["High"], details=F.concat(F.lit("signature=AD-004; tickets="), F.col("n").cast("string"), F.lit("; services="), F.col("services").cast("string")), **common))
 
 

@@ -13,7 +13,7 @@ from ..storage import stored
 
 def busy_runs(events: DataFrame, keys: Sequence[str], window_us: int, least: int) -> DataFrame:
     """The events of runs that could hold a window of ``least`` events, with ``run``, ``bucket`` and
-    ``offset`` (the events of the run before the bucket).
+    ``offset`` (the events of the run before the bucket) and ``n_bucket`` (those in it).
 
     Time is cut into buckets of the window's length. No window spans an empty bucket, so runs of busy
     buckets are found, and numbered, on counts of (key, bucket) alone; runs with too few events never
@@ -27,25 +27,25 @@ def busy_runs(events: DataFrame, keys: Sequence[str], window_us: int, least: int
     runs = counts.withColumn("gap", gap).withColumn("run", F.sum("gap").over(by_key.rowsBetween(W.unboundedPreceding, 0)))
     whole = W.partitionBy(*keys, "run")
     runs = runs.withColumn("total", F.sum("n").over(whole)).withColumn("offset", F.coalesce(F.sum("n").over(whole.orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    return d.join(runs.where(F.col("total") >= least).select(*keys, "bucket", "run", "offset"), [*keys, "bucket"])
+    return d.join(runs.where(F.col("total") >= least).select(*keys, "bucket", "run", "offset", F.col("n").alias("n_bucket")), [*keys, "bucket"])
 
 
 def window_ends(events: DataFrame, keys: Sequence[str], window_us: int) -> DataFrame:
     """Adds rn (rank in the run by time) and end_rn (rank of the last event within the window).
 
-    A window ends in its own bucket or the next, so each bucket is joined by the events of the next one,
-    and no group is larger than that. Each event asks once, at the time its window ends, for the last rank
-    before; asks are sorted among the events and a running maximum answers them, so the work grows with
-    the events of a bucket and not with the pairs of its events.
+    A window holds all that follows in its own bucket and ends in the next, so each bucket is joined by the
+    asks of the one before, and no group is larger than that. Each event asks once, at the time its window
+    ends, for the events of the next bucket before; asks are sorted among these, and running counts give both
+    ranks, so the work grows with the events of a bucket and not with the pairs of its events. Events are
+    shuffled twice, so callers keep them narrow and look up what else they need of the few that count.
     """
     item = lambda group, ask, at: F.struct(group.alias("_group"), F.lit(ask).alias("_ask"), at.alias("_at"))
-    items = F.array(item(F.col("bucket"), False, F.col("us")), item(F.col("bucket") - 1, False, F.col("us")), item(F.col("bucket"), True, F.col("us") + window_us))
-    d = events.withColumn("_item", F.explode(items)).select("*", "_item.*").drop("_item").repartition(*keys, "_group")
-    place = F.row_number().over(W.partitionBy(*keys, "_group", "bucket", "_ask").orderBy("us", "row_id"))
-    d = d.withColumn("rn", (F.col("offset") + place).cast("int"))
-    so_far = W.partitionBy(*keys, "_group").orderBy("_at", "_ask").rowsBetween(W.unboundedPreceding, W.currentRow)
-    d = d.withColumn("end_rn", F.max(F.when(~F.col("_ask"), F.col("rn"))).over(so_far))
-    return d.where("_ask").drop("_group", "_ask", "_at")
+    items = F.array(item(F.col("bucket"), False, F.col("us")), item(F.col("bucket") + 1, True, F.col("us") + window_us))
+    d = events.withColumn("_item", F.explode(items)).select("*", "_item.*").drop("_item")
+    so_far = W.partitionBy(*keys, "_group").orderBy("_at", "_ask", "row_id").rowsBetween(W.unboundedPreceding, W.currentRow)
+    d = d.withColumns({"_asks": F.count_if(F.col("_ask")).over(so_far), "_next": F.count_if(~F.col("_ask")).over(so_far)}).where("_ask")
+    d = d.withColumns({"rn": (F.col("offset") + F.col("_asks")).cast("int"), "end_rn": (F.col("offset") + F.col("n_bucket") + F.col("_next")).cast("int")})
+    return d.drop("n_bucket", "_group", "_ask", "_at", "_asks", "_next")
 
 
 def distinct_ahead(events: DataFrame, keys: Sequence[str], window_us: int, value: str, name: str) -> DataFrame:
@@ -72,14 +72,16 @@ def distinct_ahead(events: DataFrame, keys: Sequence[str], window_us: int, value
     return sides.withColumn(name, F.coalesce(F.sum("_step").over(so_far), F.lit(0)).cast("int")).where("_step is null").drop("_step")
 
 
-def greedy_clusters(candidates: DataFrame, keys: Sequence[str], most: int = 10_000) -> DataFrame:
+def greedy_clusters(candidates: DataFrame, keys: Sequence[str], most: int = 10_000, steps: int = 32) -> DataFrame:
     """Non-overlapping windows in order of time: after one is taken, those that start inside it go.
 
     ``candidates`` (keys, run, bucket, rn, end_rn) are only the windows that are large enough. They are
     cut where one starts after all before it have ended; ends rise with starts, so that needs the one
     before alone, which is in the bucket or the last one of the bucket before. A part with up to ``most``
     candidates is folded; in a larger one each is linked to the first that starts after its end, and the
-    chain from the part's start is marked in rounds that double the length of the links.
+    chain from the part's start is marked. No two windows of a chain start in one bucket, so where parts span
+    up to ``steps`` buckets the links are followed one by one, which moves only the chains' ends; else in
+    rounds that double the length of the links.
     """
     group = [*keys, "run"]
     inside = W.partitionBy(*group, "bucket").orderBy("rn")
@@ -93,11 +95,13 @@ def greedy_clusters(candidates: DataFrame, keys: Sequence[str], most: int = 10_0
     c = c.join(base.select(*group, "bucket", "_base"), [*group, "bucket"])
     c = c.withColumn("part", F.col("_base") + F.sum("_starts").over(inside.rowsBetween(W.unboundedPreceding, 0))).select(*group, "part", "bucket", "rn", "end_rn", "_starts")
     c = stored(c, "window-parts")
-    sizes = c.groupBy(*group, "part").agg(F.count(F.lit(1)).alias("_size"))
+    sizes = c.groupBy(*group, "part").agg(F.count(F.lit(1)).alias("_size"), (F.max("bucket") - F.min("bucket") + 1).alias("_span"))
     large = sizes.where(F.col("_size") > most).drop("_size")
-    if not large.limit(1).count():
+    span = large.agg(F.max("_span")).first()[0]
+    if span is None:
         return _folded(c, group)
-    return _folded(c.join(large, [*group, "part"], "left_anti"), group).unionByName(_doubled(c.join(large, [*group, "part"]), group))
+    large = large.drop("_span")
+    return _folded(c.join(large, [*group, "part"], "left_anti"), group).unionByName(_linked(c.join(large, [*group, "part"]), group, span <= steps))
 
 
 def _folded(c: DataFrame, group: list[str]) -> DataFrame:
@@ -112,7 +116,7 @@ def _folded(c: DataFrame, group: list[str]) -> DataFrame:
     return folded.select(*group, F.col("c.rn").alias("rn"), F.col("c.end_rn").alias("end_rn"), F.col("c.bucket").alias("bucket"))
 
 
-def _doubled(c: DataFrame, group: list[str]) -> DataFrame:
+def _linked(c: DataFrame, group: list[str], stepwise: bool) -> DataFrame:
     """The chain of each part from its first window on."""
     # The first start after an end: among the bucket's and the next one's own, else the first of a later bucket.
     own = c.select(*group, "bucket", "rn", "end_rn", F.lit(True).alias("_own"))
@@ -126,6 +130,13 @@ def _doubled(c: DataFrame, group: list[str]) -> DataFrame:
     link = found.join(beyond, [*group, "bucket"]).select(*group, F.col("_id").alias("rn"), F.coalesce("_next", "_far").alias("next"))
     link = stored(link.where("next is not null"), "window-links")
     marked = stored(c.where("_starts = 1").select(*group, "rn"), "window-marks")
+    if stepwise:
+        starts = ends = marked
+        while not ends.isEmpty():
+            ends = ends.join(link, [*group, "rn"]).select(*group, F.col("next").alias("rn"))
+            ends = stored(ends.join(starts, [*group, "rn"], "left_anti"), "window-marks")  # of a later part: it has its own chain
+            marked = marked.unionByName(ends)
+        return c.join(marked, [*group, "rn"], "left_semi").select(*group, "rn", "end_rn", "bucket")
     n = marked.count()
     while True:
         reached = marked.join(link, [*group, "rn"]).select(*group, F.col("next").alias("rn"))

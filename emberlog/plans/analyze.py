@@ -85,9 +85,9 @@ def finding_events(events: DataFrame, findings: DataFrame, settings: Settings =
     groups = findings.where("group_key is not null").select(kind.alias("kind"), F.col("group_key").alias("k"), "group_key", "rule_name", "title", "severity_rank", "first_us", "last_us")
     spans = F.when(F.col("kind").isin(*bursts), F.sequence(bucket(F.col("first_us")), bucket(F.col("last_us")))).otherwise(F.array(F.lit(0).cast("bigint")))
     grouped = members.join(groups.withColumn("bucket", F.explode(spans)), ["kind", "k", "bucket"]).where(F.col("us").between(F.col("first_us"), F.col("last_us"))).select(*out)
-    created = findings.where(rule == "NewUser").select("rule_name", "title", F.col("event_row_id").cast("string").alias("group_key"), "first_us", "severity_rank", F.col("event_row_id").alias("c_row"))
-    added = new_user_additions(events, settings).withColumnRenamed("row_id", "c_row")
-    return grouped.unionByName(created.join(added, "c_row").withColumnRenamed("g_row", "row_id").select(*out))
+    created = findings.where(rule == "NewUser").select("rule_name", "title", F.col("event_row_id").cast("string").alias("group_key"), "first_us", "severity_rank", F.col("event_row_id").alias("row_id"))
+    added = new_user_additions(events, settings, of=created).drop("row_id").withColumnRenamed("g_row", "row_id")
+    return grouped.unionByName(added.select(*out))
 
 
 def analyze(

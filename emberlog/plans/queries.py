@@ -23,6 +23,7 @@ from ..operators import stats as S
 from ..operators import timeline as TL
 from ..operators.signature_catalog import CATALOGS, Signature
 from ..sources import sinks as X
+from ..schema import once
 from ..storage import stored
 from .adapter import LOG_EVENTS_SQL, log_events
 from .analyze import finding_events, run_detectors
@@ -714,9 +715,13 @@ def _(ev):
     return TL.related_row_ids(D.log_clearing(ev).unionByName(D.service_installs(ev)), none, single, single, single)
 
 
+#: Events that the detectors of groups look at.
+GROUP_EVENT_IDS = (4624, 4625, 4648, 4720, 4728, 4732, 4756, 4769, 4771, 4776)
+
+
 def grouped_findings(ev: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Findings of groups and the events of each."""
-    ev = stored(ev, "events")
+    ev = stored(ev.where(once(F.col("event_id")).isin(*GROUP_EVENT_IDS)), "events")
     # One plan a detector: planning all at once takes much of the driver's memory.
     parts = [stored(f(ev, SETTINGS), "group-findings") for f in (D.failed_logons, D.successful_logons, D.rdp_activity, D.brute_force, D.password_spray, D.kerberos_bursts, D.new_users)]
     found = reduce(DataFrame.unionByName, parts)

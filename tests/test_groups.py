@@ -1,10 +1,12 @@
 """Events of grouped findings and chains against brute force over all events."""
 
 import datetime as dt
+import random
+import time
 from collections import Counter
 
 from emberlog.operators.correlate import compromised_account, compromised_account_events
-from emberlog.operators.detectors import new_users
+from emberlog.operators.detectors import Settings, new_user_additions, new_user_hits, new_users
 from emberlog.plans import queries as Q
 from emberlog.plans.adapter import log_events
 from emberlog.plans.analyze import analyze, finding_events
@@ -54,6 +56,33 @@ def test_new_user_has_all_additions(spark):
     assert sorted(r.row_id for r in finding_events(ev, found).collect()) == [2, 3, 4]
 
 
+EVENTS_DDL = "row_id long, event_id int, time_created_utc timestamp, target_user_name string, properties map<string,string>"
+
+
+def test_hits_of_new_users_equal_those_of_all_pairs(spark):
+    rnd = random.Random(7)
+    rows = [(i, 4720, at(rnd.randrange(5000)), rnd.choice(["eve", "bob", None]), {}) for i in range(1, 200)]
+    rows += [(i, 4732, at(rnd.randrange(5000)), "Administrators", {"membername": rnd.choice(["LAB\\\\eve", "LAB\\\\bob", "LAB\\\\bobeve"]), "targetusername": "Administrators"}) for i in range(200, 400)]
+    ev, s = as_events(spark.createDataFrame(rows, EVENTS_DDL)), Settings(new_user_window_us=600_000_000)
+    want = {}
+    for c, g, us in new_user_additions(ev, s).select("row_id", "g_row", "g_us").collect():
+        n, least, last = want.get(c, (0, g, us))
+        want[c] = (n + 1, min(least, g), max(last, us))
+    brute = Counter(c for c, e, t, name, _ in rows if e == 4720 and name for _, f, u, _, p in rows if f == 4732 and name in p["membername"] and 0 <= (u - t).total_seconds() <= 600)
+    assert {c: n for c, (n, _, _) in want.items()} == brute
+    assert {r.row_id: (r.hits, r.hit_row, r.hit_us) for r in new_user_hits(ev, s).collect()} == want
+
+
+def test_many_new_users_and_additions_of_one_name_take_seconds(spark):
+    """50 000 creations of one name and 50 000 additions within a window: linear, where pairs would be 1.25 * 10^9."""
+    one = spark.range(100_000).selectExpr("id + 1 as row_id", "if(id % 2 = 0, 4720, 4732) as event_id", "timestamp_micros(1767225600000000 + id * 1000) as time_created_utc", "if(id % 2 = 0, 'eve', 'Administrators') as target_user_name",
+        "if(id % 2 = 0, map(), map('membername', 'LAB/eve', 'targetusername', 'Administrators')) as properties")
+    began = time.monotonic()
+    got = new_users(as_events(one)).selectExpr("count(*)", "sum(n_related - 1)", "sum(last_us - first_us)").first()
+    assert tuple(got) == (50_000, 50_000 * 50_001 // 2, sum((99_999 - i) * 1000 for i in range(0, 100_000, 2)))
+    assert time.monotonic() - began < 60
+
+
 def test_chain_has_all_failures(spark):
     rows = [(i + 1, 4625, at(i // 2), "bob", "bob", "10.0.0.1") for i in range(40)] + [(50, 4624, at(30), "bob", "bob", "10.0.0.1"), (51, 4672, at(40), "bob", None, None), (60, 4625, at(5), "eve", "eve", "10.0.0.2")]
     ev = as_events(spark.createDataFrame(rows, "row_id long, event_id int, time_created_utc timestamp, user_name string, target_user_name string, source_ip string"))

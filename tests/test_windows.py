@@ -48,6 +48,12 @@ def test_greedy_windows_equal_brute_force(spark):
     assert found(spark, most=5) == want  # chains marked by doubling
 
 
+def test_chains_followed_or_doubled_equal_brute_force(spark):
+    want = brute(rows())
+    assert found(spark, most=5, steps=0) == want
+    assert found(spark, most=5, steps=1000) == want
+
+
 def test_no_group_is_larger_than_two_buckets(spark):
     d = spark.range(20_000).select(F.lit("hot").alias("key"), (F.col("id") * 50).alias("us"), F.col("id").alias("row_id"))
     d = window_ends(busy_runs(d, ["key"], WINDOW, LEAST), ["key"], WINDOW)
