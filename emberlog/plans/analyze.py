@@ -29,12 +29,13 @@ Detector = Callable[[DataFrame, Settings], DataFrame]
 
 
 def run_detectors(
-    events: DataFrame, settings: Settings = Settings(), detectors: dict[str, Detector] | None = None, rules: Sequence[Rule] = (), ordered: bool = True, isolated: bool = True,
+    events: DataFrame, settings: Settings = Settings(), detectors: dict[str, Detector] | None = None, rules: Sequence[Rule] = (), ordered: bool = True, isolated: bool = True, whole: bool = False,
 ) -> DataFrame:
     """All findings, the most severe first (if ``ordered``).
 
     ``isolated`` runs each detector as a job of its own and writes its findings, so one that fails,
-    when it is planned or when it runs, is logged and left out. Otherwise all are one plan.
+    when it is planned or when it runs, is logged and left out. Otherwise all are one plan. Findings
+    do not show what was left out: with ``whole`` the first failure is raised under the detector's name.
     """
     todo = dict(detectors or DETECTORS)
     if rules:
@@ -44,7 +45,9 @@ def run_detectors(
         try:
             found = detector(events, settings)
             parts.append(stored(found, f"findings-{name}") if isolated else found)
-        except Exception:
+        except Exception as e:
+            if whole:
+                raise RuntimeError(f"detector {name} failed") from e
             log.exception("detector %s failed", name)
     if not parts:
         return make_finding(events.limit(0), "None", "", 0)
@@ -92,11 +95,12 @@ def finding_events(events: DataFrame, findings: DataFrame, settings: Settings =
 
 def analyze(
     events: DataFrame, iocs: DataFrame, cves: DataFrame, techniques: DataFrame | None = None, tactics: DataFrame | None = None, rules: Sequence[Rule] = (),
-    settings: Settings = Settings(), window_us: int = 10 * MINUTE,
+    settings: Settings = Settings(), window_us: int = 10 * MINUTE, whole: bool = True,
 ) -> dict[str, DataFrame]:
     """All tables of an investigation. Findings are written once, as several parts read them; the caller may
-    persist ``events``, which every part reads."""
-    findings = hydrate(run_detectors(events, settings, rules=rules), events)
+    persist ``events``, which every part reads. A detector that fails is raised; unless ``whole``, it is logged
+    and left out."""
+    findings = hydrate(run_detectors(events, settings, rules=rules, whole=whole), events)
     if techniques is not None and tactics is not None and "mitre_technique" in findings.columns:
         findings = enrich_attack(findings, techniques, tactics)
     chains, ioc, cve = all_chains(events, window_us), match_indicators(events, iocs), match_cves(events, cves)

@@ -460,7 +460,7 @@ def _(ev):
 
 @query("d22_all_detectors")
 def _(ev):
-    return run_detectors(stored(ev, "events"), SETTINGS, ordered=False).select("rule_name", "rule_id", "title", "severity", "event_row_id", "n_related")
+    return run_detectors(stored(ev, "events"), SETTINGS, ordered=False, whole=True).select("rule_name", "rule_id", "title", "severity", "event_row_id", "n_related")
 
 
 @query("w10_finding_events", f", f AS ({FAILED_SQL}) SELECT account || '|' || ip AS group_key, row_id FROM e JOIN f USING (account, ip) WHERE event_id = 4625")
@@ -787,4 +787,4 @@ def _(ev):
 @query("snk4b_export_all_statistics")
 def _(ev):
     ev = stored(ev, "events")  # every detector reads it
-    return X.export_statistics(S.statistics(ev, run_detectors(ev, SETTINGS, ordered=False)), L.EventFilter(user="bob"))
+    return X.export_statistics(S.statistics(ev, run_detectors(ev, SETTINGS, ordered=False, whole=True)), L.EventFilter(user="bob"))

@@ -3,8 +3,12 @@
 import json
 from collections import Counter
 
+import pytest
+from pyspark.sql import functions as F
+
 from emberlog.plans import queries as Q
 from emberlog.operators.detectors import log_clearing
+from emberlog.plans import analyze as A
 from emberlog.plans.adapter import PROPERTIES, log_events, spread
 
 
@@ -48,3 +52,24 @@ def test_events_of_one_file_are_spread_over_the_cores(spark, sf_dir):
     cores = spark.sparkContext.defaultParallelism
     assert spread(spark.range(100).coalesce(1)).rdd.getNumPartitions() == cores
     assert log_events(spark, sf_dir).rdd.getNumPartitions() >= cores
+
+
+@pytest.mark.parametrize("broken", [
+    lambda ev, s: log_clearing(ev, s).withColumn("title", F.raise_error(F.lit("no")).cast("string")),
+    lambda ev, s: ev.select("nothing of that name"),
+], ids=["runs", "planned"])
+def test_a_detector_that_fails_is_no_result(spark, sf_dir, monkeypatch, broken):
+    monkeypatch.setattr(A, "DETECTORS", {"log_clearing": log_clearing, "broken": broken})
+    for name in ("snk4b_export_all_statistics", "d22_all_detectors"):
+        with pytest.raises(RuntimeError, match="detector broken failed"):
+            Q.QUERIES[name](spark, sf_dir).collect()
+
+
+def test_an_analysis_leaves_a_detector_out_only_if_told(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(A, "DETECTORS", {"log_clearing": log_clearing, "broken": lambda ev, s: ev.select("nothing of that name")})
+    ev = log_events(spark, sf_dir)
+    iocs = spark.createDataFrame([], "type string, value string, comment string, source string")
+    cves = spark.createDataFrame([], "cve_id string, vulnerability_name string, short_description string, vendor_project string, product string, known_ransomware_use string")
+    with pytest.raises(RuntimeError, match="detector broken failed"):
+        A.analyze(ev, iocs, cves)
+    assert {r.rule_name for r in A.analyze(ev, iocs, cves, whole=False)["findings"].collect()} == {"LogClearing"}
